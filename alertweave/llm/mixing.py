@@ -128,16 +128,18 @@ class Mixture:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows like ``docs`` whose texts hold the words the mix takes: a row for a document's
     words of each pass that takes some. Rows of equal doc_id and text count as one."""
-    docs = docs.dropDuplicates(["doc_id", "text"])
-    m = Mixture(docs, **options)
+    columns = docs.columns
+    names = [f"__k{i}" for i in range(len(columns))]
+    named = docs.dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)])
+    at = dict(zip(columns, names))
+    m = Mixture(named.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")]), **options)
     met = m.pieces.filter("size > 0").join(m.slots.select("sid", "pass", "block", "cut"), ["sid", "block"])
     met = met.withColumn("end", F.least("end", F.col("first") + F.coalesce(F.col("cut"), F.lit(m.block)) - F.col("offset"))).filter("end > first")
     takes = met.groupBy("doc_id", "g", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("takes"))
-    named = docs.withColumn("__g", F.xxhash64(F.col("text"))).withColumnRenamed("doc_id", "__d")
-    out = named.join(takes, named["__d"].eqNullSafe(takes["doc_id"]) & (named["__g"] == takes["g"])).drop("doc_id").withColumnRenamed("__d", "doc_id")
-    words = F.regexp_extract_all("text", F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("takes", lambda t: F.slice(w, (t["first"] + 1).cast("int"), (t["end"] - t["first"]).cast("int")))), "")), F.lit(0))
-    out = out.withColumn("text", F.when(F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["first"]) == F.size(words), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = named.withColumn("__g", F.xxhash64(at["text"])).join(takes, F.col(at["doc_id"]).eqNullSafe(takes["doc_id"]) & (F.col("__g") == takes["g"]))
+    words = F.regexp_extract_all(at["text"], F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("takes", lambda t: F.slice(w, (t["first"] + 1).cast("int"), (t["end"] - t["first"]).cast("int")))), "")), F.lit(0))
+    whole = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["first"]) == F.regexp_count(at["text"], F.lit(WORDS))
+    out = out.withColumn("__text", F.when(whole, F.col(at["text"])).otherwise(part))
+    made = {"text": F.col("__text"), "n_chars": F.char_length("__text")}
+    return out.select(*[(made[c].cast(docs.schema[c].dataType) if c in made else F.col(n)).alias(c) for c, n in at.items()])

@@ -17,6 +17,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fitted, held_out, scored
+
+    docs = common.table(spark, sf_dir, "documents")
+    out = scored(docs, fitted(docs, common.table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
@@ -44,6 +52,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import components
+
+    return components(common.table(spark, sf_dir, "documents")).drop("g")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import Mixture
 
@@ -60,10 +74,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality_model": op2_quality_model,
         "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op7_token_counts": op7_token_counts,
+        "op8_near_dedup": op8_near_dedup,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
     }
