@@ -106,7 +106,8 @@ class Mixture:
 
         run = self.sources.filter("slots > 0").select("sid", "blocks", "slots", "cut", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("chunk"))
         first = F.col("chunk") * SLOT_CHUNK
-        each = run.repartition("sid", "chunk").select("sid", "blocks", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("slots")) - 1)).alias("slot"), "slots", "cut")
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = run.repartition(parts, "sid", "chunk").select("sid", "blocks", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("slots")) - 1)).alias("slot"), "slots", "cut")
         each = each.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("block", F.col("slot") % F.col("blocks"))
         shard = F.pmod(F.xxhash64("sid", "slot", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
         self.slots = each.select(shard, "slot", "sid", "pass", permuted(F.col("block"), F.col("blocks"), F.col("sid"), F.col("pass"), F.lit(seed)).alias("block"), F.when(F.col("slot") == F.col("slots") - 1, F.col("cut")).alias("cut"))
@@ -118,7 +119,8 @@ class Mixture:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for every row."""
         times = self.slots.groupBy("sid", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("times"), F.max("cut").alias("cut"))
-        met = self.pieces.join(times, ["sid", "block"], "left")
+        # the exploded slots grow with the input, which Spark's estimate of them doesn't show
+        met = self.pieces.join(times.hint("merge"), ["sid", "block"], "left")
         words = F.col("end") - F.col("first")
         partly = F.greatest(F.least(words, F.col("cut") - F.col("offset")), F.lit(0))
         each = F.coalesce(words * F.col("times"), F.lit(0)) + F.when(F.col("cut").isNull(), 0).otherwise(partly)
@@ -133,10 +135,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     named = docs.dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)])
     at = dict(zip(columns, names))
     m = Mixture(named.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")]), **options)
-    met = m.pieces.filter("size > 0").join(m.slots.select("sid", "pass", "block", "cut"), ["sid", "block"])
+    met = m.pieces.filter("size > 0").join(m.slots.select("sid", "pass", "block", "cut").hint("merge"), ["sid", "block"])
     met = met.withColumn("end", F.least("end", F.col("first") + F.coalesce(F.col("cut"), F.lit(m.block)) - F.col("offset"))).filter("end > first")
     takes = met.groupBy("doc_id", "g", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("takes"))
-    out = named.withColumn("__g", F.xxhash64(at["text"])).join(takes, F.col(at["doc_id"]).eqNullSafe(takes["doc_id"]) & (F.col("__g") == takes["g"]))
+    out = named.withColumn("__g", F.xxhash64(at["text"])).join(takes.hint("merge"), F.col(at["doc_id"]).eqNullSafe(takes["doc_id"]) & (F.col("__g") == takes["g"]))
     words = F.regexp_extract_all(at["text"], F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("takes", lambda t: F.slice(w, (t["first"] + 1).cast("int"), (t["end"] - t["first"]).cast("int")))), "")), F.lit(0))
     whole = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["first"]) == F.regexp_count(at["text"], F.lit(WORDS))
