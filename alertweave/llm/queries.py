@@ -44,6 +44,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(common.table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated
+
+    return repeated(common.table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_near_dedup": op8_near_dedup,
         "op9_mixing": op9_mixing,
