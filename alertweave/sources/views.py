@@ -12,7 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert for each event: who, where and what kind, with three observables."""
-    e = table(spark, sf_dir, "events")
+    return of_events(table(spark, sf_dir, "events"))
+
+
+def of_events(e: DataFrame) -> DataFrame:
+    """Events, from a table or a stream, as alerts."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     u = F.floor(F.col("user_id") / 3)
     return e.select(
