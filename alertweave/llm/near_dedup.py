@@ -1,17 +1,19 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Documents are compared as sets of five-word shingles (A-Z lowered). Equal sets form a class,
-so copies are never paired. A class has a signature of 192 minhashes: 32 bands of 6 make
-candidates, 8 bits of each verify them. Candidates are pruned a batch of hashes at a time:
+so copies are never paired. A class has a signature of 384 minhashes: 192 of them, in 32
+bands of 6, make candidates, and 8 bits of each verify them. Candidates are pruned a batch of hashes at a time:
 when the posterior chance that their similarity reaches the threshold (uniform prior) falls
 below ``miss``, they go. Survivors are verified on their full shingle sets.
 
 No bucket's pairs are all emitted. First each class is tried against the most connected
 class of each bucket that it is in, which joins a group of near copies through its centre.
-Then connected components are formed, and only pairs of a bucket that are still in different
-components are tried; in a bucket of over ``DIRECT`` members a pair must share two buckets.
-A pair at the threshold shares no bucket with chance (1 - 0.85^6)^32 = 3e-7, and fewer than
-two with 6e-6; at 0.9 both are below 1e-9. No partners are capped.
+Then connected components are formed. A bucket whose members are still in different
+components goes to tasks as blocks of up to ``BLOCK`` members and pairs of such blocks;
+there the batches of hashes prune pairs of different components, and only survivors leave,
+each from the first bucket that the pair shares.
+A pair at the threshold shares no bucket with chance (1 - 0.85^6)^32 = 3e-7, at 0.9 with
+less than 1e-9. No partners are capped.
 
 Defined results: without words (null, empty, white space) a document is its own component;
 fewer words than five are one shingle; a null doc_id never becomes a component's id unless
@@ -32,9 +34,10 @@ from . import common, wordhash
 
 SIZE = 5
 BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
+BANDED = BANDS * ROWS
+HASHES = 2 * BANDED
 BATCH = 32
-DIRECT = 64
+BLOCK = 2048
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,7 +79,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = (sig.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _ROW_TIMES
+    rows = (sig[:BANDED].reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _ROW_TIMES
     return wordhash.mix(wordhash.mix(rows.sum(axis=1, dtype=np.uint64)) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
@@ -140,10 +143,76 @@ def pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return common.map_rows(both, rows, "a bigint, b bigint", batch=5000)
 
 
+def open_pairs(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Pairs (a, b) of different labels in one bucket that the batches of hashes leave.
+    members: bk, nid, label, n (of the bucket), sig, bands. A bucket of over ``BLOCK`` members
+    is dealt to blocks, and each member to every pair of blocks that has its own. A pair
+    leaves from the first band that it shares, told by the upper halves of the band keys."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
+    m = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("bk")).otherwise(F.xxhash64("bk", F.least("own", "other"), F.greatest("own", "other")))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = m.withColumn("band", F.array_position("bands", F.col("bk")).cast("int") - 1).withColumn("halves", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")))
+    dealt = m.select(key.alias("key"), (F.col("own") == F.greatest("own", "other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"), "nid", "label", "sig", "band", "halves").repartition(parts, "key").sortWithinPartitions("key")
+
+    def survivors(group: list[tuple], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nid = np.array([g[3] for g in group])
+        label = np.array([g[4] for g in group])
+        side = np.array([g[1] for g in group])
+        sig = np.frombuffer(b"".join([g[5] for g in group]), np.uint8).reshape(-1, HASHES)
+        alone, band = group[0][2], group[0][6]
+        halves = np.array([g[7][:band] for g in group], np.int32).reshape(len(group), band)
+        out_a, out_b = [], []
+        for at in range(0, len(nid), 256):
+            rows = np.arange(at, min(at + 256, len(nid)))
+            ok = label[rows, None] != label[None, :]
+            ok &= (rows[:, None] < np.arange(len(nid))[None, :]) if alone else (side[rows, None] < side[None, :])
+            i, j = np.nonzero(ok)
+            i = rows[i]
+            matches = np.zeros(len(i), np.int64)
+            for k, least_k in enumerate(least):
+                if not len(i):
+                    break
+                cols = slice(k * BATCH, (k + 1) * BATCH)
+                part = np.ascontiguousarray(sig[:, cols])
+                matches += (part[i] == part[j]).sum(axis=1)
+                live = matches >= least_k
+                i, j, matches = i[live], j[live], matches[live]
+            if band and len(i):
+                new = ~(halves[i] == halves[j]).any(axis=1)
+                i, j = i[new], j[new]
+            out_a.append(nid[i])
+            out_b.append(nid[j])
+        return np.concatenate(out_a), np.concatenate(out_b)
+
+    def rows(parts: Iterator[dict]) -> Iterator[dict]:
+        least = least_matches(threshold, miss)
+        group: list[tuple] = []
+        for p in parts:
+            got_a, got_b = [], []
+            for row in zip(p["key"], p["side"], p["alone"], p["nid"], p["label"], p["sig"], p["band"], p["halves"]):
+                if group and row[0] != group[0][0]:
+                    if len(group) > 1:
+                        a, b = survivors(group, least)
+                        got_a.append(a)
+                        got_b.append(b)
+                    group = []
+                group.append(row)
+            if got_a:
+                a, b = np.concatenate(got_a), np.concatenate(got_b)
+                yield {"a": np.minimum(a, b).tolist(), "b": np.maximum(a, b).tolist()}
+        if len(group) > 1:
+            a, b = survivors(group, least)
+            yield {"a": np.minimum(a, b).tolist(), "b": np.maximum(a, b).tolist()}
+
+    return common.map_rows(dealt, rows, "a bigint, b bigint", batch=5000).distinct()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold. Sets are made anew from the texts of the
     classes that pairs name."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    need = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
     own = classes.join(need, "nid").select("nid", "key", F.col("rep").alias("__rep"))
     texts = docs.select("doc_id", common.text_bytes().alias("t")).join(own, F.col("doc_id").eqNullSafe(F.col("__rep"))).select("nid", "key", "t")
 
@@ -207,13 +276,9 @@ def components(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFr
     label = labels_of(links)
     at = members.join(label, "nid", "left").select("bk", "nid", F.coalesce("label", "nid").alias("label"))
     split = at.groupBy("bk").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("n")).filter("u <> v").select("bk", "n")
-    at = common.written(at.join(split, "bk"), "near-open")
-    hot = at.filter(F.col("n") > DIRECT).groupBy("nid", "label").agg(F.array_sort(F.collect_list("bk")).alias("own"))
-    twice = hot.select("nid", "label", F.posexplode("own").alias("i", "first"), "own").select("nid", "label", "first", F.explode(F.slice("own", F.col("i") + 2, F.size("own"))).alias("second")).select(F.xxhash64("first", "second").alias("bk"), "nid", "label")
-    keyed = at.filter(F.col("n") <= DIRECT).select("bk", "nid", "label").unionByName(twice)
-    left, right = keyed.toDF("bk", "a", "u"), keyed.toDF("bk", "b", "v")
-    more = left.join(right, "bk").filter("a < b and u <> v").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    again = common.written(verified(common.written(pruned(common.written(more, "near-pairs"), classes, threshold, miss), "near-survivors"), classes, docs, percent), "near-links")
+    at = at.join(split, "bk").join(classes.select("nid", "sig", "bands"), "nid")
+    more = common.written(open_pairs(at, threshold, miss), "near-survivors")
+    again = common.written(verified(more, classes, docs, percent), "near-links")
     label = labels_of(links.unionByName(again)) if not again.isEmpty() else label
 
     known = classes.select("key", "rep", "nid").join(label, "nid", "left").select("key", "rep", F.coalesce("label", "nid").alias("label"))
