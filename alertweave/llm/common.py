@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_bytes: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that a lost executor costs
     a re-read instead of the whole lineage."""
     spark = df.sparkSession
@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str, partition_bytes: int | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the intermediate tables, once the results that need them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(col: str = "text") -> F.Column:
     """The text's UTF-8 bytes; Python gets them without decoding."""
     return F.col(col).cast("binary")

@@ -81,7 +81,7 @@ def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
     pad = np.zeros(w - 1, np.uint64)
     most = sliding(np.concatenate([pad, least, pad]), w, np.maximum)  # of stretches that hold the gram
     at = np.flatnonzero(h == most)
-    return at, h[at] >> np.uint64(64 - HASH_BITS)
+    return at, wordhash.mix(h[at]) >> np.uint64(64 - HASH_BITS)  # least hashes aren't even; their mix is
 
 
 class Run:
@@ -127,13 +127,12 @@ class Run:
         left_n = np.minimum(at - self.first[doc], left)
         width = self.length + left + 2
         keys = np.zeros((len(at), width), np.uint8)
-        if len(at):
-            i = np.arange(self.length)
-            keys[:, : self.length] = np.where(i < right_n[:, None], self.raw[np.minimum(at[:, None] + i, len(self.raw) - 1)], 0)
-            keys[:, self.length] = right_n
-            i = np.arange(1, left + 1)
-            keys[:, self.length + 1 : -1] = np.where(i <= left_n[:, None], self.raw[np.maximum(at[:, None] - i, 0)], 0)
-            keys[:, -1] = left_n
+        ahead, back = np.arange(self.length), np.arange(1, left + 1)
+        for c in range(0, len(at), 8192):  # the index matrices are eight times the keys
+            s = slice(c, c + 8192)
+            keys[s, : self.length] = np.where(ahead < right_n[s, None], self.raw[np.minimum(at[s, None] + ahead, len(self.raw) - 1)], 0)
+            keys[s, self.length + 1 : -1] = np.where(back <= left_n[s, None], self.raw[np.maximum(at[s, None] - back, 0)], 0)
+        keys[:, self.length], keys[:, -1] = right_n, left_n
         order = np.argsort(keys.view(f"S{width}").ravel(), kind="stable")
         keys = keys[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
