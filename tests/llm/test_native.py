@@ -208,3 +208,11 @@ def test_mixed_texts_hold_the_words_taken(spark):
     for r in out.collect():
         got[r.doc_id] += len(WORD.findall(r.text))
     assert got == Counter({d: n for d, n in taken.items() if n})
+
+
+def test_no_python_in_plans(spark, sf_dir):
+    from alertweave.llm import queries
+
+    for name in ("op1_sharding", "op4_quality_rules", "op5_secret_scan", "op9_mixing"):
+        plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), name
