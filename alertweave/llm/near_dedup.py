@@ -11,7 +11,8 @@ class of each bucket that it is in, which joins a group of near copies through i
 Then connected components are formed. A bucket whose members are still in different
 components goes to tasks as blocks of up to ``BLOCK`` members and pairs of such blocks;
 there the batches of hashes prune pairs of different components, and only survivors leave,
-each from the first bucket that the pair shares.
+each from the first bucket that the pair shares. Classes of up to ``SMALL`` shingles carry
+them all (32 bits each) to these blocks, so their pairs leave only if the sets agree.
 A pair at the threshold shares no bucket with chance (1 - 0.85^6)^32 = 3e-7, at 0.9 with
 less than 1e-9. No partners are capped.
 
@@ -38,6 +39,7 @@ BANDED = BANDS * ROWS
 HASHES = 2 * BANDED
 BATCH = 32
 BLOCK = 2048
+SMALL = 256
 _RANDOM = np.random.Generator(np.random.PCG64(77))
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -103,7 +105,8 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, g (hash of the text), n_shingles, key (of the set), bands, sig."""
+    """doc_id, g (hash of the text), n_shingles, key (of the set), bands, sig, and the upper
+    halves of the shingles of small sets."""
 
     def rows(parts: Iterator[dict]) -> Iterator[dict]:
         for p in parts:
@@ -114,10 +117,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "bands": [band_keys(s).tolist() if s is not None else None for s in sigs],
                 "sig": [bits(s) if s is not None else None for s in sigs],
+                "small": [(s >> np.uint64(32)).astype(np.uint32).tobytes() if 0 < len(s) <= SMALL else None for s in sets],
             }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.map_rows(docs.select("doc_id", F.xxhash64("text").alias("g"), common.text_bytes().alias("t")), rows, f"doc_id {kind}, g bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary", batch=500)
+    return common.map_rows(docs.select("doc_id", F.xxhash64("text").alias("g"), common.text_bytes().alias("t")), rows, f"doc_id {kind}, g bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary, small binary", batch=500)
 
 
 def pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -143,9 +147,21 @@ def pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return common.map_rows(both, rows, "a bigint, b bigint", batch=5000)
 
 
-def open_pairs(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+def may_link(a: bytes | None, b: bytes | None, percent: int) -> bool:
+    """Whether small sets can reach the threshold; others may. One shingle of slack for
+    equal halves of different hashes."""
+    if a is None or b is None:
+        return True
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum()) + 1
+    return 100 * same >= percent * (len(both) - same)
+
+
+def open_pairs(members: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs (a, b) of different labels in one bucket that the batches of hashes leave.
-    members: bk, nid, label, n (of the bucket), sig, bands. A bucket of over ``BLOCK`` members
+    members: bk, nid, label, n (of the bucket), sig, bands, small. A bucket of over ``BLOCK`` members
     is dealt to blocks, and each member to every pair of blocks that has its own. A pair
     leaves from the first band that it shares, told by the upper halves of the band keys."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -154,7 +170,7 @@ def open_pairs(members: DataFrame, threshold: float, miss: float) -> DataFrame:
     key = F.when(F.col("blocks") == 1, F.col("bk")).otherwise(F.xxhash64("bk", F.least("own", "other"), F.greatest("own", "other")))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m = m.withColumn("band", F.array_position("bands", F.col("bk")).cast("int") - 1).withColumn("halves", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")))
-    dealt = m.select(key.alias("key"), (F.col("own") == F.greatest("own", "other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"), "nid", "label", "sig", "band", "halves").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = m.select(key.alias("key"), (F.col("own") == F.greatest("own", "other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"), "nid", "label", "sig", "band", "halves", "small").repartition(parts, "key").sortWithinPartitions("key")
 
     def survivors(group: list[tuple], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nid = np.array([g[3] for g in group])
@@ -182,16 +198,19 @@ def open_pairs(members: DataFrame, threshold: float, miss: float) -> DataFrame:
             if band and len(i):
                 new = ~(halves[i] == halves[j]).any(axis=1)
                 i, j = i[new], j[new]
+            may = [may_link(group[x][8], group[y][8], percent) for x, y in zip(i, j)]
+            may = np.array(may, bool)
+            i, j = i[may], j[may]
             out_a.append(nid[i])
             out_b.append(nid[j])
         return np.concatenate(out_a), np.concatenate(out_b)
 
     def rows(parts: Iterator[dict]) -> Iterator[dict]:
-        least = least_matches(threshold, miss)
+        least = least_matches(percent / 100, miss)
         group: list[tuple] = []
         for p in parts:
             got_a, got_b = [], []
-            for row in zip(p["key"], p["side"], p["alone"], p["nid"], p["label"], p["sig"], p["band"], p["halves"]):
+            for row in zip(p["key"], p["side"], p["alone"], p["nid"], p["label"], p["sig"], p["band"], p["halves"], p["small"]):
                 if group and row[0] != group[0][0]:
                     if len(group) > 1:
                         a, b = survivors(group, least)
@@ -262,7 +281,7 @@ def components(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFr
     with 100 * intersection >= percent * union."""
     threshold = percent / 100
     rows = common.written(signatures(docs), "near-rows")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("small").alias("small"))
     classes = common.written(classes.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
 
     banded = classes.select("nid", F.explode("bands").alias("bk"))
@@ -276,8 +295,8 @@ def components(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFr
     label = labels_of(links)
     at = members.join(label, "nid", "left").select("bk", "nid", F.coalesce("label", "nid").alias("label"))
     split = at.groupBy("bk").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count("*").alias("n")).filter("u <> v").select("bk", "n")
-    at = at.join(split, "bk").join(classes.select("nid", "sig", "bands"), "nid")
-    more = common.written(open_pairs(at, threshold, miss), "near-survivors")
+    at = at.join(split, "bk").join(classes.select("nid", "sig", "bands", "small"), "nid")
+    more = common.written(open_pairs(at, percent, miss), "near-survivors")
     again = common.written(verified(more, classes, docs, percent), "near-links")
     label = labels_of(links.unionByName(again)) if not again.isEmpty() else label
 
