@@ -60,7 +60,7 @@ def parsed(df: DataFrame, bundle: str = "bundle", include_email_objects: bool =
         "domain": _values(o, "domain-name"), "url": _values(o, "url"), "file_hash": hashes,
     }
     cols = {f"{k}s": _clean(F.concat(v, notable_iocs(notable, k, fields[k]))) for k, v in own.items()}
-    out = df.withColumns({"alert_name": F.coalesce(last("indicator", "name"), F.lit("")), "description": F.coalesce(last("identity", "description"), F.lit("")), "error": F.try_parse_json(bundle).isNull(), **cols})
+    out = df.withColumns({"alert_name": F.coalesce(last("indicator", "name"), F.lit("")), "description": F.coalesce(last("identity", "description"), F.lit("")), "error": F.col("__b.objects").isNull() & F.try_parse_json(bundle).isNull(), **cols})
     return out.drop("__b")
 
 

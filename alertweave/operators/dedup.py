@@ -7,7 +7,7 @@ other, so a hot rule costs alerts times distinct sets."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,18 +43,20 @@ def l1_candidates(fp: DataFrame) -> DataFrame:
     both = side("a").join(side("b"), [*GROUP, "slot", "hash"])
     names = lambda c: F.transform(c, lambda p: p["slot"])
     union = F.size(F.array_union(names("ha"), names("hb")))
-    both = both.withColumn("union_", union)
-    return both.groupBy(*GROUP, "a", "b").agg(F.count("*").alias("matched"), F.min("union_").alias("union_"), F.min("fb").alias("first")).withColumn("confidence", F.round(F.col("matched") / F.col("union_"), 4))
+    # what depends on the pair is part of the key, so that the aggregate only counts
+    both = both.select(*GROUP, "a", "b", union.alias("union_"), F.col("fb.ts").alias("ts"), F.col("fb.alert_id").alias("alert_id"))
+    counted = both.groupBy(*GROUP, "a", "b", "union_", "ts", "alert_id").agg(F.count("*").alias("matched"))
+    return counted.select(*GROUP, "a", "b", "matched", F.struct("ts", "alert_id").alias("first"), F.round(F.col("matched") / F.col("union_"), 4).alias("confidence"))
 
 
 def dedup_l1(fp: DataFrame, threshold: float = DUPLICATE_AT) -> DataFrame:
     """alert_id, verdict, confidence, matched_alert_id: the best earlier alert of the same
     customer, rule and window, ties to the earliest; a duplicate from the threshold on."""
     pairs = l1_candidates(fp).filter(F.col("confidence") >= threshold).select(*GROUP, F.col("a").alias("set_key"), "confidence", "first")
-    met = fp.select("alert_id", "ts", *GROUP, "set_key").join(pairs, [*GROUP, "set_key"]).filter(F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id"))
-    best = met.groupBy("alert_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.col("first"))).alias("m"))
-    out = fp.select("alert_id").join(best, "alert_id", "left")
-    return out.select("alert_id", F.when(F.col("m").isNull(), "NEW").otherwise("DUPLICATE").alias("verdict"), F.coalesce(-F.col("m.c"), F.lit(0.0)).alias("confidence"), F.col("m.first.alert_id").alias("matched_alert_id"))
+    met = fp.select("alert_id", "ts", *GROUP, "set_key").join(pairs, [*GROUP, "set_key"], "left")
+    earlier = F.when(F.col("first").isNotNull() & (F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id")), F.struct((-F.col("confidence")).alias("c"), F.col("first")))
+    best = met.groupBy("alert_id").agg(F.min(earlier).alias("m"))
+    return best.select("alert_id", F.when(F.col("m").isNull(), "NEW").otherwise("DUPLICATE").alias("verdict"), F.coalesce(-F.col("m.c"), F.lit(0.0)).alias("confidence"), F.col("m.first.alert_id").alias("matched_alert_id"))
 
 
 def dedup_l2(fp: DataFrame, values: Sequence[str], l1: DataFrame, threshold: float = SIMILAR_AT) -> DataFrame:
@@ -62,20 +64,20 @@ def dedup_l2(fp: DataFrame, values: Sequence[str], l1: DataFrame, threshold: flo
     same window, by the mean over indicator types of the best token-sort ratio; similar from
     the threshold on. Only distinct pairs of values reach the Python function."""
     group = ["customer", "bucket"]
-    left = fp.join(l1.filter("verdict = 'NEW'").select("alert_id"), "alert_id", "left_semi")
+    left = fp.select("alert_id", "ts", *group, "name_hash", *values).join(l1.filter("verdict = 'NEW'").select("alert_id"), "alert_id", "left_semi")
     sets = fp.groupBy(*group, "name_hash", *values).agg(F.min(F.struct("ts", "alert_id")).alias("first"))
-    ask = left.select(*group, "name_hash", *values).distinct()
     b = sets.select(*group, F.col("name_hash").alias("name_b"), *[F.col(v).alias(f"{v}_b") for v in values], "first")
-    pairs = ask.join(b, group).filter("name_hash <> name_b")
+    pairs = sets.drop("first").join(b, group).filter("name_hash <> name_b")
     long = pairs.select(F.explode(F.array(*[F.struct(F.col(v).alias("x"), F.col(f"{v}_b").alias("y")) for v in values])).alias("p")).select("p.x", "p.y").distinct()
     ratio = long.withColumn("r", token_sort_ratio("x", "y"))
     for v in values:
         pairs = pairs.join(ratio.select(F.col("x").alias(v), F.col("y").alias(f"{v}_b"), F.col("r").alias(f"r_{v}")), [v, f"{v}_b"], "left")
     score = F.round(sum(F.round(F.coalesce(F.col(f"r_{v}"), F.lit(0.0)), 2) for v in values) / len(values), 2)
     pairs = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(*group, "name_hash", *values, "score", "first")
-    met = left.join(pairs, [*group, "name_hash", *values]).filter(F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id"))
-    best = met.groupBy("alert_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("first"))).alias("m"))
-    return left.select("alert_id").join(best, "alert_id", "left").select("alert_id", F.when(F.col("m").isNull(), "NEW").otherwise("SIMILAR").alias("verdict"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), F.col("m.first.alert_id").alias("matched_alert_id"))
+    met = left.join(pairs, [*group, "name_hash", *values], "left")
+    earlier = F.when(F.col("first").isNotNull() & (F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id")), F.struct((-F.col("score")).alias("s"), F.col("first")))
+    best = met.groupBy("alert_id").agg(F.min(earlier).alias("m"))
+    return best.select("alert_id", F.when(F.col("m").isNull(), "NEW").otherwise("SIMILAR").alias("verdict"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), F.col("m.first.alert_id").alias("matched_alert_id"))
 
 
 def dedup(fp: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -141,15 +143,20 @@ class KeyStore:
         return None
 
 
-def hash_dedup(df: DataFrame, window_ms: int, group: Sequence[str]) -> DataFrame:
-    """alert_id, duplicate_of. df: alert_id, ms, keys, and ``group`` columns such that keys of
-    different groups never meet (the key's time bucket and category), so a group is one
-    bucket of one category. Order within it is (ms, alert_id)."""
+def hash_dedup(df: DataFrame, window_ms: int, group: Sequence[str], bucket: str = "bucket") -> DataFrame:
+    """alert_id, duplicate_of. df: alert_id, ms, keys, and ``group`` columns, ``bucket`` among
+    them, such that keys of different groups never meet. A task takes whole groups in order
+    of (bucket, ms, alert_id) and forgets a bucket's keys when the next begins."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        store = KeyStore(window_ms)
-        pdf = pdf.sort_values(["ms", "alert_id"])
-        found = [store.judge(i, ms, keys) for i, ms, keys in zip(pdf["alert_id"], pdf["ms"], pdf["keys"])]
-        return pd.DataFrame({"alert_id": pdf["alert_id"], "duplicate_of": pd.array(found, "Int64")})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = KeyStore(window_ms), None
+        for pdf in parts:
+            found = []
+            for i, ms, keys, b in zip(pdf["alert_id"], pdf["ms"], pdf["keys"], pdf[bucket]):
+                if b != at:
+                    store, at = KeyStore(window_ms), b
+                found.append(store.judge(i, ms, keys))
+            yield pd.DataFrame({"alert_id": pdf["alert_id"], "duplicate_of": pd.array(found, "Int64")})
 
-    return df.select("alert_id", "ms", "keys", *group).groupBy(*group).applyInPandas(run, "alert_id long, duplicate_of long")
+    dealt = df.select("alert_id", "ms", "keys", *group).repartition(*group).sortWithinPartitions(bucket, "ms", "alert_id")
+    return dealt.mapInPandas(run, "alert_id long, duplicate_of long")
