@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -51,3 +55,52 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def _packed(rows: DataFrame, block: int, at: str) -> DataFrame:
+    """Blocks of up to ``block`` unit vectors of one width, with their ids, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_width: dict[int, list] = {}
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if v and None not in v:
+                    by_width.setdefault(len(v), []).append((k, v))
+            for width, own in by_width.items():
+                for i in range(0, len(own), block):
+                    part = own[i : i + block]
+                    m = np.array([v for _, v in part], np.float64)
+                    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                    m = m / np.where(length > 0, length, np.nan)
+                    ids = np.array([k or 0 for k, _ in part], np.int64)
+                    known = np.array([k is not None for k, _ in part])
+                    yield pa.RecordBatch.from_pydict({f"{at}w": pa.array([width], pa.int32()), f"{at}i": [ids.tobytes()], f"{at}k": [known.tobytes()], f"{at}v": [m.tobytes()]})
+
+    return rows.mapInArrow(run, f"{at}w int, {at}i binary, {at}k binary, {at}v binary")
+
+
+def cosine_counts(queries: DataFrame, vectors: DataFrame, least: float, block: int = 1024, deals: int = 32) -> DataFrame:
+    """a, n for each id of ``queries``: how many rows of ``vectors`` with another id have a
+    cosine of at least ``least``, 0 where none has. Both have id and vector columns, in this
+    order. All pairs are compared, a block of queries with a block of vectors at a time:
+    blocks of vectors are dealt to ``deals`` keys, blocks of queries go to each.
+
+    Null vectors, vectors of other widths and vectors of length 0 match nothing; a null id
+    differs from each id and is never a query; rows that repeat count each."""
+    q, v = queries.toDF("a", "v").filter("a is not null"), vectors.toDF("b", "v")
+    qs = _packed(q, block, "q").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    vs = _packed(v, block, "v").withColumn("deal", F.pmod(F.xxhash64("vi", "vv"), F.lit(deals)).cast("int"))
+    met = qs.join(vs.hint("merge"), (qs["deal"] == vs["deal"]) & (qs["qw"] == vs["vw"])).select("qw", "qi", "qv", "vi", "vk", "vv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width, qi, qv, vi, vk, vv = (batch.column(c)[i].as_py() for c in range(6))
+                a, b, known = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64), np.frombuffer(vk, bool)
+                near = np.frombuffer(qv).reshape(-1, width) @ np.frombuffer(vv).reshape(-1, width).T >= least
+                near &= (a[:, None] != b[None, :]) | ~known[None, :]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "n": pa.array(near.sum(axis=1).astype(np.int64))})
+
+    found = met.mapInArrow(run, "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("n"))
+    ids = q.select(F.col("a").cast("bigint").alias("a")).distinct()
+    return ids.join(found, "a", "left").select("a", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

@@ -213,6 +213,15 @@ def cosine_match(spark, d):
     return q.join(e, "label").filter("a <> vec_id").filter(S.cosine(F.col("qe"), F.col("e")) >= 0.1).groupBy("a").agg(F.count("*").alias("n"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id, v FROM e WHERE vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS a, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS c FROM q JOIN e ON e.vec_id IS DISTINCT FROM q.vec_id)
+SELECT q.vec_id AS a, (SELECT count(*) FROM p WHERE p.a = q.vec_id AND c >= 0.1) AS n FROM (SELECT DISTINCT vec_id FROM q) q""")
+def cosine_match_all(spark, d):
+    """Each twentieth vector against all vectors, whatever their labels; 0 without a match."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return S.cosine_counts(e.filter("vec_id % 20 = 0"), e, 0.1)
+
+
 @query()
 def embedding_pool(spark, d):
     """Mean of the vectors of a label, scaled to unit length."""
