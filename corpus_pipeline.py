@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that of the least doc_id."""
-    return near_dedup.deduplicated(docs)
+    """Keeps one document of each group of near duplicates (similarity 0.8 or more), that of
+    the least doc_id."""
+    return near_dedup.deduplicated(docs, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
