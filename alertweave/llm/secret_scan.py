@@ -10,6 +10,9 @@ cannot tell the two apart, so need more. Benjamini-Hochberg over all candidates
 corpus then bounds the share of false discoveries; p-values are rounded up to tenths of a
 decade, so a histogram of bounded size decides.
 
+A run with '+' or '/' and also '_' or '-' fits no alphabet; its parts in either alphabet are
+candidates instead. Of accepted parts, one inside another is not reported.
+
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no
 spans; repeated rows are scanned each and count as candidates each; other columns are
 ignored; a candidate that overlaps a base span is not added.
@@ -26,7 +29,9 @@ from . import common
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that pass
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"  # '=' only as padding: a name before it is no part
+MIXED = r"[+/].*[_-]|[_-].*[+/]"  # runs that no alphabet holds as a whole, and their parts
+PARTS = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 
@@ -139,7 +144,10 @@ def scanned(docs: DataFrame) -> DataFrame:
         matches(text, CANDIDATE).alias("candidates"),
     )
     taken = F.concat("assign", "access", "hex")
-    apart = F.filter("candidates", lambda c: ~F.exists(taken, lambda b: (b["first"] < c["end"]) & (c["first"] < b["end"])))
+    runs = base.schema["candidates"].dataType
+    shifted = lambda c, pattern: F.transform(matches(c["found"], pattern), lambda s: F.struct((c["first"] + s["first"]).alias("first"), (c["first"] + s["end"]).alias("end"), s["found"].alias("found")))
+    parts = F.flatten(F.transform("candidates", lambda c: F.when(c["found"].rlike(MIXED), F.array_distinct(F.concat(*[shifted(c, p) for p in PARTS]))).otherwise(F.array(c)).cast(runs)))
+    apart = F.filter(parts, lambda c: ~F.exists(taken, lambda b: (b["first"] < c["end"]) & (c["first"] < b["end"])))
     thin = lambda c: F.transform(c, lambda s: F.struct(s["first"], s["end"]))
     return base.select("doc_id", thin("assign").alias("assign"), thin("access").alias("access"), thin("hex").alias("hex"), F.transform(apart, lambda c: F.struct(c["first"].alias("first"), c["end"].alias("end"), battery(c["found"]).alias("p"))).alias("candidates"))
 
@@ -162,6 +170,9 @@ def secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     least = threshold([(r.p, r.n) for r in hist], share)
     added = F.filter("candidates", lambda c: c["p"] >= F.lit(least)) if least is not None else F.filter("candidates", lambda c: F.lit(False))
 
+    inside = lambda c, d: (d["first"] <= c["first"]) & (c["end"] <= d["end"]) & (c["end"] - c["first"] < d["end"] - d["first"])
+    added = F.filter(added, lambda c: ~F.exists(added, lambda d: inside(c, d)))
+
     def joined(*columns: F.Column) -> F.Column:
         def named(c: F.Column, k: int) -> F.Column:
             return F.transform(c, lambda s: F.struct(s["first"].alias("first"), F.lit(k).alias("kind"), F.concat_ws(":", F.lit(KINDS[k]), s["first"], s["end"]).alias("said")))

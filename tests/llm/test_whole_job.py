@@ -1,8 +1,10 @@
 """Whole jobs of the corpus operators, where a narrower one would pass unnoticed."""
 
 import random
+import re
 
 import corpus_pipeline
+from alertweave.llm import secret_scan
 
 from . import util
 from .test_near_dedup import brute, edited, family
@@ -17,3 +19,41 @@ def test_near_duplicates_stage_links_at_080(spark):
     kept = lambda percent: {int(d) for d, _, _, k in brute(docs, percent) if k}
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, util.docs(spark, docs), "").collect())
     assert got == sorted(kept(80)) and 1 in kept(85) - kept(80)
+
+
+def test_secrets_after_names_and_in_mixed_runs(spark):
+    rng = random.Random(8)
+    draw = lambda k, n: "".join(rng.choice(secret_scan.ALPHABETS[k][2]) for _ in range(n))
+    values = {100: draw(5, 64), 101: draw(5, 64), 102: draw(6, 64), 103: draw(5, 64), 104: draw(5, 64)}
+    texts = {
+        100: f"see session={values[100]} here",
+        101: f"GET https://a.example/p?sig={values[101]}&n=1",
+        102: f"auth={values[102]}== end",
+        103: f"\U0001f600 my-app_key/{values[103]}",
+        104: f"no name {values[104]} at all",
+        105: "a-long-kebab-name/of-many-parts/with-words-only and_so_on+that_is_no_secret=plain",
+    }
+    docs = [(d, t, "en", "a", 1) for d, t in texts.items()]
+    got = {r.doc_id: r for r in secret_scan.secrets(util.docs(spark, docs)).collect()}
+    for d, v in values.items():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[d].spans.split(",") if s.startswith("random:")]
+        found = [texts[d][a:b].rstrip("=") for a, b in spans]
+        assert found in ([v], ["key/" + v]), d  # the widest accepted part of a mixed run
+    assert got[105].n_random == 0
+
+
+def test_candidates_against_brute_force(spark):
+    """Places of all candidates: whole runs, or of mixed ones the parts."""
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choice(["a", "Bc9", "+", "/", "_", "-", "=", " ", "word" * 6, "é", "x" * 21]) for _ in range(60)), "en", "a", 1) for i in range(60)]
+
+    def places(text):
+        for run in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            if set(run[0]) & set("+/") and set(run[0]) & set("_-"):
+                for p in ("+/", "_-"):
+                    yield from {(run.start() + m.start(), run.start() + m.end()) for m in re.finditer(rf"[A-Za-z0-9{p}]{{20,}}={{0,2}}", run[0])}
+            else:
+                yield run.span()
+
+    got = {r.doc_id: sorted((c["first"], c["end"]) for c in r.candidates) for r in secret_scan.scanned(util.docs(spark, docs)).collect()}
+    assert got == {d: sorted(set(places(t))) for d, t, *_ in docs}
