@@ -170,3 +170,19 @@ def blocked_ioc(kind: Column, value: Column) -> Column:
     ip = value.rlike(r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)") | value.isin("8.8.8.8", "8.8.4.4", "1.1.1.1")
     domain = value.rlike(r"(^|\.)(cloudfront\.net|akamaiedge\.net|windows\.net|googleusercontent\.com)$")
     return F.when(kind == "ip", ip).when(kind == "domain", domain).otherwise(F.lit(False))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<first, end, found>> of the leftmost non-overlapping matches, each at its
+    own place, in characters. The stretches between matches give the offsets."""
+    empty = F.array().cast("array<struct<first:int,end:int,found:string>>")
+
+    def place(acc: Column, z: Column) -> Column:
+        first = acc["at"] + F.char_length(z["gap"])
+        end = first + F.coalesce(F.char_length(z["found"]), F.lit(0))
+        item = F.struct(first.alias("first"), end.alias("end"), z["found"].alias("found"))
+        return F.struct(end.alias("at"), F.when(z["found"].isNotNull(), F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
+
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    got = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), place)["out"]
+    return F.when(text.rlike(pattern), got).otherwise(empty)

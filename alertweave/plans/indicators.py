@@ -248,11 +248,22 @@ def token_sort_ratio(spark, d):
     return p.select("p_partkey", F.round(S.token_sort_ratio("p_name", "other"), 2).alias("ratio"))
 
 
+def entity_spans(docs, size=600, step=500):
+    """Capitalised words in overlapping windows, each match at its own place in the text. A
+    match at an inner edge of a window may be a cut word and is dropped: the next window has
+    it whole. Words that no overlap holds are found in the whole text."""
+    n, least = F.length("text"), size - step - 1
+    wins = docs.filter("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(step))).alias("at"), "text", n.alias("n")).select("doc_id", "at", "n", F.expr(f"substring(text, at + 1, {size})").alias("w"))
+    found = wins.select("doc_id", "at", "n", F.explode(T.spans(F.col("w"), r"\b[A-Z][a-z]{5,}\b")).alias("m"))
+    whole = ((F.col("m.first") > 0) | (F.col("at") == 0)) & ((F.col("m.end") < size) | (F.col("at") + F.col("m.end") == F.col("n")))
+    short = found.filter(whole).select("doc_id", F.col("m.found").alias("value"), (F.col("at") + F.col("m.first")).alias("start"))
+    wide = docs.select("doc_id", F.explode(T.spans(F.col("text"), rf"\b[A-Z][a-z]{{{max(5, least - 1)},}}\b")).alias("m")).select("doc_id", F.col("m.found").alias("value"), F.col("m.first").alias("start"))
+    return short.unionByName(wide)
+
+
 @query()
 def span_dedupe(spark, d):
     """Entity spans of overlapping windows, in the text's own offsets: one of each label and
     place, the best scored."""
-    docs = table(spark, d, "documents")
-    wins = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(500))).alias("at"), "text").select("doc_id", "at", F.expr("substring(text, at + 1, 600)").alias("w"))
-    spans = wins.select("doc_id", "at", F.explode(F.regexp_extract_all("w", F.lit(r"\b[A-Z][a-z]{5,}\b"), F.lit(0))).alias("value"), "w").withColumn("start", F.col("at") + F.expr("instr(w, value)") - 1)
+    spans = entity_spans(table(spark, d, "documents"))
     return spans.withColumn("score", F.lit(1.0)).groupBy("doc_id", "value", "start").agg(F.max("score").alias("score"))

@@ -1,6 +1,8 @@
 """Whole jobs against brute force, where a narrower one would pass unnoticed."""
 
 import math
+import random
+import re
 
 from alertweave.functions import similarity as S
 
@@ -34,3 +36,19 @@ def test_cosine_counts_of_awkward_vectors(spark):
     for block in (2, 1024):
         got = S.cosine_counts(df.filter("vec_id % 20 = 0"), df, 0.1, block=block, deals=3)
         assert {r.a: r.n for r in got.collect()} == want
+
+
+NAME = re.compile(r"\b[A-Z][a-z]{5,}\b", re.A)
+
+
+def test_spans_against_whole_texts(spark, tmp_path):
+    from alertweave.plans import indicators
+
+    rng = random.Random(4)
+    parts = ["London", "Londoner", "preLondon", "Berlin.", "a", "\U0001f600", "x9", "(Madrid)", "Q" + "w" * 97, "Q" + "w" * 98, "Q" + "w" * 99, "Q" + "w" * 300]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 300))) for _ in range(40)]
+    texts += ["x" * k + " " + "London " * 200 for k in range(480, 510)] + ["London", "", None, "Q" + "w" * 1300, "y" * 592 + " Londons", "y" * 593 + " London"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.start, r.value) for r in indicators.span_dedupe(spark, str(tmp_path)).collect())
+    assert got == sorted((d, m.start(), m[0]) for d, t in enumerate(texts) for m in NAME.finditer(t or ""))
