@@ -164,6 +164,27 @@ def metric_sweep(df: DataFrame, grid: int) -> DataFrame:
     return j.select("threshold", (2 * F.col("tp") / (F.col("k") + F.col("pos"))).alias("f1"))
 
 
+def metric_grid(df: DataFrame, grid: int = 600) -> DataFrame:
+    """Metrics at the distinct ones of ``grid`` quantiles from 0.0005 to 0.9995, and which
+    threshold has the best f1 and the best mcc, the lowest of equals. Windows see a row for
+    each score and threshold."""
+    at = [0.0005 + 0.999 * i / (grid - 1) for i in range(grid)]
+    edges = df.agg(F.percentile("score", F.array(*map(F.lit, at))).alias("e")).select(F.explode(F.array_distinct("e")).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
+    both = by_score(df).select(F.col("score").cast("double").alias("score"), "n", "p", F.lit(False).alias("edge")).unionByName(edges)
+    upto = W.orderBy(F.desc("score"), "edge").rowsBetween(W.unboundedPreceding, 0)
+    c = both.withColumns({"k": F.sum("n").over(upto), "tp": F.sum("p").over(upto), "total": F.sum("n").over(everything()), "pos": F.sum("p").over(everything())}).filter("edge")
+    k, tp, total, pos = (F.col(x).cast("double") for x in ("k", "tp", "total", "pos"))
+    div = lambda a, b, none: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(none))
+    fp, fn, tn = k - tp, pos - tp, total - pos - k + tp
+    recall, specificity = div(tp, pos, 0.0), div(tn, total - pos, 0.0)
+    m = c.select(
+        F.col("score").alias("threshold"), div(tp, k, 1.0).alias("precision"), recall.alias("recall"), specificity.alias("specificity"), div(2 * tp, k + pos, 0.0).alias("f1"),
+        ((tp + tn) / total).alias("accuracy"), ((recall + specificity) / 2).alias("balanced"), div(tp * tn - fp * fn, F.sqrt(k * pos * (total - pos) * (total - k)), 0.0).alias("mcc"),
+    )
+    best = lambda x: (F.max(F.struct(x, -F.col("threshold"))).over(everything()) == F.struct(x, -F.col("threshold"))).alias(f"best_{x}")
+    return m.select("*", best("f1"), best("mcc"))
+
+
 def gain_lift(df: DataFrame) -> DataFrame:
     """From the highest score down: share of alerts, share of positives, and lift."""
     c = by_score(df)

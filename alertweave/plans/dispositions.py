@@ -257,6 +257,13 @@ def rule_corr(spark, d):
     return A.rule_corr(containers(spark, d), 5).withColumn("r", F.round("r", 9))
 
 
+@query(on(""", top AS (SELECT rule FROM containers GROUP BY rule ORDER BY count(*) DESC, rule LIMIT 12), days AS (SELECT DISTINCT CAST(t AS DATE) AS day FROM containers),
+g AS (SELECT rule, day FROM top, days), c AS (SELECT g.rule, g.day, count(x.rule) AS c FROM g LEFT JOIN containers x ON x.rule = g.rule AND CAST(x.t AS DATE) = g.day GROUP BY g.rule, g.day)
+SELECT p.rule AS a, q.rule AS b, round(corr(p.c, q.c), 9) AS r FROM c p JOIN c q ON p.day = q.day AND p.rule < q.rule GROUP BY p.rule, q.rule"""))
+def rule_corr_12(spark, d):
+    return A.rule_corr(containers(spark, d), 12).withColumn("r", F.round("r", 9))
+
+
 @query(on(""", c AS (SELECT verdict, instance, count(*) AS n FROM containers GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY verdict) AS ra, sum(n) OVER (PARTITION BY instance) AS rb, sum(n) OVER () AS total FROM c),
 s AS (SELECT sum(n * n / (ra * rb)) - 1 AS phi2, CAST(max(total) AS BIGINT) AS n, count(DISTINCT verdict) AS r, count(DISTINCT instance) AS k FROM x)
 SELECT n, r, k, round(sqrt(greatest(0, phi2 - (k - 1) * (r - 1) / (n - 1)) / least(k - (k - 1) * (k - 1) / (n - 1) - 1, r - (r - 1) * (r - 1) / (n - 1) - 1)), 9) AS v FROM s"""))

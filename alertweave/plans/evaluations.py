@@ -73,6 +73,19 @@ def ece(spark, d):
     return E.ece(E.reliability(scores(spark, d), 4, 5, 1000.0)).select(F.round("ece", 9).alias("ece"))
 
 
+BINS_12 = f", e AS (SELECT quantile_cont(score, {[i / 12 for i in range(1, 12)]}) AS e FROM scores), b AS (SELECT CAST(len(list_filter(e, lambda x: x < score)) AS INTEGER) AS bin, score, y FROM scores, e), r AS (SELECT bin, count(*) AS n, sum(score) / count(*) / 1000.0 AS mean_score, avg(y) AS rate FROM b GROUP BY bin HAVING count(*) >= 20)"
+
+
+@query(on(BINS_12 + " SELECT bin, n, round(mean_score, 9) AS mean_score, rate FROM r"))
+def reliability_12(spark, d):
+    return E.reliability(scores(spark, d), 12, 20, 1000.0).select("bin", "n", F.round("mean_score", 9).alias("mean_score"), "rate")
+
+
+@query(on(BINS_12 + " SELECT round(sum(n * abs(mean_score - rate)) / sum(n), 9) AS ece FROM r"))
+def ece_12(spark, d):
+    return E.ece(E.reliability(scores(spark, d), 12, 20, 1000.0)).select(F.round("ece", 9).alias("ece"))
+
+
 AUC = "CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg, (sum(CASE WHEN y = 1 THEN 2 * below + same ELSE 0 END)) / (2 * nullif(sum(y) * sum(1 - y), 0)) AS auc"
 
 
@@ -98,7 +111,7 @@ def ks(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return E.bootstrap_auc(scores(spark, d), "doc_id", 100)
+    return E.bootstrap_auc(scores(spark, d), "doc_id", 400)
 
 
 CONF = "count(*) FILTER (score >= 500 AND y = 1) AS tp, count(*) FILTER (score >= 500 AND y = 0) AS fp, count(*) FILTER (score < 500 AND y = 1) AS fn, count(*) FILTER (score < 500 AND y = 0) AS tn"
@@ -119,6 +132,11 @@ def metric_sweep(spark, d):
     return E.metric_sweep(scores(spark, d), 5)
 
 
+@query()
+def metric_sweep_600(spark, d):
+    return E.metric_grid(scores(spark, d), 600)
+
+
 @query(on(G + f", c AS (SELECT score, sum(n) OVER {DOWN} / sum(n) OVER () AS share, sum(p) OVER {DOWN} / sum(p) OVER () AS gain FROM g) SELECT score, share, gain, gain / share AS lift FROM c"))
 def gain_lift(spark, d):
     return E.gain_lift(scores(spark, d))

@@ -52,3 +52,32 @@ def test_spans_against_whole_texts(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.start, r.value) for r in indicators.span_dedupe(spark, str(tmp_path)).collect())
     assert got == sorted((d, m.start(), m[0]) for d, t in enumerate(texts) for m in NAME.finditer(t or ""))
+
+
+def test_metric_grid_against_brute_force(spark, sf_dir):
+    import numpy as np
+
+    from alertweave.plans import evaluations
+    from alertweave.sources.views import scores
+
+    rows = scores(spark, sf_dir).select("score", "y").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r.y for r in rows])
+    got = sorted(evaluations.metric_sweep_600(spark, sf_dir).collect(), key=lambda r: r.threshold)
+    grid = np.quantile(s, np.linspace(0.0005, 0.9995, 600))
+    assert {round(r.threshold, 6) for r in got} == {round(t, 6) for t in grid.tolist()} and len(got) > 50
+    for r in got:
+        at = s >= r.threshold
+        tp, fp, fn, tn = (int((a & b).sum()) for a, b in ((at, y == 1), (at, y == 0), (~at, y == 1), (~at, y == 0)))
+        root = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+        assert math.isclose(r.f1, 2 * tp / (2 * tp + fp + fn)) and math.isclose(r.mcc, (tp * tn - fp * fn) / root if root else 0.0, abs_tol=1e-12)
+        assert math.isclose(r.accuracy, (tp + tn) / len(s)) and math.isclose(r.specificity, tn / (tn + fp))
+    for x in ("f1", "mcc"):
+        assert [r.threshold for r in got if r[f"best_{x}"]] == [max(got, key=lambda r: (r[x], -r.threshold)).threshold]
+
+
+def test_bootstrap_has_400_rounds(spark, sf_dir):
+    from alertweave.operators import evaluation as E
+    from alertweave.plans import evaluations
+    from alertweave.sources.views import scores
+
+    assert evaluations.bootstrap_ci(spark, sf_dir).collect() == E.bootstrap_auc(scores(spark, sf_dir), "doc_id", 400).collect()
