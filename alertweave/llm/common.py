@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[F.Column], sums: dict[str, F.Column], name: str) -> DataFrame:
+    """``df`` with, for each of ``sums``, its total over the rows before in ``order``, which
+    must be a total order. Rows are range partitioned; a range's offset is the sum of the
+    ranges before it, so only a row for each range meets in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
+    each = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = each.select(F.col("__part"), *[F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in sums])
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(offsets, "__part")
+    total = lambda n, c: F.coalesce(F.col(n), F.lit(0).cast(out.schema[n].dataType)) + F.coalesce(F.col(f"__{n}"), F.lit(0).cast(out.schema[n].dataType))
+    return out.withColumns({n: total(n, c) for n, c in sums.items()}).drop("__part", *[f"__{n}" for n in sums])
+
+
+def hashable(df: DataFrame) -> list[F.Column]:
+    """The columns in a form that hashes take: maps as sorted entries, other kinds as text."""
+    from pyspark.sql.types import AtomicType, VariantType
+
+    return [F.col(f.name) if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType) else F.to_json(F.struct(F.col(f.name))) for f in df.schema]
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the intermediate tables, once the results that need them are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm")

@@ -1,11 +1,13 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 A source's documents, in a fixed order, are one stream of words, packed into blocks of a
-fixed length. A source's wanted words are taken as slots: full passes over its blocks, then
-part of one. Every slot belongs to an output shard drawn by hash, which makes a source's
-counts in the shards multinomial, conditional on its total, so that each source meets its
-target and not only its expectation. Slots map to blocks through a pseudorandom permutation
-of the source's block numbers (swap-or-not rounds), and blocks are joined by number.
+fixed length. A source's target says how many slots it fills: full passes over its blocks,
+then part of one. For each source the slots are drawn to output shards: one multinomial
+draw of its slot total, whose counts (``counts``) say how many slots of the source each
+shard has. It is conditional on the total, so that each source meets its target and not
+only its expectation. A source's slots are then numbered shard by shard, numbers map to
+blocks through a pseudorandom permutation of the source's block numbers (swap-or-not
+rounds), and blocks are joined by number. So the counts decide which blocks a shard holds.
 
 The last slot of a source takes only the words still missing, so a source's taken words
 are its target, rounded.
@@ -26,16 +28,21 @@ from . import common
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
 WEIGHTS = (5, 2, 1)
+SHARDS = 64
 ROUNDS = 8
 SLOT_CHUNK = 4096
-ROWS_PER_CHUNK = 20_000
+ROWS_PER_CHUNK, LEAST_CHUNKS = 20_000, 256
+COPIES = 1_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, rid: F.Column | None = None, tie: F.Column | None = None) -> DataFrame:
+    """doc_id, source, size, g (hash of the text), tie (orders rows that agree so far), rid."""
     return docs.select(
         F.col("doc_id"), F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col("text")).alias("g"),
+        (F.lit(0).cast("long") if tie is None else tie).alias("tie"),
+        (F.monotonically_increasing_id() if rid is None else rid).alias("rid"), F.spark_partition_id().alias("part"),
     )
 
 
@@ -43,18 +50,18 @@ def targets(sizes: DataFrame, share: float, weights: tuple[int, ...], limit: flo
     """source, source_size, sid, target. sizes: source, source_size, a row for each source.
 
     Water filling: targets are weight times one level, or ``limit`` times the size where
-    that is less; the level is where they sum to ``share`` of all words. The windows here
-    see a row for each source, after aggregation."""
-    ranked = sizes.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    that is less; the level is where they sum to ``share`` of all words. Sources are
+    numbered and summed up in ranges, so no task gets them all."""
+    named = common.running(sizes, [F.col("source").asc_nulls_last()], {"sid": F.lit(1).cast("long")}, "mix-named")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("w", w).withColumn("cap", limit * F.col("source_size"))
-    order = W.orderBy(F.col("cap") / F.col("w"), "sid")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
-    chosen = F.min(F.when(F.col("fits") & (F.col("source_size") > 0), F.struct((F.col("cap") / F.col("w")).alias("r"), "sid", "level"))).over(everything)["level"]
-    return ranked.select("source", "source_size", "sid", F.when(chosen.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * chosen)).alias("target"))
+    ranked = named.withColumn("w", w).withColumn("cap", limit * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
+    ranked = common.running(ranked, [F.col("ratio"), F.col("sid")], {"cap_before": F.col("cap"), "w_before": F.col("w")}, "mix-ratios")
+    sums = ranked.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
+    level = (share * F.lit(float(sums.n or 0)) - F.col("cap_before")) / (F.lit(float(sums.w or 0)) - F.col("w_before"))
+    fits = (level * F.col("w") <= F.col("cap")) & (F.col("source_size") > 0)
+    chosen = ranked.filter(fits).agg(F.min(F.struct("ratio", "sid", level.alias("level"))).alias("x")).first().x
+    target = F.col("cap") if chosen is None else F.least("cap", F.col("w") * F.lit(chosen.level))
+    return ranked.select("source", "source_size", "sid", target.alias("target"))
 
 
 def permuted(index: F.Column, n: F.Column, *keys: F.Column, back: bool = False) -> F.Column:
@@ -70,13 +77,42 @@ def permuted(index: F.Column, n: F.Column, *keys: F.Column, back: bool = False)
     return F.aggregate(F.sequence(*map(F.lit, order)), index, swapped)
 
 
+def each_of(df: DataFrame, n: str, name: str) -> DataFrame:
+    """A row of ``df`` for each of 0..n-1, in column ``name``. Numbers are dealt to tasks in
+    chunks, themselves made from chunks of chunks, so no row holds a long array."""
+    coarse = SLOT_CHUNK * SLOT_CHUNK
+    zero = F.lit(0).cast("long")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.columns
+    df = df.filter(F.col(n) > 0).select("*", F.explode(F.sequence(zero, F.floor((F.col(n) - 1) / coarse))).alias("i"))
+    within = F.least(F.lit(coarse), F.col(n) - F.col("i") * coarse)
+    df = df.select("*", F.explode(F.sequence(zero, F.floor((within - 1) / SLOT_CHUNK))).alias("j"))
+    first = F.col("i") * coarse + F.col("j") * SLOT_CHUNK
+    return df.repartition(parts, *keys, "i", "j").select(*keys, F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col(n)) - 1)).alias(name))
+
+
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """Adds k: the thousand that a row belongs to among rows alike in doc_id, text and tie.
+    Only where such rows pass a thousand are they numbered: within the part in which they
+    were stored, plus the counts of the parts before."""
+    rows = rows.withColumn("alike", F.xxhash64("doc_id", "g", "tie"))
+    heavy = rows.groupBy("alike").agg(F.count("*").alias("n")).filter(F.col("n") > COPIES).select("alike")
+    own = rows.select("alike", "part", "rid").join(heavy, "alike")
+    inside = own.withColumn("rn", F.row_number().over(W.partitionBy("alike", "part").orderBy("rid")) - 1)
+    sums = own.groupBy("alike", "part").agg(F.count("*").alias("m"))
+    sums = sums.select("alike", "part", (F.sum("m").over(W.partitionBy("alike").orderBy("part")) - F.col("m")).alias("before"))
+    k = inside.join(sums, ["alike", "part"]).select("rid", F.floor((F.col("before") + F.col("rn")) / COPIES).alias("k"))
+    return rows.drop("alike", "part").join(k, "rid", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+
+
 class Mixture:
     """The parts of a mix: ``rows`` (documents with their place in the source's stream),
-    ``sources``, ``slots`` (shard, slot, sid, pass, block; ``cut``: only that many of its words) and ``pieces`` (blocks' overlaps
-    with documents)."""
+    ``sources``, ``counts`` (slots of each source and output shard, as drawn), ``slots``
+    (shard, slot, sid, pass, block; ``cut``: only that many of its words) and ``pieces``
+    (blocks' overlaps with documents)."""
 
-    def __init__(self, docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, limit: float = 2.0, block: int = BLOCK, shards: int = 64, seed: int = 1):
-        rows = common.written(sized(docs), "mix-rows")
+    def __init__(self, docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, limit: float = 2.0, block: int = BLOCK, shards: int = SHARDS, seed: int = 1, rid: F.Column | None = None, tie: F.Column | None = None):
+        rows = common.written(sized(docs, rid, tie), "mix-rows")
         self.block = block
         sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         total = F.col("source_size")
@@ -94,54 +130,68 @@ class Mixture:
         sources = sources.withColumn("cut", F.when(F.col("rest") > 0, F.col("rest") - before))
         self.sources = common.written(sources.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("last")), "mix-sources")
 
-        chunks = max(16, rows.count() // ROWS_PER_CHUNK)
-        placed = rows.withColumn("c", F.pmod(F.xxhash64("doc_id", "g"), F.lit(chunks)).cast("int"))
-        order = W.partitionBy("source", "c").orderBy("doc_id", "g")
-        placed = placed.withColumn("rn", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        offsets = rows.withColumn("c", F.pmod(F.xxhash64("doc_id", "g"), F.lit(chunks)).cast("int")).groupBy("source", "c").agg(F.sum("size").alias("n"))
+        placed = copy_groups(rows).withColumn("c", F.pmod(F.xxhash64("doc_id", "g", "k"), F.lit(max(LEAST_CHUNKS, rows.count() // ROWS_PER_CHUNK))).cast("int"))
+        order = W.partitionBy("source", "c").orderBy("doc_id", "g", "tie", "rid")
+        placed = common.written(placed.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("k", "tie"), "mix-placed")
+        offsets = placed.groupBy("source", "c").agg(F.sum("size").alias("n"))
         offsets = offsets.withColumn("offset", F.sum("n").over(W.partitionBy("source").orderBy("c")) - F.col("n"))
         o = offsets.join(self.sources, offsets["source"].eqNullSafe(self.sources["source"])).select("sid", "source_size", "target", offsets["source"].alias("o_source"), F.col("c").alias("o_c"), "offset")
         joined = placed.join(o, placed["source"].eqNullSafe(o["o_source"]) & (placed["c"] == o["o_c"]))
-        self.rows = common.written(joined.select("doc_id", "g", "sid", "c", "rn", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start")), "mix-stream")
+        self.rows = joined.select("doc_id", "rid", "sid", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
 
-        run = self.sources.filter("slots > 0").select("sid", "blocks", "slots", "cut", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))).alias("chunk"))
-        first = F.col("chunk") * SLOT_CHUNK
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = run.repartition(parts, "sid", "chunk").select("sid", "blocks", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("slots")) - 1)).alias("slot"), "slots", "cut")
-        each = each.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("block", F.col("slot") % F.col("blocks"))
+        drawn = each_of(self.sources.select("sid", "slots"), "slots", "slot")
         shard = F.pmod(F.xxhash64("sid", "slot", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
-        self.slots = each.select(shard, "slot", "sid", "pass", permuted(F.col("block"), F.col("blocks"), F.col("sid"), F.col("pass"), F.lit(seed)).alias("block"), F.when(F.col("slot") == F.col("slots") - 1, F.col("cut")).alias("cut"))
+        self.counts = common.written(drawn.groupBy("sid", shard).agg(F.count("*").alias("n")), "mix-counts")
+        first = F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n")
+        known = self.counts.withColumn("first", first).join(self.sources.select("sid", "blocks", "slots", "cut"), "sid")
+        each = each_of(known, "n", "j").withColumn("slot", F.col("first") + F.col("j"))
+        each = each.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("block", F.col("slot") % F.col("blocks"))
+        self.slots = each.select("shard", "slot", "sid", "pass", permuted(F.col("block"), F.col("blocks"), F.col("sid"), F.col("pass"), F.lit(seed)).alias("block"), F.when(F.col("slot") == F.col("slots") - 1, F.col("cut")).alias("cut"))
         b = F.lit(block)
         piece = self.rows.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))).alias("block"))
         inside = F.greatest(F.col("block") * b, F.col("start"))
         self.pieces = piece.withColumn("offset", inside - F.col("block") * b).withColumn("first", inside - F.col("start")).withColumn("end", F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - F.col("start"))
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken for every row."""
-        times = self.slots.groupBy("sid", "block").agg(F.count(F.when(F.col("cut").isNull(), 1)).alias("times"), F.max("cut").alias("cut"))
+        """doc_id, size, source_size, target, taken and shards (the taken words by output
+        shard) for every row."""
+        # a block has a slot in each pass at most, so these lists are as short as ``limit``;
         # the exploded slots grow with the input, which Spark's estimate of them doesn't show
-        met = self.pieces.join(times.hint("merge"), ["sid", "block"], "left")
+        takes = self.slots.groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "cut")).alias("takes"))
+        met = self.pieces.join(takes.hint("merge"), ["sid", "block"], "left").withColumn("take", F.explode_outer("takes"))
         words = F.col("end") - F.col("first")
-        partly = F.greatest(F.least(words, F.col("cut") - F.col("offset")), F.lit(0))
-        each = F.coalesce(words * F.col("times"), F.lit(0)) + F.when(F.col("cut").isNull(), 0).otherwise(partly)
-        return met.groupBy("sid", "c", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(each, F.lit(0)).cast("long")).alias("taken")).drop("sid", "c", "rn")
+        each = F.when(F.col("take").isNull(), 0).when(F.col("take.cut").isNull(), words).otherwise(F.greatest(F.least(words, F.col("take.cut") - F.col("offset")), F.lit(0)))
+        keys = ["rid", "doc_id", "size", "source_size", "target"]
+        by_shard = met.groupBy(*keys, F.col("take.shard").alias("shard")).agg(F.sum(each.cast("long")).alias("words"))
+        held = F.array_sort(F.collect_list(F.when(F.col("words") > 0, F.struct("shard", "words"))))
+        return by_shard.groupBy(*keys).agg(F.sum("words").alias("taken"), held.alias("shards")).drop("rid")
+
+    def shard_counts(self) -> DataFrame:
+        """source, shard, n: how many blocks of the source the shard drew."""
+        return self.counts.join(self.sources.select("sid", "source"), "sid").select("source", "shard", "n")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Rows like ``docs`` whose texts hold the words the mix takes: a row for a document's
-    words of each pass that takes some. Rows of equal doc_id and text count as one."""
+def mixed(docs: DataFrame, shard_col: str | None = None, **options) -> DataFrame:
+    """Rows like ``docs`` whose texts hold the words that the mix takes: a row for what an
+    output shard takes of a document in a pass. ``shard_col`` names a column to add with
+    the shard. Repeated rows are documents each."""
     columns = docs.columns
     names = [f"__k{i}" for i in range(len(columns))]
-    named = docs.dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)])
     at = dict(zip(columns, names))
-    m = Mixture(named.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")]), **options)
-    met = m.pieces.filter("size > 0").join(m.slots.select("sid", "pass", "block", "cut").hint("merge"), ["sid", "block"])
+    named = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in at.items()])
+    named = common.written(named.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__tie", F.xxhash64(*common.hashable(named))), "mix-docs")
+    own = named.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")], "__rid", "__tie")
+    m = Mixture(own, rid=F.col("__rid"), tie=F.col("__tie"), **options)
+    met = m.pieces.filter("size > 0").join(m.slots.select("shard", "sid", "pass", "block", "cut").hint("merge"), ["sid", "block"])
     met = met.withColumn("end", F.least("end", F.col("first") + F.coalesce(F.col("cut"), F.lit(m.block)) - F.col("offset"))).filter("end > first")
-    takes = met.groupBy("doc_id", "g", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("takes"))
-    out = named.withColumn("__g", F.xxhash64(at["text"])).join(takes.hint("merge"), F.col(at["doc_id"]).eqNullSafe(takes["doc_id"]) & (F.col("__g") == takes["g"]))
+    takes = met.groupBy("rid", "pass", "shard").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("takes"))
+    each = takes.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "takes"))).alias("all"))
+    out = named.join(each.hint("merge"), F.col("__rid") == F.col("rid"))
     words = F.regexp_extract_all(at["text"], F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("takes", lambda t: F.slice(w, (t["first"] + 1).cast("int"), (t["end"] - t["first"]).cast("int")))), "")), F.lit(0))
-    whole = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["first"]) == F.regexp_count(at["text"], F.lit(WORDS))
-    out = out.withColumn("__text", F.when(whole, F.col(at["text"])).otherwise(part))
+    text = lambda w, t: F.array_join(F.flatten(F.transform(t["takes"], lambda x: F.slice(w, (x["first"] + 1).cast("int"), (x["end"] - x["first"]).cast("int")))), "")
+    whole = lambda w, t: F.aggregate(t["takes"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"]) == F.size(w)
+    cut = F.get(F.transform(F.array(words), lambda w: F.transform("all", lambda t: F.struct(t["shard"].alias("shard"), F.when(~whole(w, t), text(w, t)).alias("text")))), F.lit(0))
+    out = out.withColumn("__cut", cut).withColumn("__take", F.explode("__cut")).withColumn("__text", F.coalesce("__take.text", at["text"]))
     made = {"text": F.col("__text"), "n_chars": F.char_length("__text")}
-    return out.select(*[(made[c].cast(docs.schema[c].dataType) if c in made else F.col(n)).alias(c) for c, n in at.items()])
+    shown = [(made[c].cast(docs.schema[c].dataType) if c in made else F.col(n)).alias(c) for c, n in at.items()]
+    return out.select(*shown, *([F.col("__take.shard").alias(shard_col)] if shard_col else []))

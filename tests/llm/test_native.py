@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from alertweave.llm import mixing, quality_rules, secret_scan, sharding
 
 from . import util
@@ -191,8 +193,6 @@ def test_mix_of_awkward_rows(spark):
 
 
 def test_permutation_is_one(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 1000):
         got = [r.x for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("x")).collect()]
         assert sorted(got) == list(range(n)) and (n < 1000 or got != sorted(got))
@@ -216,3 +216,88 @@ def test_no_python_in_plans(spark, sf_dir):
     for name in ("op1_sharding", "op4_quality_rules", "op5_secret_scan", "op9_mixing"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    docs = [(i, "w " * rng.randint(0, 30), "en", f"s{i % 400}" if i % 11 else None, 1) for i in range(1500)]
+    check_mix(docs, mixing.Mixture(util.docs(spark, docs)).taken().collect())
+
+
+def parts_of_mix(m):
+    return m.sources.collect(), m.counts.collect(), m.slots.collect(), m.rows.collect()
+
+
+def test_mix_slot_by_slot(spark):
+    """Drawn counts, slots, blocks and words, each by a plain loop."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    m = mixing.Mixture(util.docs(spark, docs), block=16, shards=8)
+    sources, counts, slots, rows = parts_of_mix(m)
+    for s in sources:
+        own = sorted((x for x in slots if x.sid == s.sid), key=lambda x: x.slot)
+        assert [x.slot for x in own] == list(range(s.slots))
+        assert [x.shard for x in own] == sorted(x.shard for x in own)  # numbered shard by shard
+        drawn = {c.shard: c.n for c in counts if c.sid == s.sid}
+        assert Counter(x.shard for x in own) == drawn
+        for p in {x["pass"] for x in own}:
+            blocks = [x.block for x in own if x["pass"] == p]
+            assert len(set(blocks)) == len(blocks) and all(0 <= b < s.blocks for b in blocks)
+            assert p == s.slots // s.blocks or len(blocks) == s.blocks or p == own[-1]["pass"]
+    # words of the stream, block by block
+    taken, by_shard = Counter(), Counter()
+    for s in sources:
+        owner = {}
+        for r in rows:
+            if r.sid == s.sid:
+                for w in range(r.start, r.start + r.size):
+                    assert w not in owner
+                    owner[w] = r.doc_id
+        assert sorted(owner) == list(range(s.source_size))
+        for x in slots:
+            if x.sid == s.sid:
+                for w in range(x.block * 16, min((x.block + 1) * 16, s.source_size))[: x.cut]:
+                    taken[owner[w]] += 1
+                    by_shard[owner[w], x.shard] += 1
+    got = m.taken().collect()
+    assert {r.doc_id: r.taken for r in got if r.taken} == taken
+    assert {(r.doc_id, s.shard): s.words for r in got for s in r.shards} == by_shard
+
+
+def test_shard_counts_are_a_multinomial_draw(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    draws = [mixing.Mixture(util.docs(spark, docs), block=8, shards=16, seed=s) for s in (1, 2)]
+    counts = [{(r.source, r.shard): r.n for r in m.shard_counts().collect()} for m in draws]
+    assert counts[0] != counts[1]
+    for m, own in zip(draws, counts):
+        chi = df = 0
+        for s in m.sources.collect():
+            n = [own.get((s.source, k), 0) for k in range(16)]
+            assert sum(n) == s.slots
+            mean, sd = s.slots / 16, (s.slots / 16 * 15 / 16) ** 0.5
+            assert all(abs(x - mean) < 5 * sd + 1 for x in n)
+            if s.slots:
+                chi, df = chi + sum((x - mean) ** 2 for x in n) / mean, df + 15
+        assert df - 5 * (2 * df) ** 0.5 < chi < df + 5 * (2 * df) ** 0.5  # neither too even nor too uneven
+
+
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    """Copies are dealt to chunks, and each is a document of its own."""
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    docs = [(None, "one two three four five", "en", "a", 1)] * 300 + [(i, f"word{i} and more", "en", "ab"[i % 2], 1) for i in range(200)]
+    first = mixing.Mixture(util.docs(spark, docs)).taken().collect()
+    check_mix(docs, first)
+    again = mixing.Mixture(util.docs(spark, docs[::-1]).repartition(5)).taken().collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    out = mixing.mixed(util.docs(spark, docs)).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in first)
+
+
+def test_mixed_rows_by_shard(spark):
+    docs = util.docs(spark, [(i, " ".join(f"w{i}x{k}" for k in range(90)), "en", "ab"[i % 2], 1) for i in range(80)])
+    out = mixing.mixed(docs.withColumn("a.b", F.lit(1)), shard_col="shard", shards=4)
+    assert out.columns == [*docs.columns, "a.b", "shard"]
+    got = Counter()
+    for r in out.collect():
+        got[r.doc_id, r["shard"]] += len(r.text.split())
+    want = {(r.doc_id, s.shard): s.words for r in mixing.Mixture(docs, shards=4).taken().collect() for s in r.shards}
+    assert want and got == want
