@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DataType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the
-    session has none (tests in local mode), a temporary folder is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode
+    may a session have none; then it is a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_llm_shared_dir", None) or f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
         spark._llm_shared_dir = path
     return path.rstrip("/")
@@ -54,7 +58,8 @@ def hashable(df: DataFrame) -> list[F.Column]:
     """The columns in a form that hashes take: maps as sorted entries, other kinds as text."""
     from pyspark.sql.types import AtomicType, VariantType
 
-    return [F.col(f.name) if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType) else F.to_json(F.struct(F.col(f.name))) for f in df.schema]
+    plain = lambda t: isinstance(t, AtomicType) and not isinstance(t, VariantType)
+    return [column(f.name) if plain(f.dataType) else F.to_json(F.struct(column(f.name).alias("x"))) for f in df.schema]
 
 
 def clear(spark: SparkSession) -> None:
@@ -70,22 +75,47 @@ def text_bytes(col: str = "text") -> F.Column:
     return F.col(col).cast("binary")
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema, batch: int = 2000) -> DataFrame:
-    """mapInArrow over column lists. ``rows`` takes and yields dicts of lists."""
+def column(name: str) -> F.Column:
+    """The top-level column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def schema_of(*parts: str | tuple[str, DataType]) -> StructType:
+    """A schema from DDL strings and (name, type) pairs; types are never written as DDL,
+    which can't say every field name."""
+    from pyspark.sql.types import StructField, _parse_datatype_string
+
+    out = StructType()
+    for part in parts:
+        for f in _parse_datatype_string(part).fields if isinstance(part, str) else [StructField(*part)]:
+            out.add(f)
+    return out
+
+
+def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str | StructType, batch: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow over column lists. ``rows`` takes and yields dicts of lists. The columns
+    ``keep`` go by it, untouched, to the end of the result; then it must yield one dict for
+    each that it takes, with as many rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    struct = schema_of(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
+    whole = schema_of(*[(f.name, f.dataType) for f in struct], *[(c, df.schema[c].dataType) for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aside: deque[list[pa.Array]] = deque()
+
         def columns() -> Iterator[dict]:
             for b in batches:
                 for at in range(0, b.num_rows, batch):
                     part = b.slice(at, batch)
-                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+                    if keep:
+                        aside.append([part.column(c) for c in keep])
+                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names) if n not in keep}
 
         for out in rows(columns()):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            own = [pa.array(out[f.name], f.type) for f in arrow]
+            kept = aside.popleft() if keep else []
+            yield pa.RecordBatch.from_arrays([*own, *kept], names=[*arrow.names, *keep])
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(run, whole)

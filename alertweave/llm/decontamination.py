@@ -201,9 +201,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), common.text_bytes(item_text_col).alias("t")).filter("t is not null")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    fields = docs.select(F.col(id_col).alias("id")).schema.fields[0].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), common.text_bytes(text_col).alias("t"), F.array().cast("array<struct<first:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    names = tuple(f"c{i}" for i in range(len(keep)))
+    out = docs.select(F.col(id_col).alias("id"), common.text_bytes(text_col).alias("t"), F.array().cast("array<struct<first:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n"), *[common.column(c).alias(n) for n, c in zip(names, keep)])
+    schema = common.schema_of(("id", docs.schema[id_col].dataType), "t binary, spans array<struct<first:bigint,end:bigint>>, items array<string>, n bigint")
 
     def pass_of(items: list[tuple[str, bytes]], final: bool):
         def rows(parts: Iterator[dict]) -> Iterator[dict]:
@@ -229,8 +229,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     for b in range(blocks):
         part = bench if blocks == 1 else bench.filter(F.pmod(F.hash("i", "t"), F.lit(blocks)) == b)
         items = [(r.i, bytes(r.t)) for r in part.toLocalIterator()]
-        out = common.map_rows(out, pass_of(items, b == blocks - 1), f"id {fields}, t binary, spans array<struct<first:bigint,end:bigint>>, items array<string>, n bigint{kinds}", batch=4000)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), "spans", "items", *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)])
+        out = common.map_rows(out, pass_of(items, b == blocks - 1), schema, batch=4000, keep=names)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), "spans", "items", *[F.col(n).alias(c) for n, c in zip(names, keep)])
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -132,6 +132,5 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None,
             found = [scan(t) for t in p["text"]]
             yield {"id": p["id"]} | {k: [f[k] for f in found] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label string, first bigint, words bigint, edits bigint>>"
+    schema = common.schema_of(("id", docs.schema[id_col].dataType), "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label string, first bigint, words bigint, edits bigint>>")
     return common.map_rows(docs.select(F.col(id_col).alias("id"), common.text_bytes(text_col).alias("text")), rows, schema).withColumnRenamed("id", id_col)

@@ -178,7 +178,7 @@ def mixed(docs: DataFrame, shard_col: str | None = None, **options) -> DataFrame
     columns = docs.columns
     names = [f"__k{i}" for i in range(len(columns))]
     at = dict(zip(columns, names))
-    named = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in at.items()])
+    named = docs.select(*[common.column(c).alias(n) for c, n in at.items()])
     named = common.written(named.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__tie", F.xxhash64(*common.hashable(named))), "mix-docs")
     own = named.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")], "__rid", "__tie")
     m = Mixture(own, rid=F.col("__rid"), tie=F.col("__tie"), **options)

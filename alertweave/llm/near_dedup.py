@@ -18,8 +18,8 @@ less than 1e-9. No partners are capped.
 
 Defined results: without words (null, empty, white space) a document is its own component;
 fewer words than five are one shingle; a null doc_id never becomes a component's id unless
-all its members' are null; a row is kept if its doc_id is the component's; repeated rows get
-the same result; other columns are ignored. Shingles are compared by 64-bit hashes.
+all its members' are null; a row is kept if its doc_id is the component's; repeated rows,
+and rows of one doc_id with several texts, are rows each and get their own result; other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -105,23 +105,28 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, g (hash of the text), n_shingles, key (of the set), bands, sig, and the upper
-    halves of the shingles of small sets."""
+    """doc_id, g (hash of the text), tie (hash of the whole row), n_shingles, key (of the
+    set), bands, sig, and the upper halves of the shingles of small sets."""
 
     def rows(parts: Iterator[dict]) -> Iterator[dict]:
         for p in parts:
             sets = shingle_sets(p["t"])
             sigs = [signature(s) if len(s) else None for s in sets]
             yield {
-                "doc_id": p["doc_id"], "g": p["g"], "n_shingles": [len(s) for s in sets],
+                "doc_id": p["doc_id"], "g": p["g"], "tie": p["tie"], "n_shingles": [len(s) for s in sets],
                 "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "bands": [band_keys(s).tolist() if s is not None else None for s in sigs],
                 "sig": [bits(s) if s is not None else None for s in sigs],
                 "small": [(s >> np.uint64(32)).astype(np.uint32).tobytes() if 0 < len(s) <= SMALL else None for s in sets],
             }
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.map_rows(docs.select("doc_id", F.xxhash64("text").alias("g"), common.text_bytes().alias("t")), rows, f"doc_id {kind}, g bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary, small binary", batch=500)
+    schema = common.schema_of(("doc_id", docs.schema["doc_id"].dataType), "g bigint, tie bigint, n_shingles bigint, key binary, bands array<bigint>, sig binary, small binary")
+    return common.map_rows(docs.select("doc_id", *row_hashes(docs), common.text_bytes().alias("t")), rows, schema, batch=500)
+
+
+def row_hashes(docs: DataFrame) -> list[F.Column]:
+    """g of the text, and tie of all columns, which tells rows of one doc_id and text apart."""
+    return [F.xxhash64("text").alias("g"), F.xxhash64(F.lit(2), *common.hashable(docs)).alias("tie")]
 
 
 def pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -232,8 +237,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     """Pairs whose full sets reach the threshold. Sets are made anew from the texts of the
     classes that pairs name."""
     need = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    own = classes.join(need, "nid").select("nid", "key", F.col("rep").alias("__rep"))
-    texts = docs.select("doc_id", common.text_bytes().alias("t")).join(own, F.col("doc_id").eqNullSafe(F.col("__rep"))).select("nid", "key", "t")
+    own = classes.join(need, "nid").select("nid", "key", F.col("row.doc_id").alias("own_id"), F.col("row.g").alias("own_g"), F.col("row.tie").alias("own_tie"))
+    texts = docs.select("doc_id", *row_hashes(docs), common.text_bytes().alias("t"))
+    texts = texts.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("g") == F.col("own_g")) & (F.col("tie") == F.col("own_tie"))).select("nid", "key", "t")
 
     def sets(parts: Iterator[dict]) -> Iterator[dict]:
         for p in parts:
@@ -276,12 +282,14 @@ def labels_of(links: DataFrame) -> DataFrame:
             return labels
 
 
-def components(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
-    """doc_id, g, n_shingles, component_id, kept for each row. Links are pairs of documents
-    with 100 * intersection >= percent * union."""
+def grouped(docs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """doc_id, g, tie, n_shingles, component_id, label for each row. Rows of a component
+    have its label; rows without words have none."""
     threshold = percent / 100
     rows = common.written(signatures(docs), "near-rows")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("small").alias("small"))
+    # the row whose text stands for the class; min() of doc_id alone would pass over nulls
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "g", "tie")).alias("row")
+    classes = rows.filter("key is not null").groupBy("key").agg(row, F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("small").alias("small"))
     classes = common.written(classes.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
 
     banded = classes.select("nid", F.explode("bands").alias("bk"))
@@ -300,18 +308,38 @@ def components(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFr
     again = common.written(verified(more, classes, docs, percent), "near-links")
     label = labels_of(links.unionByName(again)) if not again.isEmpty() else label
 
-    known = classes.select("key", "rep", "nid").join(label, "nid", "left").select("key", "rep", F.coalesce("label", "nid").alias("label"))
-    ids = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = known.join(ids, "label").select("key", "component_id")
-    out = rows.select("doc_id", "g", "n_shingles", "key").join(known, "key", "left")
+    known = classes.select("key", "row", "nid").join(label, "nid", "left").select("key", "row", F.coalesce("label", "nid").alias("label"))
+    ids = known.groupBy("label").agg(F.min("row.doc_id").alias("component_id"))
+    known = known.join(ids, "label").select("key", "component_id", "label")
+    out = rows.select("doc_id", "g", "tie", "n_shingles", "key").join(known, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "g", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "g", "tie", "n_shingles", component.alias("component_id"), "label")
+
+
+def components(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row. Links are pairs of documents
+    with 100 * intersection >= percent * union."""
+    return grouped(docs.select("doc_id", "text"), percent, miss).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that are kept, one for each component."""
-    keep = components(docs, percent).filter("kept").select(F.col("doc_id").alias("__d"), F.col("g").alias("__g")).distinct()
+def deduplicated(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """One row of each component: of the least doc_id (a null one last), then by hashes of
+    the text and the row. Rows without words are linked with nothing and all stay."""
     cols = docs.columns
-    out = docs.withColumn("__h", F.xxhash64("text"))
-    out = out.join(keep, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__h").eqNullSafe(F.col("__g")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__h"]).select(*cols)
+    names = [f"__k{i}" for i in range(len(cols))]
+    own = docs.select(*[common.column(c).alias(n) for c, n in zip(cols, names)])
+    at = dict(zip(cols, names))
+    own = own.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+    found = grouped(own, percent, miss)
+    alike = found.filter("label is not null").groupBy("label", "doc_id", "g", "tie").agg(F.count("*").alias("n"))
+    best = alike.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "g", "tie", "n")).alias("x")).select("x.doc_id", "x.g", "x.tie", "x.n")
+    bare = found.filter("label is null").select("doc_id", "g", "tie", F.lit(1).cast("long").alias("n")).distinct()
+    keep = common.written(best.unionByName(bare).select(*[F.col(c).alias(f"__w{c}") for c in ("doc_id", "g", "tie", "n")]), "near-kept")
+    hashed = own.select("*", *[h.alias(f"__h{n}") for h, n in zip(row_hashes(own), ("g", "tie"))])
+    same = F.col("doc_id").eqNullSafe(F.col("__wdoc_id")) & (F.col("__hg") == F.col("__wg")) & (F.col("__htie") == F.col("__wtie"))
+    out = hashed.join(keep.filter("__wn = 1"), same, "left_semi").select(*names)
+    # rows alike in every column: one of them stays
+    many = keep.filter("__wn > 1")
+    if not many.isEmpty():
+        out = out.unionByName(hashed.join(many, same, "left_semi").dropDuplicates(["doc_id", "__hg", "__htie"]).select(*names))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(cols, names)])

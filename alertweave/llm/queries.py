@@ -61,7 +61,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import components
 
-    return components(common.table(spark, sf_dir, "documents")).drop("g")
+    return components(common.table(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

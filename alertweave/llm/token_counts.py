@@ -143,6 +143,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
             n = [count(t) for t in p["text"]]
             yield {"id": p["id"], "n_bytes": [len(t.encode()) if t else 0 for t in p["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = common.map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = common.map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, common.schema_of(("id", docs.schema[id_col].dataType), "n_bytes bigint, n_tokens bigint, over_limit boolean"))
     return out.withColumnRenamed("id", id_col)

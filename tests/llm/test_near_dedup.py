@@ -55,7 +55,7 @@ def test_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
     want = brute(docs)
     assert sum(not r[3] for r in want) > 20
-    assert rows(near_dedup.components(util.docs(spark, docs))) == want
+    assert rows(near_dedup.components(util.docs(spark, docs), percent=85)) == want
 
 
 def edited(words, rng, n):
@@ -85,7 +85,7 @@ def family(rng, size=150, base=120):
 def test_large_groups(spark):
     rng = random.Random(11)
     docs = [(i, t, "en", "a", 1) for i, t in enumerate(family(rng))]
-    got = rows(near_dedup.components(util.docs(spark, docs).repartition(6)))
+    got = rows(near_dedup.components(util.docs(spark, docs).repartition(6), percent=85))
     assert got == brute(docs)
 
 
@@ -93,18 +93,49 @@ def test_hot_buckets_are_dealt_in_blocks(spark, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     docs = [(i, t, "en", "a", 1) for i, t in enumerate(family(rng, 60))]
-    assert rows(near_dedup.components(util.docs(spark, docs))) == brute(docs)
+    assert rows(near_dedup.components(util.docs(spark, docs), percent=85)) == brute(docs)
 
 
 def test_awkward_rows(spark):
     docs = util.doc_rows() + [(30, "Two Words", "en", "a", 1), (31, "a b c d e f", "en", "a", 1), (32, "A B c d e f", "en", "a", 1)]
-    assert rows(near_dedup.components(util.clashing(util.docs(spark, docs)))) == brute(docs)
+    assert rows(near_dedup.components(util.clashing(util.docs(spark, docs)), percent=85)) == brute(docs)
     assert near_dedup.components(util.docs(spark, [])).collect() == []
     kept = near_dedup.deduplicated(util.clashing(util.docs(spark, docs)))
     ids = sorted(str(r.doc_id) for r in kept.collect())
-    assert ids == sorted({d for d, _, _, k in brute(docs) if k})
+    assert ids == sorted({d for d, _, _, k in brute(docs, 80) if k})
 
 
 def test_pruning_keeps_links_and_drops_strangers():
     least = near_dedup.least_matches(0.85, 1e-6)
     assert (np.diff(least) > 0).all() and least[0] < 27 and least[-1] > 250
+
+
+def test_null_and_repeated_ids_stay_linear(spark, monkeypatch):
+    """Rows of null doc_id, and many texts under one doc_id, are rows each; a class's text is
+    fetched by its own row, not by doc_id."""
+    sent = []
+    whole = near_dedup.common.written
+    monkeypatch.setattr(near_dedup.common, "written", lambda df, name: (sent.append((name, out := whole(df, name))), out)[1])
+    rng = random.Random(31)
+    base = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(400)]
+    texts = [edited(b.split(), rng, rng.randint(0, 2)) for b in base for _ in range(2)]
+    docs = [(None, t, "en", "a", 1) for t in texts] + [(7, t.upper() + " tail", "en", "b", 1) for t in texts] + [(1000 + i, t, "en", "c", 1) for i, t in enumerate(texts[:200])]
+    rng.shuffle(docs)
+    assert rows(near_dedup.components(util.docs(spark, docs), percent=85)) == brute(docs, 85)
+    assert max(df.count() for name, df in sent if name == "near-sets") <= len(docs)
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(32)
+    base = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(40)]
+    docs = [(None if i % 3 else 5, edited(base[i % 40].split(), rng, i % 2), "en", "ab"[i % 2], 1) for i in range(240)]
+    docs += [(9, base[0], "en", "a", 1)] * 50 + [(None, None, "en", "a", 1)] * 3 + [(2, "", "en", "a", 1)] * 2
+    out = near_dedup.deduplicated(util.docs(spark, docs)).collect()
+    bare = [r for r in out if not WORD.search(r.text or "")]
+    assert len(bare) == 5
+    left = [tuple(r) for r in out if WORD.search(r.text or "")]
+    fake = [(i, *r[1:]) for i, r in enumerate(r for r in docs if WORD.search(r[1] or ""))]
+    assert len(left) == sum(k for *_, k in brute(fake, 80))  # as many as components
+    assert sum(k for *_, k in brute([(i, *r[1:]) for i, r in enumerate(left)], 80)) == len(left)
+    again = near_dedup.deduplicated(util.docs(spark, docs[::-1]).repartition(3)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))

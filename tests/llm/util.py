@@ -39,5 +39,6 @@ def clashing(df):
     """The same table with further columns named like results and internals."""
     from pyspark.sql import functions as F
 
-    names = ["id", "t", "size", "shard", "slot", "score", "kept", "spans", "items", "n", "key", "label", "rep", "component_id", "taken", "target", "n_words", "predicted", "law", "run"]
-    return df.withColumns({n: F.lit("clash") for n in names})
+    names = ["id", "t", "size", "shard", "slot", "score", "kept", "spans", "items", "n", "key", "label", "rep", "component_id", "taken", "target", "n_words", "predicted", "law", "run", "__h", "__d", "__g", "__k0", "__rid", "a.b", "tick`ed", "c0", "rid", "tie", "g"]
+    odd = F.struct(F.lit(1).alias("two words"), F.array(F.struct(F.lit("x").alias("a.b`c"))).alias("1st"))
+    return df.withColumns({n: F.lit("clash") for n in names} | {"odd ones": odd, "map": F.create_map(F.lit("k"), F.lit(2)), "when": F.lit("2024-01-02 03:04:05").cast("timestamp")})
