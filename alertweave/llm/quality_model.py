@@ -4,7 +4,8 @@ A document is a bag of passages of 64 words. Each passage is encoded (shares of
 classes, word lengths, repetition, hashed words), embedded, and weighted by gated attention;
 the weighted sum of the embeddings gives the score. Weights are learned from document labels
 only, by gradient descent on at most ``sample`` labelled documents (4,000: those with the
-least hash of their doc_id); every whole text is scored.
+least hash of their doc_id) and, of a longer text among these, ``passages`` (64) passages
+evenly spread over it: so the driver gets at most 50 MB. Every whole text is scored.
 
 Defined results: a text without words (null, empty) is one empty passage; null labels are
 not learned from, several labels of a document count by their mean; without both classes
@@ -25,7 +26,7 @@ from . import common, wordhash
 PASSAGE = 64
 HASHED = 32
 DIM, GATE = 16, 8
-SAMPLE = 4_000
+SAMPLE, SAMPLE_PASSAGES = 4_000, 64
 EPOCHS, RATE, DECAY = 150, 0.02, 1e-4
 
 
@@ -113,6 +114,22 @@ class Attention:
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return self.forward(x, counts)["p"]
 
+    def gradient(self, f: dict, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, at what forward() gave."""
+        w = self.w
+        d = (f["p"] - y) / len(y)
+        g = {"c": f["m"].T @ d, "c0": d.sum()}
+        dm = d[:, None] * w["c"]
+        da = (dm[f["bag"]] * f["h"]).sum(axis=1)
+        de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["at"])[f["bag"]])
+        g["w"] = (f["v"] * f["u"]).T @ de
+        dv = de[:, None] * w["w"] * f["u"] * (1 - f["v"] ** 2)
+        du = de[:, None] * w["w"] * f["v"] * f["u"] * (1 - f["u"])
+        g["V"], g["U"] = f["h"].T @ dv, f["h"].T @ du
+        dh = f["a"][:, None] * dm[f["bag"]] + dv @ w["V"].T + du @ w["U"].T
+        dz = dh * (1 - f["h"] ** 2)
+        return g | {"W": f["z"].T @ dz, "b": dz.sum(axis=0)}
+
     @classmethod
     def fit(cls, x: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 1) -> Attention:
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -123,19 +140,7 @@ class Attention:
         self = cls(x.mean(axis=0), x.std(axis=0) + 1e-3, w)
         m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
         for step in range(1, EPOCHS + 1):
-            f = self.forward(x, counts)
-            d = (f["p"] - y) / len(y)
-            g = {"c": f["m"].T @ d, "c0": d.sum()}
-            dm = d[:, None] * w["c"]
-            da = (dm[f["bag"]] * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["at"])[f["bag"]])
-            g["w"] = (f["v"] * f["u"]).T @ de
-            dv = de[:, None] * w["w"] * f["u"] * (1 - f["v"] ** 2)
-            du = de[:, None] * w["w"] * f["v"] * f["u"] * (1 - f["u"])
-            g["V"], g["U"] = f["h"].T @ dv, f["h"].T @ du
-            dh = f["a"][:, None] * dm[f["bag"]] + dv @ w["V"].T + du @ w["U"].T
-            dz = dh * (1 - f["h"] ** 2)
-            g["W"], g["b"] = f["z"].T @ dz, dz.sum(axis=0)
+            g = self.gradient(self.forward(x, counts), y)
             for k in w:
                 own = g[k] + DECAY * w[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * own
@@ -148,20 +153,26 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention | float:
-    """The model, or a constant where the labels don't hold both classes."""
+def spread(n: int, most: int) -> np.ndarray:
+    """At most ``most`` of the places 0..n-1, evenly spread."""
+    return np.unique(np.arange(min(n, most)) * n // min(n, most))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Attention | float:
+    """The model, or a constant where the labels don't hold both classes. Of several texts of
+    a doc_id it learns from the one of the least hash."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     known = known.select(F.col("doc_id").alias("label_id"), "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags = docs.select("doc_id", common.text_bytes().alias("t")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "t", "y")
+    bags = docs.select("doc_id", common.text_bytes().alias("t")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    bags = bags.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("x")).select("id", "x.t", "x.y")
 
     def rows(parts: Iterator[dict]) -> Iterator[dict]:
         for p in parts:
             x, n = encode(p["t"])
             at = np.concatenate([[0], np.cumsum(n)])
-            yield {"id": p["id"], "y": p["y"], "x": [x[a:b].tobytes() for a, b in zip(at, at[1:])]}
+            yield {"id": p["id"], "y": p["y"], "x": [x[a + spread(b - a, passages)].tobytes() for a, b in zip(at, at[1:])]}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(common.map_rows(bags, rows, f"id {kind}, y double, x binary", batch=500).collect(), key=lambda r: r.id)
+    got = sorted(common.map_rows(bags, rows, common.schema_of(("id", docs.schema["doc_id"].dataType), "y double, x binary"), batch=500).collect(), key=lambda r: r.id)
     y = np.array([r.y >= 0.5 for r in got], float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
@@ -172,14 +183,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attentio
 def scored(docs: DataFrame, model: Attention | float, carry: list[str] | None = None) -> DataFrame:
     """doc_id, score of every row; ``carry`` names columns to keep."""
     keep = carry or []
-    df = docs.select(F.col("doc_id").alias("id"), common.text_bytes().alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    names = tuple(f"c{i}" for i in range(len(keep)))
+    df = docs.select(F.col("doc_id").alias("id"), common.text_bytes().alias("t"), *[common.column(c).alias(n) for n, c in zip(names, keep)])
 
     def rows(parts: Iterator[dict]) -> Iterator[dict]:
         for p in parts:
-            own = {k: v for k, v in p.items() if k != "t"}
             score = [model] * len(p["id"]) if isinstance(model, float) else model.score(*encode(p["t"])).tolist() if p["id"] else []
-            yield own | {"score": score}
+            yield {"id": p["id"], "score": score}
 
-    out = common.map_rows(df, rows, f"id {docs.schema['doc_id'].dataType.simpleString()}{kinds}, score double", batch=500)
-    return out.select(F.col("id").alias("doc_id"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    out = common.map_rows(df, rows, common.schema_of(("id", docs.schema["doc_id"].dataType), "score double"), batch=500, keep=names)
+    return out.select(F.col("id").alias("doc_id"), *[F.col(n).alias(c) for n, c in zip(names, keep)], "score")

@@ -23,6 +23,89 @@ def test_gradient():
     assert ((model.score(x, counts) > 0.5) == y).mean() >= 0.9
 
 
+def naive_score(model, passages):
+    """One bag's score, number by number."""
+    import math
+
+    w, sig = model.w, lambda v: 1 / (1 + math.exp(-max(-30, min(30, v))))
+    hs, es = [], []
+    for x in passages:
+        z = [max(-8, min(8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+        h = [math.tanh(sum(zi * w["W"][i][k] for i, zi in enumerate(z)) + w["b"][k]) for k in range(w["W"].shape[1])]
+        gate = range(w["V"].shape[1])
+        v = [math.tanh(sum(hk * w["V"][k][g] for k, hk in enumerate(h))) for g in gate]
+        u = [sig(sum(hk * w["U"][k][g] for k, hk in enumerate(h))) for g in gate]
+        hs.append(h)
+        es.append(math.exp(sum(v[g] * u[g] * w["w"][g] for g in gate)))
+    pooled = [sum(e * h[k] for e, h in zip(es, hs)) / sum(es) for k in range(len(hs[0]))]
+    return sig(sum(p * c for p, c in zip(pooled, w["c"])) + float(w["c0"]))
+
+
+def test_every_score_against_a_naive_pass(spark, sf_dir):
+    """The whole table, each document alone, from its features to its score."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fitted(docs, labels)
+    got = {r.doc_id: r.score for r in quality_model.scored(docs, model).collect()}
+    for r in docs.collect():
+        x, _ = quality_model.encode([r.text.encode() if r.text else None])
+        assert abs(got[r.doc_id] - naive_score(model, x.tolist())) < 1e-6
+
+
+def naive_features(text):
+    """Passages of 64 words: what encode() says of each, word by word."""
+    import re
+
+    words = list(re.finditer(rb"[^\x20\x09-\x0D]+", text))
+    out = []
+    for at in range(0, len(words), quality_model.PASSAGE):
+        own = words[at : at + quality_model.PASSAGE]
+        stop = words[at + len(own)].start() if at + len(own) < len(words) else len(text) + 1
+        raw = (text + b" ")[own[0].start() : stop]
+        said = [m[0] for m in own]
+        size = [len(w) for w in said]
+        mean = sum(size) / len(size)
+        sd = max(0.0, sum(s * s for s in size) / len(size) - mean * mean) ** 0.5
+        shares = [sum(bool(c[b]) for b in raw) / len(raw) for c in quality_model.CLASSES]
+        # a run of words goes on over the words just before it in the same passage
+        same = sum(a == b for a, b in zip(said, said[1:]))
+        out.append([*shares, 0, np.log1p(mean), sd / mean, same / len(said), len(set(said)) / len(said), len(said) / quality_model.PASSAGE])
+    return out
+
+
+def test_features_against_a_naive_count(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if r.text and r.text.split():
+            x, _ = quality_model.encode([r.text.encode()])
+            assert np.allclose(x[:, : len(quality_model.CLASSES) + 6], naive_features(r.text.encode()), atol=1e-4), r.doc_id
+
+
+def test_gradient_against_differences():
+    rng = np.random.Generator(np.random.PCG64(5))
+    x, counts, y = rng.normal(size=(23, 6)), np.array([4, 1, 6, 2, 7, 3]), np.array([1.0, 0, 1, 0, 0, 1])
+    model = quality_model.Attention.fit(x, counts, y)
+    model.w = {k: np.array(v) for k, v in model.w.items()}
+    grad = model.gradient(model.forward(x, counts), y)
+    loss = lambda: -np.mean(y * np.log(p := model.score(x, counts)) + (1 - y) * np.log(1 - p))
+    for k, w in model.w.items():
+        flat = w.reshape(-1)
+        for i in range(len(flat)):
+            was = flat[i]
+            flat[i] = was + 1e-5
+            up = loss()
+            flat[i] = was - 1e-5
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / 2e-5 - np.asarray(grad[k]).reshape(-1)[i]) < 1e-6, (k, i)
+
+
+def test_repeated_ids_learn_from_one_text(spark):
+    rows = [(i, f"good words number {i} here", "en", "a", 1) for i in range(30)] + [(i, f"### {i} $$$ bad", "en", "a", 1) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    fit = lambda r, n: quality_model.fitted(util.docs(spark, r).repartition(n), labels).w["W"]
+    assert np.array_equal(fit(rows, 3), fit(rows[::-1], 5))
+    assert list(quality_model.spread(3, 64)) == [0, 1, 2] and list(quality_model.spread(10, 5)) == [0, 2, 4, 6, 8]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.scored(docs, quality_model.fitted(docs, labels, sample=1500)).withColumn("held", quality_model.held_out()).join(labels, "doc_id").filter("held").collect()
