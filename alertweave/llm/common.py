@@ -54,6 +54,21 @@ def running(df: DataFrame, order: list[F.Column], sums: dict[str, F.Column], nam
     return out.withColumns({n: total(n, c) for n, c in sums.items()}).drop("__part", *[f"__{n}" for n in sums])
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rid and rn, the place of each row among those of its ``key``, from 0. ``rows`` are
+    stored rows of key, part and rid; a key is numbered in the parts in which it was stored,
+    plus the counts of the parts before, so no task gets all rows of a key."""
+    inside = rows.withColumn("rn", F.row_number().over(W.partitionBy(key, "part").orderBy("rid")) - 1)
+    sums = rows.groupBy(key, "part").agg(F.count("*").alias("m"))
+    before = (F.sum("m").over(W.partitionBy(key).orderBy("part")) - F.col("m")).alias("before")
+    return inside.join(sums.select(key, "part", before), [key, "part"]).select("rid", (F.col("before") + F.col("rn")).alias("rn"))
+
+
+def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """``df``, to be broadcast if its known number of rows is bounded."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def hashable(df: DataFrame) -> list[F.Column]:
     """The columns in a form that hashes take: maps as sorted entries, other kinds as text."""
     from pyspark.sql.types import AtomicType, VariantType

@@ -97,11 +97,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     were stored, plus the counts of the parts before."""
     rows = rows.withColumn("alike", F.xxhash64("doc_id", "g", "tie"))
     heavy = rows.groupBy("alike").agg(F.count("*").alias("n")).filter(F.col("n") > COPIES).select("alike")
-    own = rows.select("alike", "part", "rid").join(heavy, "alike")
-    inside = own.withColumn("rn", F.row_number().over(W.partitionBy("alike", "part").orderBy("rid")) - 1)
-    sums = own.groupBy("alike", "part").agg(F.count("*").alias("m"))
-    sums = sums.select("alike", "part", (F.sum("m").over(W.partitionBy("alike").orderBy("part")) - F.col("m")).alias("before"))
-    k = inside.join(sums, ["alike", "part"]).select("rid", F.floor((F.col("before") + F.col("rn")) / COPIES).alias("k"))
+    k = common.numbered(rows.select("alike", "part", "rid").join(heavy, "alike"), "alike").select("rid", F.floor(F.col("rn") / COPIES).alias("k"))
     return rows.drop("alike", "part").join(k, "rid", "left").withColumn("k", F.coalesce("k", F.lit(0)))
 
 

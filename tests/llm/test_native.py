@@ -49,6 +49,22 @@ def test_a_third_of_all_rows_alike(spark):
     check_shards(sharding.shards(util.docs(spark, docs), leaves=8).collect(), docs, 8, 1.1)
 
 
+def test_repeated_rows_are_split(spark):
+    """Copies of one row, with or without a doc_id, fill the shards evenly."""
+    for d in (None, 5):
+        docs = [(d, "same text over and over", "en", "a", 1)] * 800
+        rows = sharding.shards(util.docs(spark, docs), leaves=8).collect()
+        check_shards(rows, docs, 8, 1.1)
+        mixed = [(d, "same text over and over", "en", "a", 1)] * 500 + [(i, f"text {i} of many", "en", "b", 1) for i in range(900)]
+        check_shards(sharding.shards(util.docs(spark, mixed).repartition(6), leaves=8).collect(), mixed, 8, 1.1)
+
+
+def test_many_heavy_groups_go_through_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_HEAVY", 3)
+    docs = [(i, f"group {i % 40} " * 9, "en", "a", 1) for i in range(1600)]
+    check_shards(sharding.shards(util.docs(spark, docs), leaves=8).collect(), docs, 8, 1.3)
+
+
 def test_shards_of_awkward_rows(spark):
     rows = sharding.shards(util.clashing(util.docs(spark)), leaves=4).collect()
     check_shards(rows, util.doc_rows(), 4, None)
