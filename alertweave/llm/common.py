@@ -81,8 +81,6 @@ def clear(spark: SparkSession) -> None:
     """Removes the intermediate tables, once the results that need them are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for t in spark.catalog.listTables(pattern="suffix_*"):
-        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
 
 
 def text_bytes(col: str = "text") -> F.Column:

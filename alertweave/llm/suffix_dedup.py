@@ -17,9 +17,16 @@ document with a smaller doc_id. Suffixes are cut at that length, and only some c
    Neighbours with the anchor in common give, for each stretch around it, the least doc_id.
 5. The answer goes back to the run, which marks the bytes of its documents.
 
-Texts are dealt to runs once, in a bucketed table; passes 2, 3 and 5 read it in place. A
-bucket gets a copy's suffixes once a run, not once a copy, so a text that a third of all
-documents share is no hot key; nothing is collected on the driver.
+An anchor with more than ``HOT_KEYS`` suffixes in all is hot (a gram that every document
+has). Around it the suffixes at every place are sorted instead of the one at the anchor:
+their buckets go by all ``length`` bytes, so a hot anchor is spread as its surroundings are.
+
+Rows are dealt to runs once, by row, in a bucketed table; passes 2, 3 and 5 read it in place.
+A bucket gets a copy's suffixes once a run, not once a copy, so a text that a third of all
+documents share is no hot key; nothing is collected on the driver. A run has ``run_bytes``
+(8 MB), or more where the blobs that runs and buckets exchange would fall below ``BLOB``
+(1 KB) on average: run_bytes grows with the square root of the input, the number of blobs
+in proportion to it.
 
 Defined results: null and empty texts have no bytes; texts shorter than the length keep all;
 rows of the same doc_id don't remove each other's bytes; a null doc_id counts as the
@@ -29,7 +36,9 @@ largest; repeated rows get the same result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -39,7 +48,8 @@ from pyspark.sql import functions as F
 from . import common, wordhash
 
 LENGTH, GRAM = 50, 20
-RUN_BYTES = 8_000_000
+RUN_BYTES, BLOB = 8_000_000, 1_000
+HOT_KEYS = 200_000
 HASH_BITS = 48
 NO_ID = (1 << 63) - 1
 _BYTES = np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,8 +114,8 @@ class Run:
         self.doc = np.concatenate([empty, *doc])
 
     def distinct_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, whether several documents have one, and each anchor's
-        place among them."""
+        """Sorted distinct hashes, how many anchors each has (as ``weight`` codes it) and
+        each anchor's place among them."""
         order = np.argsort(self.hash, kind="stable")
         h = self.hash[order]
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
@@ -113,54 +123,79 @@ class Run:
         place = np.empty(len(h), np.int64)
         place[order] = np.cumsum(new) - 1
         if not len(h):
-            return h, np.zeros(0, bool), place
+            return h, np.zeros(0, np.uint8), place
         ids = self.ids[self.doc[order]]
-        return h[start], np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start), place
+        several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+        return h[start], weight(np.diff(np.append(start, len(h))), several), place
 
-    def suffixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors ``chosen``: sorted distinct keys as a matrix, their least doc_id,
-        the hash, and each chosen anchor's key. A key is the suffix, padded to the length, its
-        true length, the left context read backward, padded, and its true length."""
-        at, doc = self.at[chosen], self.doc[chosen]
-        left = self.length - self.gram
+    def keys_of(self, at: np.ndarray, doc: np.ndarray, left: int) -> np.ndarray:
+        """A row for each place: the suffix, padded to the length, its true length, ``left``
+        bytes of context read backward, padded to the left width, and its true length."""
+        room = self.length - self.gram
         right_n = np.minimum(self.first[doc + 1] - at, self.length)
         left_n = np.minimum(at - self.first[doc], left)
-        width = self.length + left + 2
-        keys = np.zeros((len(at), width), np.uint8)
-        ahead, back = np.arange(self.length), np.arange(1, left + 1)
+        keys = np.zeros((len(at), self.length + room + 2), np.uint8)
+        ahead, back = np.arange(self.length), np.arange(1, room + 1)
         for c in range(0, len(at), 8192):  # the index matrices are eight times the keys
             s = slice(c, c + 8192)
             keys[s, : self.length] = np.where(ahead < right_n[s, None], self.raw[np.minimum(at[s, None] + ahead, len(self.raw) - 1)], 0)
             keys[s, self.length + 1 : -1] = np.where(back <= left_n[s, None], self.raw[np.maximum(at[s, None] - back, 0)], 0)
         keys[:, self.length], keys[:, -1] = right_n, left_n
-        order = np.argsort(keys.view(f"S{width}").ravel(), kind="stable")
-        keys = keys[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
+        return keys
+
+    def stretches(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of all stretches around the anchors ``chosen``, and their documents."""
+        at, doc = self.at[chosen], self.doc[chosen]
+        steps = np.arange(self.length - self.gram + 1)
+        start = at[:, None] - steps
+        fits = (start >= self.first[doc][:, None]) & (start + self.length <= self.first[doc + 1][:, None])
+        i, step = np.nonzero(fits)
+        start, which = np.unique(at[i] - step, return_index=True)
+        return start, doc[i[which]]
+
+    def suffixes(self, chosen: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys to sort: of the anchors ``chosen``, and of the stretches around those that are
+        ``hot``. Sorted distinct keys by bucket, their least doc_id, their bucket, and the key
+        of each place asked for (anchors first, then stretches)."""
+        start, start_doc = self.stretches(hot)
+        doc = np.concatenate([self.doc[chosen], start_doc])
+        keys = np.concatenate([self.keys_of(self.at[chosen], self.doc[chosen], self.length - self.gram), self.keys_of(start, start_doc, 0)])
+        h = np.concatenate([self.hash[chosen], wordhash.mix(gram_hashes(self.raw, self.length)[start]) >> np.uint64(64 - HASH_BITS) if len(start) else np.zeros(0, np.uint64)])
+        bucket = bucket_of(h, buckets)
+        # the bucket leads the order, big end first
+        order = np.argsort(np.concatenate([bucket.astype(">u4").view(np.uint8).reshape(-1, 4), keys], axis=1).view(f"S{keys.shape[1] + 4}").ravel(), kind="stable")
+        keys, bucket = keys[order], bucket[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1) | (bucket[1:] != bucket[:-1])]) if len(keys) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(self.ids[doc[order]], start) if len(start) else np.zeros(0, np.int64)
-        return keys[start], least, self.hash[chosen][order][start], place
+        least = np.minimum.reduceat(self.ids[doc[order]], first) if len(first) else np.zeros(0, np.int64)
+        return keys[first], least, bucket[first], place
+
+
+def weight(n: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """A count as a power of two, rounded up, and whether several documents share in it."""
+    return (np.ceil(np.log2(n)).astype(np.uint8) << 1) | several.astype(np.uint8)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def packed_hashes(h: np.ndarray, several: np.ndarray) -> bytes:
-    """Sorted hashes as deltas of 4 bytes where they fit, and a bit for each."""
+def packed_hashes(h: np.ndarray, weights: np.ndarray) -> bytes:
+    """Sorted hashes as deltas of 4 bytes where they fit, and the weights."""
     d = np.diff(h, prepend=np.uint64(0))
     short = len(d) < 2 or int(d[1:].max()) < 1 << 32
     head = np.array([len(h), int(short), int(h[0])], np.uint64).tobytes()
-    return head + (d[1:].astype(np.uint32) if short else d[1:]).tobytes() + np.packbits(several).tobytes()
+    return head + (d[1:].astype(np.uint32) if short else d[1:]).tobytes() + zlib.compress(weights.tobytes(), 1)
 
 
 def unpacked_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, short, first = np.frombuffer(blob, np.uint64, 3)
     kind = np.uint32 if short else np.uint64
     d = np.frombuffer(blob, kind, int(n) - 1, 24).astype(np.uint64)
-    bits = np.frombuffer(blob, np.uint8, -1, 24 + (int(n) - 1) * np.dtype(kind).itemsize)
-    return np.cumsum(np.concatenate([[first], d]).astype(np.uint64), dtype=np.uint64), np.unpackbits(bits, count=int(n)).astype(bool)
+    weights = np.frombuffer(zlib.decompress(blob[24 + (int(n) - 1) * np.dtype(kind).itemsize :]), np.uint8)
+    return np.cumsum(np.concatenate([[first], d]).astype(np.uint64), dtype=np.uint64), weights
 
 
 def front_coded(keys: np.ndarray, least: np.ndarray) -> bytes:
@@ -331,68 +366,74 @@ def _run_of(pdf: pd.DataFrame, length: int, gram: int) -> Run:
     return Run(pdf["d"].to_numpy(np.int64), list(pdf["t"]), length, gram)
 
 
-def _chosen(run: Run, replies: pd.DataFrame) -> np.ndarray:
-    """The anchors whose hash several documents have, from the buckets' bits in order."""
+def _chosen(run: Run, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors whose hash several documents have, from the buckets' bits in order: those
+    that aren't hot, and those that are."""
     h, _, place = run.distinct_hashes()
     if not len(h):
-        return np.zeros(0, np.int64)
-    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for _, n, b in sorted(zip(replies["bucket"], replies["n"], replies["blob"]), key=lambda x: x[0])]).astype(bool)
-    return np.flatnonzero(bits[place])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: 2 * n].reshape(2, n) for _, n, b in sorted(zip(replies["bucket"], replies["n"], replies["blob"]), key=lambda x: x[0])], axis=1).astype(bool)
+    shared, hot = bits[0][place], bits[1][place]
+    return np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    b = bucket_of(h, buckets)
+def _by_bucket(b: np.ndarray) -> list[tuple[int, int, int]]:
     edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
     return [(int(b[i]), int(i), int(j)) for i, j in zip(edge[:-1], edge[1:])]
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, hot_keys: int = HOT_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 for each row, from a stored table."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(common.text_bytes(text_col), F.lit(b"")).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(common.text_bytes(text_col), F.lit(b"")).alias("t"), F.monotonically_increasing_id().alias("rid"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_runs = max(parts, -(-total // run_bytes))
-    buckets = n_runs
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(n_runs)).cast("int").alias("run"), F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(NO_ID)).alias("d"), "t")
-    name = f"suffix_{uuid.uuid4().hex}"
+    n_runs = max(parts, -(-total // max(run_bytes, math.isqrt(BLOB * total))))
+    rows = rows.select(F.pmod(F.xxhash64("rid"), F.lit(n_runs)).cast("int").alias("run"), F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(NO_ID)).alias("d"), "t")
+    name, limit = f"suffix_{uuid.uuid4().hex}", "spark.sql.sources.bucketing.maxBuckets"
     path = f"{common.shared_dir(spark)}/llm/{name}"
-    rows.repartition(n_runs, "run").write.option("compression", "zstd").bucketBy(n_runs, "run").option("path", path).saveAsTable(name)
-    texts = spark.table(name)
+    was = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, max(n_runs, int(was)))
+        rows.repartition(n_runs, "run").write.option("compression", "zstd").bucketBy(n_runs, "run").option("path", path).saveAsTable(name)
+        found = common.written(_marked(spark.table(name), n_runs, length, gram, hot_keys), "suffix-found")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # from the catalog; its files are external
+        spark.conf.set(limit, was)
+    return found.select(F.when(~F.col("none"), F.col("d")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _marked(texts: DataFrame, buckets: int, length: int, gram: int, hot_keys: int) -> DataFrame:
+    """d, none, n_bytes, n_removed, n_spans, kept_sha256. texts: run, none, d, t."""
 
     def send_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, several, _ = _run_of(pdf, length, gram).distinct_hashes()
-        cut = _by_bucket(h, buckets)
-        return pd.DataFrame({"bucket": [b for b, _, _ in cut], "run": int(pdf["run"].iloc[0]), "blob": [packed_hashes(h[i:j], several[i:j]) for _, i, j in cut]})
+        h, weights, _ = _run_of(pdf, length, gram).distinct_hashes()
+        cut = _by_bucket(bucket_of(h, buckets))
+        return pd.DataFrame({"bucket": [b for b, _, _ in cut], "run": int(pdf["run"].iloc[0]), "blob": [packed_hashes(h[i:j], weights[i:j]) for _, i, j in cut]})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [unpacked_hashes(b) for b in pdf["blob"]]
-        h, several = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        h, weights = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        again = np.concatenate([[False], s[1:] == s[:-1]])
-        bits = several.copy()
-        bits[order] |= again | np.concatenate([again[1:], [False]])
+        s, w = h[order], weights[order]
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        size = np.diff(np.append(start, len(s)))
+        shared = (size > 1) | (np.maximum.reduceat(w & 1, start) > 0)
+        hot = np.add.reduceat(2.0 ** (w >> 1), start) > hot_keys
+        bits = np.empty((2, len(h)), bool)
+        bits[:, order] = np.repeat(np.stack([shared, hot]), size, axis=1)
         cut = np.cumsum([0, *[len(g[0]) for g in got]])
-        return pd.DataFrame({"run": pdf["run"], "bucket": pdf["bucket"], "n": [len(g[0]) for g in got], "blob": [np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
+        return pd.DataFrame({"run": pdf["run"], "bucket": pdf["bucket"], "n": [len(g[0]) for g in got], "blob": [np.packbits(bits[:, a:b].ravel()).tobytes() for a, b in zip(cut, cut[1:])]})
 
     sent = texts.groupBy("run").applyInPandas(send_hashes, "bucket int, run int, blob binary")
     bits = common.written(sent.groupBy("bucket").applyInPandas(meet, "run int, bucket int, n int, blob binary"), "suffix-bits")
 
-    def ordered(run: Run, replies: pd.DataFrame) -> tuple:
-        """Keys in the order in which they are sent: by bucket, sorted within."""
-        chosen = _chosen(run, replies)
-        keys, least, h, place = run.suffixes(chosen)
-        order = np.argsort(bucket_of(h, buckets), kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return chosen, keys[order], least[order], h[order], back[place]
-
     def send_suffixes(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({"bucket": [], "run": [], "blob": []})
-        _, keys, least, h, _ = ordered(_run_of(pdf, length, gram), replies)
-        cut = _by_bucket(h, buckets)
+        run = _run_of(pdf, length, gram)
+        keys, least, bucket, _ = run.suffixes(*_chosen(run, replies), buckets)
+        cut = _by_bucket(bucket)
         return pd.DataFrame({"bucket": [b for b, _, _ in cut], "run": int(pdf["run"].iloc[0]), "blob": [front_coded(keys[i:j], least[i:j]) for _, i, j in cut]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -429,7 +470,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
         if not len(pdf):
             return pd.DataFrame({c: [] for c in ("d", "none", "n_bytes", "n_removed", "n_spans", "kept_sha256")})
         run = _run_of(pdf, length, gram)
-        chosen, _, _, _, place = ordered(run, replies[replies["bucket"] < buckets])
+        chosen, hot = _chosen(run, replies[replies["bucket"] < buckets])
+        _, _, _, place = run.suffixes(chosen, hot, buckets)
         mine = replies[replies["bucket"] >= buckets].sort_values("bucket")
         one, many, upto = [np.zeros(0, np.int64)], [np.zeros((0, length - gram + 1), np.int64)], 0
         for n, blob in zip(mine["n"], mine["blob"]):
@@ -443,7 +485,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
         at, doc = run.at[chosen], run.doc[chosen]
         low = np.maximum(0, length - (run.first[doc + 1] - at))
         high = np.minimum(length - gram, at - run.first[doc])
-        told_ = one[place] if len(place) else np.zeros(0, np.int64)
+        told_ = one[place[: len(chosen)]]
+        start, start_doc = run.stretches(hot)
+        place_hot = place[len(chosen) :]
         ids = run.ids[doc]
         change = np.zeros(len(run.raw) + 1, np.int32)
         whole = (told_ >= 0) & (told_ < ids) & (low <= high)
@@ -456,6 +500,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
             i, step = np.nonzero(hit)
             np.add.at(change, at[part[i]] - step, 1)
             np.add.at(change, at[part[i]] - step + length, -1)
+        if len(start):
+            # a stretch's key has no left context, so its answer is that of step 0
+            own = one[place_hot]
+            own = np.where(own >= 0, own, many[np.where(own < 0, -1 - own, 0), 0]) if len(many) else own
+            cut_ = start[own < run.ids[start_doc]]
+            np.add.at(change, cut_, 1)
+            np.add.at(change, cut_ + length, -1)
         gone = np.cumsum(change[:-1]) > 0
         out = []
         for d in range(len(pdf)):
@@ -466,5 +517,4 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(d=pdf["d"].to_numpy(), none=pdf["none"].to_numpy())
 
     back = bits.unionAll(told)
-    final = texts.groupBy("run").cogroup(back.groupBy("run")).applyInPandas(apply, "d bigint, none boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return final.select(F.when(~F.col("none"), F.col("d")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return texts.groupBy("run").cogroup(back.groupBy("run")).applyInPandas(apply, "d bigint, none boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -66,6 +66,34 @@ def test_repeats_of_all_kinds(spark):
     assert rows(S.repeated(util.docs(spark, docs).repartition(5), run_bytes=900)) == brute(docs)
 
 
+def test_a_gram_in_all_documents(spark):
+    """A hot anchor's suffixes go by all their bytes; so do those of a hot line."""
+    rng = random.Random(17)
+    line = "this line of over fifty bytes stands in every document of the table"
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    tails = [text(12) for _ in range(6)]
+    docs = []
+    for i in range(150):
+        common = (line, "0123456789abcdefghij0123456789ABCDEFG", "ab" * 45)[i % 3]
+        docs.append((i, text(rng.randint(0, 9)) + common + rng.choice([*tails, text(8)]), "en", "a", 1))
+    rng.shuffle(docs)
+    for hot in (1, 40, 10**6):
+        assert rows(S.repeated(util.docs(spark, docs).repartition(3), run_bytes=3_000, hot_keys=hot)) == brute(docs), hot
+
+
+def test_rows_of_one_id_are_dealt_to_many_runs(spark):
+    docs = [(d, f"{i} " * 20 + "the same passage of text, much longer than fifty bytes, in all of the rows", "en", "a", 1) for i in range(60) for d in (None, 4)]
+    df = util.docs(spark, docs)
+    assert rows(S.repeated(df, run_bytes=500)) == brute(docs)
+
+
+def test_blobs_stay_in_proportion():
+    runs = lambda total: -(-total // max(S.RUN_BYTES, S.math.isqrt(S.BLOB * total)))
+    for total in (10**9, 10**11, 10**13, 10**14):
+        assert runs(total) ** 2 <= 1.01 * max(total / S.BLOB, (total / S.RUN_BYTES) ** 2 if total < 64 * 10**9 else 0) + 1
+
+
 def test_awkward_rows(spark):
     docs = util.doc_rows()
     assert rows(S.repeated(util.clashing(util.docs(spark)))) == brute(docs)
@@ -91,6 +119,6 @@ def test_codings_round_trip(keys, base):
     back, shared, got = S.front_decoded(S.front_coded(mat, ids))
     assert (back == mat).all() and (got == ids).all()
     h = np.unique(np.frombuffer(b"".join(keys), np.uint64) >> np.uint64(16))
-    flags = h % np.uint64(2) == 0
+    flags = (h % np.uint64(7)).astype(np.uint8)
     a, b = S.unpacked_hashes(S.packed_hashes(h, flags))
     assert (a == h).all() and (b == flags).all()
