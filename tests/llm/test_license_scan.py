@@ -1,6 +1,8 @@
+import random
 import re
+from collections import Counter
 
-from alertweave.llm.license_scan import NOTICES, Scanner, license_scan
+from alertweave.llm.license_scan import FURTHER, LOOKALIKES, NOTICES, Scanner, budget, license_scan
 
 from . import util
 
@@ -26,14 +28,23 @@ def test_documents(spark):
 
 
 def test_edits_are_found_and_other_licenses_left_alone():
-    scan = Scanner(NOTICES)
+    scan = Scanner(NOTICES, FURTHER, LOOKALIKES)
     for text, labels in [
         ("released Under the MTI License.", "mit"),
         ("see apache licence version 2", "apache-2"),
         ("see apache licnse versoin 2", ""),
         ("under the bsd license", ""),
         ("apache license version 1", ""),
-        ("cc by nd", ""),
+        ("cc by nd", "cc-by-nd"),
+        ("cc by n", ""),
+        ("ccby nc 4.0", "cc-by-nc"),
+        ("CC BV-NC", "cc-by-nc"),
+        ("cc by", ""),
+        ("under the mpl license", "mpl-2"),
+        ("under the GNU General Pubilc License, version 3.", "gpl-3"),
+        ("gnu general public license version 4", ""),
+        ("under the gpl license", ""),
+        ("mit under the mit licensex under the mit license", "mit"),
         ("CC-BY-NC and under\nthe mit license", "cc-by-nc,mit"),
         ("thereunder the mit license", ""),
         ("under the mit licenses", "mit"),
@@ -47,3 +58,75 @@ def test_awkward_rows(spark):
     got = license_scan(util.clashing(util.docs(spark, docs))).collect()
     assert sorted(map(str, map(base, got))) == sorted(str(brute(t)) for _, t, *_ in docs)
     assert license_scan(util.docs(spark, [])).collect() == []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        was, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            was, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, was + (x != y))
+    return row[-1]
+
+
+def apart(a, b):
+    x, y = Counter(a), Counter(b)
+    return distance(a, b), sum((x - y).values()) + sum((y - x).values())
+
+
+def nearest(text):
+    """All stretches of whole words within the budget, by edit distance alone."""
+    words = text.split()
+    every = [*NOTICES, *FURTHER]
+    out = set()
+    for phrase, label in every:
+        k = budget(phrase)
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                own = " ".join(words[i:j])
+                if abs(len(own) - len(phrase)) > k or re.findall(r"\d", own) != re.findall(r"\d", phrase):
+                    continue
+                d = distance(own, phrase)
+                others = [p for p, lab in every if lab != label] + LOOKALIKES
+                if d <= k and (d == 0 or all(apart(own, o) > apart(own, phrase) for o in others)):
+                    out.add((label, i, j - i, d))
+    return out
+
+
+def damaged(phrase, rng, n):
+    for _ in range(n):
+        i = rng.randrange(len(phrase))
+        if phrase[i].isdigit():
+            continue
+        phrase = rng.choice([phrase[:i] + phrase[i + 1 :], phrase[:i] + rng.choice("aeiost ") + phrase[i:], phrase[:i] + rng.choice("aeiost") + phrase[i + 1 :]])
+    return " ".join(phrase.split())
+
+
+def test_fuzzy_matches_against_edit_distance():
+    rng = random.Random(6)
+    scan = Scanner(NOTICES, FURTHER, LOOKALIKES)
+    fill = "the of license under version 2 3 public apache cc by nc mit gnu general thelicense".split()
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            parts += [rng.choice(fill) for _ in range(rng.randint(0, 3))]
+            phrase = rng.choice([*NOTICES, *FURTHER])[0]
+            parts.append(damaged(phrase, rng, rng.randint(0, budget(phrase) + 1)))
+        text = " ".join(" ".join(parts).split())
+        spans = {(s["label"], s["first"], s["words"], s["edits"]) for s in scan(text.encode())["spans"]}
+        want = nearest(text)
+        assert spans <= want, (text, spans - want)
+        for label, i, n, d in want - spans:  # only what overlaps a better or earlier one
+            assert any(lab == label and a < i + n and i < a + m and (e, a) <= (d, i + n) for lab, a, m, e in spans), (text, label, i, n, d)
+
+
+def test_recall_on_planted_edits(spark):
+    rng = random.Random(7)
+    docs, want = [], {}
+    for i in range(600):
+        phrase, label = rng.choice(NOTICES)
+        text = damaged(phrase, rng, rng.randint(1, budget(phrase)))
+        docs.append((i, f"some words before, {text}; and after", "en", "a", 1))
+        want[i] = label
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(util.docs(spark, docs)).collect()}
+    assert sum(want[i] in got[i] for i in want) >= 0.9 * len(want)
