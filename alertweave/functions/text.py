@@ -24,8 +24,23 @@ CATEGORIES = [
 ]
 
 #: Tokens of keys that name a person or account, and of keys that only describe one.
-NAME_TOKENS = "user users username account accountname actor caller principal upn entity sid duser object owner".split()
-OTHER_TOKENS = "type category priority priorities severity severities urgency country city state dept department title error count score id first last bunit watchlist email domain status time date tag role realname nick field length hash".split()
+NAME_TOKENS = ["user", "users", "username", "account", "accountname", "actor", "caller", "principal", "upn", "entity", "sid", "duser", "object", "owner"]
+OTHER_TOKENS = [
+    "type", "category", "priority", "priorities", "severity", "severities", "urgency", "country", "city", "state", "dept", "department",
+    "title", "error", "count", "score", "id", "first", "last", "bunit", "watchlist", "email", "domain", "status", "time", "date", "tag",
+    "role", "realname", "nick", "field", "length", "hash",
+]
+
+#: Fixed value: where a key's name is cut into tokens.
+KEY_SEAMS = r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"
+
+#: Addresses and domains too common to tell alerts apart.
+COMMON_ADDRESSES = ["8.8.8.8", "8.8.4.4", "1.1.1.1", "1.0.0.1", "9.9.9.9", "149.112.112.112", "208.67.222.222", "208.67.220.220", "0.0.0.0", "127.0.0.1", "255.255.255.255"]
+COMMON_NETWORKS = r"^(10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)"
+COMMON_DOMAINS = [
+    "microsoft.com", "windows.com", "windowsupdate.com", "google.com", "googleapis.com", "gstatic.com", "github.com", "amazon.com",
+    "amazonaws.com", "cloudflare.com", "akamaized.net", "fastly.net", "cloudfront.net", "akamai.com", "example.com", "localhost",
+]
 
 #: What saved-search names begin and end with.
 SEARCH_PREFIXES = ("Endpoint - ", "Threat - ", "Access - ", "Network - ")
@@ -123,7 +138,7 @@ def parsed_kv(text: Column) -> Column:
 
 
 def key_tokens(key: Column) -> Column:
-    return F.transform(F.filter(F.split(key, r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"), lambda t: t != ""), F.lower)
+    return F.transform(F.filter(F.split(key, KEY_SEAMS), lambda t: t != ""), F.lower)
 
 
 def is_identity_key(key: Column) -> Column:
@@ -165,13 +180,49 @@ def composite_keys(sources: Column, dests: Column, category: Column, bucket: Col
 
 
 def blocked_ioc(kind: Column, value: Column) -> Column:
-    """Indicators too common to tell alerts apart: private, loopback, link-local and public
-    resolver addresses, and content-network suffixes."""
-    ip = value.rlike(r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)") | value.isin("8.8.8.8", "8.8.4.4", "1.1.1.1")
-    domain = value.rlike(r"(^|\.)(cloudfront\.net|akamaiedge\.net|windows\.net|googleusercontent\.com)$")
+    """Indicators too common to tell alerts apart: private, link-local, loopback, broadcast
+    and public resolver addresses; common domains and what is below them. Other kinds never."""
+    ip = value.rlike(COMMON_NETWORKS) | value.isin(*COMMON_ADDRESSES)
+    # the value's own suffixes, looked up among the listed ones
+    parts = F.split(F.lower(value), r"\.")
+    tail = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), F.lit(n)), ".")
+    domain = tail(1).isin(*[d for d in COMMON_DOMAINS if "." not in d]) | tail(2).isin(*[d for d in COMMON_DOMAINS if "." in d])
     return F.when(kind == "ip", ip).when(kind == "domain", domain).otherwise(F.lit(False))
 
 
+def slug(value: Column) -> Column:
+    """A value as one token: lower case, other characters as single underscores, none at the
+    ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def elided(value: Column, most: int = 46, head: int = 26, tail: int = 18) -> Column:
+    """Long values lose their middle, as names often differ at the end only."""
+    return F.when(F.char_length(value) <= most, value).otherwise(F.concat(F.left(value, F.lit(head)), F.lit("\u2026"), F.right(value, F.lit(tail))))
+
+
+def key_at(text: Column, offset: Column) -> Column:
+    """The key of the ``key: value`` line that holds a place of the text."""
+    line = F.concat(F.substring_index(F.left(text, offset), "\n", -1), F.substring_index(F.substr(text, offset + 1), "\n", 1))
+    return F.substring_index(line, ":", 1)
+
+
+def detection_domain(search: Column, rules: dict[str, Sequence[str]]) -> Column:
+    """The domain whose list has exactly this search name."""
+    out = F.lit("Unclassified")
+    for domain, names in reversed(list(rules.items())):
+        out = F.when(F.trim(search).isin(*names), domain).otherwise(out)
+    return out
+
+
+def folded(value: Column, fixes: dict[str, str], empty: str, placeholders: Sequence[str] = ("", "None")) -> Column:
+    """Known misspellings become the right value, placeholders and null the name for none."""
+    out = value
+    for wrong, right in fixes.items():
+        out = F.when(value == wrong, right).otherwise(out)
+    return F.when(value.isNull() | value.isin(*placeholders), empty).otherwise(out)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<first, end, found>> of the leftmost non-overlapping matches, each at its
     own place, in characters. The stretches between matches give the offsets."""

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import EMPTY_VALUES
 from .filters import CLASSES
+from .ordered import running
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -230,10 +232,8 @@ def key_coverage(df: DataFrame, id_col: str, keys: Column, tokens: int) -> DataF
 
 def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
     """The value at position floor(share * n) of the ascending order."""
-    c = df.groupBy(value).agg(F.count("*").alias("c"))
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    c = c.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(W.partitionBy())})
-    return c.filter(F.col("upto") > F.floor(F.col("n") * F.lit(share))).agg(F.min(value).alias("value"))
+    c = running(df.groupBy(value).agg(F.count("*").alias("c")), F.col(value), {"upto": F.col("c")})
+    return c.filter(F.col("upto") > F.floor(F.col("upto_all") * F.lit(share))).agg(F.min(value).alias("value"))
 
 
 def extremes(df: DataFrame, columns: Sequence[str], k: int, key: str) -> DataFrame:
@@ -247,16 +247,32 @@ def extremes(df: DataFrame, columns: Sequence[str], k: int, key: str) -> DataFra
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` from 0, clamped to the pages that there are."""
-    n = df.agg(F.count("*").alias("__n"))
-    last = F.greatest(F.ceil(F.col("__n") / size) - 1, F.lit(0))
-    first = F.least(F.greatest(F.lit(number), F.lit(0)), last) * size
-    ranked = df.withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    return ranked.join(F.broadcast(n)).filter((F.col("rank") > first) & (F.col("rank") <= first + size)).drop("__n")
+    n = df.count()
+    first = min(max(number, 0), max(-(-n // size) - 1, 0)) * size
+    got = df.orderBy(*order).offset(first).limit(size)
+    return got.withColumn("rank", (F.row_number().over(W.orderBy(*order)) + first).cast("int"))  # of a page
 
 
 def run_consistency(df: DataFrame, run: str, value: str, score: str) -> DataFrame:
-    """Over runs: spread of the score, and the values that all runs or any run have."""
-    per = df.groupBy(run).agg(F.avg(score).alias("s"), F.array_sort(F.collect_set(value)).alias("v"))
-    both = lambda f: F.size(F.aggregate(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.get("vs", F.lit(0)), f)).cast("bigint")
-    all_ = per.agg(F.count("*").alias("runs"), F.min("s").alias("least"), F.max("s").alias("most"), F.collect_list("v").alias("vs"))
-    return all_.select("runs", "least", "most", (F.col("most") - F.col("least")).alias("spread"), both(F.array_intersect).alias("in_all"), both(F.array_union).alias("in_any"))
+    """Over runs: spread of the score, and how many values all runs or any run have. Runs are
+    counted for each value, so no task holds the values of a run."""
+    per = df.groupBy(run).agg(F.avg(score).alias("s")).agg(F.count("*").alias("runs"), F.min("s").alias("least"), F.max("s").alias("most"))
+    held = df.filter(F.col(value).isNotNull()).select(run, value).distinct().groupBy(value).agg(F.count("*").alias("in_runs")).groupBy("in_runs").agg(F.count("*").alias("n"))
+    both = per.join(F.broadcast(held), how="left")  # a row for each number of runs
+    out = both.groupBy("runs", "least", "most").agg(F.coalesce(F.sum(F.when(F.col("in_runs") == F.col("runs"), F.col("n"))), F.lit(0)).alias("in_all"), F.coalesce(F.sum("n"), F.lit(0)).alias("in_any"))
+    return out.select("runs", "least", "most", (F.col("most") - F.col("least")).alias("spread"), "in_all", "in_any")
+
+
+def key_tokens(df: DataFrame, id_col: str, entries: Column) -> DataFrame:
+    """For each key of a map of rendered values: how many alerts have a value, the words of
+    ``key value``, coverage and share of all words in percent, and the coverage's band."""
+    total = df.agg(F.count("*").alias("alerts"))
+    v = F.trim(F.col("value"))
+    long = df.select(id_col, F.explode(entries).alias("key", "value")).filter((v != "") & ~F.lower(v).isin(*EMPTY_VALUES))
+    words = F.size(F.filter(F.split(F.concat_ws(" ", "key", "value"), r"\s+"), lambda w: w != ""))
+    c = long.groupBy("key").agg(F.count("*").alias("on_alerts"), F.sum(words.cast("long")).alias("tokens"))
+    all_ = c.agg(F.sum("tokens").alias("all_tokens"))
+    c = c.join(F.broadcast(total)).join(F.broadcast(all_))
+    cover = F.round(F.col("on_alerts") / F.col("alerts") * 100, 1)
+    band = F.when(cover <= 1, "<1%").when(cover <= 10, "1-10%").when(cover <= 50, "10-50%").when(cover <= 90, "50-90%").when(cover <= 99.9, "90-99.9%").otherwise("100%")
+    return c.select("key", "on_alerts", "tokens", cover.alias("coverage_pct"), F.round(F.col("tokens") / F.col("all_tokens") * 100, 3).alias("token_share_pct"), band.alias("band"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions.similarity import jaccard, token_sort_ratio
@@ -62,19 +63,34 @@ def dedup_l1(fp: DataFrame, threshold: float = DUPLICATE_AT) -> DataFrame:
 def dedup_l2(fp: DataFrame, values: Sequence[str], l1: DataFrame, threshold: float = SIMILAR_AT) -> DataFrame:
     """For alerts that layer 1 left: the most similar earlier alert of another rule in the
     same window, by the mean over indicator types of the best token-sort ratio; similar from
-    the threshold on. Only distinct pairs of values reach the Python function."""
+    the threshold on.
+
+    Sets of the alerts that are left meet all sets of their customer and window. A pair of
+    sets goes on only while its lengths allow the threshold (a ratio is at most twice the
+    shorter length over both); equal values need no comparison; each unordered pair of other
+    values reaches the Python function once."""
     group = ["customer", "bucket"]
     left = fp.select("alert_id", "ts", *group, "name_hash", *values).join(l1.filter("verdict = 'NEW'").select("alert_id"), "alert_id", "left_semi")
+    a = left.groupBy(*group, "name_hash", *values).agg(F.max(F.struct("ts", "alert_id")).alias("last"))
     sets = fp.groupBy(*group, "name_hash", *values).agg(F.min(F.struct("ts", "alert_id")).alias("first"))
     b = sets.select(*group, F.col("name_hash").alias("name_b"), *[F.col(v).alias(f"{v}_b") for v in values], "first")
-    pairs = sets.drop("first").join(b, group).filter("name_hash <> name_b")
-    long = pairs.select(F.explode(F.array(*[F.struct(F.col(v).alias("x"), F.col(f"{v}_b").alias("y")) for v in values])).alias("p")).select("p.x", "p.y").distinct()
+    lengths = lambda v: (F.length(v), F.length(f"{v}_b"))
+    most = lambda x, y: F.coalesce(200.0 * F.least(x, y) / F.nullif(x + y, F.lit(0)), F.lit(100.0))
+    # white space doesn't count in a ratio, so only texts without any are bounded by length
+    bound = lambda v: F.when(F.col(v).isNull() | F.col(f"{v}_b").isNull(), 0.0).when(F.concat(v, f"{v}_b").rlike(r"\s"), 100.0).otherwise(most(*lengths(v)))
+    pairs = a.join(b, group).filter((F.col("name_hash") != F.col("name_b")) & (F.col("first") < F.col("last"))).drop("last")
+    pairs = pairs.filter(sum(bound(v) for v in values) / len(values) >= threshold - 0.02)
+    x, y = F.least("p.x", "p.y"), F.greatest("p.x", "p.y")
+    long = pairs.select(F.explode(F.array(*[F.struct(F.col(v).alias("x"), F.col(f"{v}_b").alias("y")) for v in values])).alias("p"))
+    long = long.filter(F.col("p.x") != F.col("p.y")).select(x.alias("x"), y.alias("y")).distinct()
     ratio = long.withColumn("r", token_sort_ratio("x", "y"))
     for v in values:
-        pairs = pairs.join(ratio.select(F.col("x").alias(v), F.col("y").alias(f"{v}_b"), F.col("r").alias(f"r_{v}")), [v, f"{v}_b"], "left")
-    score = F.round(sum(F.round(F.coalesce(F.col(f"r_{v}"), F.lit(0.0)), 2) for v in values) / len(values), 2)
+        own = ratio.select(F.col("x").alias(f"x_{v}"), F.col("y").alias(f"y_{v}"), F.col("r").alias(f"r_{v}"))
+        pairs = pairs.join(own, (F.least(v, f"{v}_b") == F.col(f"x_{v}")) & (F.greatest(v, f"{v}_b") == F.col(f"y_{v}")), "left")
+    each = lambda v: F.when(F.col(v) == F.col(f"{v}_b"), 100.0).otherwise(F.round(F.coalesce(F.col(f"r_{v}"), F.lit(0.0)), 2))
+    score = F.round(sum(each(v) for v in values) / len(values), 2)
     pairs = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(*group, "name_hash", *values, "score", "first")
-    met = left.join(pairs, [*group, "name_hash", *values], "left")
+    met = left.join(pairs.withColumnsRenamed({c: f"__{c}" for c in [*group, "name_hash", *values]}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, "name_hash", *values]], "left")
     earlier = F.when(F.col("first").isNotNull() & (F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id")), F.struct((-F.col("score")).alias("s"), F.col("first")))
     best = met.groupBy("alert_id").agg(F.min(earlier).alias("m"))
     return best.select("alert_id", F.when(F.col("m").isNull(), "NEW").otherwise("SIMILAR").alias("verdict"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), F.col("m.first.alert_id").alias("matched_alert_id"))
@@ -143,20 +159,88 @@ class KeyStore:
         return None
 
 
-def hash_dedup(df: DataFrame, window_ms: int, group: Sequence[str], bucket: str = "bucket") -> DataFrame:
-    """alert_id, duplicate_of. df: alert_id, ms, keys, and ``group`` columns, ``bucket`` among
-    them, such that keys of different groups never meet. A task takes whole groups in order
-    of (bucket, ms, alert_id) and forgets a bucket's keys when the next begins."""
+def key_verdicts(df: DataFrame, window_ms: int, group: Sequence[str], bucket: str = "bucket") -> DataFrame:
+    """alert_id, duplicate_of, registered (keys that the alert added). df: alert_id, ms, keys,
+    and ``group`` columns, ``bucket`` among them, such that keys of different groups never
+    meet. A task takes whole groups in order of (bucket, ms, alert_id) and forgets a bucket's
+    keys when the next begins."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = KeyStore(window_ms), None
         for pdf in parts:
-            found = []
+            found, added = [], []
             for i, ms, keys, b in zip(pdf["alert_id"], pdf["ms"], pdf["keys"], pdf[bucket]):
                 if b != at:
                     store, at = KeyStore(window_ms), b
+                n = len(store.entries)
                 found.append(store.judge(i, ms, keys))
-            yield pd.DataFrame({"alert_id": pdf["alert_id"], "duplicate_of": pd.array(found, "Int64")})
+                added.append(len(store.entries) - n)
+            yield pd.DataFrame({"alert_id": pdf["alert_id"], "duplicate_of": pd.array(found, "Int64"), "registered": pd.array(added, "Int64")})
 
     dealt = df.select("alert_id", "ms", "keys", *group).repartition(*group).sortWithinPartitions(bucket, "ms", "alert_id")
-    return dealt.mapInPandas(run, "alert_id long, duplicate_of long")
+    return dealt.mapInPandas(run, "alert_id long, duplicate_of long, registered long")
+
+
+def hash_dedup(df: DataFrame, window_ms: int, group: Sequence[str], bucket: str = "bucket") -> DataFrame:
+    """alert_id, duplicate_of, as ``key_verdicts`` has them."""
+    return key_verdicts(df, window_ms, group, bucket).select("alert_id", "duplicate_of")
+
+
+def key_statistics(judged: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """Running totals of the key engine at the end of each bucket: total, new, duplicates,
+    dedup_rate in percent, and the entries that are then active. judged: bucket,
+    duplicate_of, registered. The window sees a row for each bucket."""
+    dup = F.col("duplicate_of").isNotNull()
+    per = judged.groupBy(bucket).agg(F.count("*").alias("n"), F.count_if(dup).alias("d"), F.sum("registered").alias("active_entries"))
+    w = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
+    out = per.select(bucket, F.sum("n").over(w).alias("total"), (F.sum("n").over(w) - F.sum("d").over(w)).alias("new"), F.sum("d").over(w).alias("duplicates"), "active_entries")
+    return out.withColumn("dedup_rate", F.round(F.col("duplicates") / F.col("total") * 100, 1))
+
+
+#: Layer-one confidences that the dashboard counts to, in percent.
+CONFIDENCES = (0.0, 33.3, 66.7, 100.0)
+
+
+def dashboard(entries: DataFrame, slots: Sequence[str] = SLOTS, buckets: Sequence[float] = CONFIDENCES, top: int = 15) -> DataFrame:
+    """section, item, kind, n: verdicts, layers, severity by verdict, confidence by nearest
+    bucket, slots matched and missed, the most frequent rules by verdict, and alerts without
+    indicators. entries: verdict, layer, severity, confidence (0 to 1), matched_slots,
+    missed_slots, filled_slots, rule. One pass counts all but the rules."""
+    text = lambda c: F.col(c).cast("string")
+    row = lambda section, item, kind: F.struct(F.lit(section).alias("section"), item.alias("item"), kind.alias("kind"))
+    none = F.lit("")
+    c = F.round(F.coalesce("confidence", F.lit(0.0)) * 100, 1)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(c - b).alias("far"), F.lit(i).alias("i"), F.lit(str(b)).alias("b")) for i, b in enumerate(buckets)]))["b"]
+    known = F.array(*map(F.lit, slots))
+    of = lambda column, kind: F.transform(F.array_intersect(known, F.coalesce(column, F.array().cast("array<string>"))), lambda s: row("slots", s, F.lit(kind)))
+    facts = F.concat(
+        F.array(row("total", none, none), row("verdicts", text("verdict"), none), row("layers", text("layer"), none)),
+        F.array(row("severity", F.coalesce(F.nullif(text("severity"), none), F.lit("UNKNOWN")), text("verdict")), row("confidence", nearest, none)),
+        of("matched_slots", "matched"), of("missed_slots", "missed"),
+        F.when(F.coalesce(F.size("filled_slots"), F.lit(0)) <= 0, F.array(row("data_quality", none, none))).otherwise(F.array().cast("array<struct<section:string,item:string,kind:string>>")),
+    )
+    counted = entries.select(F.inline(facts)).groupBy("section", "item", "kind").agg(F.count("*").alias("n"))
+    rules = entries.filter("rule <> ''")
+    most = rules.groupBy("rule").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "rule").limit(top)
+    by_rule = rules.join(F.broadcast(most), "rule").groupBy(F.lit("rules").alias("section"), F.col("rule").alias("item"), F.col("verdict").alias("kind")).agg(F.count("*").alias("n"))
+    return counted.unionByName(by_rule)
+
+
+def context_similarity(a: Column, b: Column, weights: dict[str, dict[str, float]]) -> Column:
+    """Similarity of typed objects, 0 to 100: for each object of ``a`` the best among those
+    of ``b`` of its type, then the mean over compared objects with any agreement. Both are
+    array<struct<type, props: map<string, string>>>. Two objects agree by the share of weight
+    of the type's properties that both have and that are equal; ``weights`` are given by type
+    and property. 0 where nothing compares."""
+    def pair(x: Column, y: Column) -> Column:
+        out = F.lit(0.0)
+        for kind, own in weights.items():
+            value = lambda o, p: F.try_element_at(o["props"], F.lit(p))
+            both = [F.when(value(x, p).isNotNull() & value(y, p).isNotNull(), w).otherwise(0.0) for p, w in own.items()]
+            same = [F.when(value(x, p) == value(y, p), w).otherwise(0.0) for p, w in own.items()]
+            out = F.when(x["type"] == kind, F.coalesce(100 * sum(same) / F.nullif(sum(both), F.lit(0.0)), F.lit(0.0))).otherwise(out)
+        return out
+
+    best = F.transform(a, lambda x: F.array_max(F.transform(F.filter(b, lambda y: y["type"] == x["type"]), lambda y: pair(x, y))))
+    known = F.filter(best, lambda s: s > 0)
+    return F.when(F.size(known) > 0, F.round(F.aggregate(known, F.lit(0.0), lambda t, s: t + s) / F.size(known), 2)).otherwise(0.0)

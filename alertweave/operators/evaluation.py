@@ -1,7 +1,8 @@
 """Thresholds and evaluation of scored alerts.
 
-Frames have y (1 for what must not be missed) and an orderable score. Curves first group by
-distinct score, so the cumulative windows see a row for each score, not for each alert."""
+Frames have y (1 for what must not be missed) and a numeric score. Curves first group by
+distinct score; continuous scores have one for each alert, so running totals and quantiles
+are taken in ranges (``ordered``), never by one window over all."""
 
 from __future__ import annotations
 
@@ -10,20 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 
 from ..functions.stats import upper_bound
-
-def up() -> WindowSpec:
-    return W.orderBy("score").rowsBetween(W.unboundedPreceding, 0)
-
-
-def down() -> WindowSpec:
-    return W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-
-
-def everything() -> WindowSpec:
-    return W.partitionBy()
+from .ordered import quantiles, running
 
 
 def by_score(df: DataFrame, *keys: str) -> DataFrame:
@@ -31,10 +21,15 @@ def by_score(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("p"))
 
 
+def curve(df: DataFrame, descending: bool = False) -> DataFrame:
+    """by_score with lane and hits: rows and positives up to each score; lane_all, hits_all."""
+    return running(by_score(df), F.col("score"), {"lane": F.col("n"), "hits": F.col("p")}, descending)
+
+
 def time_split(df: DataFrame, time: str, share: float = 0.7) -> DataFrame:
     """train up to the exact quantile of time, ties included; test after it."""
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    cut = df.agg(F.percentile(t, share).alias("__cut"))
+    cut = quantiles(df.select(t.alias("t")), "t", [share]).select(F.get("q", F.lit(0)).alias("__cut"))
     return df.join(F.broadcast(cut)).withColumn("split", F.when(t <= F.col("__cut"), "train").otherwise("test")).drop("__cut")
 
 
@@ -42,9 +37,9 @@ def forward_folds(df: DataFrame, order: Sequence[str], folds: int = 5) -> DataFr
     """fold 0 to ``folds``: each later block is scored by a model of all earlier ones. Rank
     edges come from distinct values of the order's first column, so rows aren't ranked."""
     first = order[0]
-    c = df.groupBy(first).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(W.orderBy(first).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumns({"before": before, "total": F.sum("c").over(everything())})
+    kind = df.schema[first].dataType.typeName()
+    at = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(first)
+    c = running(df.groupBy(first).agg(F.count("*").alias("c")), at, {"before": F.col("c")}, before=True).withColumnRenamed("before_all", "total")
     within = F.row_number().over(W.partitionBy(first).orderBy(*order[1:])) - 1
     out = df.join(c, first).withColumn("__r", F.col("before") + within)
     return out.withColumn("fold", F.floor(F.col("__r") * (folds + 1) / F.col("total")).cast("int")).drop("__r", "c", "before", "total")
@@ -53,7 +48,7 @@ def forward_folds(df: DataFrame, order: Sequence[str], folds: int = 5) -> DataFr
 def miss_budget(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
     """For each budget: the widest lane of lowest scores with no more positives, and the
     score that ends it (included)."""
-    c = by_score(df).withColumns({"lane": F.sum("n").over(up()), "misses": F.sum("p").over(up()), "total": F.sum("n").over(everything())})
+    c = curve(df).withColumnsRenamed({"hits": "misses", "lane_all": "total"})
     b = df.sparkSession.createDataFrame([(int(x),) for x in budgets], "budget int")
     j = c.join(F.broadcast(b), F.col("misses") <= F.col("budget"))
     return j.groupBy("budget").agg(F.max("lane").alias("lane"), F.max("score").alias("score"), F.max("total").alias("total"))
@@ -61,7 +56,7 @@ def miss_budget(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
 
 def certified_cut(df: DataFrame, tolerance: float, confidence: float = 0.95) -> DataFrame:
     """The widest lane whose Clopper-Pearson bound on the miss rate is within tolerance."""
-    c = by_score(df).withColumns({"lane": F.sum("n").over(up()), "misses": F.sum("p").over(up())})
+    c = curve(df).withColumnRenamed("hits", "misses")
     c = c.withColumn("bound", upper_bound(confidence)("misses", "lane")).filter(F.col("bound") <= tolerance)
     return c.agg(F.max(F.struct("lane", "score", "misses", "bound")).alias("x")).select("x.*")
 
@@ -90,7 +85,7 @@ def score_bands(df: DataFrame, width: int) -> DataFrame:
 
 def reliability(df: DataFrame, bins: int, least: int, scale: float) -> DataFrame:
     """Bins of equal counts by exact quantile edges: mean score against the rate."""
-    edges = df.agg(F.percentile("score", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"))
+    edges = quantiles(df, "score", [i / bins for i in range(1, bins)]).withColumnRenamed("q", "e")
     b = F.size(F.filter("e", lambda e: e < F.col("score")))
     a = df.join(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), (F.sum("score") / F.count("*") / scale).alias("mean_score"), F.avg("y").alias("rate"))
     return a.filter(F.col("n") >= least)
@@ -103,23 +98,35 @@ def ece(bins: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, *keys: str) -> DataFrame:
     """Chance that a positive outscores a negative, ties for a half. All in whole numbers
     until the last division."""
-    w = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     c = by_score(df, *keys).withColumn("neg", F.col("n") - F.col("p"))
-    c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    if keys:
+        w = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+        c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    else:
+        c = running(c, F.col("score"), {"below": F.col("neg")}, before=True)
     a = c.groupBy(*keys).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("neg"))).alias("wins"), F.sum("p").alias("pos"), F.sum("neg").alias("neg"))
     return a.select(*keys, "pos", "neg", (F.col("wins") / (2 * F.nullif(F.col("pos") * F.col("neg"), F.lit(0)))).alias("auc"))
 
 
 def pr_auc(df: DataFrame) -> DataFrame:
     """Step-wise average precision over distinct scores."""
-    c = by_score(df).withColumns({"tp": F.sum("p").over(down()), "k": F.sum("n").over(down()), "pos": F.sum("p").over(everything())})
-    return c.agg(F.sum(F.col("p") / F.col("pos") * F.col("tp") / F.col("k")).alias("ap"))
+    c = curve(df, descending=True)
+    return c.agg(F.sum(F.col("p") / F.col("hits_all") * F.col("hits") / F.col("lane")).alias("ap"))
 
 
 def ks(df: DataFrame) -> DataFrame:
-    c = by_score(df).withColumn("q", F.col("n") - F.col("p"))
-    c = c.withColumns({"cp": F.sum("p").over(up()) / F.sum("p").over(everything()), "cq": F.sum("q").over(up()) / F.sum("q").over(everything())})
-    return c.agg(F.max(F.abs(F.col("cp") - F.col("cq"))).alias("ks"))
+    c = curve(df)
+    cp, cq = F.col("hits") / F.col("hits_all"), (F.col("lane") - F.col("hits")) / (F.col("lane_all") - F.col("hits_all"))
+    return c.agg(F.max(F.abs(cp - cq)).alias("ks"))
+
+
+def losses(df: DataFrame, probability: Column, least: float = 1e-15) -> DataFrame:
+    """One row: n, base_rate, auc, gini, brier and log_loss of scores that are ordered as
+    ``probability`` is; probabilities are kept ``least`` away from 0 and 1."""
+    p = F.greatest(F.least(probability, F.lit(1 - least)), F.lit(least))
+    y = F.col("y").cast("double")
+    one = df.agg(F.count("*").alias("n"), F.avg(y).alias("base_rate"), F.avg((probability - y) * (probability - y)).alias("brier"), (-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
+    return one.join(F.broadcast(roc_auc(df).select("auc"))).select("n", "base_rate", "auc", (2 * F.col("auc") - 1).alias("gini"), "brier", "log_loss")
 
 
 def bootstrap_auc(df: DataFrame, key: str, rounds: int = 100, seed: int = 7) -> DataFrame:
@@ -158,7 +165,7 @@ def decision_metrics(c: DataFrame) -> DataFrame:
 
 def metric_sweep(df: DataFrame, grid: int) -> DataFrame:
     """f1 at ``grid`` quantile thresholds; the grid joins cumulative counts by score."""
-    edges = df.agg(F.percentile("score", F.array(*[F.lit(i / grid) for i in range(grid)])).alias("e")).select(F.explode(F.array_distinct("e")).alias("threshold"))
+    edges = quantiles(df, "score", [i / grid for i in range(grid)]).select(F.explode(F.array_distinct("q")).alias("threshold"))
     t = df.agg(F.sum(F.col("y").cast("long")).alias("pos"))
     j = by_score(df).join(F.broadcast(edges), F.col("score") >= F.col("threshold")).groupBy("threshold").agg(F.sum("n").alias("k"), F.sum("p").alias("tp")).join(F.broadcast(t))
     return j.select("threshold", (2 * F.col("tp") / (F.col("k") + F.col("pos"))).alias("f1"))
@@ -166,13 +173,12 @@ def metric_sweep(df: DataFrame, grid: int) -> DataFrame:
 
 def metric_grid(df: DataFrame, grid: int = 600) -> DataFrame:
     """Metrics at the distinct ones of ``grid`` quantiles from 0.0005 to 0.9995, and which
-    threshold has the best f1 and the best mcc, the lowest of equals. Windows see a row for
-    each score and threshold."""
+    threshold has the best f1 and the best mcc, the lowest of equals."""
     at = [0.0005 + 0.999 * i / (grid - 1) for i in range(grid)]
-    edges = df.agg(F.percentile("score", F.array(*map(F.lit, at))).alias("e")).select(F.explode(F.array_distinct("e")).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
+    edges = quantiles(df, "score", at).select(F.explode(F.array_distinct("q")).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
     both = by_score(df).select(F.col("score").cast("double").alias("score"), "n", "p", F.lit(False).alias("edge")).unionByName(edges)
-    upto = W.orderBy(F.desc("score"), "edge").rowsBetween(W.unboundedPreceding, 0)
-    c = both.withColumns({"k": F.sum("n").over(upto), "tp": F.sum("p").over(upto), "total": F.sum("n").over(everything()), "pos": F.sum("p").over(everything())}).filter("edge")
+    both = both.groupBy("score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("edge").alias("edge"))
+    c = running(both, F.col("score"), {"k": F.col("n"), "tp": F.col("p")}, descending=True).filter("edge").withColumnsRenamed({"k_all": "total", "tp_all": "pos"})
     k, tp, total, pos = (F.col(x).cast("double") for x in ("k", "tp", "total", "pos"))
     div = lambda a, b, none: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(none))
     fp, fn, tn = k - tp, pos - tp, total - pos - k + tp
@@ -181,21 +187,19 @@ def metric_grid(df: DataFrame, grid: int = 600) -> DataFrame:
         F.col("score").alias("threshold"), div(tp, k, 1.0).alias("precision"), recall.alias("recall"), specificity.alias("specificity"), div(2 * tp, k + pos, 0.0).alias("f1"),
         ((tp + tn) / total).alias("accuracy"), ((recall + specificity) / 2).alias("balanced"), div(tp * tn - fp * fn, F.sqrt(k * pos * (total - pos) * (total - k)), 0.0).alias("mcc"),
     )
-    best = lambda x: (F.max(F.struct(x, -F.col("threshold"))).over(everything()) == F.struct(x, -F.col("threshold"))).alias(f"best_{x}")
+    best = lambda x: (F.max(F.struct(x, -F.col("threshold"))).over(W.partitionBy()) == F.struct(x, -F.col("threshold"))).alias(f"best_{x}")
     return m.select("*", best("f1"), best("mcc"))
 
 
 def gain_lift(df: DataFrame) -> DataFrame:
     """From the highest score down: share of alerts, share of positives, and lift."""
-    c = by_score(df)
-    g = c.withColumns({"share": F.sum("n").over(down()) / F.sum("n").over(everything()), "gain": F.sum("p").over(down()) / F.sum("p").over(everything())})
+    g = curve(df, descending=True).select("score", (F.col("lane") / F.col("lane_all")).alias("share"), (F.col("hits") / F.col("hits_all")).alias("gain"))
     return g.select("score", "share", "gain", (F.col("gain") / F.col("share")).alias("lift"))
 
 
 def lane_purity(df: DataFrame) -> DataFrame:
     """From the lowest score up: the lane's share and how much of it is negative."""
-    c = by_score(df).withColumns({"lane": F.sum("n").over(up()), "misses": F.sum("p").over(up()), "total": F.sum("n").over(everything())})
-    return c.select("score", (F.col("lane") / F.col("total")).alias("share"), (1 - F.col("misses") / F.col("lane")).alias("purity"))
+    return curve(df).select("score", (F.col("lane") / F.col("lane_all")).alias("share"), (1 - F.col("hits") / F.col("lane")).alias("purity"))
 
 
 def score_band(p: Column) -> Column:

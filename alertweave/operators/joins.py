@@ -69,3 +69,8 @@ def fp_pairs(df: DataFrame, key: str = "id", parent: str = "parent_id") -> DataF
     dup = df.filter(F.col(parent).isNotNull()).select(*[F.col(c).alias(f"dup_{c}") for c in df.columns])
     can = df.select(*[F.col(c).alias(f"can_{c}") for c in df.columns])
     return dup.join(can, F.col(f"dup_{parent}") == F.col(f"can_{key}"))
+
+
+def report_mismatch(regrouped: DataFrame, reported: str = "reported") -> DataFrame:
+    """Containers that report artifacts of which none was found."""
+    return regrouped.filter((F.col(reported) > 0) & (F.col("found") == 0))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+COMMON = 1000
+
+
 def words(text: Column) -> Column:
     """Lower-case words of two characters or more, accents removed where they combine."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
@@ -14,8 +17,9 @@ def words(text: Column) -> Column:
 
 def weights(docs: DataFrame, key: str, tokens: Column, grams: int = 2, min_df: int = 2) -> DataFrame:
     """(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length for each document; terms in
-    fewer than ``min_df`` documents are left out. Document frequencies join as an ordinary
-    table, so the vocabulary may be of any size."""
+    fewer than ``min_df`` documents are left out. Terms of at least a ``COMMON``-th of all
+    documents are broadcast: there are at most COMMON times the mean number of a document's
+    distinct terms. The others join as an ordinary table, where no term is a hot key."""
     t = docs.select(key, tokens.alias("w"))
     terms = F.col("w")
     for n in range(2, grams + 1):
@@ -24,7 +28,12 @@ def weights(docs: DataFrame, key: str, tokens: Column, grams: int = 2, min_df: i
     tf = t.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     n = docs.agg(F.count_distinct(key).alias("n"))
-    w = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    often = df.join(F.broadcast(n)).filter(F.col("df") * COMMON >= F.col("n"))
+    marked = tf.join(F.broadcast(often.select("term", F.col("df").alias("often"))), "term", "left")
+    common = marked.filter("often is not null").select(key, "term", "tf", F.col("often").alias("df"))
+    rare = df.join(F.broadcast(n)).filter(F.col("df") * COMMON < F.col("n")).select("term", "df")
+    met = common.unionByName(marked.filter("often is null").select(key, "term", "tf").join(rare, "term"))
+    w = met.join(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / length).alias("weight"))
 
@@ -35,6 +44,6 @@ def _grams(n: int) -> Column:
 
 def top_terms(weights: DataFrame, coefficients: DataFrame, key: str, k: int = 12) -> DataFrame:
     """The ``k`` terms of each document that move its score most, with their share."""
-    c = weights.join(coefficients, "term").withColumn("contribution", F.col("weight") * F.col("coef"))
+    c = weights.join(coefficients, "term").withColumn("contribution", F.round(F.col("weight") * F.col("coef"), 9))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "term"))
     return c.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "term", "contribution", "rank")

@@ -192,3 +192,30 @@ def entity_baseline(daily: DataFrame, key: str, days: int = 7, least: int = 3) -
 def usecase_dedup(df: DataFrame, keys: Sequence[str], time: str, tie: str, seconds: int) -> DataFrame:
     """Duplicate if the same rule and source fired within the window before."""
     return recurrence(df, time, keys, tie).withColumn("duplicate", F.coalesce(F.col("gap") <= seconds, F.lit(False)))
+
+
+def hold_and_sort(df: DataFrame, key: str, time: str, order: str, quiet_seconds: float) -> DataFrame:
+    """Rows of a key are held until none has come for ``quiet_seconds``, then released together
+    in ``order``. Adds batch (from 0), place (from 1), held (rows of the batch) and
+    released_at; the first of a batch is its origin."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    w = W.partitionBy(key).orderBy(time, order)
+    opens = F.coalesce((at - F.lag(at).over(w)) > F.lit(int(quiet_seconds * 1e6)), F.lit(False))
+    df = df.withColumn("__opens", opens.cast("long")).withColumn("batch", F.sum("__opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__opens")
+    b = W.partitionBy(key, "batch")
+    last = F.timestamp_micros(F.max(at).over(b) + F.lit(int(quiet_seconds * 1e6)))
+    return df.withColumns({"place": F.row_number().over(b.orderBy(order)), "held": F.count("*").over(b), "released_at": last})
+
+
+def indicator_frame(df: DataFrame) -> DataFrame:
+    """Each verdict row with its day's indicators: the rule's volume z, whether the rule runs
+    fast, and the market's breadth, each with its bin; null where there is no support. The
+    indicators are small tables of rule and day, joined on their keys."""
+    daily = per_rule_days(df)
+    w = lambda n: W.partitionBy("rule").orderBy("day").rowsBetween(-n + 1, 0)
+    mean = lambda n, least: F.when(F.count("n").over(w(n)) >= least, F.avg("n").over(w(n)))
+    z = volume_z(daily).withColumn("z", F.round("z", 9)).withColumn("fast_high", mean(7, 4) > mean(28, 10)).select("rule", "day", "z", "fast_high")
+    out = df.withColumn("day", F.to_date("t")).join(z, ["rule", "day"], "left").join(breadth(daily), "day", "left")
+    z_bin = F.when(F.col("z") <= -1, "z <= -1").when(F.col("z") <= -0.5, "-1 to -0.5").when(F.col("z") <= 0.5, "-0.5 to 0.5").when(F.col("z") <= 1, "0.5 to 1").when(F.col("z") <= 2, "1 to 2").when(F.col("z").isNotNull(), "z > 2")
+    breadth_bin = F.when(F.col("breadth") <= -5, "<= -5").when(F.col("breadth") <= 0, "-5 to 0").when(F.col("breadth") <= 5, "0 to 5").when(F.col("breadth") <= 10, "5 to 10").when(F.col("breadth").isNotNull(), "> 10")
+    return out.withColumns({"z_bin": z_bin, "regime": F.when(F.col("fast_high"), "fast").when(~F.col("fast_high"), "slow"), "breadth_bin": breadth_bin})

@@ -31,6 +31,34 @@ def on(body: str) -> str:
     return with_views("alerts", PAIRS + body)
 
 
+def lcs_sql(pairs: str, name: str = "ratio") -> str:
+    """x, y, r for the text pairs of a relation: the token-sort ratio. The longest common
+    subsequence goes a character of y at a time, with a bit for each character of x."""
+    return f""", tx AS (SELECT DISTINCT x, y, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(x), '\\s+'), lambda t: t <> '')), ' ') AS a, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(y), '\\s+'), lambda t: t <> '')), ' ') AS b FROM {pairs}),
+lcs AS (SELECT x, y, a, b, 0 AS i, (1::HUGEINT << length(a)) - 1 AS bits FROM tx UNION ALL
+ SELECT x, y, a, b, i + 1, ((bits + (bits & m)) | (bits - (bits & m))) & ((1::HUGEINT << length(a)) - 1)
+ FROM (SELECT *, coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda k: CASE WHEN a[k] = b[i + 1] THEN 1::HUGEINT << (k - 1) ELSE 0::HUGEINT END)), 0)::HUGEINT AS m FROM lcs WHERE i < length(b))),
+{name} AS (SELECT x, y, CASE WHEN length(a) + length(b) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * (length(a) - bit_count(bits)) / (length(a) + length(b)) END AS r FROM lcs WHERE i = length(b))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+L2 = (
+    """, l AS (SELECT a.* FROM a JOIN l1 USING (alert_id) WHERE l1.verdict = 'NEW'),
+s2 AS (SELECT customer, bucket, alert_name, user_name, ip, domain, arg_min(alert_id, (ts, alert_id)) AS fid, min(ts) AS fts FROM a GROUP BY ALL),
+sa AS (SELECT DISTINCT customer, bucket, alert_name, user_name, ip, domain FROM l),
+sp AS (SELECT sa.*, s2.user_name AS user_b, s2.ip AS ip_b, s2.domain AS domain_b, fid, fts FROM sa JOIN s2 ON sa.customer = s2.customer AND sa.bucket = s2.bucket AND sa.alert_name <> s2.alert_name),
+vp AS (SELECT user_name AS x, user_b AS y FROM sp UNION SELECT ip, ip_b FROM sp UNION SELECT domain, domain_b FROM sp)"""
+    + lcs_sql("vp")
+    + """, sc AS (SELECT sp.*, round((round(u.r, 2) + round(i.r, 2) + round(d.r, 2)) / 3, 2) AS score FROM sp JOIN ratio u ON u.x = user_name AND u.y = user_b JOIN ratio i ON i.x = ip AND i.y = ip_b JOIN ratio d ON d.x = domain AND d.y = domain_b),
+m2 AS (SELECT l.alert_id, max(score) AS score, arg_min(fid, (-score, fts, fid)) AS mid FROM l JOIN sc USING (customer, bucket, alert_name, user_name, ip, domain) WHERE score >= 80 AND (fts, fid) < (l.ts, l.alert_id) GROUP BY l.alert_id),
+l2 AS (SELECT l.alert_id, CASE WHEN mid IS NULL THEN 'NEW' ELSE 'SIMILAR' END AS verdict, coalesce(score, 0.0::DOUBLE) AS score, mid AS matched_alert_id FROM l LEFT JOIN m2 USING (alert_id))"""
+)
+BOTH = L2 + ", dd AS (SELECT l1.alert_id, CASE WHEN l1.verdict = 'DUPLICATE' THEN 'DUPLICATE' ELSE l2.verdict END AS verdict, CAST(CASE WHEN l1.verdict = 'DUPLICATE' THEN 1 WHEN l2.verdict = 'SIMILAR' THEN 2 ELSE 0 END AS INTEGER) AS layer, coalesce(l1.matched_alert_id, l2.matched_alert_id) AS matched_alert_id FROM l1 LEFT JOIN l2 USING (alert_id))"
+
+
 @query(on(" SELECT alert_id, verdict, confidence, matched_alert_id FROM l1"))
 def dedup_l1(spark, d):
     return D.dedup_l1(fingerprints(spark, d))
@@ -56,13 +84,13 @@ def l1_confidence(spark, d):
     return A.count_by(D.l1_candidates(fingerprints(spark, d)), "confidence")
 
 
-@query()
+@query(recursive(on(L2 + " SELECT alert_id, verdict, score, matched_alert_id FROM l2")))
 def dedup_l2(spark, d):
     fp = fingerprints(spark, d)
     return D.dedup_l2(fp, VALUES, D.dedup_l1(fp))
 
 
-@query()
+@query(recursive(on(BOTH + " SELECT alert_id, verdict, layer, matched_alert_id FROM dd")))
 def dedup(spark, d):
     return D.dedup(fingerprints(spark, d), VALUES)
 
@@ -73,6 +101,24 @@ def dedup_dashboard(spark, d):
     return v.groupBy("verdict", "alert_name").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
 
 
+@query(recursive(on(BOTH + """, x AS (SELECT dd.verdict, dd.layer, alert_name AS rule, CASE k % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' ELSE '' END AS severity, l1.confidence, k % 4 = 0 AS bare FROM dd JOIN alerts USING (alert_id) JOIN l1 USING (alert_id)),
+f AS (SELECT 'total' AS section, '' AS item, '' AS kind FROM x UNION ALL SELECT 'verdicts', verdict, '' FROM x UNION ALL SELECT 'layers', CAST(layer AS VARCHAR), '' FROM x
+ UNION ALL SELECT 'severity', CASE severity WHEN '' THEN 'UNKNOWN' ELSE severity END, verdict FROM x UNION ALL SELECT 'confidence', CASE WHEN confidence = 1 THEN '100.0' ELSE '0.0' END, '' FROM x
+ UNION ALL SELECT 'slots', unnest(['ip', 'domain']), CASE WHEN confidence = 1 THEN 'matched' ELSE 'missed' END FROM x WHERE NOT bare UNION ALL SELECT 'data_quality', '', '' FROM x WHERE bare
+ UNION ALL SELECT 'rules', rule, verdict FROM x JOIN (SELECT rule FROM x GROUP BY rule ORDER BY count(*) DESC, rule LIMIT 15) USING (rule))
+SELECT section, item, kind, count(*) AS n FROM f GROUP BY ALL""")))
+def dedup_dashboard_full(spark, d):
+    fp = fingerprints(spark, d)
+    v = D.dedup(fp, VALUES).join(D.dedup_l1(fp).select("alert_id", "confidence"), "alert_id").join(alerts(spark, d).select("alert_id", "alert_name", "k"), "alert_id")
+    k, hit, none = F.col("k"), F.col("confidence") == 1, F.array().cast("array<string>")
+    slots = F.when(k % 4 == 0, none).otherwise(F.array(F.lit("ip"), F.lit("domain")))
+    entries = v.select(
+        "verdict", "layer", F.col("alert_name").alias("rule"), F.when(k % 3 == 0, "High").when(k % 3 == 1, "Low").otherwise("").alias("severity"), "confidence",
+        F.when(hit, slots).otherwise(none).alias("matched_slots"), F.when(~hit, slots).otherwise(none).alias("missed_slots"), slots.alias("filled_slots"),
+    )
+    return D.dashboard(entries)
+
+
 def _pairs(spark, d):
     v = D.dedup_l1(fingerprints(spark, d))
     a = alerts(spark, d).join(v.select("alert_id", F.col("matched_alert_id").alias("parent")), "alert_id")
@@ -151,11 +197,40 @@ def keyed(a):
     return a.select("alert_id", "ts", ms.alias("ms"), T.composite_keys(sources, F.array("domain"), F.col("alert_name"), b).alias("keys"), "domain", "alert_name", b.alias("bucket"))
 
 
-@query()
+KEYS = """, r AS (SELECT alert_id, domain, alert_name, epoch_ms(ts) // 1800000 AS bucket, CASE WHEN k % 5 = 0 THEN list_sort([ip, user_name]) ELSE [ip] END AS s, row_number() OVER (PARTITION BY domain, alert_name, epoch_ms(ts) // 1800000 ORDER BY epoch_ms(ts), alert_id) AS rn FROM alerts),
+st AS (SELECT DISTINCT domain, alert_name, bucket, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS ks, CAST([] AS BIGINT[]) AS ids, CAST(NULL AS BIGINT) AS alert_id, CAST(NULL AS BIGINT) AS dup, CAST(0 AS BIGINT) AS added FROM r UNION ALL
+ SELECT domain, alert_name, bucket, rn, ks || new, ids || list_transform(new, lambda x: alert_id), alert_id, dup, len(new) FROM (
+  SELECT r.domain, r.alert_name, r.bucket, r.rn, st.ks, st.ids, r.alert_id,
+   CASE WHEN list_contains(ks, s[1]) THEN ids[list_position(ks, s[1])] WHEN list_contains(ks, s[2]) THEN ids[list_position(ks, s[2])] END AS dup,
+   CASE WHEN list_contains(ks, s[1]) THEN [] WHEN len(s) = 1 OR list_contains(ks, s[2]) THEN [s[1]] ELSE s END AS new
+  FROM st JOIN r ON r.domain = st.domain AND r.alert_name = st.alert_name AND r.bucket = st.bucket AND r.rn = st.rn + 1))"""
+
+
+@query(recursive(with_views("alerts", KEYS + " SELECT alert_id, dup AS duplicate_of FROM st WHERE rn > 0")))
 def hash_dedup(spark, d):
     return D.hash_dedup(keyed(alerts(spark, d)), 1_800_000, ["domain", "alert_name", "bucket"])
 
 
+@query(recursive(with_views("alerts", KEYS + """, p AS (SELECT bucket, count(*) AS n, count(dup) AS d, CAST(sum(added) AS BIGINT) AS active_entries FROM st WHERE rn > 0 GROUP BY bucket),
+c AS (SELECT bucket, active_entries, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS total, CAST(sum(d) OVER (ORDER BY bucket) AS BIGINT) AS duplicates FROM p)
+SELECT bucket, total, total - duplicates AS new, duplicates, active_entries, round(duplicates / total * 100, 1) AS dedup_rate FROM c""")))
+def key_statistics(spark, d):
+    a = keyed(alerts(spark, d))
+    judged = D.key_verdicts(a, 1_800_000, ["domain", "alert_name", "bucket"]).join(a.select("alert_id", "bucket"), "alert_id")
+    return D.key_statistics(judged)
+
+
+@query(on(FP + " SELECT dup, CASE WHEN xk = yk THEN 100.0 ELSE round((100 + 100 + 80) / 3, 2) END::DOUBLE AS score FROM fp"))
+def context_similarity(spark, d):
+    """One identity with a name and a sector, one indicator with a pattern."""
+    weights = {"identity": {"name": 60.0, "sector": 20.0, "roles": 20.0}, "indicator": {"pattern": 80.0, "valid_from": 20.0}}
+    obj = lambda kind, **p: F.struct(F.lit(kind).alias("type"), F.create_map(*[x for n, v in p.items() for x in (F.lit(n), v)]).alias("props"))
+    k = lambda s: F.col(f"{s}_k").cast("string")
+    side = lambda s: F.array(obj("identity", name=F.lit("n"), sector=F.lit("s")), obj("indicator", pattern=F.col(f"{s}_ip"), valid_from=F.lit("x")), obj("malware", name=k(s)), obj("identity", name=F.lit("other"), sector=k(s), roles=F.lit("r")))
+    # two identities: the first agrees in all, the other in name and role but for the sector
+    return _pairs(spark, d).select(F.col("dup_alert_id").alias("dup"), F.round(D.context_similarity(side("dup"), side("can"), weights), 2).alias("score"))
+
+
 @query(with_views("alerts", "SELECT alert_id, CASE k % 5 WHEN 0 THEN 'pre_extracted' WHEN 1 THEN 'endpoint' WHEN 2 THEN 'siem' WHEN 3 THEN 'cloud_siem' ELSE 'generic' END AS vendor, ip AS sources, CASE k % 5 WHEN 0 THEN '9.9.9.9,' || domain WHEN 1 THEN '9.9.9.9' WHEN 3 THEN '' ELSE domain END AS dests, alert_name AS category FROM alerts"))
 def vendor_extract(spark, d):
     a = alerts(spark, d)

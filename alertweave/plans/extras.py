@@ -55,7 +55,8 @@ def text_windows(spark, d):
     return X.text_windows(table(spark, d, "documents"), "doc_id", "text", 600, 500)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, doc_id % 64 AS b, CAST(doc_id AS VARCHAR) || ':' || format('{:,.9f}', n_chars / 7) AS l FROM documents), h AS (SELECT b, sha256(string_agg(l, chr(10) ORDER BY doc_id)) AS h FROM l GROUP BY b)
+SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM h""")
 def score_fingerprint(spark, d):
     return X.score_fingerprint(table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 7).alias("score")), "doc_id", "score")
 

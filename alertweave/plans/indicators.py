@@ -10,6 +10,7 @@ from ..operators import bundles as B
 from ..operators import filters
 from ..operators import tfidf as TF
 from ..sources.views import alerts, bundles, table, with_views
+from .dedups import lcs_sql
 from .registry import query
 
 IPS = "CASE k % 4 WHEN 0 THEN ' 010.000.' || CAST(k AS VARCHAR) || '.7/24 ' WHEN 1 THEN 'FE80::' || CAST(k AS VARCHAR) WHEN 2 THEN '1.2.x.' || CAST(k AS VARCHAR) ELSE '2001:DB8:0:0:1::/64' END"
@@ -75,9 +76,15 @@ def parse_kv(spark, d):
     return alerts(spark, d).select("alert_id", F.try_element_at(m, F.lit("src_ip")).alias("src_ip"), F.try_element_at(m, F.lit("title")).alias("title"), F.try_element_at(m, F.lit("user")).alias("user_name"))
 
 
-@query("SELECT * FROM (VALUES ('src_user', true), ('userName', true), ('user_priority', false), ('accountName', true), ('dest_ip', false), ('ownerEmail', false)) v(key, identity)")
+WORDS_OF_PAGES = "SELECT DISTINCT unnest(regexp_extract_all(html || ' userName=x src_user user_priority ownerEmail' || page_id, '[A-Za-z][A-Za-z0-9_-]*')) AS key FROM pages"
+SEAMS = "list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(key, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda t: t <> ''), lambda t: lower(t))"
+
+
+@query(f"WITH k AS ({WORDS_OF_PAGES}) SELECT key, list_has_any({SEAMS}, {T.NAME_TOKENS}) AND NOT list_has_any({SEAMS}, {T.OTHER_TOKENS}) AS identity FROM k")
 def identity_fields(spark, d):
-    keys = spark.range(1).select(F.explode(F.array(*map(F.lit, ["src_user", "userName", "user_priority", "accountName", "dest_ip", "ownerEmail"]))).alias("key"))
+    """The attribute names and words of pages that name a person or account."""
+    p = table(spark, d, "pages").select(F.concat("html", F.lit(" userName=x src_user user_priority ownerEmail"), F.col("page_id").cast("string")).alias("t"))
+    keys = p.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z][A-Za-z0-9_-]*"), F.lit(0))).alias("key")).distinct()
     return keys.select("key", T.is_identity_key(F.col("key")).alias("identity"))
 
 
@@ -185,12 +192,20 @@ def tfidf(spark, d):
     return TF.weights(docs, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)), grams=1).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query()
+TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]{2,}')"
+TW = f"""WITH w AS (SELECT doc_id, {TERMS} AS ws FROM documents)"""
+
+
+@query(TW + """, t AS (SELECT DISTINCT doc_id, unnest(ws) AS term FROM w UNION SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+f AS (SELECT term FROM t GROUP BY term HAVING count(*) >= 2) SELECT doc_id, count(*) AS terms FROM t JOIN f USING (term) GROUP BY doc_id""")
 def tfidf_bigrams(spark, d):
     return TF.weights(table(spark, d, "documents"), "doc_id", TF.words(F.col("text")), grams=2).groupBy("doc_id").agg(F.count("*").alias("terms"))
 
 
-@query()
+@query(TW + """, u AS (SELECT doc_id, unnest(ws) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS n FROM u GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), nn AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+x AS (SELECT doc_id, term, (1 + ln(tf.n)) * (ln((1 + nn.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), nn), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY doc_id), y AS (SELECT doc_id, term, w / l AS weight FROM x JOIN l USING (doc_id)),
+c AS (SELECT term, avg(weight) - 0.05 AS coef FROM y GROUP BY term), z AS (SELECT doc_id, term, round(weight * coef, 9) AS contribution FROM y JOIN c USING (term)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, term) AS INTEGER) AS rank FROM z) SELECT doc_id, term, contribution, rank FROM r WHERE rank <= 12""")
 def top_terms(spark, d):
     docs = table(spark, d, "documents")
     w = TF.weights(docs, "doc_id", TF.words(F.col("text")), grams=1)
@@ -198,19 +213,29 @@ def top_terms(spark, d):
     return TF.top_terms(w, coef, "doc_id", 12)
 
 
-@query(with_views("alerts", "SELECT alert_id, CASE WHEN k % 2 = 0 THEN true ELSE ip IN ('8.8.8.8') OR ip LIKE '10.%' END AS ip_blocked, k % 3 = 0 AS domain_blocked FROM alerts"))
+OTHERS = ["10.1.2.3", "172.16.9.9", "172.32.0.1", "192.168.7.7", "169.254.0.9", "93.184.0.1", "8.8.8.80"]
+SUFFIXES = ["", "www.", "a.b.", "not"]
+
+
+@query(with_views("alerts", f""", x AS (SELECT alert_id, CAST({[*T.COMMON_ADDRESSES, *OTHERS]} AS VARCHAR[])[1 + alert_id % {len(T.COMMON_ADDRESSES) + len(OTHERS)}] AS ip, CAST({SUFFIXES} AS VARCHAR[])[1 + alert_id % 4] || CAST({[*T.COMMON_DOMAINS, 'h0.test']} AS VARCHAR[])[1 + alert_id // 4 % {len(T.COMMON_DOMAINS) + 1}] AS dom FROM alerts)
+SELECT alert_id, ip IN ({str(T.COMMON_ADDRESSES)[1:-1]}) OR ip LIKE '10.%' OR ip LIKE '192.168.%' OR ip LIKE '169.254.%' OR regexp_matches(ip, '^172[.](1[6-9]|2[0-9]|3[01])[.]') AS ip_blocked,
+ regexp_matches(dom, '(^|[.])({'|'.join(x.replace('.', '[.]') for x in T.COMMON_DOMAINS)})$') AS domain_blocked FROM x"""))
 def ioc_blocklist(spark, d):
-    ip, dom = F.when(F.col("k") % 2 == 0, "192.168.1.1").otherwise(F.col("ip")), F.when(F.col("k") % 3 == 0, "d1.cloudfront.net").otherwise(F.col("domain"))
+    """All listed addresses and domains, their neighbours, subdomains and look-alikes."""
+    pick = lambda xs, i: F.get(F.array(*map(F.lit, xs)), (i % len(xs)).cast("int"))
+    i = F.col("alert_id")
+    ip = pick([*T.COMMON_ADDRESSES, *OTHERS], i)
+    dom = F.concat(pick(SUFFIXES, i), pick([*T.COMMON_DOMAINS, "h0.test"], F.floor(i / 4)))
     return alerts(spark, d).select("alert_id", T.blocked_ioc(F.lit("ip"), ip).alias("ip_blocked"), T.blocked_ioc(F.lit("domain"), dom).alias("domain_blocked"))
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS a, e.vec_id AS b, list_dot_product(q.embedding, e.embedding) / sqrt(list_dot_product(q.embedding, q.embedding) * list_dot_product(e.embedding, e.embedding)) AS c FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id)
-SELECT a, count(*) AS n FROM p WHERE c >= 0.1 GROUP BY a""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id, v FROM e WHERE vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS a, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS c FROM q JOIN e ON e.vec_id IS DISTINCT FROM q.vec_id)
+SELECT q.vec_id AS a, (SELECT count(*) FROM p WHERE p.a = q.vec_id AND c >= 0.2) AS n FROM (SELECT DISTINCT vec_id FROM q) q""")
 def cosine_match(spark, d):
-    """Each twentieth vector against the vectors of its label."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = e.filter("vec_id % 20 = 0").toDF("a", "label", "qe")
-    return q.join(e, "label").filter("a <> vec_id").filter(S.cosine(F.col("qe"), F.col("e")) >= 0.1).groupBy("a").agg(F.count("*").alias("n"))
+    """Each twentieth vector against all vectors at 0.2; 0 without a match."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return S.cosine_counts(e.filter("vec_id % 20 = 0"), e, 0.2)
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id, v FROM e WHERE vec_id % 20 = 0),
@@ -222,13 +247,14 @@ def cosine_match_all(spark, d):
     return S.cosine_counts(e.filter("vec_id % 20 = 0"), e, 0.1)
 
 
-@query()
+@query("""WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM e GROUP BY ALL), l AS (SELECT label, sqrt(sum(m * m)) AS l FROM m GROUP BY label)
+SELECT label, i - 1 AS dim, round(m / l, 6) AS x FROM m JOIN l USING (label)""")
 def embedding_pool(spark, d):
-    """Mean of the vectors of a label, scaled to unit length."""
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    m = e.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    norm = m.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("len"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    return norm.select("label", F.transform("v", lambda x: x / F.col("len")).alias("pooled"))
+    """Mean of the vectors of a label, scaled to unit length, a row for each dimension."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    m = e.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    length = m.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("len"))
+    return m.join(length, "label").select("label", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("m") / F.col("len"), 6).alias("x"))
 
 
 @query(with_views("alerts", "SELECT alert_id, CASE WHEN k % 3 = 0 THEN 1.0 WHEN k % 3 = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS grounded FROM alerts"))
@@ -242,7 +268,7 @@ def groundedness(spark, d):
     return alerts(spark, d).select("alert_id", score.alias("grounded"))
 
 
-@query()
+@query("WITH RECURSIVE q AS (SELECT p_partkey, p_name AS x, p_brand || ' ' || p_name AS y FROM part)" + lcs_sql("q") + " SELECT p_partkey, round(r, 2) AS ratio FROM q JOIN ratio USING (x, y)")
 def token_sort_ratio(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_brand", "p_name").alias("other"))
     return p.select("p_partkey", F.round(S.token_sort_ratio("p_name", "other"), 2).alias("ratio"))
@@ -254,14 +280,17 @@ def entity_spans(docs, size=600, step=500):
     it whole. Words that no overlap holds are found in the whole text."""
     n, least = F.length("text"), size - step - 1
     wins = docs.filter("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(step))).alias("at"), "text", n.alias("n")).select("doc_id", "at", "n", F.expr(f"substring(text, at + 1, {size})").alias("w"))
-    found = wins.select("doc_id", "at", "n", F.explode(T.spans(F.col("w"), r"\b[A-Z][a-z]{5,}\b")).alias("m"))
+    found = wins.select("doc_id", "at", "n", F.explode(T.spans(F.col("w"), r"(?U)\b[A-Z][a-z]{5,}\b")).alias("m"))
     whole = ((F.col("m.first") > 0) | (F.col("at") == 0)) & ((F.col("m.end") < size) | (F.col("at") + F.col("m.end") == F.col("n")))
-    short = found.filter(whole).select("doc_id", F.col("m.found").alias("value"), (F.col("at") + F.col("m.first")).alias("start"))
-    wide = docs.select("doc_id", F.explode(T.spans(F.col("text"), rf"\b[A-Z][a-z]{{{max(5, least - 1)},}}\b")).alias("m")).select("doc_id", F.col("m.found").alias("value"), F.col("m.first").alias("start"))
+    short = found.filter(whole).select("doc_id", F.col("m.found").alias("value"), (F.col("at") + F.col("m.first")).cast("long").alias("start"))
+    wide = docs.select("doc_id", F.explode(T.spans(F.col("text"), rf"(?U)\b[A-Z][a-z]{{{max(5, least - 1)},}}\b")).alias("m")).select("doc_id", F.col("m.found").alias("value"), F.col("m.first").cast("long").alias("start"))
     return short.unionByName(wide)
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+') AS g, regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+') AS f FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, unnest(f) AS value, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM s WHERE len(f) > 0),
+p AS (SELECT doc_id, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY doc_id ORDER BY i) - length(value) AS BIGINT) AS start FROM i)
+SELECT doc_id, value, start, 1.0::DOUBLE AS score FROM p WHERE regexp_full_match(value, '[A-Z][a-z]{5,}')""")
 def span_dedupe(spark, d):
     """Entity spans of overlapping windows, in the text's own offsets: one of each label and
     place, the best scored."""

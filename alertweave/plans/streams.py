@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from ..sources.views import of_events, table
+from ..sources.views import of_events, table, with_views
 from ..streaming import dedup as S
-from .dedups import keyed
+from .dedups import KEYS, keyed, recursive
 from .registry import query
 
 
 def scratch(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='stream-')}"
     return f"{base.rstrip('/')}/stream/{name}-{uuid.uuid4().hex}"
 
 
@@ -30,12 +34,14 @@ def _events(spark, sf_dir: str):
     return spark.readStream.schema(e.schema).parquet(landing)
 
 
-@query()
+@query(recursive(with_views("alerts", KEYS + " SELECT alert_id, dup AS duplicate_of FROM st WHERE rn > 0")))
 def stream_hash_dedup(spark, d):
     return _ran(spark, S.hash_dedup_stream(keyed(of_events(_events(spark, d))), 1_800_000, ["domain", "alert_name", "bucket"]), "dedup")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_verdict_counts(spark, d):
-    """Windows that the watermark has closed; the newest stay open."""
-    return _ran(spark, S.verdict_counts(_events(spark, d), "ts", 30, "event_type"), "counts")
+    """All windows: closed ones, and open ones as they stand when the source is used up."""
+    path = scratch(spark, "counts")
+    counts = S.verdict_counts(_events(spark, d), "ts", 30, "event_type")
+    return S.run_updates(counts, f"{path}/out", f"{path}/state", ["start", "event_type"])

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.dedup import KeyStore
 
@@ -52,3 +53,18 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def run_updates(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Takes what the source has in update mode and returns each key's last row, so windows
+    that the watermark hasn't closed are in it too. A batch writes a folder of its own, which
+    a repeated batch overwrites."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = df.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+    rest = [c for c in df.columns if c not in keys]
+    return kept.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, *[F.col(f"x.{c}") for c in rest])

@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that it is given, and returns a
 DataFrame; all but the last return the columns of documents. Further columns of docs,
-whatever their names, are kept by the filtering stages.
+whatever their names and types, are kept by all stages but the last.
+
+Defined results: a null or empty text is scored like any other, is no near duplicate, is not
+contaminated, and gives the mix nothing, so it ends there; a null doc_id is kept as it is;
+repeated rows are rows each, but one of a group of near duplicates stays; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from alertweave.llm import common, decontamination, mixing, near_dedup, quality_
 def _aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """doc_id and text, and all columns under names of our own."""
     names = [f"__k{i}" for i in range(len(docs.columns))]
-    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]), names
+    return docs.select("doc_id", "text", *[common.column(c).alias(n) for c, n in zip(docs.columns, names)]), names
 
 
 def _back(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
@@ -44,7 +49,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts hold the words that the mix takes; what it takes twice comes in two rows."""
+    """Texts hold the words that the mix takes: a row for what one of its output shards takes
+    of a document in a pass over the source, so what is taken twice comes in two rows."""
     return mixing.mixed(docs)
 
 

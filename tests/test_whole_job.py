@@ -13,7 +13,7 @@ def test_cosine_match_crosses_labels(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label").collect()
     label = {r.vec_id: r.label for r in rows}
     got = {r.a: r.n for r in indicators.cosine_match_all(spark, sf_dir).collect()}
-    narrow = {r.a: r.n for r in indicators.cosine_match(spark, sf_dir).collect()}
+    narrow = {r.a: r.n for r in indicators.cosine_match(spark, sf_dir).collect()}  # the higher bound
     assert set(got) == {k for k in label if k % 20 == 0}
     assert all(got[a] >= n for a, n in narrow.items()) and sum(got.values()) > sum(narrow.values())
 
