@@ -4,11 +4,13 @@ Three stated patterns give the base spans. The method adds unlabelled stretches
 random: for each candidate the encoding is inferred from the characters it uses, and a
 battery of tests compares it with random draws from that alphabet: chi-squared uniformity,
 runs above and below the alphabet's middle, and serial correlation of neighbours. One that
-no test rejects gets a p-value under the opposite hypothesis, text-like character
-frequencies, where the chi-squared statistic grows with length; short stretches, which
-cannot tell the two apart, so need more. Benjamini-Hochberg over all candidates of the
-corpus then bounds the share of false discoveries; p-values are rounded up to tenths of a
-decade, so a histogram of bounded size decides.
+no test rejects gets a p-value under the opposite hypothesis, that it is written text or
+names: two more statistics, the repetition of characters (upper and lower case as one, as
+names mix them) and the switches between lower case, upper case, digits and marks, are
+compared with what text has, and their normal scores added. Both grow with length, so short
+stretches, which cannot tell the two apart, need more. Benjamini-Hochberg over all candidates
+of the corpus then bounds the share of false discoveries; p-values are rounded up to tenths
+of a decade, so a histogram of bounded size decides.
 
 A run with '+' or '/' and also '_' or '-' fits no alphabet; its parts in either alphabet are
 candidates instead. Of accepted parts, one inside another is not reported.
@@ -20,6 +22,8 @@ ignored; a candidate that overlaps a base span is not added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,8 @@ from . import common
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that pass
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"  # '=' only as padding: a name before it is no part
+MARK = "\x01"  # stands for what base spans cover
+CANDIDATE = r"[A-Za-z0-9+/_\x01-]{20,}={0,2}"  # '=' only as padding: a name before it is no part
 MIXED = r"[+/].*[_-]|[_-].*[+/]"  # runs that no alphabet holds as a whole, and their parts
 PARTS = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
@@ -47,8 +52,11 @@ ALPHABETS = [
     ("base64", "^[A-Za-z0-9+/]+$", DIGITS + UPPER + LOWER + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", DIGITS + UPPER + LOWER + "_-"),
 ]
-#: Sum of squared character frequencies of written text and of decimal numbers.
+#: Sums of squared and of cubed character frequencies of written text and of decimal numbers,
+#: and the share of neighbours in names whose kinds of character differ (a capital every six).
 TEXT_SQUARES, DECIMAL_SQUARES = 0.0655, 0.1
+TEXT_CUBES, DECIMAL_CUBES = 0.0055, 0.01
+SWITCHES = 1 / 3
 Z_BATTERY = 3.29
 FALSE_SHARE = 0.01
 DECADES = 40
@@ -58,22 +66,47 @@ def let(value: F.Column, body) -> F.Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_sums(values: F.Column, start: F.Column, step: int = 256) -> F.Column:
+    """The sum before each value. An array that grows element by element is copied each time,
+    so values are summed in blocks, and blocks by their sums."""
+    empty = F.array().cast("array<bigint>")
+
+    def of(xs: F.Column, at: F.Column) -> F.Column:
+        add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        return F.aggregate(xs, F.struct(at.alias("at"), empty.alias("out")), add)["out"]
+
+    def whole(v: F.Column) -> F.Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda k: F.slice(v, k * step + 1, F.lit(step)))
+        return let(blocks, lambda b: F.flatten(F.zip_with(of(F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y)), start), b, lambda at, x: of(x, at))))
+
+    return F.when(F.size(values) == 0, empty).otherwise(let(values, whole))
+
+
+def pieces(text: F.Column, pattern: str) -> F.Column:
+    """array<struct<gap, found>>: what stands before each match, and the match; the last has
+    no match."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+
 def matches(text: F.Column, pattern: str, keep=None) -> F.Column:
     """array<struct<first, end, found>> of the leftmost non-overlapping matches. The stretches
     between matches and the matches themselves give the offsets. ``keep`` takes a match."""
-    at0 = F.lit(0).cast("long")
-    empty = F.array().cast("array<struct<first:bigint,end:bigint,found:string>>")
+    kind = "array<struct<first:bigint,end:bigint,found:string>>"
+    size = lambda s: F.coalesce(F.char_length(s), F.lit(0)).cast("bigint")
+
+    def placed(z: F.Column) -> F.Column:
+        ends = running_sums(F.transform(z, lambda x: size(x["gap"]) + size(x["found"])), F.lit(0).cast("bigint"))
+        each = F.zip_with(z, ends, lambda x, at: F.struct((at + size(x["gap"])).alias("first"), (at + size(x["gap"]) + size(x["found"])).alias("end"), x["found"].alias("found")))
+        return F.filter(each, lambda x: x["found"].isNotNull() if keep is None else x["found"].isNotNull() & keep(x["found"]))
+
+    return F.when(text.rlike(pattern), let(pieces(text, pattern), placed).cast(kind)).otherwise(F.array().cast(kind))
 
-    def place(acc: F.Column, z: F.Column) -> F.Column:
-        first = acc["at"] + F.char_length(z["gap"])
-        end = first + F.coalesce(F.char_length(z["found"]), F.lit(0))
-        fine = z["found"].isNotNull() if keep is None else z["found"].isNotNull() & keep(z["found"])
-        item = F.struct(first.alias("first"), end.alias("end"), z["found"].alias("found"))
-        return F.struct(end.alias("at"), F.when(fine, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    got = F.aggregate(zipped, F.struct(at0.alias("at"), empty.alias("out")), place)["out"]
-    return F.when(text.rlike(pattern), got).otherwise(empty)
+def masked(text: F.Column, pattern: str, keep=None) -> F.Column:
+    """The text with each match replaced by as many marks."""
+    fine = lambda s: F.lit(True) if keep is None else keep(s)
+    each = lambda x: F.concat(x["gap"], F.when(x["found"].isNull(), "").when(fine(x["found"]), F.repeat(F.lit(MARK), F.char_length(x["found"]))).otherwise(x["found"]))
+    return F.when(text.rlike(pattern), F.array_join(F.transform(pieces(text, pattern), each), "")).otherwise(text)
 
 
 def normal_cdf(z: F.Column) -> F.Column:
@@ -112,7 +145,11 @@ def battery(s: F.Column) -> F.Column:
                 i, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("cross"), F.lit(None).cast("double").alias("was")),
                 lambda a, v: F.struct((a["s"] + v).alias("s"), (a["ss"] + v * v).alias("ss"), (a["cross"] + F.coalesce(a["was"] * v, F.lit(0.0))).alias("cross"), v.alias("was")),
             )
-            return F.struct(chi.alias("chi"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), sums.alias("sums"))
+            folded = F.split(F.lower(x["core"]), "")
+            again = F.aggregate(F.array_distinct(folded), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(folded, lambda w: w == v)).cast("double"), F.lit(2.0)))
+            kind = lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
+            turns = F.aggregate(F.split(x["core"], ""), F.struct(F.lit(-1.0).alias("n"), F.lit(-1).alias("was")), lambda a, c: F.struct(F.when(kind(c) == a["was"], a["n"]).otherwise(a["n"] + 1.0).alias("n"), kind(c).alias("was")))["n"]
+            return F.struct(again.alias("again"), turns.alias("turns"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), sums.alias("sums"))
 
         def verdict(t: F.Column) -> F.Column:
             mean = t["sums"]["s"] / n
@@ -120,9 +157,11 @@ def battery(s: F.Column) -> F.Column:
             ends = F.instr(x["letters"], F.substring(x["core"], 1, 1)).cast("double") + F.instr(x["letters"], F.substring(x["core"], -1, 1)).cast("double")
             cov = (t["sums"]["cross"] - mean * (2 * t["sums"]["s"] - ends) + (n - 1) * mean * mean) / n
             z_serial = F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.lit(99.0))
-            skew = F.when(m == 16, m * DECIMAL_SQUARES - 1).otherwise(m * TEXT_SQUARES - 1)
-            expected = (m - 1) + (n - 1) * skew
-            p = normal_cdf((t["chi"] - expected) / F.sqrt(2 * (m - 1) + 4 * (n - 1) * skew))
+            squares, cubes = (F.when(m == 16, d).otherwise(w) for d, w in ((DECIMAL_SQUARES, TEXT_SQUARES), (DECIMAL_CUBES, TEXT_CUBES)))
+            repeats = (t["again"] - n) / (n * (n - 1))
+            z_repeats = (squares - repeats) / F.sqrt(4 * (cubes - squares * squares) / n + 2 * squares / (n * n))
+            z_turns = (t["turns"] - 0.5 - SWITCHES * (n - 1)) / F.sqrt(SWITCHES * (1 - SWITCHES) * (n - 1))
+            p = normal_cdf(-(z_repeats + z_turns) / math.sqrt(2))
             fine = (t["z_chi"] < Z_BATTERY) & (F.abs(t["z_runs"]) < Z_BATTERY) & (F.abs(z_serial) < Z_BATTERY)
             return F.when(fine, F.least(F.floor(-10 * F.log10(p)), F.lit(10 * DECADES)).cast("int"))
 
@@ -136,20 +175,18 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, the base spans by kind, and candidates with their p-value's tenth of a decade."""
     text = F.coalesce(F.col("text"), F.lit(""))
     group2 = lambda s: F.char_length(F.regexp_extract(s, ASSIGN, 2)) >= ASSIGN_LEAST
+    access = lambda s: F.char_length(s) >= ACCESS_LEAST
+    # a run that base spans touch holds marks, and is no candidate
+    left = masked(masked(masked(F.translate(text, MARK, " "), ASSIGN, group2), ACCESS, access), HEX)
     base = docs.select(
-        "doc_id",
-        matches(text, ASSIGN, group2).alias("assign"),
-        matches(text, ACCESS, lambda s: F.char_length(s) >= ACCESS_LEAST).alias("access"),
-        matches(text, HEX).alias("hex"),
-        matches(text, CANDIDATE).alias("candidates"),
-    )
-    taken = F.concat("assign", "access", "hex")
+        "doc_id", matches(text, ASSIGN, group2).alias("assign"), matches(text, ACCESS, access).alias("access"), matches(text, HEX).alias("hex"),
+        matches(left, CANDIDATE, lambda s: ~s.contains(MARK)).alias("candidates"),
+    )
     runs = base.schema["candidates"].dataType
     shifted = lambda c, pattern: F.transform(matches(c["found"], pattern), lambda s: F.struct((c["first"] + s["first"]).alias("first"), (c["first"] + s["end"]).alias("end"), s["found"].alias("found")))
     parts = F.flatten(F.transform("candidates", lambda c: F.when(c["found"].rlike(MIXED), F.array_distinct(F.concat(*[shifted(c, p) for p in PARTS]))).otherwise(F.array(c)).cast(runs)))
-    apart = F.filter(parts, lambda c: ~F.exists(taken, lambda b: (b["first"] < c["end"]) & (c["first"] < b["end"])))
     thin = lambda c: F.transform(c, lambda s: F.struct(s["first"], s["end"]))
-    return base.select("doc_id", thin("assign").alias("assign"), thin("access").alias("access"), thin("hex").alias("hex"), F.transform(apart, lambda c: F.struct(c["first"].alias("first"), c["end"].alias("end"), battery(c["found"]).alias("p"))).alias("candidates"))
+    return base.select("doc_id", thin("assign").alias("assign"), thin("access").alias("access"), thin("hex").alias("hex"), F.transform(parts, lambda c: F.struct(c["first"].alias("first"), c["end"].alias("end"), battery(c["found"]).alias("p"))).alias("candidates"))
 
 
 def threshold(histogram: list[tuple[int | None, int]], share: float) -> int | None:

@@ -1,7 +1,9 @@
 """Whole jobs of the corpus operators, where a narrower one would pass unnoticed."""
 
+import math
 import random
 import re
+import time
 
 import corpus_pipeline
 from alertweave.llm import secret_scan
@@ -57,3 +59,101 @@ def test_candidates_against_brute_force(spark):
 
     got = {r.doc_id: sorted((c["first"], c["end"]) for c in r.candidates) for r in secret_scan.scanned(util.docs(spark, docs)).collect()}
     assert got == {d: sorted(set(places(t))) for d, t, *_ in docs}
+
+
+def battery(text):
+    """The tests on one string, in plain arithmetic: tenths of a decade of p, or None."""
+    core = text.rstrip("=")
+    fits = [a for _, rx, a in secret_scan.ALPHABETS if re.search(rx, core)]
+    n = len(core)
+    if not fits or n < 16:
+        return None
+    letters, m = fits[0], len(fits[0])
+    i = [letters.index(c) + 1.0 for c in core]
+    chi = m / n * sum(i.count(v) ** 2 for v in set(i)) - n
+    z_chi = (chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+    high = [v > (m + 1) / 2 for v in i]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    h = sum(high)
+    mean_runs = 1 + 2 * h * (n - h) / n
+    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    z_runs = (runs - mean_runs) / math.sqrt(var_runs) if var_runs > 0 else 99.0
+    mean = sum(i) / n
+    var = sum(v * v for v in i) / n - mean * mean
+    cov = sum((a - mean) * (b - mean) for a, b in zip(i, i[1:])) / n
+    z_serial = cov / var * math.sqrt(n) if var > 1e-12 else 99.0
+    squares, cubes = (0.1, 0.01) if m == 16 else (0.0655, 0.0055)
+    low = core.lower()
+    repeats = (sum(low.count(c) ** 2 for c in set(low)) - n) / (n * (n - 1))
+    z_repeats = (squares - repeats) / math.sqrt(4 * (cubes - squares**2) / n + 2 * squares / n**2)
+    kinds = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "mark" for c in core]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    z_turns = (turns - 0.5 - (n - 1) / 3) / math.sqrt((n - 1) * 2 / 9)
+    z = -(z_repeats + z_turns) / math.sqrt(2)
+    z = max(-12.0, min(12.0, z))
+    p = 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
+    if z_chi >= 3.29 or abs(z_runs) >= 3.29 or abs(z_serial) >= 3.29:
+        return None
+    return min(math.floor(-10 * math.log10(p)), 400)
+
+
+def accepted(ps, share):
+    """Benjamini-Hochberg, p-value by p-value."""
+    order = sorted((10 ** (-p / 10) if p is not None else 1.0) for p in ps)
+    cut = max((q for k, q in enumerate(order, 1) if q * len(order) <= share * k and q < 1.0), default=None)
+    return [p is not None and cut is not None and 10 ** (-p / 10) <= cut * (1 + 1e-12) for p in ps]
+
+
+def strings(rng, n):
+    draw = lambda k, m: "".join(rng.choice(secret_scan.ALPHABETS[k][2]) for _ in range(m))
+    word = lambda: "".join(rng.choice("eeeetttaaoinshrdlucmfwypvbgk") for _ in range(rng.randint(3, 9)))
+    for i in range(n):
+        k = i % 4
+        if k == 0:
+            yield draw(rng.choice([2, 3, 4, 5, 6, 7]), rng.randint(20, 80))
+        elif k == 1:
+            yield "".join(word().title() for _ in range(8))
+        elif k == 2:
+            yield "_".join(word() for _ in range(6))
+        else:
+            yield rng.choice(["a" * 30, "ab" * 20, "0123456789" * 3, "abcdefghijklmnopqrstuvwxyz", draw(5, 12) * 3, "A1b2" * 9])
+
+
+def test_battery_and_false_discovery_against_plain_arithmetic(spark):
+    rng = random.Random(10)
+    texts = list(strings(rng, 800))
+    docs = [(i, f"x {t} y", "en", "a", 1) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.candidates for r in secret_scan.scanned(util.docs(spark, docs)).collect()}
+    got, want = [], []
+    for i, t in enumerate(texts):
+        if len(found[i]) == 1 and (found[i][0]["first"], found[i][0]["end"]) == (2, 2 + len(t)):
+            got.append(found[i][0]["p"])
+            want.append(battery(t))
+    assert len(got) > 600 and sum(g != w for g, w in zip(got, want)) <= 2  # rounding at an edge of a tenth
+    hist = [(p, got.count(p)) for p in set(got)]
+    least = secret_scan.threshold(hist, 0.01)
+    assert [p is not None and least is not None and p >= least for p in got] == accepted(got, 0.01)
+
+
+def test_power_and_false_share_on_planted_secrets(spark):
+    """Of unlabelled secrets of 40 to 80 characters most are found; of what is added almost
+    nothing is text."""
+    rng = random.Random(12)
+    draw = lambda m: "".join(rng.choice(secret_scan.ALPHABETS[5][2]) for _ in range(m))
+    real = {i: draw(rng.choice([40, 48, 64, 80])) for i in range(300)}
+    text = {1000 + i: t for i, t in enumerate(strings(rng, 2000)) if i % 4 in (1, 2)}
+    docs = [(i, f"see {t} here", "en", "a", 1) for i, t in (real | text).items()]
+    got = {r.doc_id: r.n_random for r in secret_scan.secrets(util.docs(spark, docs)).collect()}
+    power = sum(got[i] == 1 for i in real) / len(real)
+    false = sum(got[i] for i in text) / max(1, sum(got.values()))
+    print("power", power, "false share", false)
+    assert power > 0.8 and false <= 0.02
+
+
+def test_long_texts_of_many_matches(spark):
+    docs = [(1, "token=abcdef " * 30_000, "en", "a", 1), (2, "x" * 400_000 + " " + "0a" * 200_000, "en", "a", 1), (3, " ".join(f"{i:024x}z{i:030d}" for i in range(8_000)), "en", "a", 1)]
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.secrets(util.docs(spark, docs)).collect()}
+    assert got[1].n_assign == 30_000 and got[2].n_hex == 1 and got[3].n_hex == 16_000
+    assert got[1].spans.startswith("assign:0:12,assign:13:25") and got[1].spans.endswith("assign:389987:389999")
+    assert time.time() - began < 120
