@@ -8,7 +8,8 @@ all windows of a length at once; occurrences are located from sampled suffix pos
 merged to removal spans.
 
 The benchmark is a stated query set: it is taken in blocks of bounded bytes, each block
-going to the executors with the task. Documents are never shuffled.
+going to the executors with the task; every few blocks the state is written, so that a task
+never has more than ``CHAIN`` workers. Documents are never shuffled.
 
 Defined results: null and empty texts have no words and are clean; items without words have
 no windows; a null item_id is called "null"; repeated documents are judged each, repeated
@@ -30,6 +31,8 @@ from . import common
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of benchmark text that one pass over the documents takes, and words of a shard.
 BLOCK_BYTES, SHARD_WORDS = 8_000_000, 1_500_000
+#: Blocks that follow one another within a stage, each with a worker; then a table is written.
+CHAIN = 4
 #: Every so many positions of a shard keep their suffix position.
 SAMPLE = 8
 
@@ -230,6 +233,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
         part = bench if blocks == 1 else bench.filter(F.pmod(F.hash("i", "t"), F.lit(blocks)) == b)
         items = [(r.i, bytes(r.t)) for r in part.toLocalIterator()]
         out = common.map_rows(out, pass_of(items, b == blocks - 1), schema, batch=4000, keep=names)
+        if b % CHAIN == CHAIN - 1 and b < blocks - 1:
+            out = common.written(out, "contamination")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), "spans", "items", *[F.col(n).alias(c) for n, c in zip(names, keep)])
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct white-space-free chunks whose counts a worker remembers.
-MEMO = 200_000
+#: Distinct white-space-free chunks whose counts a worker remembers, and the longest of them.
+MEMO, MEMO_LENGTH = 200_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -82,9 +82,11 @@ class Counting:
 
     def of_symbols(self, mapped: str) -> int:
         if (n := self.mapped.get(mapped)) is None:
-            if len(self.mapped) >= MEMO:
-                self.mapped.clear()
-            n = self.mapped[mapped] = merge_count([*mapped[:-1], mapped[-1] + self.suffix], self.ranks)
+            n = merge_count([*mapped[:-1], mapped[-1] + self.suffix], self.ranks)
+            if len(mapped) <= MEMO_LENGTH:
+                if len(self.mapped) >= MEMO:
+                    self.mapped.clear()
+                self.mapped[mapped] = n
         return n
 
     def of_chunk(self, chunk: str) -> int:
@@ -105,10 +107,10 @@ class Counting:
         total, memo = 0, self.memo
         for chunk, times in Counter(text.lower().split()).items():
             if (n := memo.get(chunk)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
                 n = self.of_chunk(chunk)
-                if len(chunk) <= 64:
+                if len(chunk) <= MEMO_LENGTH:
+                    if len(memo) >= MEMO:
+                        memo.clear()
                     memo[chunk] = n
             total += n * times
         return total

@@ -1,6 +1,7 @@
 """Sharding, quality rules, secret scans and mixing against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -108,6 +109,83 @@ def test_rules_separate_labelled_quality(spark):
     assert sum(r.kept for r in bad) < 0.5 * len(bad)
 
 
+def gain(p, n, p0, n0):
+    return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p and p0 else 0.0
+
+
+def naive_learn(rows, bad, most_rules=8, most=3, precision=0.8, support=5):
+    """Sequential covering by its definition: every threshold of every feature is tried on
+    every row, rule by rule."""
+    names, bins = quality_rules.FEATURES, quality_rules.BINS
+    live, rules = list(range(len(rows))), []
+    covers = lambda rule, r: all((r[f] > t) == above for f, above, t in rule)
+    while len(rules) < most_rules:
+        grow, prune = [i for k, i in enumerate(live) if k % 3], [i for k, i in enumerate(live) if k % 3 == 0]
+        if not any(bad[i] for i in grow):
+            break
+        cuts = {f: sorted({(v := sorted(rows[i][f] for i in grow))[min(len(v) - 1, len(v) * k // bins)] for k in range(1, bins)}) for f in names}
+        rule, own = [], grow
+        while len(rule) < most:
+            p0 = sum(bad[i] for i in own)
+            n0 = len(own) - p0
+            if not p0 or not n0:
+                break
+            best, chosen = 1e-9, None
+            for f in names:
+                for t in cuts[f]:
+                    for above in (False, True):
+                        hit = [i for i in own if (rows[i][f] > t) == above]
+                        p = sum(bad[i] for i in hit)
+                        if (g := gain(p, len(hit) - p, p0, n0)) > best:
+                            best, chosen = g, (f, above, t)
+            if chosen is None:
+                break
+            rule, own = [*rule, chosen], [i for i in own if covers([chosen], rows[i])]
+        if not rule:
+            break
+
+        def worth(r):
+            hit = [i for i in prune if covers(r, rows[i])]
+            p = sum(bad[i] for i in hit)
+            return (2 * p - len(hit)) / len(hit) if hit else -1.0
+
+        kept = rule
+        for k in range(len(rule) - 1, 0, -1):
+            if worth(rule[:k]) >= worth(kept):
+                kept = rule[:k]
+        hit = [i for i in prune if covers(kept, rows[i])]
+        p = sum(bad[i] for i in hit)
+        if len(hit) < support or p < precision * len(hit):
+            break
+        rules.append(kept)
+        live = [i for i in live if not covers(kept, rows[i])]
+    return rules
+
+
+def test_covering_against_a_naive_learner(spark):
+    rng = random.Random(14)
+    for n in (0, 40, 300):
+        rows = [{f: round(rng.random(), 2) for f in quality_rules.FEATURES} for _ in range(n)]
+        bad = [r["symbols"] > 0.7 or (r["upper"] > 0.5 and r["digits"] <= 0.3) or rng.random() < 0.03 for r in rows]
+        got = [[(c.feature, c.above, c.threshold) for c in rule] for rule in quality_rules.learn(rows, bad)]
+        assert got == naive_learn(rows, bad) and (n < 300 or len(got) >= 2)
+        if rows:  # and the expression judges as the rules do
+            first = lambda r: next((k + 1 for k, rule in enumerate(got) if all((r[f] > t) == above for f, above, t in rule)), 0)
+            df = spark.createDataFrame([(i, *[r[f] for f in quality_rules.FEATURES]) for i, r in enumerate(rows)], ["i", *quality_rules.FEATURES])
+            said = {r.i: r.rule for r in df.select("i", quality_rules.rule_column(quality_rules.learn(rows, bad)).alias("rule")).collect()}
+            assert said == {i: first(r) for i, r in enumerate(rows)}
+
+
+def test_rules_on_labels_held_out(spark):
+    """Learned without a quarter of the labels, judged on them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    rows = quality_rules.judged(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").filter("not base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    print("held out: good kept", sum(good), len(good), "bad rejected", len(bad) - sum(bad), len(bad))
+    assert sum(good) > 0.98 * len(good) and sum(bad) < 0.5 * len(bad)
+
+
 def test_rules_without_labels_and_rows(spark):
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality_rules.judged(util.docs(spark), none).collect()

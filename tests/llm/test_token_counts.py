@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,3 +42,12 @@ def test_special_strings_and_odd_characters():
 @given(st.text(max_size=60))
 def test_any_text(text):
     assert counting(PATH)(text) == by_library(text)
+
+
+def test_very_long_words():
+    """Words of hundreds of thousands of characters; the memo keeps none of them."""
+    rng = random.Random(3)
+    for text in ("ab" * 150_000, "".join(rng.choice("etaoin") for _ in range(200_000)), "!?" * 100_000, "é" * 50_000):
+        count = counting(PATH)
+        assert count(text) == by_library(text)
+        assert max(map(len, [*count.memo, *count.mapped]), default=0) <= 64
