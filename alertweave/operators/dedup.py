@@ -50,10 +50,31 @@ def l1_candidates(fp: DataFrame) -> DataFrame:
     return counted.select(*GROUP, "a", "b", "matched", F.struct("ts", "alert_id").alias("first"), F.round(F.col("matched") / F.col("union_"), 4).alias("confidence"))
 
 
+def l1_matches(fp: DataFrame, threshold: float) -> DataFrame:
+    """GROUP, a, b, confidence, first (b's earliest alert) of the pairs of sets that reach the
+    threshold. Such a pair agrees in at least that share of either set's slots, so it shares
+    one of the first few of both when slots are ordered by rarity: only these are joined on,
+    and an address that all sets of a window have is no hot key."""
+    sets = fp.groupBy(*GROUP, "set_key").agg(F.min(F.struct("ts", "alert_id")).alias("first"), F.min("hashes").alias("hashes"))
+    long = sets.select(*GROUP, "set_key", F.explode("hashes").alias("p"))
+    counts = long.groupBy(*GROUP, "p").agg(F.count("*").alias("n"))
+    ranked = long.join(counts, [*GROUP, "p"]).groupBy(*GROUP, "set_key").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("slots"))
+    size = F.size("slots")
+    need = F.ceil(F.lit(threshold) * size - 1e-9).cast("int")
+    prefix = ranked.select(*GROUP, "set_key", F.explode(F.slice("slots", 1, size - need + 1)).alias("s")).select(*GROUP, "set_key", "s.p")
+    side = lambda n: prefix.select(*GROUP, F.col("set_key").alias(n), "p")
+    pairs = side("a").join(side("b"), [*GROUP, "p"]).select(*GROUP, "a", "b").distinct()
+    of = lambda n: sets.select(*GROUP, F.col("set_key").alias(n), F.col("hashes").alias(f"h{n}"), F.col("first").alias(f"f{n}"))
+    both = pairs.join(of("a"), [*GROUP, "a"]).join(of("b"), [*GROUP, "b"])
+    names = lambda c: F.transform(c, lambda p: p["slot"])
+    score = F.round(F.size(F.array_intersect("ha", "hb")) / F.size(F.array_union(names("ha"), names("hb"))), 4)
+    return both.select(*GROUP, "a", "b", score.alias("confidence"), F.col("fb").alias("first")).filter(F.col("confidence") >= threshold)
+
+
 def dedup_l1(fp: DataFrame, threshold: float = DUPLICATE_AT) -> DataFrame:
     """alert_id, verdict, confidence, matched_alert_id: the best earlier alert of the same
     customer, rule and window, ties to the earliest; a duplicate from the threshold on."""
-    pairs = l1_candidates(fp).filter(F.col("confidence") >= threshold).select(*GROUP, F.col("a").alias("set_key"), "confidence", "first")
+    pairs = l1_matches(fp, threshold).select(*GROUP, F.col("a").alias("set_key"), "confidence", "first")
     met = fp.select("alert_id", "ts", *GROUP, "set_key").join(pairs, [*GROUP, "set_key"], "left")
     earlier = F.when(F.col("first").isNotNull() & (F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id")), F.struct((-F.col("confidence")).alias("c"), F.col("first")))
     best = met.groupBy("alert_id").agg(F.min(earlier).alias("m"))

@@ -24,6 +24,11 @@ def standing_verdicts(df: DataFrame) -> DataFrame:
     return df.filter((F.col("status") == "closed") & F.col("verdict").isin(*CLASSES))
 
 
+def training_population(df: DataFrame, time: str = "t", tie: str = "container_id") -> DataFrame:
+    """Standing verdicts that have a time, in order of it."""
+    return standing_verdicts(df).filter(F.col(time).isNotNull()).orderBy(time, tie)
+
+
 def rolled_up(text: Column) -> Column:
     """Free-text disposition to one of four classes; blank stays blank. Tests are ordered."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -74,3 +74,8 @@ def fp_pairs(df: DataFrame, key: str = "id", parent: str = "parent_id") -> DataF
 def report_mismatch(regrouped: DataFrame, reported: str = "reported") -> DataFrame:
     """Containers that report artifacts of which none was found."""
     return regrouped.filter((F.col(reported) > 0) & (F.col("found") == 0))
+
+
+def of_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys``."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")

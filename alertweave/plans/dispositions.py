@@ -300,9 +300,9 @@ def key_coverage(spark, d):
     return A.key_coverage(table(spark, d, "documents"), "doc_id", F.array("lang", "source", F.lit("text")), 0)
 
 
-@query("SELECT event_type, count(*) AS n, CAST(count(*) FILTER (user_id % 5 = 0) AS BIGINT) AS with_feedback, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY event_type ORDER BY n DESC")
+@query("SELECT event_type, count(*) AS n, CAST(count(*) FILTER (user_id % 5 = 0) AS BIGINT) AS with_feedback, min(ts) AS first_at, max(ts) AS last_at, round(min(value), 6) AS least, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY event_type ORDER BY n DESC")
 def feedback_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 5 == 0).alias("with_feedback"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at")).orderBy(F.desc("n"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 5 == 0).alias("with_feedback"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), *[F.round(f("value"), 6).alias(n) for f, n in ((F.min, "least"), (F.avg, "mean"), (F.max, "most"))]).orderBy(F.desc("n"))
 
 
 @query("""WITH p AS (SELECT user_id % 4 AS run, avg(user_id) AS s, list(DISTINCT event_type) AS v FROM events GROUP BY 1), n AS (SELECT v, count(*) AS c FROM (SELECT unnest(v) AS v FROM p) GROUP BY v)

@@ -122,9 +122,10 @@ def confusion(spark, d):
     return E.confusion(scores(spark, d), 500)
 
 
-@query(on(f", c AS (SELECT {CONF} FROM scores) SELECT tp, fp, fn, tn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, tn / nullif(tn + fp, 0) AS specificity, tn / nullif(tn + fn, 0) AS npv, fn / nullif(fn + tp, 0) AS fnr, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c"))
+@query(on(f", c AS (SELECT {CONF} FROM scores) SELECT tp, fp, fn, tn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, tn / nullif(tn + fp, 0) AS specificity, tn / nullif(tn + fn, 0) AS npv, fn / nullif(fn + tp, 0) AS fnr, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 9) AS balanced, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 9) AS mcc, round(((tp + tn) / n - e) / nullif(1 - e, 0), 9) AS kappa FROM c, (SELECT tp + fp + fn + tn AS n, ((tp + fp)::DOUBLE * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS e FROM c)"))
 def decision_metrics(spark, d):
-    return E.decision_metrics(E.confusion(scores(spark, d), 500)).select("tp", "fp", "fn", "tn", "precision", "recall", "specificity", "npv", "fnr", "f1")
+    out = E.decision_metrics(E.confusion(scores(spark, d), 500))
+    return out.select("tp", "fp", "fn", "tn", "precision", "recall", "specificity", "npv", "fnr", "f1", *[F.round(c, 9).alias(c) for c in ("balanced", "mcc", "kappa")])
 
 
 @query(on(", e AS (SELECT DISTINCT unnest(quantile_cont(score, [0, 0.2, 0.4, 0.6, 0.8])) AS threshold FROM scores) SELECT threshold, 2 * count(*) FILTER (y = 1) / (count(*) + (SELECT sum(y) FROM scores)) AS f1 FROM e JOIN scores ON score >= threshold GROUP BY threshold"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from alertweave.plans import dedups, dispositions, entities, evaluations, extras, indicators, sequences, streams  # noqa: F401
+from alertweave.plans import dedups, dispositions, entities, evaluations, exchange, extras, indicators, sequences, streams  # noqa: F401
 from alertweave.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -180,3 +180,16 @@ def test_run_consistency(spark):
     rows = [(1, "a", 2.0), (1, "b", 4.0), (2, "b", 5.0), (2, "b", 5.0), (3, "b", 1.0), (3, None, 1.0)]
     r = aggregates.run_consistency(spark.createDataFrame(rows, "run int, v string, s double"), "run", "v", "s").first()
     assert (r.runs, r.least, r.most, r.in_all, r.in_any) == (3, 1.0, 5.0, 1, 2)
+
+
+def test_first_layer_joins_on_rare_slots_only(spark):
+    """Eight slots of few values: every pair at the threshold is found through its prefix."""
+    rng = random.Random(9)
+    names = [f"s{i}" for i in range(8)]
+    rows = [(i, f"2024-01-01 00:{i % 30:02d}:00", "c", "rule", [rng.choice(["x", "x", "x", "y", None]) for _ in names]) for i in range(150)]
+    df = spark.createDataFrame(rows, "alert_id long, ts string, customer string, alert_name string, v array<string>").withColumn("ts", F.to_timestamp("ts"))
+    fp = D.fingerprints(df, {n: F.array(F.get("v", F.lit(i))) for i, n in enumerate(names)})
+    for threshold in (0.5, 0.8, 1.0):
+        pairs = {(r.a, r.b): r.confidence for r in D.l1_matches(fp, threshold).collect()}
+        every = {(r.a, r.b): r.confidence for r in D.l1_candidates(fp).collect() if r.confidence >= threshold}
+        assert pairs == every and every
