@@ -102,11 +102,12 @@ def matches(text: F.Column, pattern: str, keep=None) -> F.Column:
     return F.when(text.rlike(pattern), let(pieces(text, pattern), placed).cast(kind)).otherwise(F.array().cast(kind))
 
 
-def masked(text: F.Column, pattern: str, keep=None) -> F.Column:
-    """The text with each match replaced by as many marks."""
+def masked(df: DataFrame, column: str, pattern: str, keep=None) -> DataFrame:
+    """``column`` with each match replaced by as many marks. A step of its own: expressions
+    that are nested in one another would be computed again wherever they are named."""
     fine = lambda s: F.lit(True) if keep is None else keep(s)
     each = lambda x: F.concat(x["gap"], F.when(x["found"].isNull(), "").when(fine(x["found"]), F.repeat(F.lit(MARK), F.char_length(x["found"]))).otherwise(x["found"]))
-    return F.when(text.rlike(pattern), F.array_join(F.transform(pieces(text, pattern), each), "")).otherwise(text)
+    return df.withColumn(column, F.when(F.col(column).rlike(pattern), F.array_join(F.transform(pieces(F.col(column), pattern), each), "")).otherwise(F.col(column)))
 
 
 def normal_cdf(z: F.Column) -> F.Column:
@@ -173,15 +174,15 @@ def battery(s: F.Column) -> F.Column:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, the base spans by kind, and candidates with their p-value's tenth of a decade."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     group2 = lambda s: F.char_length(F.regexp_extract(s, ASSIGN, 2)) >= ASSIGN_LEAST
     access = lambda s: F.char_length(s) >= ACCESS_LEAST
+    text = F.col("text")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.select("doc_id", matches(text, ASSIGN, group2).alias("assign"), matches(text, ACCESS, access).alias("access"), matches(text, HEX).alias("hex"), F.replace("text", F.lit(MARK), F.lit(" ")).alias("left"))
     # a run that base spans touch holds marks, and is no candidate
-    left = masked(masked(masked(F.translate(text, MARK, " "), ASSIGN, group2), ACCESS, access), HEX)
-    base = docs.select(
-        "doc_id", matches(text, ASSIGN, group2).alias("assign"), matches(text, ACCESS, access).alias("access"), matches(text, HEX).alias("hex"),
-        matches(left, CANDIDATE, lambda s: ~s.contains(MARK)).alias("candidates"),
-    )
+    for pattern, keep in ((ASSIGN, group2), (ACCESS, access), (HEX, None)):
+        own = masked(own, "left", pattern, keep)
+    base = own.select("doc_id", "assign", "access", "hex", matches(F.col("left"), CANDIDATE, lambda s: ~s.contains(MARK)).alias("candidates"))
     runs = base.schema["candidates"].dataType
     shifted = lambda c, pattern: F.transform(matches(c["found"], pattern), lambda s: F.struct((c["first"] + s["first"]).alias("first"), (c["first"] + s["end"]).alias("end"), s["found"].alias("found")))
     parts = F.flatten(F.transform("candidates", lambda c: F.when(c["found"].rlike(MIXED), F.array_distinct(F.concat(*[shifted(c, p) for p in PARTS]))).otherwise(F.array(c)).cast(runs)))
