@@ -175,7 +175,7 @@ def metric_grid(df: DataFrame, grid: int = 600) -> DataFrame:
     """Metrics at the distinct ones of ``grid`` quantiles from 0.0005 to 0.9995, and which
     threshold has the best f1 and the best mcc, the lowest of equals."""
     at = [0.0005 + 0.999 * i / (grid - 1) for i in range(grid)]
-    edges = quantiles(df, "score", at).select(F.explode(F.array_distinct("q")).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
+    edges = quantiles(df, "score", at).select(F.explode(F.array_distinct(F.transform("q", lambda v: F.round(v, 9)))).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
     both = by_score(df).select(F.col("score").cast("double").alias("score"), "n", "p", F.lit(False).alias("edge")).unionByName(edges)
     both = both.groupBy("score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("edge").alias("edge"))
     c = running(both, F.col("score"), {"k": F.col("n"), "tp": F.col("p")}, descending=True).filter("edge").withColumnsRenamed({"k_all": "total", "tp_all": "pos"})
@@ -187,7 +187,8 @@ def metric_grid(df: DataFrame, grid: int = 600) -> DataFrame:
         F.col("score").alias("threshold"), div(tp, k, 1.0).alias("precision"), recall.alias("recall"), specificity.alias("specificity"), div(2 * tp, k + pos, 0.0).alias("f1"),
         ((tp + tn) / total).alias("accuracy"), ((recall + specificity) / 2).alias("balanced"), div(tp * tn - fp * fn, F.sqrt(k * pos * (total - pos) * (total - k)), 0.0).alias("mcc"),
     )
-    best = lambda x: (F.max(F.struct(x, -F.col("threshold"))).over(W.partitionBy()) == F.struct(x, -F.col("threshold"))).alias(f"best_{x}")
+    rank = lambda x: F.struct(F.round(x, 9), -F.col("threshold"))
+    best = lambda x: (F.max(rank(x)).over(W.partitionBy()) == rank(x)).alias(f"best_{x}")
     return m.select("*", best("f1"), best("mcc"))
 
 

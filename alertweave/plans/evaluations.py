@@ -133,7 +133,14 @@ def metric_sweep(spark, d):
     return E.metric_sweep(scores(spark, d), 5)
 
 
-@query()
+GRID = [0.0005 + 0.999 * i / 599 for i in range(600)]
+
+
+@query(on(f""", e AS (SELECT DISTINCT round(unnest(quantile_cont(score, {GRID})), 9) AS threshold FROM scores),
+c AS (SELECT threshold, count(*) FILTER (score >= threshold)::DOUBLE AS k, (count(*) FILTER (score >= threshold AND y = 1))::DOUBLE AS tp, count(*)::DOUBLE AS total, sum(y)::DOUBLE AS pos FROM e, scores GROUP BY threshold),
+m AS (SELECT threshold, coalesce(tp / nullif(k, 0), 1) AS precision, coalesce(tp / nullif(pos, 0), 0) AS recall, coalesce((total - pos - k + tp) / nullif(total - pos, 0), 0) AS specificity, coalesce(2 * tp / nullif(k + pos, 0), 0) AS f1,
+ (tp + (total - pos - k + tp)) / total AS accuracy, coalesce((tp * (total - pos - k + tp) - (k - tp) * (pos - tp)) / nullif(sqrt(k * pos * (total - pos) * (total - k)), 0), 0) AS mcc FROM c)
+SELECT threshold, precision, recall, specificity, f1, accuracy, (recall + specificity) / 2 AS balanced, mcc, threshold = (SELECT threshold FROM m ORDER BY round(f1, 9) DESC, threshold LIMIT 1) AS best_f1, threshold = (SELECT threshold FROM m ORDER BY round(mcc, 9) DESC, threshold LIMIT 1) AS best_mcc FROM m"""))
 def metric_sweep_600(spark, d):
     return E.metric_grid(scores(spark, d), 600)
 
