@@ -34,17 +34,37 @@ def time_split(df: DataFrame, time: str, share: float = 0.7) -> DataFrame:
 
 
 def forward_folds(df: DataFrame, order: Sequence[str], folds: int = 5) -> DataFrame:
-    """fold 0 to ``folds``: each later block is scored by a model of all earlier ones. Rank
+    """fold 0 to ``folds``, for ``forward_scores``: later blocks are judged by earlier ones. Rank
     edges come from distinct values of the order's first column, so rows aren't ranked."""
     first = order[0]
     kind = df.schema[first].dataType.typeName()
     at = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(first)
     c = running(df.groupBy(first).agg(F.count("*").alias("c")), at, {"before": F.col("c")}, before=True).withColumnRenamed("before_all", "total")
-    within = F.row_number().over(W.partitionBy(first).orderBy(*order[1:])) - 1
+    within = F.row_number().over(W.partitionBy(first).orderBy(*(order[1:] or order))) - 1
     out = df.join(c, first).withColumn("__r", F.col("before") + within)
     return out.withColumn("fold", F.floor(F.col("__r") * (folds + 1) / F.col("total")).cast("int")).drop("__r", "c", "before", "total")
 
 
+def forward_scores(df: DataFrame, folds: int, features: str = "features", label: str = "label", iterations: int = 20, penalty: float = 0.01) -> DataFrame:
+    """``df`` (fold, label, features) of the folds from 1 on, each with the score of a linear
+    model that was fitted on all earlier folds; a fold whose predecessors have one class only
+    has null scores. Models are fitted one after another, their rows never leave the cluster."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    classes = {r.fold: (r.a, r.b) for r in df.groupBy("fold").agg(F.min(label).alias("a"), F.max(label).alias("b")).collect()}
+    out = None
+    for k in range(1, folds + 1):
+        fold, seen = df.filter(F.col("fold") == k), [c for f, c in classes.items() if f < k]
+        if seen and min(a for a, _ in seen) < max(b for _, b in seen):
+            model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=iterations, regParam=penalty).fit(df.filter(F.col("fold") < k))
+            part = model.transform(fold).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+        else:
+            part = fold.withColumn("score", F.lit(None).cast("double"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def miss_budget(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
     """For each budget: the widest lane of lowest scores with no more positives, and the
     score that ends it (included)."""

@@ -165,16 +165,29 @@ def route(spark, d):
     return scores(spark, d).select("doc_id", E.route(F.col("score"), F.col("lang") == "en", 300).alias("lane"))
 
 
+def hashed_words(spark, d):
+    """doc_id, label (1 for low quality) and the document's words hashed to 4,096 features."""
+    from pyspark.ml.feature import HashingTF
+
+    from ..sources.views import table
+
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", (1 - F.col("quality")).cast("double").alias("label"), F.split(F.lower("text"), r"\s+").alias("w"))
+    return HashingTF(inputCol="w", outputCol="features", numFeatures=1 << 12).transform(docs).drop("w")
+
+
 @query()
 def logistic_model(spark, d):
     """A linear model on hashed words, fitted on two thirds; every row is scored."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    from ..sources.views import table
-
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", (1 - F.col("quality")).cast("double").alias("label"), F.split(F.lower("text"), r"\s+").alias("w"))
-    x = HashingTF(inputCol="w", outputCol="features", numFeatures=1 << 12).transform(docs)
+    x = hashed_words(spark, d)
     model = LogisticRegression(maxIter=20, regParam=0.01).fit(x.filter("doc_id % 3 <> 0"))
     return model.transform(x).select("doc_id", (F.col("doc_id") % 3 == 0).alias("held_out"), "label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+
+
+@query()
+def forward_scores(spark, d):
+    """Out-of-fold scores: five folds in order of doc_id, each by a model of those before."""
+    x = E.forward_folds(hashed_words(spark, d), ["doc_id"])
+    return E.forward_scores(x, 5).select("doc_id", "fold", "label", "score")

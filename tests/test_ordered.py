@@ -193,3 +193,19 @@ def test_first_layer_joins_on_rare_slots_only(spark):
         pairs = {(r.a, r.b): r.confidence for r in D.l1_matches(fp, threshold).collect()}
         every = {(r.a, r.b): r.confidence for r in D.l1_candidates(fp).collect() if r.confidence >= threshold}
         assert pairs == every and every
+
+
+def test_forward_scores_see_earlier_folds_only(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(11)
+    rows = [(i, float(rng.random() < 0.5) if i >= 20 else 0.0, Vectors.dense(rng.random(), rng.random())) for i in range(120)]
+    df = evaluation.forward_folds(spark.createDataFrame(rows, ["id", "label", "features"]), ["id"])
+    got = {r.id: (r.fold, r.score) for r in evaluation.forward_scores(df, 5).collect()}
+    assert set(got) == set(range(20, 120)) and all(s is None for f, s in got.values() if f == 1)  # fold 0 has one class
+    for k in (2, 5):
+        model = LogisticRegression(maxIter=20, regParam=0.01).fit(df.filter(F.col("fold") < k))
+        for r in model.transform(df.filter(F.col("fold") == k)).select("id", F.get(vector_to_array("probability"), F.lit(1)).alias("s")).collect():
+            assert got[r.id] == (k, pytest.approx(r.s, abs=1e-9))
