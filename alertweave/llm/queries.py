@@ -77,6 +77,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resampled
+
+    out = resampled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -89,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op13_importance": op13_importance,
     }
 
 
@@ -133,7 +141,27 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: CRC-32 of a feature, byte by byte, over a table made by its rule (polynomial 0xEDB88320).
+IMPORTANCE_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts),
+f AS (SELECT side, id, unnest(ws) AS g FROM w UNION ALL SELECT side, id, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) FROM w),
+d AS (SELECT g, string_split(regexp_replace(hex(encode(g)), '(..)', '\\1 ', 'g'), ' ') AS bytes FROM (SELECT DISTINCT g FROM f)),
+h AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || b)::BIGINT for b in bytes if b <> '']), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 10000 AS bucket FROM d, crc),
+c AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN h USING (g) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM c, a),
+m AS (SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN h USING (g) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+s AS (SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN m USING (id) WHERE side = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, place AS rank FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND place <= 25 * n // 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can give all columns. The others use trained models, tokenizers, pseudorandom
     draws or tests of randomness; tests hold them against brute force."""
-    return {"op6_suffix_dedup": SUFFIX_SQL, "op8_near_dedup": NEAR_SQL, "op10_decontamination": BENCH_SQL}
+    return {"op6_suffix_dedup": SUFFIX_SQL, "op8_near_dedup": NEAR_SQL, "op10_decontamination": BENCH_SQL, "op13_importance": IMPORTANCE_SQL}
