@@ -77,6 +77,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(common.table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extracted
+
+    return extracted(common.table(spark, sf_dir, "pages"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resampled
 
@@ -96,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op11_collocations": op11_collocations,
+        "op12_html_extraction": op12_html_extraction,
         "op13_importance": op13_importance,
     }
 
@@ -141,6 +155,21 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+COLLOCATION_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM d),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS p, unnest(range(1, k)) AS j FROM f WHERE k >= 2),
+s AS (SELECT cut.lang, cut.k, cut.phrase, a, j, x.c AS l, y.c AS r, 1000 * a * n // (x.c * y.c) AS score
+  FROM cut JOIN t USING (lang) JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(p[:j], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(p[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT b.*, n FROM b JOIN t USING (lang) WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.lang = b.lang AND z.k > b.k AND z.c >= b.a AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o QUALIFY rank <= 2000
+"""
+
 #: CRC-32 of a feature, byte by byte, over a table made by its rule (polynomial 0xEDB88320).
 IMPORTANCE_SQL = f"""
 WITH RECURSIVE bits AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
@@ -164,4 +193,4 @@ SELECT s.doc_id, n_features, weight, score, place AS rank FROM s LEFT JOIN r ON
 def oracle_sql() -> dict[str, str]:
     """Where SQL can give all columns. The others use trained models, tokenizers, pseudorandom
     draws or tests of randomness; tests hold them against brute force."""
-    return {"op6_suffix_dedup": SUFFIX_SQL, "op8_near_dedup": NEAR_SQL, "op10_decontamination": BENCH_SQL, "op13_importance": IMPORTANCE_SQL}
+    return {"op6_suffix_dedup": SUFFIX_SQL, "op8_near_dedup": NEAR_SQL, "op10_decontamination": BENCH_SQL, "op11_collocations": COLLOCATION_SQL, "op13_importance": IMPORTANCE_SQL}

@@ -19,16 +19,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes."""
-    inside = np.concatenate([[False], ~SPACE[raw], [False]])
+def words(raw: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes; ``apart``: which bytes separate words."""
+    inside = np.concatenate([[False], ~apart[raw], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[::2], edge[1::2]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each word: the sum of its bytes' random values times a power of
-    their place, mixed with its length."""
+    their place, mixed with its length. ``between``: whether each byte is outside words."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     place = np.arange(len(raw), dtype=np.int64)
@@ -38,7 +38,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         power = np.cumprod(np.full(int(size.max()), _STEP, np.uint64))
     else:
         power = _POWERS
-    value = np.where(SPACE[raw], np.uint64(0), _LETTERS[raw] * power[np.minimum(place, len(power) - 1)])
+    value = np.where(SPACE[raw] if between is None else between, np.uint64(0), _LETTERS[raw] * power[np.minimum(place, len(power) - 1)])
     return mix(np.add.reduceat(value, starts) + size.astype(np.uint64))
 
 

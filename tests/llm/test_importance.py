@@ -67,10 +67,10 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_other_columns_and_parameters(spark):
-    docs = util.clashing(util.docs(spark)).withColumnRenamed("text", "body").withColumnRenamed("doc_id", "key")
+    docs = util.clashing(util.docs(spark)).withColumnRenamed("text", "body").withColumnRenamed("doc_id", "ident")
     bench = spark.createDataFrame([("seven wizards",)], "body string")
-    out = importance.resampled(docs, bench, percent=100, least_words=1, order=3, buckets=64, id_col="key", text_col="body")
-    assert out.columns == ["key", "n_words", "n_features", "weight", "score", "rank"]
+    out = importance.resampled(docs, bench, percent=100, least_words=1, order=3, buckets=64, id_col="ident", text_col="body")
+    assert out.columns == ["ident", "n_words", "n_features", "weight", "score", "rank"]
     rows = out.collect()
     assert len(rows) == 12 and sorted(r["rank"] for r in rows if r["rank"]) == list(range(1, 10))
     assert all(r.n_features == max(0, 3 * r.n_words - 3) or r.n_words < 3 for r in rows)
