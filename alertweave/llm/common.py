@@ -7,6 +7,7 @@ import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,55 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Bytes of a row of a bitmap that is being gathered, and its least and most bits.
+STRETCH, LEAST_BITS, MOST_BITS = 1 << 13, 1 << 17, 1 << 28
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits (a power of two), of which those are set that the low bits of a column
+    of 64-bit hashes name. Tasks set their own and then join stretches of them; the driver
+    gets the bits, whose number doesn't grow with the rows."""
+
+    def own(parts: Iterator[dict]) -> Iterator[dict]:
+        out = np.zeros(bits // 8, np.uint8)
+        for p in parts:
+            at = np.array(p["h"], np.int64).astype(np.uint64) & np.uint64(bits - 1)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        rows = out.reshape(-1, STRETCH)
+        at = np.flatnonzero(rows.any(axis=1))
+        yield {"at": at.tolist(), "bits": [rows[i].tobytes() for i in at]}
+
+    def joined(parts: Iterator[dict]) -> Iterator[dict]:
+        held: dict[int, np.ndarray] = {}
+        for p in parts:
+            for at, raw in zip(p["at"], p["bits"]):
+                held[at] = held.get(at, np.uint8(0)) | np.frombuffer(raw, np.uint8)
+        yield {"at": list(held), "bits": [h.tobytes() for h in held.values()]}
+
+    schema = "at int, bits binary"
+    some = map_rows(hashes.toDF("h").filter("h is not null"), own, schema, batch=10_000)
+    out = np.zeros(bits // 8, np.uint8)
+    for r in map_rows(some.repartition("at"), joined, schema, batch=500).collect():
+        out[r["at"] * STRETCH : (r["at"] + 1) * STRETCH] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def among(df: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose hash in ``column`` is one of ``hashes``, and some others: a
+    broadcast bitmap of at most ``MOST_BITS`` tells, 16 bits for each hash if it can."""
+    n = 16 * max(1, hashes.count())
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n - 1).bit_length()))
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(hashes, bits).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent.value, np.uint8)
+        for b in batches:
+            at = b.column(b.schema.get_field_index(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64) & np.uint64(bits - 1)
+            yield b.filter(pa.array((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def hashable(df: DataFrame) -> list[F.Column]:
     """The columns in a form that hashes take: maps as sorted entries, other kinds as text."""
     from pyspark.sql.types import AtomicType, VariantType

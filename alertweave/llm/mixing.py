@@ -2,12 +2,18 @@
 
 A source's documents, in a fixed order, are one stream of words, packed into blocks of a
 fixed length. A source's target says how many slots it fills: full passes over its blocks,
-then part of one. For each source the slots are drawn to output shards: one multinomial
-draw of its slot total, whose counts (``counts``) say how many slots of the source each
-shard has. It is conditional on the total, so that each source meets its target and not
-only its expectation. A source's slots are then numbered shard by shard, numbers map to
-blocks through a pseudorandom permutation of the source's block numbers (swap-or-not
-rounds), and blocks are joined by number. So the counts decide which blocks a shard holds.
+then part of one. Output shards have equally many slots, give or take one. Shard by shard,
+the counts of its slots by source are drawn: a multinomial draw of as many slots as it has,
+from what the shards before it have left, so that each source meets its target and not only
+its expectation, and the last shard takes the rest (``counts``). A source's slots are then
+numbered shard by shard, numbers map to blocks through a pseudorandom permutation of the
+source's block numbers (swap-or-not rounds), and blocks are joined by number. So the counts
+decide which blocks a shard holds.
+
+Counts are drawn, never counted: a number for each source and shard, from a normal variate
+if its variance is ``LARGE`` or more, else by inverting the binomial distribution, and held
+to what both margins allow. ``FAN`` sources at a time are one row; with more, groups of them
+are drawn first, then the sources inside each group, and so on.
 
 The last slot of a source takes only the words still missing, so a source's taken words
 are its target, rounded.
@@ -19,6 +25,8 @@ other columns are ignored. The same rows give the same result in any partitionin
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,6 +41,9 @@ ROUNDS = 8
 SLOT_CHUNK = 4096
 ROWS_PER_CHUNK, LEAST_CHUNKS = 20_000, 256
 COPIES = 1_000
+#: Sources in one row of a draw; the variance from which a count is drawn as a normal
+#: variate, and the steps by which a smaller one is searched.
+FAN, LARGE, STEPS = 256, 16.0, 96
 
 
 def sized(docs: DataFrame, rid: F.Column | None = None, tie: F.Column | None = None) -> DataFrame:
@@ -91,6 +102,78 @@ def each_of(df: DataFrame, n: str, name: str) -> DataFrame:
     return df.repartition(parts, *keys, "i", "j").select(*keys, F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col(n)) - 1)).alias(name))
 
 
+def uniform(*keys: F.Column) -> F.Column:
+    """A number strictly between 0 and 1 that the keys choose."""
+    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def binomial(n: F.Column, p: F.Column, u: F.Column) -> F.Column:
+    """The least x whose cumulative binomial chance reaches ``u``, by ascending from 0."""
+    odds = p / (1 - p)
+
+    def step(a: F.Column, x: F.Column) -> F.Column:
+        chance = a["chance"] * (n - x) / (x + 1) * odds
+        more = a["sum"] < u
+        return F.struct(F.when(more, x + 1).otherwise(a["x"]).alias("x"), chance.alias("chance"), F.when(more, a["sum"] + chance).otherwise(a["sum"]).alias("sum"))
+
+    none = F.exp(n * F.log1p(-p))
+    first = F.struct(F.lit(0).cast("long").alias("x"), none.alias("chance"), none.alias("sum"))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(STEPS - 1).cast("long")), first, step)["x"]
+
+
+def drawn(own: F.Column, m: F.Column, all_: F.Column, *keys: F.Column) -> F.Column:
+    """How many of ``m`` slots, drawn from ``all_``, are among ``own`` of them."""
+    p = own / all_
+    mean = m * p
+    variance = mean * (1 - p) * (all_ - m) / F.greatest(all_ - 1, F.lit(1))
+    u = uniform(F.lit(1), *keys)
+    normal = F.round(mean + F.sqrt(variance) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(F.lit(2), *keys)))
+    few = F.when(p <= 0.5, binomial(m, p, u)).otherwise(m - binomial(m, 1 - p, u))
+    x = F.when(variance >= LARGE, normal.cast("long")).otherwise(few)
+    held = F.least(F.greatest(x, m - (all_ - own), F.lit(0).cast("long")), own, m)
+    return F.when((m <= 0) | (own <= 0), F.lit(0).cast("long")).when(own >= all_, m).otherwise(held)
+
+
+def table_of_draws(own: F.Column, each: F.Column, *keys: F.Column) -> F.Column:
+    """For each shard an array of counts, one for each entry of ``own``. A shard k has
+    ``each[k]`` slots; the sums of ``own`` and ``each`` agree, and so do the table's."""
+    long = lambda x: F.lit(x).cast("long")
+    none = F.array().cast("array<bigint>")
+
+    def shard(a: F.Column, k: F.Column) -> F.Column:
+        def source(b: F.Column, i: F.Column) -> F.Column:
+            here = F.get(a["left"], i)
+            x = drawn(here, b["m"], b["all"], k, i, *keys)
+            return F.struct((b["m"] - x).alias("m"), (b["all"] - here).alias("all"), F.concat(b["out"], F.array(x)).alias("out"))
+
+        first = F.struct(F.get(each, k).alias("m"), F.aggregate(a["left"], long(0), lambda s, x: s + x).alias("all"), none.alias("out"))
+        got = F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), first, source)["out"]
+        # a lambda, so that what is drawn is drawn once
+        both = F.transform(F.array(got), lambda g: F.struct(F.zip_with(a["left"], g, lambda x, y: x - y).alias("left"), F.concat(a["out"], F.array(g)).alias("out")))
+        return F.get(both, F.lit(0))
+
+    start = F.struct(own.alias("left"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(each) - 1), start, shard)["out"]
+
+
+def shard_draws(sources: DataFrame, n_sources: int, total: int, shards: int, seed: int) -> DataFrame:
+    """sid, shard, n over 0 of the sources (sid, slots), numbered from 0: a draw for each
+    output shard of an equal part of all slots. Rows hold at most ``FAN`` sources or groups."""
+    levels = [sources.select(F.col("sid").alias("id"), F.col("slots").alias("n"))]
+    while n_sources > FAN:
+        levels.append(levels[-1].groupBy(F.floor(F.col("id") / FAN).cast("long").alias("id")).agg(F.sum("n").alias("n")))
+        n_sources = -(-n_sources // FAN)
+    each = F.array(*[F.lit(total // shards + (k < total % shards)).cast("long") for k in range(shards)])
+    above = None
+    for depth, level in reversed(list(enumerate(levels))):
+        packed = level.groupBy(F.floor(F.col("id") / FAN).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("own"))
+        packed = packed.withColumn("each", each) if above is None else packed.join(above, "up")
+        table = table_of_draws(F.col("own.n"), F.col("each"), F.col("up"), F.lit(depth), F.lit(seed))
+        rows = packed.withColumn("table", table).select("table", F.posexplode("own").alias("i", "x"))
+        above = rows.select(F.col("x.id").alias("up"), F.transform("table", lambda t: F.get(t, F.col("i"))).alias("each"))
+    return above.select(F.col("up").alias("sid"), F.posexplode("each").alias("shard", "n")).filter("n > 0")
+
+
 def copy_groups(rows: DataFrame) -> DataFrame:
     """Adds k: the thousand that a row belongs to among rows alike in doc_id, text and tie.
     Only where such rows pass a thousand are they numbered: within the part in which they
@@ -135,9 +218,8 @@ class Mixture:
         joined = placed.join(o, placed["source"].eqNullSafe(o["o_source"]) & (placed["c"] == o["o_c"]))
         self.rows = joined.select("doc_id", "rid", "sid", "size", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
 
-        drawn = each_of(self.sources.select("sid", "slots"), "slots", "slot")
-        shard = F.pmod(F.xxhash64("sid", "slot", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
-        self.counts = common.written(drawn.groupBy("sid", shard).agg(F.count("*").alias("n")), "mix-counts")
+        known = self.sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first()
+        self.counts = common.written(shard_draws(self.sources, known.n, known.slots, shards, seed), "mix-counts")
         first = F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n")
         known = self.counts.withColumn("first", first).join(self.sources.select("sid", "blocks", "slots", "cut"), "sid")
         each = each_of(known, "n", "j").withColumn("slot", F.col("first") + F.col("j"))
@@ -168,9 +250,9 @@ class Mixture:
 
 
 def mixed(docs: DataFrame, shard_col: str | None = None, **options) -> DataFrame:
-    """Rows like ``docs`` whose texts hold the words that the mix takes: a row for what an
-    output shard takes of a document in a pass. ``shard_col`` names a column to add with
-    the shard. Repeated rows are documents each."""
+    """Rows like ``docs`` whose texts hold the words that the mix takes, in order: a row for
+    what it takes of a document in a pass. With ``shard_col``, the name of a column to add,
+    a row for what each output shard takes. Repeated rows are documents each."""
     columns = docs.columns
     names = [f"__k{i}" for i in range(len(columns))]
     at = dict(zip(columns, names))
@@ -180,7 +262,8 @@ def mixed(docs: DataFrame, shard_col: str | None = None, **options) -> DataFrame
     m = Mixture(own, rid=F.col("__rid"), tie=F.col("__tie"), **options)
     met = m.pieces.filter("size > 0").join(m.slots.select("shard", "sid", "pass", "block", "cut").hint("merge"), ["sid", "block"])
     met = met.withColumn("end", F.least("end", F.col("first") + F.coalesce(F.col("cut"), F.lit(m.block)) - F.col("offset"))).filter("end > first")
-    takes = met.groupBy("rid", "pass", "shard").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("takes"))
+    shard = F.col("shard") if shard_col else F.lit(None).cast("int")
+    takes = met.groupBy("rid", "pass", shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("takes"))
     each = takes.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "takes"))).alias("all"))
     out = named.join(each.hint("merge"), F.col("__rid") == F.col("rid"))
     words = F.regexp_extract_all(at["text"], F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))

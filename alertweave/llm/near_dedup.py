@@ -235,10 +235,12 @@ def open_pairs(members: DataFrame, percent: int, miss: float) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold. Sets are made anew from the texts of the
-    classes that pairs name."""
+    classes that pairs name; other texts are left out where they are read, by a bitmap of the
+    hashes of those named, and aren't shuffled."""
     need = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
     own = classes.join(need, "nid").select("nid", "key", F.col("row.doc_id").alias("own_id"), F.col("row.g").alias("own_g"), F.col("row.tie").alias("own_tie"))
-    texts = docs.select("doc_id", *row_hashes(docs), common.text_bytes().alias("t"))
+    own = common.written(own, "near-named")
+    texts = common.among(docs.select("doc_id", *row_hashes(docs), common.text_bytes().alias("t")), "g", own.select("own_g"))
     texts = texts.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("g") == F.col("own_g")) & (F.col("tie") == F.col("own_tie"))).select("nid", "key", "t")
 
     def sets(parts: Iterator[dict]) -> Iterator[dict]:
@@ -264,18 +266,24 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
 def labels_of(links: DataFrame) -> DataFrame:
     """nid, label of every linked node: one label for each connected component. Each round
-    hooks every label to the least one that it touches; linked labels shrink at least by
-    half a round."""
+    draws an order of the labels anew and hooks each to the first that it or its own first
+    one touches. Whatever the links, the labels that are left shrink by a constant factor a
+    round in expectation, so the rounds are as the logarithm of a component's size, for a
+    path in the order of its numbers too."""
     both = lambda e: e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    edges, labels = links, None
+    edges, labels, turn = links, None, 0
     while True:
-        hook = common.written(both(edges).groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("to")), "near-hook")
+        turn += 1
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        hook = both(edges).groupBy("x").agg(F.min(place("y")).alias("to")).select("x", F.least("to", place("x"))["n"].alias("to"))
+        hook = common.written(hook, "near-hook")
+        hook = common.written(hook.alias("p").join(hook.alias("q"), F.col("p.to") == F.col("q.x")).select("p.x", F.col("q.to").alias("to")), "near-hook")
         if labels is None:
             labels = hook.select(F.col("x").alias("nid"), F.col("to").alias("label"))
         else:
             labels = labels.join(hook, labels["label"] == hook["x"], "left").select("nid", F.coalesce("to", "label").alias("label"))
         labels = common.written(labels, "near-labels")
-        to = lambda c: hook.select(F.col("x").alias(c), F.col("to").alias(f"to_{c}"))
+        to = lambda c: hook.select(F.col("x").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
         edges = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct()
         edges = common.written(edges, "near-edges")
         if edges.isEmpty():

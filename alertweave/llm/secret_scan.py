@@ -2,15 +2,18 @@
 
 Three stated patterns give the base spans. The method adds unlabelled stretches that look
 random: for each candidate the encoding is inferred from the characters it uses, and a
-battery of tests compares it with random draws from that alphabet: chi-squared uniformity,
-runs above and below the alphabet's middle, and serial correlation of neighbours. One that
-no test rejects gets a p-value under the opposite hypothesis, that it is written text or
-names: two more statistics, the repetition of characters (upper and lower case as one, as
-names mix them) and the switches between lower case, upper case, digits and marks, are
-compared with what text has, and their normal scores added. Both grow with length, so short
-stretches, which cannot tell the two apart, need more. Benjamini-Hochberg over all candidates
-of the corpus then bounds the share of false discoveries; p-values are rounded up to tenths
-of a decade, so a histogram of bounded size decides.
+battery of three tests compares it with random draws from that alphabet: chi-squared
+uniformity, runs above and below the alphabet's middle, and serial correlation of neighbours.
+One that no test rejects is held against the opposite, that it is written text or a name, by
+the same three properties: how evenly the characters are used, how often the kind of
+character (lower case, upper case, digit, mark) changes, and how vowels and consonants follow
+each other. Each gives a likelihood ratio of the random draw to text; their product is the
+evidence, and its inverse bounds the p-value under text (Markov's inequality), at any length
+and without a normal approximation. Evidence adds up with every character, so short stretches
+need to look more random to count as much. Benjamini-Hochberg over all candidates of the
+corpus, which is valid for such bounds whatever their dependence, limits the share of false
+discoveries; p-values are rounded up to tenths of a decade, so a histogram of bounded size
+decides.
 
 A run with '+' or '/' and also '_' or '-' fits no alphabet; its parts in either alphabet are
 candidates instead. Of accepted parts, one inside another is not reported.
@@ -52,11 +55,15 @@ ALPHABETS = [
     ("base64", "^[A-Za-z0-9+/]+$", DIGITS + UPPER + LOWER + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", DIGITS + UPPER + LOWER + "_-"),
 ]
-#: Sums of squared and of cubed character frequencies of written text and of decimal numbers,
-#: and the share of neighbours in names whose kinds of character differ (a capital every six).
-TEXT_SQUARES, DECIMAL_SQUARES = 0.0655, 0.1
-TEXT_CUBES, DECIMAL_CUBES = 0.0055, 0.01
-SWITCHES = 1 / 3
+#: How often the letters a to z stand in written text, in thousandths; the
+#: chances of the kind of character after lower case, upper case, a digit, a mark, and at the
+#: start, in names; and how much oftener than by chance a consonant or a vowel follows a
+#: consonant, and a consonant or a vowel a vowel.
+LETTER_SHARES = [80, 15, 28, 42, 120, 22, 20, 50, 70, 2, 8, 42, 26, 72, 75, 19, 1, 62, 64, 90, 32, 10, 22, 2, 20, 1]
+KIND_SHARES = [[0.74, 0.16, 0.03, 0.07], [0.62, 0.30, 0.03, 0.05], [0.06, 0.06, 0.80, 0.08], [0.50, 0.25, 0.20, 0.05], [0.60, 0.30, 0.05, 0.05]]
+SERIAL_RATIOS = [0.45 / 0.61, 0.55 / 0.39, 0.85 / 0.61, 0.15 / 0.39]
+#: Of each letter's share so much is spread over all, for other languages and abbreviations.
+SPREAD = 0.15
 Z_BATTERY = 3.29
 FALSE_SHARE = 0.01
 DECADES = 40
@@ -110,15 +117,32 @@ def masked(df: DataFrame, column: str, pattern: str, keep=None) -> DataFrame:
     return df.withColumn(column, F.when(F.col(column).rlike(pattern), F.array_join(F.transform(pieces(F.col(column), pattern), each), "")).otherwise(F.col(column)))
 
 
-def normal_cdf(z: F.Column) -> F.Column:
-    """The logistic approximation with a cubic term; off by less than 0.0002."""
-    z = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return 1.0 / (1.0 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
+def letter_costs() -> list[float]:
+    """The logarithm of each letter's share in text, negated."""
+    return [-math.log((1 - SPREAD) * x / sum(LETTER_SHARES) + SPREAD / 26) for x in LETTER_SHARES]
+
+
+def evidence(core: F.Column, size: F.Column) -> F.Column:
+    """The logarithm of how much likelier a random draw from an alphabet of ``size`` gives the
+    string than written text does."""
+    table = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    letters, kinds = table(letter_costs()), table(-math.log(x) for row in KIND_SHARES for x in row)
+    serial = table(-math.log(x) for x in SERIAL_RATIOS)
+
+    def step(a: F.Column, c: F.Column) -> F.Column:
+        low = F.lower(c)
+        kind = F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
+        vowel = F.when(~low.between("a", "z"), -1).when(F.instr(F.lit("aeiou"), low) > 0, 1).otherwise(0)
+        uniform = F.when(kind < 2, F.get(letters, F.instr(F.lit(LOWER), low) - 1)).when(kind == 2, math.log(10)).otherwise(math.log(2))
+        follows = F.when((a["vowel"] >= 0) & (vowel >= 0), F.get(serial, 2 * a["vowel"] + vowel)).otherwise(0.0)
+        return F.struct(kind.alias("kind"), vowel.alias("vowel"), (a["sum"] + uniform + F.get(kinds, 4 * a["kind"] + kind) + follows - F.log(size)).alias("sum"))
+
+    return F.aggregate(F.split(core, ""), F.struct(F.lit(4).alias("kind"), F.lit(-1).alias("vowel"), F.lit(0.0).alias("sum")), step)["sum"]
 
 
 def battery(s: F.Column) -> F.Column:
-    """A string's p-value under text-like frequencies, in tenths of a decade rounded down
-    (so p is rounded up); null if a test rejects randomness or no encoding fits."""
+    """A string's p-value as text, in tenths of a decade rounded down (so p is rounded up);
+    null if a test rejects randomness or no encoding fits."""
     core = F.rtrim(s, F.lit("="))
     enc = F.lit(None).cast("int")
     for k in range(len(ALPHABETS) - 1, -1, -1):
@@ -146,11 +170,7 @@ def battery(s: F.Column) -> F.Column:
                 i, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("cross"), F.lit(None).cast("double").alias("was")),
                 lambda a, v: F.struct((a["s"] + v).alias("s"), (a["ss"] + v * v).alias("ss"), (a["cross"] + F.coalesce(a["was"] * v, F.lit(0.0))).alias("cross"), v.alias("was")),
             )
-            folded = F.split(F.lower(x["core"]), "")
-            again = F.aggregate(F.array_distinct(folded), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(folded, lambda w: w == v)).cast("double"), F.lit(2.0)))
-            kind = lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
-            turns = F.aggregate(F.split(x["core"], ""), F.struct(F.lit(-1.0).alias("n"), F.lit(-1).alias("was")), lambda a, c: F.struct(F.when(kind(c) == a["was"], a["n"]).otherwise(a["n"] + 1.0).alias("n"), kind(c).alias("was")))["n"]
-            return F.struct(again.alias("again"), turns.alias("turns"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), sums.alias("sums"))
+            return F.struct(z_chi.alias("z_chi"), z_runs.alias("z_runs"), sums.alias("sums"))
 
         def verdict(t: F.Column) -> F.Column:
             mean = t["sums"]["s"] / n
@@ -158,13 +178,9 @@ def battery(s: F.Column) -> F.Column:
             ends = F.instr(x["letters"], F.substring(x["core"], 1, 1)).cast("double") + F.instr(x["letters"], F.substring(x["core"], -1, 1)).cast("double")
             cov = (t["sums"]["cross"] - mean * (2 * t["sums"]["s"] - ends) + (n - 1) * mean * mean) / n
             z_serial = F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.lit(99.0))
-            squares, cubes = (F.when(m == 16, d).otherwise(w) for d, w in ((DECIMAL_SQUARES, TEXT_SQUARES), (DECIMAL_CUBES, TEXT_CUBES)))
-            repeats = (t["again"] - n) / (n * (n - 1))
-            z_repeats = (squares - repeats) / F.sqrt(4 * (cubes - squares * squares) / n + 2 * squares / (n * n))
-            z_turns = (t["turns"] - 0.5 - SWITCHES * (n - 1)) / F.sqrt(SWITCHES * (1 - SWITCHES) * (n - 1))
-            p = normal_cdf(-(z_repeats + z_turns) / math.sqrt(2))
             fine = (t["z_chi"] < Z_BATTERY) & (F.abs(t["z_runs"]) < Z_BATTERY) & (F.abs(z_serial) < Z_BATTERY)
-            return F.when(fine, F.least(F.floor(-10 * F.log10(p)), F.lit(10 * DECADES)).cast("int"))
+            tenths = F.floor(evidence(x["core"], m) * (10 / math.log(10)))
+            return F.when(fine, F.greatest(F.least(tenths, F.lit(10 * DECADES)), F.lit(0)).cast("int"))
 
         return F.when(n >= 16, let(let(index, scores), verdict))
 
@@ -183,11 +199,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     for pattern, keep in ((ASSIGN, group2), (ACCESS, access), (HEX, None)):
         own = masked(own, "left", pattern, keep)
     base = own.select("doc_id", "assign", "access", "hex", matches(F.col("left"), CANDIDATE, lambda s: ~s.contains(MARK)).alias("candidates"))
-    runs = base.schema["candidates"].dataType
-    shifted = lambda c, pattern: F.transform(matches(c["found"], pattern), lambda s: F.struct((c["first"] + s["first"]).alias("first"), (c["first"] + s["end"]).alias("end"), s["found"].alias("found")))
-    parts = F.flatten(F.transform("candidates", lambda c: F.when(c["found"].rlike(MIXED), F.array_distinct(F.concat(*[shifted(c, p) for p in PARTS]))).otherwise(F.array(c)).cast(runs)))
+    runs = "array<struct<first:bigint,end:bigint,found:string,part:boolean>>"
+    shifted = lambda c, pattern: F.transform(matches(c["found"], pattern), lambda s: F.struct((c["first"] + s["first"]).alias("first"), (c["first"] + s["end"]).alias("end"), s["found"].alias("found"), F.lit(True).alias("part")))
+    alone = lambda c: F.array(F.struct(c["first"].alias("first"), c["end"].alias("end"), c["found"].alias("found"), F.lit(False).alias("part")))
+    parts = F.flatten(F.transform("candidates", lambda c: F.when(c["found"].rlike(MIXED), F.array_distinct(F.concat(*[shifted(c, p) for p in PARTS])).cast(runs)).otherwise(alone(c).cast(runs))))
     thin = lambda c: F.transform(c, lambda s: F.struct(s["first"], s["end"]))
-    return base.select("doc_id", thin("assign").alias("assign"), thin("access").alias("access"), thin("hex").alias("hex"), F.transform(parts, lambda c: F.struct(c["first"].alias("first"), c["end"].alias("end"), battery(c["found"]).alias("p"))).alias("candidates"))
+    return base.select("doc_id", thin("assign").alias("assign"), thin("access").alias("access"), thin("hex").alias("hex"), F.transform(parts, lambda c: F.struct(c["first"].alias("first"), c["end"].alias("end"), battery(c["found"]).alias("p"), c["part"].alias("part"))).alias("candidates"))
 
 
 def threshold(histogram: list[tuple[int | None, int]], share: float) -> int | None:
@@ -209,7 +226,9 @@ def secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     added = F.filter("candidates", lambda c: c["p"] >= F.lit(least)) if least is not None else F.filter("candidates", lambda c: F.lit(False))
 
     inside = lambda c, d: (d["first"] <= c["first"]) & (c["end"] <= d["end"]) & (c["end"] - c["first"] < d["end"] - d["first"])
-    added = F.filter(added, lambda c: ~F.exists(added, lambda d: inside(c, d)))
+    # only parts of mixed runs can stand inside one another
+    found = found.withColumn("added", added).withColumn("parts", F.filter("added", lambda c: c["part"]))
+    added = F.filter("added", lambda c: ~c["part"] | ~F.exists("parts", lambda d: inside(c, d)))
 
     def joined(*columns: F.Column) -> F.Column:
         def named(c: F.Column, k: int) -> F.Column:

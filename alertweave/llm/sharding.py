@@ -10,8 +10,8 @@ fills the shards on either side, down to single shards, so sizes come out near e
 The cut is found by distributed histograms: each pass sums bytes into bins of the current
 key interval of every node of the level, and keeps the bin where the cut lies, until that
 bin's bytes are negligible. The driver gets a row for each node and pass, and at most
-``MOST_HEAVY`` of the largest heavy groups; beyond that number the smaller of them go
-through the tree like the others. Tables of these are broadcast only up to a checked size.
+``MOST_HEAVY`` of the largest heavy groups, or as many as there are shards; beyond that
+number the smaller of them go through the tree like the others. Tables of these are broadcast only up to a checked size.
 
 Defined results: a null text has size 1 and checksum 0; null metadata count as empty
 strings, a null doc_id as 0; repeated rows are placed each, and many of them are split like
@@ -154,9 +154,10 @@ def shards(docs: DataFrame, leaves: int | None = None, target_bytes: int | None
     )
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     leaves = leaves or max(1, -(-total // (target_bytes or 128 << 20)))
+    # never past one shard: what no shard can hold must be split, and there are at most ``leaves``
     heavy_bytes = total / leaves / HEAVY
-    while groups.filter(F.col("w") > heavy_bytes).count() > MOST_HEAVY:
-        heavy_bytes *= 2
+    while heavy_bytes < total / leaves and groups.filter(F.col("w") > heavy_bytes).count() > MOST_HEAVY:
+        heavy_bytes = min(2 * heavy_bytes, total / leaves)
     heavy = [(r.g, r.w) for r in groups.filter(F.col("w") > heavy_bytes).select("g", "w").toLocalIterator()]
     placed, room = place_heavy(heavy, leaves, total)
     light = light_shards(groups.filter(F.col("w") <= heavy_bytes).drop("n"), room)

@@ -66,6 +66,53 @@ def test_many_heavy_groups_go_through_the_tree(spark, monkeypatch):
     check_shards(sharding.shards(util.docs(spark, docs), leaves=8).collect(), docs, 8, 1.3)
 
 
+def test_groups_beyond_a_shard_are_split_whatever_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_HEAVY", 1)
+    docs = [(i, "the hot text of a third of all rows", "en", "a", 1) for i in range(500)] + [(1000 + i, f"group {i % 25} " * 6, "en", "a", 1) for i in range(500)]
+    check_shards(sharding.shards(util.docs(spark, docs), leaves=8).collect(), docs, 8, 1.4)
+
+
+def naive_tree(groups, leaves):
+    """The k-d tree by its definition, on a list of (g, weight, coordinates): sort by the key
+    of the widest dimension and cut where the weight of the left shards is reached."""
+    root = [max(1, max(c[d] for _, _, c in groups) - min(c[d] for _, _, c in groups)) for d in range(4)]
+    out = {}
+
+    def split(own, a, b):
+        if b - a == 1 or not own:
+            out.update({g: a for g, *_ in own})
+            return
+        low, high = ([f(c[d] for _, _, c in own) for d in range(4)] for f in (min, max))
+        d = max(range(4), key=lambda x: ((high[x] - low[x]) / root[x], -x))
+        span = float(max(1, high[d] - low[d]))
+        key = lambda x: (min(math.floor((x[2][d] - low[d]) / span * (1 << 30)), (1 << 30) - 1), x[0] & 0xFFFFFFFF)
+        own = sorted(own, key=key)
+        m = (a + b) // 2
+        want, below, cut = sum(w for _, w, _ in own) * (m - a) / (b - a), 0, len(own)
+        for i, (_, w, _) in enumerate(own):
+            if below + w >= want:
+                cut = i + (want - below > w / 2)
+                break
+            below += w
+        split(own[:cut], a, m)
+        split(own[cut:], m, b)
+
+    split(groups, 0, leaves)
+    return out
+
+
+def test_every_group_is_where_the_naive_tree_puts_it(spark):
+    """1,900 groups, ties in all dimensions, each heavier than what a cut leaves open."""
+    rng = random.Random(12)
+    docs = [(rng.randrange(300), f"{i:05d}" + "x" * rng.randint(60, 63), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "d"]), 1) for i in range(1900)]
+    df = util.docs(spark, docs)
+    rows = sharding.sized(df).collect()
+    homes = {(r.doc_id, r.crc): r.shard for r in sharding.shards(df, leaves=8).collect()}
+    want = naive_tree([(r.g, r.size, (r.size, r.doc_id, r.s, r.l)) for r in rows], 8)
+    assert len(set(want.values())) == 8 and len(homes) == 1900
+    assert all(homes[r.doc_id, r.crc] == want[r.g] for r in rows)
+
+
 def test_shards_of_awkward_rows(spark):
     rows = sharding.shards(util.clashing(util.docs(spark)), leaves=4).collect()
     check_shards(rows, util.doc_rows(), 4, None)
@@ -374,6 +421,57 @@ def test_shard_counts_are_a_multinomial_draw(spark):
         assert df - 5 * (2 * df) ** 0.5 < chi < df + 5 * (2 * df) ** 0.5  # neither too even nor too uneven
 
 
+def test_shards_have_equal_slots_and_multinomial_counts(spark):
+    """Per shard over sources: neither too even nor too uneven; and both margins hold."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    for shards in (7, 16):
+        m = mixing.Mixture(util.docs(spark, docs), block=8, shards=shards)
+        slots = {s.sid: s.slots for s in m.sources.collect()}
+        own = {(r.sid, r.shard): r.n for r in m.counts.collect()}
+        total = sum(slots.values())
+        held = [sum(own.get((s, k), 0) for s in slots) for k in range(shards)]
+        assert sum(held) == total and max(held) - min(held) <= 1
+        assert all(sum(own.get((s, k), 0) for k in range(shards)) == n for s, n in slots.items())
+        assert Counter(x.shard for x in m.slots.select("shard").collect()) == dict(enumerate(held))
+        df = len(slots) - 1
+        chis = [sum((own.get((s, k), 0) - held[k] * n / total) ** 2 / (held[k] * n / total) for s, n in slots.items()) for k in range(shards)]
+        scaled = [c / (1 - 1 / shards) for c in chis]  # drawn without putting back
+        assert all(df - 5 * (2 * df) ** 0.5 < c < df + 6 * (2 * df) ** 0.5 for c in scaled), scaled
+        spread = (2 * df * shards) ** 0.5
+        assert abs(sum(scaled) - df * shards) < 5 * spread, (sum(scaled), df * shards)
+
+
+def test_draws_hold_both_margins(spark, monkeypatch):
+    """Many small and a few huge sources, in groups of groups."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rng = random.Random(3)
+    for sizes in ([0, 0, 0], [1], [10**12, 3, 10**11, 0, 1, 1], [rng.choice([0, 1, 2, 5, 40, 3000]) for _ in range(70)]):
+        df = spark.createDataFrame(list(enumerate(sizes)), "sid bigint, slots bigint")
+        rows = mixing.shard_draws(df, len(sizes), sum(sizes), 5, 1).collect()
+        assert all(r.n > 0 for r in rows)
+        by_source, by_shard = Counter(), Counter()
+        for r in rows:
+            by_source[r.sid] += r.n
+            by_shard[r.shard] += r.n
+        assert by_source == Counter({i: n for i, n in enumerate(sizes) if n})
+        assert [by_shard[k] for k in range(5)] == [sum(sizes) // 5 + (k < sum(sizes) % 5) for k in range(5)]
+
+
+def test_binomial_draws(spark):
+    """Means and variances of small and large draws, and the inversion itself."""
+    for n, own, total in ((3, 40, 100), (40, 5, 100_000), (500, 30_000, 100_000), (1000, 99_900, 100_000)):
+        x = [r.x for r in spark.range(4000).select(mixing.drawn(F.lit(own).cast("long"), F.lit(n).cast("long"), F.lit(total).cast("long"), F.col("id")).alias("x")).collect()]
+        p = own / total
+        mean, var = n * p, n * p * (1 - p)
+        got = sum(x) / len(x)
+        assert abs(got - mean) < 5 * (var / len(x)) ** 0.5 + 1e-9, (n, own, got, mean)
+        assert abs(sum((v - got) ** 2 for v in x) / len(x) - var) < 0.2 * var + 0.02
+    chance = lambda n, p, k: math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    for u in (0.001, 0.3, 0.77, 0.9999):
+        got = spark.range(1).select(mixing.binomial(F.lit(30).cast("long"), F.lit(0.2), F.lit(u)).alias("x")).first().x
+        assert got == next(k for k in range(31) if sum(chance(30, 0.2, i) for i in range(k + 1)) >= u)
+
+
 def test_mix_of_many_equal_rows(spark, monkeypatch):
     """Copies are dealt to chunks, and each is a document of its own."""
     monkeypatch.setattr(mixing, "COPIES", 7)

@@ -139,3 +139,33 @@ def test_one_row_of_each_component_stays(spark):
     assert sum(k for *_, k in brute([(i, *r[1:]) for i, r in enumerate(left)], 80)) == len(left)
     again = near_dedup.deduplicated(util.docs(spark, docs[::-1]).repartition(3)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_rounds_of_components_are_few(spark, monkeypatch):
+    """A path in the order of its numbers, a star, a grid and a tree, all at once."""
+    rounds = []
+    whole = near_dedup.common.written
+    monkeypatch.setattr(near_dedup.common, "written", lambda df, name: (rounds.append(name), whole(df, name))[1])
+    path = [(i, i + 1) for i in range(199)]
+    star = [(1000, 1001 + i) for i in range(300)]
+    grid = [(2000 + 20 * i + j, 2000 + 20 * i + j + d) for i in range(20) for j in range(20) for d in (1, 20) if (d == 20 or j < 19) and (d == 1 or i < 19)]
+    tree = [(3000 + i // 2, 3000 + i) for i in range(2, 200)]
+    got = {r.nid: r.label for r in near_dedup.labels_of(spark.createDataFrame(path + star + grid + tree, "a bigint, b bigint")).collect()}
+    groups = defaultdict(set)
+    for n, label in got.items():
+        groups[label].add(n)
+    want = [set(range(200)), {1000, *range(1001, 1301)}, set(range(2000, 2400)), set(range(3001, 3200))]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+    assert rounds.count("near-edges") < 12, rounds.count("near-edges")
+
+
+def test_only_texts_that_pairs_name_are_sent(spark, monkeypatch):
+    """Of many unlike texts and a few alike, hardly any others leave the scan."""
+    sent = []
+    whole = near_dedup.common.among
+    monkeypatch.setattr(near_dedup.common, "among", lambda df, c, hashes: (sent.append(out := whole(df, c, hashes)), out)[1])
+    rng = random.Random(33)
+    texts = [" ".join(f"u{i}x{k}" for k in range(30)) for i in range(2000)] + [edited([f"v{k}" for k in range(60)], rng, 1) for _ in range(20)]
+    docs = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    assert rows(near_dedup.components(util.docs(spark, docs), percent=85)) == brute(docs)
+    assert sent and max(df.count() for df in sent) < 40

@@ -42,7 +42,7 @@ def test_stages_one_by_one(spark):
         got[d] += len(t.split())
         pieces[d] += 1
     assert got == Counter({r.doc_id: r.taken for r in taken if r.taken})
-    assert all(len(r.shards) <= pieces[r.doc_id] <= 2 * len(r.shards) for r in taken)  # a row for each shard and pass
+    assert all((r.taken > 0) <= pieces[r.doc_id] <= 2 for r in taken)  # a row for each pass
 
     fifth = stage["sharding"](spark, fourth, sf_dir)
     assert Counter(r.doc_id for r in fifth.collect()) == Counter(r[0] for r in rows(fourth))
