@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..functions.similarity import jaccard, token_sort_ratio
+from ..functions.similarity import jaccard
+from ..storage import written
+from .layer_two import similar
 
 DUPLICATE_AT, SIMILAR_AT = 0.80, 80.0
 SLOTS = ("user", "ip", "domain")
@@ -83,46 +85,19 @@ def dedup_l1(fp: DataFrame, threshold: float = DUPLICATE_AT) -> DataFrame:
 
 def dedup_l2(fp: DataFrame, values: Sequence[str], l1: DataFrame, threshold: float = SIMILAR_AT) -> DataFrame:
     """For alerts that layer 1 left: the most similar earlier alert of another rule in the
-    same window, by the mean over indicator types of the best token-sort ratio; similar from
-    the threshold on.
-
-    Sets of the alerts that are left meet all sets of their customer and window. A pair of
-    sets goes on only while its lengths allow the threshold (a ratio is at most twice the
-    shorter length over both); equal values need no comparison; each unordered pair of other
-    values reaches the Python function once."""
-    group = ["customer", "bucket"]
-    left = fp.select("alert_id", "ts", *group, "name_hash", *values).join(l1.filter("verdict = 'NEW'").select("alert_id"), "alert_id", "left_semi")
-    a = left.groupBy(*group, "name_hash", *values).agg(F.max(F.struct("ts", "alert_id")).alias("last"))
-    sets = fp.groupBy(*group, "name_hash", *values).agg(F.min(F.struct("ts", "alert_id")).alias("first"))
-    b = sets.select(*group, F.col("name_hash").alias("name_b"), *[F.col(v).alias(f"{v}_b") for v in values], "first")
-    lengths = lambda v: (F.length(v), F.length(f"{v}_b"))
-    most = lambda x, y: F.coalesce(200.0 * F.least(x, y) / F.nullif(x + y, F.lit(0)), F.lit(100.0))
-    # white space doesn't count in a ratio, so only texts without any are bounded by length
-    bound = lambda v: F.when(F.col(v).isNull() | F.col(f"{v}_b").isNull(), 0.0).when(F.concat(v, f"{v}_b").rlike(r"\s"), 100.0).otherwise(most(*lengths(v)))
-    pairs = a.join(b, group).filter((F.col("name_hash") != F.col("name_b")) & (F.col("first") < F.col("last"))).drop("last")
-    pairs = pairs.filter(sum(bound(v) for v in values) / len(values) >= threshold - 0.02)
-    x, y = F.least("p.x", "p.y"), F.greatest("p.x", "p.y")
-    long = pairs.select(F.explode(F.array(*[F.struct(F.col(v).alias("x"), F.col(f"{v}_b").alias("y")) for v in values])).alias("p"))
-    long = long.filter(F.col("p.x") != F.col("p.y")).select(x.alias("x"), y.alias("y")).distinct()
-    ratio = long.withColumn("r", token_sort_ratio("x", "y"))
-    for v in values:
-        own = ratio.select(F.col("x").alias(f"x_{v}"), F.col("y").alias(f"y_{v}"), F.col("r").alias(f"r_{v}"))
-        pairs = pairs.join(own, (F.least(v, f"{v}_b") == F.col(f"x_{v}")) & (F.greatest(v, f"{v}_b") == F.col(f"y_{v}")), "left")
-    each = lambda v: F.when(F.col(v) == F.col(f"{v}_b"), 100.0).otherwise(F.round(F.coalesce(F.col(f"r_{v}"), F.lit(0.0)), 2))
-    score = F.round(sum(each(v) for v in values) / len(values), 2)
-    pairs = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select(*group, "name_hash", *values, "score", "first")
-    met = left.join(pairs.withColumnsRenamed({c: f"__{c}" for c in [*group, "name_hash", *values]}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, "name_hash", *values]], "left")
-    earlier = F.when(F.col("first").isNotNull() & (F.struct("first.ts", "first.alert_id") < F.struct("ts", "alert_id")), F.struct((-F.col("score")).alias("s"), F.col("first")))
-    best = met.groupBy("alert_id").agg(F.min(earlier).alias("m"))
-    return best.select("alert_id", F.when(F.col("m").isNull(), "NEW").otherwise("SIMILAR").alias("verdict"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"), F.col("m.first.alert_id").alias("matched_alert_id"))
+    same window (``layer_two``); similar from the threshold on. ``values`` are columns of
+    texts or of lists of texts, one for each indicator type."""
+    return similar(fp, values, l1.filter("verdict = 'NEW'").select("alert_id"), threshold)
 
 
 def dedup(fp: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Both layers: alert_id, verdict, layer, matched_alert_id."""
-    l1 = dedup_l1(fp)
+    """Both layers: alert_id, verdict, layer, matched_alert_id, confidence (of layer 1)."""
+    l1 = written(dedup_l1(fp), "layer-one")
     l2 = dedup_l2(fp, values, l1).select("alert_id", F.col("verdict").alias("v2"), F.col("matched_alert_id").alias("m2"))
     j = l1.join(l2, "alert_id", "left")
-    return j.select("alert_id", F.when(F.col("verdict") == "DUPLICATE", "DUPLICATE").otherwise(F.coalesce("v2", F.lit("NEW"))).alias("verdict"), F.when(F.col("verdict") == "DUPLICATE", 1).when(F.col("v2") == "SIMILAR", 2).otherwise(0).alias("layer"), F.coalesce("matched_alert_id", "m2").alias("matched_alert_id"))
+    verdict = F.when(F.col("verdict") == "DUPLICATE", "DUPLICATE").otherwise(F.coalesce("v2", F.lit("NEW"))).alias("verdict")
+    layer = F.when(F.col("verdict") == "DUPLICATE", 1).when(F.col("v2") == "SIMILAR", 2).otherwise(0).alias("layer")
+    return j.select("alert_id", verdict, layer, F.coalesce("matched_alert_id", "m2").alias("matched_alert_id"), "confidence")
 
 
 def observable_similarity(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:

@@ -6,14 +6,16 @@ are taken in ranges (``ordered``), never by one window over all."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stats import upper_bound
-from .ordered import quantiles, running
+from .linear import averaged_sgd
+from .ordered import quantiles, running, split_at
 
 
 def by_score(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,20 +47,39 @@ def forward_folds(df: DataFrame, order: Sequence[str], folds: int = 5) -> DataFr
     return out.withColumn("fold", F.floor(F.col("__r") * (folds + 1) / F.col("total")).cast("int")).drop("__r", "c", "before", "total")
 
 
-def forward_scores(df: DataFrame, folds: int, features: str = "features", label: str = "label", iterations: int = 20, penalty: float = 0.01) -> DataFrame:
+#: Fits a model on rows and returns what adds a column ``score`` to others.
+Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+
+def logistic(features: str = "features", label: str = "label", iterations: int = 20, penalty: float = 0.01) -> Fit:
+    """The library's logistic regression, by L-BFGS."""
+
+    def fit(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.functions import vector_to_array
+
+        model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=iterations, regParam=penalty).fit(rows)
+        return lambda df: model.transform(df).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+
+    return fit
+
+
+def sgd(id_col: str, size: int, **options) -> Fit:
+    """Averaged stochastic gradient (``linear``)."""
+    return lambda rows: averaged_sgd(rows, id_col, size, **options).scored
+
+
+def forward_scores(df: DataFrame, folds: int, fit: Fit | None = None, label: str = "label") -> DataFrame:
     """``df`` (fold, label, features) of the folds from 1 on, each with the score of a linear
     model that was fitted on all earlier folds; a fold whose predecessors have one class only
     has null scores. Models are fitted one after another, their rows never leave the cluster."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
+    fit = fit or logistic(label=label)
     classes = {r.fold: (r.a, r.b) for r in df.groupBy("fold").agg(F.min(label).alias("a"), F.max(label).alias("b")).collect()}
     out = None
     for k in range(1, folds + 1):
         fold, seen = df.filter(F.col("fold") == k), [c for f, c in classes.items() if f < k]
         if seen and min(a for a, _ in seen) < max(b for _, b in seen):
-            model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=iterations, regParam=penalty).fit(df.filter(F.col("fold") < k))
-            part = model.transform(fold).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+            part = fit(df.filter(F.col("fold") < k))(fold)
         else:
             part = fold.withColumn("score", F.lit(None).cast("double"))
         out = part if out is None else out.unionByName(part)
@@ -115,16 +136,34 @@ def ece(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
+#: Ranges of scores within a key, so that no task gets all scores of one.
+SCORE_RANGES = 64
+
+
+def ranged(c: DataFrame, ranges: int = SCORE_RANGES) -> DataFrame:
+    """``c`` (score, ...) with ``range``: splitters from a sketch of the scores."""
+    x = F.col("score").cast("double")
+    edges = c.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("__edges"))
+    return c.join(F.broadcast(edges)).withColumn("range", split_at(x, F.col("__edges"), ranges)).drop("__edges")
+
+
+def pair_counts(c: DataFrame, *keys: str) -> DataFrame:
+    """keys, wins (twice the pairs in which a positive outscores a negative, ties once), pos
+    and neg. c: keys, range, score, p, neg, one row for each score. A range is summed up by
+    itself, and what is below it is carried to it, a row for each key and range."""
+    w = W.partitionBy(*keys, "range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    each = c.groupBy(*keys, "range").agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("neg"))).alias("wins"), F.sum("p").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    each = each.withColumn("carry", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+    return each.groupBy(*keys).agg(F.sum(F.col("wins") + 2 * F.col("pos") * F.col("carry")).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def roc_auc(df: DataFrame, *keys: str) -> DataFrame:
     """Chance that a positive outscores a negative, ties for a half. All in whole numbers
     until the last division."""
-    c = by_score(df, *keys).withColumn("neg", F.col("n") - F.col("p"))
-    if keys:
-        w = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-        c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    else:
-        c = running(c, F.col("score"), {"below": F.col("neg")}, before=True)
-    a = c.groupBy(*keys).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("neg"))).alias("wins"), F.sum("p").alias("pos"), F.sum("neg").alias("neg"))
+    c = ranged(by_score(df, *keys)).withColumn("neg", F.col("n") - F.col("p"))
+    a = pair_counts(c, *keys)
     return a.select(*keys, "pos", "neg", (F.col("wins") / (2 * F.nullif(F.col("pos") * F.col("neg"), F.lit(0)))).alias("auc"))
 
 
@@ -149,20 +188,33 @@ def losses(df: DataFrame, probability: Column, least: float = 1e-15) -> DataFram
     return one.join(F.broadcast(roc_auc(df).select("auc"))).select("n", "base_rate", "auc", (2 * F.col("auc") - 1).alias("gini"), "brier", "log_loss")
 
 
-def bootstrap_auc(df: DataFrame, key: str, rounds: int = 100, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 percentiles of the AUC over Poisson resamples. Weights come from a hash
-    of row and round, so reruns agree; rows are summed by score before the round's window."""
-    r = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cum, term = 0.0, 0.36787944117144233
-    weight = F.lit(0)
-    for k in range(1, 9):
-        cum, term = cum + term, term / k
-        weight = weight + (u >= cum).cast("int")
-    c = r.withColumn("w", weight).filter("w > 0").groupBy("round", "score").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
-    w = W.partitionBy("round").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    c = c.withColumn("neg", F.col("n") - F.col("p")).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    a = c.groupBy("round").agg((F.sum(F.col("p") * (2 * F.col("below") + F.col("neg"))) / (2 * F.sum("p") * F.sum("neg"))).alias("auc"))
+def poisson(mean: Column, *keys: Column) -> Column:
+    """A Poisson draw that the keys choose: by inversion for a mean below 32, else from a
+    normal variate."""
+    uniform = lambda k: (F.pmod(F.xxhash64(F.lit(k), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u, m = uniform(1), mean.cast("double")
+
+    def step(a: Column, k: Column) -> Column:
+        chance = a["chance"] * m / k
+        more = a["sum"] < u
+        return F.struct(F.when(more, k).otherwise(a["n"]).alias("n"), chance.alias("chance"), F.when(more, a["sum"] + chance).otherwise(a["sum"]).alias("sum"))
+
+    none = F.exp(-m)
+    few = F.aggregate(F.sequence(F.lit(1), F.when(m < 2, 20).when(m < 8, 40).otherwise(96)), F.struct(F.lit(0).alias("n"), none.alias("chance"), none.alias("sum")), step)["n"]
+    normal = F.round(m + F.sqrt(m) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(2)))
+    return F.when(m <= 0, 0).when(m < 32, few).otherwise(F.greatest(normal, F.lit(0.0))).cast("long")
+
+
+def bootstrap_auc(df: DataFrame, rounds: int = 400, seed: int = 7) -> DataFrame:
+    """2.5 and 97.5 percentiles of the AUC over Poisson resamples: every row is taken a
+    Poisson number of times with mean one, so all rows of a score and label together are with
+    their count as the mean, and one draw is made for each score, label and round. Draws come
+    from hashes, so reruns agree. Resamples of one label have no AUC and don't count."""
+    c = ranged(by_score(df)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    draw = lambda n, label: poisson(n, F.col("score"), F.lit(label), F.col("round"), F.lit(seed))
+    # under other names than those drawn from, which a lambda would take for the new columns
+    drawn = c.select("round", "range", "score", draw(F.col("p"), 1).alias("drawn_p"), draw(F.col("n") - F.col("p"), 0).alias("drawn_n"))
+    a = pair_counts(drawn.withColumnsRenamed({"drawn_p": "p", "drawn_n": "neg"}), "round").select((F.col("wins") / (2 * F.nullif(F.col("pos") * F.col("neg"), F.lit(0)))).alias("auc"))
     return a.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 
 

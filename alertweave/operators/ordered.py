@@ -1,9 +1,9 @@
 """Running totals and exact quantiles over an order of all rows, without one task for all.
 
-Rows are dealt to ranges of equal width of a numeric order; a row's total is that of the
-ranges before its own plus that within it, so the only window over everything sees a row for
-each range. Widths are even, so values that crowd in a small part of their range share few
-tasks; results are the same."""
+Rows are dealt to ranges of a numeric order; a row's total is that of the ranges before its
+own plus that within it, so the only window over everything sees a row for each range. The
+ranges are split at quantiles of a sketch, so they hold about as many rows each, however the
+values lie; only rows of one value are never split, and callers sum those first."""
 
 from __future__ import annotations
 
@@ -16,6 +16,20 @@ from pyspark.sql import Window as W
 RANGES = 1024
 
 
+def split_at(x: Column, edges: Column, ranges: int) -> Column:
+    """How many of the sorted ``edges`` (``ranges`` - 1 of them) are less than ``x``, by
+    halving; 0 without edges."""
+
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        less = F.get(edges, mid) < x
+        open_ = a["low"] < a["high"]
+        return F.struct(F.when(open_ & less, mid + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~less, mid).otherwise(a["high"]).alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), F.coalesce(F.size(edges), F.lit(0)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ranges.bit_length() + 1)), whole, halved)["low"]
+
+
 def running(df: DataFrame, order: Column, sums: dict[str, Column], descending: bool = False, before: bool = False, ties: Sequence[Column] = (), ranges: int = RANGES) -> DataFrame:
     """``df`` with, for each of ``sums``, its total up to the row in ``order`` (``before``:
     without the row), and over all rows as ``<name>_all``. Rows that ``order`` and ``ties``
@@ -23,9 +37,8 @@ def running(df: DataFrame, order: Column, sums: dict[str, Column], descending: b
     x = order.cast("double")
     x = -x if descending else x
     own = df.withColumn("__x", x).withColumns({f"__s_{n}": c for n, c in sums.items()})
-    edge = own.agg(F.min("__x").alias("__low"), F.max("__x").alias("__high"))
-    share = (F.col("__x") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
-    own = own.join(F.broadcast(edge)).withColumn("__range", F.coalesce(F.least(F.floor(share * ranges), F.lit(ranges - 1)), F.when(F.col("__x").isNull(), -1).otherwise(0)).cast("int"))
+    edge = own.agg(F.percentile_approx("__x", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("__edges"))
+    own = own.join(F.broadcast(edge)).withColumn("__range", F.when(F.col("__x").isNull(), -1).otherwise(split_at(F.col("__x"), F.col("__edges"), ranges))).drop("__edges")
     each = own.groupBy("__range").agg(*[F.sum(f"__s_{n}").alias(f"__r_{n}") for n in sums])
     earlier, every = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -33,7 +46,7 @@ def running(df: DataFrame, order: Column, sums: dict[str, Column], descending: b
     inside = W.partitionBy("__range").orderBy("__x", *ties).rowsBetween(W.unboundedPreceding, -1 if before else 0)
     out = own.withColumns({n: zero(F.sum(f"__s_{n}").over(inside)) for n in sums}).join(F.broadcast(each), "__range")
     out = out.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums})
-    return out.drop("__x", "__low", "__high", "__range", *[f"__{k}_{n}" for n in sums for k in "so"])
+    return out.drop("__x", "__range", *[f"__{k}_{n}" for n in sums for k in "so"])
 
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
+from .scans import Scan
+
 PAIR = ("tenant", "rule")
 BENIGN = "Benign Positive"
 
@@ -18,57 +20,48 @@ def order(*keys: str) -> WindowSpec:
     return W.partitionBy(*keys).orderBy("t", "container_id")
 
 
-def before(*keys: str) -> WindowSpec:
-    return order(*keys).rowsBetween(W.unboundedPreceding, -1)
-
-
 def prior_rate(df: DataFrame, keys: Sequence[str], hit: Column, name: str, smoothing: float = 20.0, prior: float | None = None) -> DataFrame:
     """(hits before + smoothing * p) / (n before + smoothing), and n before. p is the whole
     population's mean unless given. Without smoothing the rate of the unseen is null."""
     h = hit.cast("int")
-    w = before(*keys)
-    n, hits = F.count("*").over(w), F.coalesce(F.sum(h).over(w), F.lit(0))
     if prior is None:
         # a scalar subquery keeps the mean from being a window over all rows in one task
         df = df.crossJoin(F.broadcast(df.agg(F.avg(h).alias("__p"))))
         p = F.col("__p")
     else:
         p = F.lit(float(prior))
+    df = Scan(df, keys).sums_before({"__n": F.lit(1), "__hits": F.coalesce(h, F.lit(0))})
+    n, hits = F.col("__n"), F.col("__hits")
     rate = (hits + smoothing * p) / (n + F.lit(smoothing)) if smoothing else F.when(n > 0, hits / n)
-    return df.withColumn(f"{name}_n", n).withColumn(f"{name}_rate", rate).drop("__p")
+    return df.withColumn(f"{name}_n", n).withColumn(f"{name}_rate", rate).drop("__p", "__n", "__hits")
 
 
 def seen_before(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    return df.withColumn("seen", (F.row_number().over(order(*keys)) - 1).cast("long"))
+    return Scan(df, keys).sums_before({"seen": F.lit(1)})
 
 
 def previous(df: DataFrame, keys: Sequence[str] = PAIR, column: str = "verdict", default: str | None = "none") -> DataFrame:
-    return df.withColumn("prev", F.lag(column, 1, default).over(order(*keys)))
+    return Scan(df, keys).last_before("prev", column, default)
 
 
 def benign_run(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Benign verdicts in a row right before a row. An island begins at each other verdict."""
-    benign = F.col("verdict") == BENIGN
-    island = F.coalesce(F.sum((~benign).cast("int")).over(before(*keys)), F.lit(0))
-    df = df.withColumn("__island", island)
-    inside = W.partitionBy(*keys, "__island").orderBy("t", "container_id").rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("benign_run", F.coalesce(F.sum(benign.cast("int")).over(inside), F.lit(0)).cast("long")).drop("__island")
+    """Benign verdicts in a row right before a row."""
+    return Scan(df, keys).run_before("benign_run", F.col("verdict") == BENIGN)
 
 
 def flip_rate(df: DataFrame) -> DataFrame:
     """Within a rule, of the earlier rows that had a previous verdict of their own pair, the
     share that differed from it; null without any."""
-    p = F.lag("verdict").over(order(*PAIR))
-    df = df.withColumn("__had", p.isNotNull().cast("int")).withColumn("__flip", F.coalesce((p != F.col("verdict")).cast("int"), F.lit(0)))
-    n, flips = F.sum("__had").over(before("rule")), F.sum("__flip").over(before("rule"))
-    return df.withColumn("flip_rate", F.when(n > 0, flips / n)).drop("__had", "__flip")
+    df = Scan(df, PAIR).last_before("__prev", "verdict", None)
+    p = F.col("__prev")
+    df = Scan(df, ["rule"]).sums_before({"__had": p.isNotNull().cast("int"), "__flip": F.coalesce((p != F.col("verdict")).cast("int"), F.lit(0))})
+    return df.withColumn("flip_rate", F.when(F.col("__had") > 0, F.col("__flip") / F.col("__had"))).drop("__had", "__flip", "__prev")
 
 
 def distinct_before(df: DataFrame, key: str = "rule", value: str = "tenant") -> DataFrame:
     """Distinct values so far, by counting first occurrences."""
-    first = (F.row_number().over(order(key, value)) == 1).cast("int")
-    df = df.withColumn("__first", first)
-    return df.withColumn("distinct_before", F.coalesce(F.sum("__first").over(before(key)), F.lit(0)).cast("long")).drop("__first")
+    df = Scan(df, [key, value]).sums_before({"__before": F.lit(1)})
+    return Scan(df, [key]).sums_before({"distinct_before": (F.col("__before") == 0).cast("int")}).drop("__before")
 
 
 def recurrence(df: DataFrame, time: str, keys: Sequence[str], tie: str) -> DataFrame:
@@ -148,10 +141,7 @@ def equity(df: DataFrame) -> DataFrame:
 
 def score_drawdown(df: DataFrame) -> DataFrame:
     """For each row, how far the rule's running score stood below its own high before it."""
-    step = F.when(F.col("verdict") == "True Positive", 1).otherwise(-1)
-    df = df.withColumn("__s", F.coalesce(F.sum(step).over(before("rule")), F.lit(0)))
-    high = F.max("__s").over(order("rule").rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("below_high", high - F.col("__s")).drop("__s")
+    return Scan(df, ["rule"]).below_high("below_high", F.when(F.col("verdict") == "True Positive", 1).otherwise(-1))
 
 
 def momentum(daily: DataFrame, days: int = 14, least: int = 20) -> DataFrame:

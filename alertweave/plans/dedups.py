@@ -9,7 +9,7 @@ from ..operators import aggregates as A
 from ..operators import bundles as B
 from ..operators import dedup as D
 from ..operators import joins
-from ..sources.views import alerts, with_views
+from ..sources.views import alerts, sightings, with_views
 from .registry import query
 
 VALUES = ["user_name", "ip", "domain"]
@@ -41,6 +41,11 @@ lcs AS (SELECT x, y, a, b, 0 AS i, (1::HUGEINT << length(a)) - 1 AS bits FROM tx
 {name} AS (SELECT x, y, CASE WHEN length(a) + length(b) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * (length(a) - bit_count(bits)) / (length(a) + length(b)) END AS r FROM lcs WHERE i = length(b))"""
 
 
+def hundredths(x: str) -> str:
+    """Rounded from the number's exact value, as formatting does."""
+    return f"CAST(printf('%.2f', {x}) AS DOUBLE)"
+
+
 def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -52,7 +57,7 @@ sa AS (SELECT DISTINCT customer, bucket, alert_name, user_name, ip, domain FROM
 sp AS (SELECT sa.*, s2.user_name AS user_b, s2.ip AS ip_b, s2.domain AS domain_b, fid, fts FROM sa JOIN s2 ON sa.customer = s2.customer AND sa.bucket = s2.bucket AND sa.alert_name <> s2.alert_name),
 vp AS (SELECT user_name AS x, user_b AS y FROM sp UNION SELECT ip, ip_b FROM sp UNION SELECT domain, domain_b FROM sp)"""
     + lcs_sql("vp")
-    + """, sc AS (SELECT sp.*, round((round(u.r, 2) + round(i.r, 2) + round(d.r, 2)) / 3, 2) AS score FROM sp JOIN ratio u ON u.x = user_name AND u.y = user_b JOIN ratio i ON i.x = ip AND i.y = ip_b JOIN ratio d ON d.x = domain AND d.y = domain_b),
+    + f""", sc AS (SELECT sp.*, {hundredths(f"({hundredths('d.r')} + {hundredths('i.r')} + {hundredths('u.r')}) / 3")} AS score FROM sp JOIN ratio u ON u.x = user_name AND u.y = user_b JOIN ratio i ON i.x = ip AND i.y = ip_b JOIN ratio d ON d.x = domain AND d.y = domain_b),
 m2 AS (SELECT l.alert_id, max(score) AS score, arg_min(fid, (-score, fts, fid)) AS mid FROM l JOIN sc USING (customer, bucket, alert_name, user_name, ip, domain) WHERE score >= 80 AND (fts, fid) < (l.ts, l.alert_id) GROUP BY l.alert_id),
 l2 AS (SELECT l.alert_id, CASE WHEN mid IS NULL THEN 'NEW' ELSE 'SIMILAR' END AS verdict, coalesce(score, 0.0::DOUBLE) AS score, mid AS matched_alert_id FROM l LEFT JOIN m2 USING (alert_id))"""
 )
@@ -92,7 +97,37 @@ def dedup_l2(spark, d):
 
 @query(recursive(on(BOTH + " SELECT alert_id, verdict, layer, matched_alert_id FROM dd")))
 def dedup(spark, d):
-    return D.dedup(fingerprints(spark, d), VALUES)
+    return D.dedup(fingerprints(spark, d), VALUES).drop("confidence")
+
+
+LISTS = (
+    """, s AS (SELECT *, epoch_ms(ts) // 1800000 AS bucket FROM sightings),
+e1 AS (SELECT c.alert_id, arg_min(e.alert_id, (e.ts, e.alert_id)) AS matched FROM s c JOIN s e ON c.customer = e.customer AND c.alert_name = e.alert_name AND c.bucket = e.bucket AND c.users = e.users AND c.ips = e.ips AND c.domains = e.domains
+ AND len(c.users) + len(c.ips) + len(c.domains) > 0 AND (e.ts, e.alert_id) < (c.ts, c.alert_id) GROUP BY c.alert_id),
+l AS (SELECT * FROM s WHERE alert_id NOT IN (SELECT alert_id FROM e1)),
+fb AS (SELECT customer, bucket, alert_name, users, ips, domains, arg_min(alert_id, (ts, alert_id)) AS fid, min(ts) AS fts FROM s GROUP BY ALL),
+fa AS (SELECT DISTINCT customer, bucket, alert_name, users, ips, domains FROM l),
+sp AS (SELECT row_number() OVER () AS p, fa.*, fb.users AS users_b, fb.ips AS ips_b, fb.domains AS domains_b, fid, fts FROM fa JOIN fb ON fa.customer = fb.customer AND fa.bucket = fb.bucket AND fa.alert_name <> fb.alert_name),
+k AS (SELECT p, 'domains' AS kind, domains AS a, domains_b AS b FROM sp UNION ALL SELECT p, 'ips', ips, ips_b FROM sp UNION ALL SELECT p, 'users', users, users_b FROM sp),
+kk AS (SELECT * FROM k WHERE len(a) + len(b) > 0),
+av AS (SELECT p, kind, b, unnest(a) AS x, unnest(range(len(a))) AS i FROM kk WHERE len(a) > 0 AND len(b) > 0),
+vp AS (SELECT p, kind, i, x, unnest(b) AS y FROM av)"""
+    + lcs_sql("vp")
+    + f""", bm AS (SELECT p, kind, i, max(r) AS r FROM vp JOIN ratio USING (x, y) GROUP BY p, kind, i),
+ty AS (SELECT p, kind, {hundredths("list_reduce(list_prepend(0.0::DOUBLE, list(r ORDER BY i)), lambda u, v: u + v) / count(*)")} AS r FROM bm GROUP BY p, kind),
+al AS (SELECT p, list(coalesce(r, 0.0::DOUBLE) ORDER BY kind) AS rs FROM kk LEFT JOIN ty USING (p, kind) GROUP BY p),
+sc AS (SELECT sp.*, {hundredths("list_reduce(list_prepend(0.0::DOUBLE, rs), lambda u, v: u + v) / len(rs)")} AS score FROM sp JOIN al USING (p)),
+m2 AS (SELECT l.alert_id, max(score) AS score, arg_min(fid, (-score, fts, fid)) AS mid FROM l JOIN sc USING (customer, bucket, alert_name, users, ips, domains) WHERE score >= 80 AND (fts, fid) < (l.ts, l.alert_id) GROUP BY l.alert_id)
+SELECT l.alert_id, CASE WHEN mid IS NULL THEN 'NEW' ELSE 'SIMILAR' END AS verdict, coalesce(score, 0.0::DOUBLE) AS score, mid AS matched_alert_id FROM l LEFT JOIN m2 USING (alert_id)"""
+)
+
+
+@query(recursive(with_views("alerts sightings", LISTS)))
+def dedup_l2_lists(spark, d):
+    """Layer two over alerts with several values of a type, or none."""
+    s = sightings(spark, d)
+    fp = D.fingerprints(s, {"user": F.col("users"), "ip": F.col("ips"), "domain": F.col("domains")})
+    return D.dedup_l2(fp, ["users", "ips", "domains"], D.dedup_l1(fp))
 
 
 @query(on(" SELECT l1.verdict, alerts.alert_name, count(*) AS n, avg(confidence) AS mean_confidence FROM l1 JOIN alerts USING (alert_id) GROUP BY ALL"))
@@ -108,8 +143,7 @@ f AS (SELECT 'total' AS section, '' AS item, '' AS kind FROM x UNION ALL SELECT
  UNION ALL SELECT 'rules', rule, verdict FROM x JOIN (SELECT rule FROM x GROUP BY rule ORDER BY count(*) DESC, rule LIMIT 15) USING (rule))
 SELECT section, item, kind, count(*) AS n FROM f GROUP BY ALL""")))
 def dedup_dashboard_full(spark, d):
-    fp = fingerprints(spark, d)
-    v = D.dedup(fp, VALUES).join(D.dedup_l1(fp).select("alert_id", "confidence"), "alert_id").join(alerts(spark, d).select("alert_id", "alert_name", "k"), "alert_id")
+    v = D.dedup(fingerprints(spark, d), VALUES).join(alerts(spark, d).select("alert_id", "alert_name", "k"), "alert_id")
     k, hit, none = F.col("k"), F.col("confidence") == 1, F.array().cast("array<string>")
     slots = F.when(k % 4 == 0, none).otherwise(F.array(F.lit("ip"), F.lit("domain")))
     entries = v.select(

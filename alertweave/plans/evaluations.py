@@ -111,7 +111,7 @@ def ks(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return E.bootstrap_auc(scores(spark, d), "doc_id", 400)
+    return E.bootstrap_auc(scores(spark, d), 400)
 
 
 CONF = "count(*) FILTER (score >= 500 AND y = 1) AS tp, count(*) FILTER (score >= 500 AND y = 0) AS fp, count(*) FILTER (score < 500 AND y = 1) AS fn, count(*) FILTER (score < 500 AND y = 0) AS tn"
@@ -191,3 +191,30 @@ def forward_scores(spark, d):
     """Out-of-fold scores: five folds in order of doc_id, each by a model of those before."""
     x = E.forward_folds(hashed_words(spark, d), ["doc_id"])
     return E.forward_scores(x, 5).select("doc_id", "fold", "label", "score")
+
+
+def word_features(spark, d):
+    """doc_id, label (1 for low quality), indices and values of the document's words."""
+    from ..operators.linear import hashed_features
+    from ..sources.views import table
+
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    indices, values = hashed_features(F.split(F.lower("text"), r"\s+"), 1 << 12)
+    return docs.select("doc_id", (1 - F.col("quality")).cast("double").alias("label"), indices.alias("indices"), values.alias("values"))
+
+
+@query()
+def sgd_model(spark, d):
+    """Averaged stochastic gradient on hashed words, fitted on two thirds; every row is scored."""
+    from ..operators.linear import averaged_sgd
+
+    x = word_features(spark, d)
+    model = averaged_sgd(x.filter("doc_id % 3 <> 0"), "doc_id", 1 << 12)
+    return model.scored(x).select("doc_id", (F.col("doc_id") % 3 == 0).alias("held_out"), "label", "score")
+
+
+@query()
+def forward_scores_sgd(spark, d):
+    """Out-of-fold scores by averaged stochastic gradient, each fold by a model of those before."""
+    x = E.forward_folds(word_features(spark, d), ["doc_id"])
+    return E.forward_scores(x, 5, E.sgd("doc_id", 1 << 12, workers=4)).select("doc_id", "fold", "label", "score")

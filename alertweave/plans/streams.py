@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from ..sources.views import of_events, table, with_views
+from ..storage import scratch
 from ..streaming import dedup as S
 from .dedups import KEYS, keyed, recursive
 from .registry import query
 
 
-def scratch(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    return f"{base.rstrip('/')}/stream/{name}-{uuid.uuid4().hex}"
-
-
 def _ran(spark, df, name: str, mode: str = "append"):
     path = scratch(spark, name)
     S.run_available(df, f"{path}/out", f"{path}/state", mode)

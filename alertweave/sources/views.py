@@ -28,6 +28,17 @@ def of_events(e: DataFrame) -> DataFrame:
     )
 
 
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts with lists of users, addresses and domains: of several, one or no values."""
+    a = alerts(spark, sf_dir)
+    k, none = F.col("k"), F.array().cast("array<string>")
+    named = lambda c, tail: F.concat(c, F.lit("-"), (k % 13).cast("string"), F.lit(tail))
+    users = F.when(k % 5 == 0, none).when(k % 3 == 1, F.array(F.concat(F.lit("admin "), "user_name"), "user_name")).when(k % 3 == 2, F.array(F.lit(None), "user_name")).otherwise(F.array("user_name"))
+    ips = F.when(k % 7 < 2, none).when(k % 2 == 1, F.array("ip", F.concat("ip", F.lit("4")))).otherwise(F.array("ip"))
+    domains = F.when(k % 4 == 0, F.lit(None).cast("array<string>")).otherwise(F.array(named("domain", ".example")))
+    return a.select("alert_id", "ts", "customer", "alert_name", users.alias("users"), ips.alias("ips"), domains.alias("domains"))
+
+
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One closed or duplicate container for each order, with tenant, rule and verdict."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
@@ -68,6 +79,10 @@ VIEW_SQL = {
       '10.0.' || CAST(k % 2 AS VARCHAR) || '.' || CAST((user_id // 3) % 2 AS VARCHAR) AS ip,
       'h' || CAST((k // 2) % 2 AS VARCHAR) || '.example' AS domain, k, user_id, value
       FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))""",
+    "sightings": """sightings AS (SELECT alert_id, ts, customer, alert_name,
+      CASE WHEN k % 5 = 0 THEN [] WHEN k % 3 = 1 THEN ['admin ' || user_name, user_name] ELSE [user_name] END AS users,
+      CASE WHEN k % 7 < 2 THEN [] WHEN k % 2 = 1 THEN [ip, ip || '4'] ELSE [ip] END AS ips,
+      CASE WHEN k % 4 = 0 THEN [] ELSE [domain || '-' || CAST(k % 13 AS VARCHAR) || '.example'] END AS domains FROM alerts)""",
     "containers": """containers AS (SELECT o_orderkey AS container_id, o_orderdate AS t, n_name AS tenant,
       o_orderpriority || ' - ' || c_mktsegment AS rule, r_name AS instance,
       CASE o_orderstatus WHEN 'F' THEN 'True Positive' WHEN 'O' THEN 'Benign Positive' ELSE 'False Positive' END AS verdict,

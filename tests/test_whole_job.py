@@ -80,4 +80,4 @@ def test_bootstrap_has_400_rounds(spark, sf_dir):
     from alertweave.plans import evaluations
     from alertweave.sources.views import scores
 
-    assert evaluations.bootstrap_ci(spark, sf_dir).collect() == E.bootstrap_auc(scores(spark, sf_dir), "doc_id", 400).collect()
+    assert evaluations.bootstrap_ci(spark, sf_dir).collect() == E.bootstrap_auc(scores(spark, sf_dir), 400).collect()
