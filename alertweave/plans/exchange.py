@@ -135,3 +135,45 @@ def full_outer_counts(spark, d):
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
     return c.join(s, "nation", "full").select("nation", zero("customers"), zero("suppliers"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def rotating_log(spark, d):
+    """Orders through the rotating log, files of 64 KB."""
+    from ..sources.connectors import write_rotating
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    path = scratch(spark, "rotating")
+    write_rotating(o, path, 1 << 16)
+    return spark.read.schema(o.schema).json(path)
+
+
+@query("SELECT vec_id AS id, i - 1 AS dim, CAST(x AS FLOAT)::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def array_files(spark, d):
+    """Vectors through array files."""
+    from ..sources.connectors import read_arrays, write_arrays
+
+    path = scratch(spark, "arrays")
+    write_arrays(table(spark, d, "embeddings").select("vec_id", "embedding"), path, 1 << 16)
+    return read_arrays(spark, path).select("id", F.posexplode("vector").alias("dim", "x")).select("id", F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS created FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC, o_orderkey LIMIT 500")
+def jdbc_selection(spark, d):
+    """The newest 500 orders of two states, picked by a database that the orders were written
+    to: Spark's own embedded one, so local mode only; elsewhere a server's URL takes its place."""
+    from ..sources.connectors import jdbc_selection as picked
+    from ..sources.files import jdbc
+
+    url = database(spark, d)
+    return jdbc(spark, url, picked("orders", ["id", "status", "created"], {"status": ["F", "P"]}, "created DESC, id", 500)).select(*[F.col(c).alias(c.lower()) for c in ("ID", "STATUS", "CREATED")])
+
+
+def database(spark, d) -> str:
+    """The URL of a database in memory that holds the orders."""
+    import uuid
+
+    url = f"jdbc:derby:memory:orders{uuid.uuid4().hex};create=true"
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderstatus").alias("STATUS"), F.col("o_orderdate").cast("date").alias("CREATED"))
+    o.write.format("jdbc").option("url", url).option("dbtable", "orders").option("createTableColumnTypes", "STATUS VARCHAR(8)").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    return url

@@ -242,7 +242,7 @@ def cosine_match(spark, d):
 p AS (SELECT q.vec_id AS a, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS c FROM q JOIN e ON e.vec_id IS DISTINCT FROM q.vec_id)
 SELECT q.vec_id AS a, (SELECT count(*) FROM p WHERE p.a = q.vec_id AND c >= 0.1) AS n FROM (SELECT DISTINCT vec_id FROM q) q""")
 def cosine_match_all(spark, d):
-    """Each twentieth vector against all vectors, whatever their labels; 0 without a match."""
+    """``cosine_match`` at 0.1: more matches for each vector."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     return S.cosine_counts(e.filter("vec_id % 20 = 0"), e, 0.1)
 
@@ -296,3 +296,24 @@ def span_dedupe(spark, d):
     place, the best scored."""
     spans = entity_spans(table(spark, d, "documents"))
     return spans.withColumn("score", F.lit(1.0)).groupBy("doc_id", "value", "start").agg(F.max("score").alias("score"))
+
+
+#: Letters whose counts stand for an encoder here; a model's is a parameter of the operator.
+COUNTED = "aeinst"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), w AS (SELECT text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM t),
+i AS (SELECT text, ws, unnest(range(0, greatest((len(ws) + 63) // 64, 1))) AS i FROM w), p AS (SELECT text, array_to_string(ws[64 * i + 1:64 * i + 64], ' ') AS p FROM i),
+d AS (SELECT text, unnest(string_split('{COUNTED}', '')) AS c, p FROM p), m AS (SELECT text, c, avg(length(p) - length(replace(p, c, ''))) AS m FROM d GROUP BY text, c),
+l AS (SELECT text, sqrt(sum(m * m)) AS l FROM m GROUP BY text)
+SELECT doc_id, CAST(strpos('{COUNTED}', c) - 1 AS INTEGER) AS dim, round(CASE WHEN l > 0 THEN m / l ELSE 0 END, 6) AS x FROM documents JOIN m ON m.text = coalesce(documents.text, '') JOIN l ON l.text = m.text""")
+def text_pool(spark, d):
+    """Vectors of whole texts from windows of 64 words, a row for each dimension."""
+    from ..operators.pooling import pooled
+
+    def encode(words):
+        text = F.array_join(words, " ")
+        return F.array(*[(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in COUNTED])
+
+    out = pooled(table(spark, d, "documents"), "doc_id", "text", encode, 64)
+    return out.select("doc_id", F.posexplode("vector").alias("dim", "x")).select("doc_id", "dim", F.round("x", 6).alias("x"))

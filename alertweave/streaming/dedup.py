@@ -177,9 +177,11 @@ def verdict_counts(df: DataFrame, time: str, minutes: int, *keys: str) -> DataFr
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, f"{minutes} minutes").groupBy(F.window(time, f"{minutes} minutes").alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Any:
-    """Takes what the source has, writes Parquet files, and stops."""
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = False) -> Any:
+    """Takes what the source has, writes Parquet files, and stops. ``once``: in one batch, as
+    state that lives by the clock never stops asking for another."""
+    trigger = {"once": True} if once else {"availableNow": True}
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(**trigger).start()
     q.awaitTermination()
     return q
 
