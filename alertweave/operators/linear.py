@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..storage import written
+
 #: The most features: weights go to every task.
 MOST = 1 << 24
 
@@ -94,6 +96,7 @@ def averaged_sgd(df: DataFrame, id_col: str, size: int, label: str = "label", in
     key = F.col(id_col).cast("string")
     hash_ = lambda k: F.xxhash64(F.lit(seed), F.lit(k), key)
     rows = df.filter(F.col(label).isNotNull()).select(F.pmod(hash_(0), F.lit(workers)).cast("int").alias("w"), hash_(1).alias("o"), key.alias("k"), F.col(label).cast("double").alias("y"), F.col(indices).alias("at"), F.col(values).alias("x"))
+    rows = written(rows, "sgd-rows")
     weights, bias = np.zeros(size), 0.0
     total, bias_total, steps = np.zeros(size), 0.0, 0
     spark = df.sparkSession
@@ -142,11 +145,12 @@ def averaged_sgd(df: DataFrame, id_col: str, size: int, label: str = "label", in
     return LinearModel(total / max(1, steps), bias_total / max(1, steps))
 
 
-def hashed_features(words: Column, size: int) -> tuple[Column, Column]:
-    """indices and values of a bag of words: the square root of each hashed word's count, of
-    unit length together."""
-    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    indices = F.array_sort(F.array_distinct(at))
-    sizes = F.transform(indices, lambda i: F.size(F.filter(at, lambda j: j == i)).cast("double"))
-    norm = F.sqrt(F.greatest(F.size(words).cast("double"), F.lit(1.0)))
-    return indices, F.transform(sizes, lambda n: F.sqrt(n) / norm)
+def hashed_features(df: DataFrame, id_col: str, words: Column, size: int) -> DataFrame:
+    """``df`` with indices and values of each row's bag of words: the square root of each
+    hashed word's share. Words are counted by (row, index), so a long text is no long
+    expression. ``id_col`` tells rows apart; a row without words has null lists."""
+    each = df.select(id_col, F.explode(words).alias("__w"))
+    counts = each.groupBy(id_col, F.pmod(F.xxhash64("__w"), F.lit(size)).cast("int").alias("__i")).agg(F.count("*").alias("__n"))
+    found = counts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__i", "__n"))).alias("__x"), F.sum("__n").alias("__all"))
+    values = F.transform("__x", lambda x: F.sqrt(x["__n"] / F.col("__all")))
+    return df.join(found.select(id_col, F.transform("__x", lambda x: x["__i"]).alias("indices"), values.alias("values")), id_col, "left")

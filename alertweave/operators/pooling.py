@@ -9,26 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def windows_of(words: Column, size: int) -> Column:
-    """Windows of ``size`` words that follow one another over all words; one empty window of
-    no words."""
-    n = F.greatest(F.ceil(F.size(words) / size), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(words, i * size + 1, F.lit(size)))
-
-
 def pooled(df: DataFrame, id_col: str, text_col: str, encode: Callable[[Column], Column], size: int = 512) -> DataFrame:
-    """The identifier and the vector of each row's text. ``encode`` takes a window's words and
-    gives its vector, an array of doubles of one length. Texts are collapsed before any window
-    is encoded, by a partial aggregate and one exchange, and vectors are joined back by the
-    text's hash. A null text is an empty one; a vector of length 0 stays as it is."""
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    own = df.select(F.col(id_col), key.alias("__key"))
-    each = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).distinct()
-    words = F.filter(F.split("__text", r"\s+"), lambda w: w != "")
-    vectors = F.transform(windows_of(words, size), encode)
-    n = F.size(vectors)
-    total = F.aggregate(F.slice(vectors, 2, F.greatest(n - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    found = each.select(F.sha2("__text", 256).alias("__key"), F.transform(total, lambda x: x / n).alias("__mean"))
-    length = F.sqrt(F.aggregate("__mean", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform("__mean", lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    """The identifier and the vector of each row's text. Windows are of ``size`` words that
+    follow one another over the whole text; ``encode`` takes a window's words and gives its
+    vector, an array of doubles of one length. Texts are collapsed before any window is
+    encoded, by a partial aggregate and one exchange; windows are rows, so a long text is no
+    long expression; vectors are joined back by the text's hash. A null text is an empty one,
+    of one window without words; a vector of length 0 stays as it is."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = df.select(F.col(id_col), F.sha2(text, 256).alias("__key"))
+    each = df.select(text.alias("__text")).distinct()
+    parts = F.regexp_extract_all("__text", F.lit(rf"(?:\S++\s*+){{1,{size}}}"), F.lit(0))
+    each = each.select(F.sha2("__text", 256).alias("__key"), F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))).alias("__part"))
+    words = F.filter(F.split("__part", r"\s+"), lambda w: w != "")
+    each = each.select("__key", F.posexplode(encode(words)).alias("__dim", "__x"))
+    means = each.groupBy("__key", "__dim").agg(F.avg("__x").alias("__x"))
+    found = means.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__dim", "__x"))).alias("__v"), F.sqrt(F.sum(F.col("__x") * F.col("__x"))).alias("__length"))
+    unit = F.transform("__v", lambda v: F.when(F.col("__length") > 0, v["__x"] / F.col("__length")).otherwise(0.0))
     return own.join(found.select("__key", unit.alias("vector")), "__key").select(id_col, "vector")

@@ -199,8 +199,8 @@ def word_features(spark, d):
     from ..sources.views import table
 
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    indices, values = hashed_features(F.split(F.lower("text"), r"\s+"), 1 << 12)
-    return docs.select("doc_id", (1 - F.col("quality")).cast("double").alias("label"), indices.alias("indices"), values.alias("values"))
+    x = hashed_features(docs.select("doc_id", "quality", F.split(F.lower("text"), r"\s+").alias("w")), "doc_id", F.col("w"), 1 << 12)
+    return x.select("doc_id", (1 - F.col("quality")).cast("double").alias("label"), "indices", "values")
 
 
 @query()

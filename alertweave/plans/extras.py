@@ -16,10 +16,13 @@ def head_tail(spark, d):
     return X.head_and_tail(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 8, 4)
 
 
-@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+@query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT s_suppkey * 3 + c.m AS k FROM supplier, (SELECT max(c_custkey) - 100 AS m FROM customer) c)
 SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def key_difference(spark, d):
-    return X.differences(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    """Two key ranges that overlap in part, so both sides have keys of their own."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    shifted = s.join(F.broadcast(c.agg((F.max("c_custkey") - 100).alias("m")))).select((F.col("s_suppkey") * 3 + F.col("m")).alias("k"))
+    return X.differences(c.select(F.col("c_custkey").alias("k")), shifted)
 
 
 @query("""SELECT o_custkey, count(*) AS checks, CASE max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) WHEN 1 THEN 'PASS' WHEN 2 THEN 'WARN' ELSE 'FAIL' END AS outcome FROM orders GROUP BY o_custkey""")
