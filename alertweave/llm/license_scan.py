@@ -7,7 +7,8 @@ words that lies within reach against the whole phrase with bounded errors, and g
 edits. So every stretch of whole words within ``edits`` is found. Of overlapping ones of a
 label the one with the fewest edits is reported.
 
-Every phrase may have an edit for each ten characters begun, digits excepted: another number
+Every phrase may have an edit for each ten characters that it has, and one at least, digits
+excepted: another number
 names another license. A stretch that is as near to another license's notice as to the
 phrase is left alone; of equal edits the one decides whose letters differ less, in any order.
 
@@ -60,7 +61,7 @@ LOOKALIKES = ["under the bsd license", "under the gpl license", "under the epl l
 
 
 def budget(phrase: str) -> int:
-    """Edits allowed: one for each ten characters begun, two at most in short notices."""
+    """Edits allowed: one for each ten characters that the phrase has, and one at least."""
     return max(1, len(phrase) // 10)
 
 
