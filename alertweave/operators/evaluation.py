@@ -141,20 +141,20 @@ SCORE_RANGES = 64
 
 
 def ranged(c: DataFrame, ranges: int = SCORE_RANGES) -> DataFrame:
-    """``c`` (score, ...) with ``range``: splitters from a sketch of the scores."""
+    """``c`` (score, ...) with ``__range``: splitters from a sketch of the scores."""
     x = F.col("score").cast("double")
     edges = c.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("__edges"))
-    return c.join(F.broadcast(edges)).withColumn("range", split_at(x, F.col("__edges"), ranges)).drop("__edges")
+    return c.join(F.broadcast(edges)).withColumn("__range", split_at(x, F.col("__edges"), ranges)).drop("__edges")
 
 
 def pair_counts(c: DataFrame, *keys: str) -> DataFrame:
     """keys, wins (twice the pairs in which a positive outscores a negative, ties once), pos
-    and neg. c: keys, range, score, p, neg, one row for each score. A range is summed up by
+    and neg. c: keys, __range, score, p, neg, one row for each score. A range is summed up by
     itself, and what is below it is carried to it, a row for each key and range."""
-    w = W.partitionBy(*keys, "range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*keys, "__range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    each = c.groupBy(*keys, "range").agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("neg"))).alias("wins"), F.sum("p").alias("pos"), F.sum("neg").alias("neg"))
-    earlier = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    each = c.groupBy(*keys, "__range").agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("neg"))).alias("wins"), F.sum("p").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     each = each.withColumn("carry", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
     return each.groupBy(*keys).agg(F.sum(F.col("wins") + 2 * F.col("pos") * F.col("carry")).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -213,7 +213,7 @@ def bootstrap_auc(df: DataFrame, rounds: int = 400, seed: int = 7) -> DataFrame:
     c = ranged(by_score(df)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     draw = lambda n, label: poisson(n, F.col("score"), F.lit(label), F.col("round"), F.lit(seed))
     # under other names than those drawn from, which a lambda would take for the new columns
-    drawn = c.select("round", "range", "score", draw(F.col("p"), 1).alias("drawn_p"), draw(F.col("n") - F.col("p"), 0).alias("drawn_n"))
+    drawn = c.select("round", "__range", "score", draw(F.col("p"), 1).alias("drawn_p"), draw(F.col("n") - F.col("p"), 0).alias("drawn_n"))
     a = pair_counts(drawn.withColumnsRenamed({"drawn_p": "p", "drawn_n": "neg"}), "round").select((F.col("wins") / (2 * F.nullif(F.col("pos") * F.col("neg"), F.lit(0)))).alias("auc"))
     return a.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 
