@@ -36,6 +36,8 @@ from ..storage import written
 #: Values of a block, cells of a matrix of bounds, kinds of characters, and a length beyond
 #: which a text isn't bounded.
 BLOCK, CELLS, KINDS, LONG = 2048, 4_000_000, 40, 60_000
+#: Pairs of a window so small that bounds cost more than they save.
+FEW = 256
 #: Columns of ones by which the least of two counts is a product, if there are so few.
 ONES = 1500
 #: Scores are rounded to hundredths, twice.
@@ -52,11 +54,13 @@ def kinds_of(text: str) -> np.ndarray:
 class Kind:
     """The values of one type in a block: each distinct text once, and each set's own."""
 
-    def __init__(self, lists: list[list[str]]):
+    def __init__(self, lists: list[list[str]], bounded: bool = True):
         self.texts = sorted({sorted_tokens(v) for own in lists for v in own})
         at = {t: i for i, t in enumerate(self.texts)}
         self.of = [[at[sorted_tokens(v)] for v in own] for own in lists]
         self.has = np.array([bool(o) for o in self.of])
+        if not bounded:
+            return
         self.sets = np.flatnonzero(self.has)
         self.flat = np.array([i for o in self.of for i in o], np.int64)
         sizes = np.array([len(o) for o in self.of if o], np.int64)
@@ -108,14 +112,18 @@ class Pairing:
     """A block of sets with a block of earlier ones."""
 
     def __init__(self, a: list[list[list[str]]], b: list[list[list[str]]], types: int):
-        kinds = [(Kind([x[t] for x in a]), Kind([x[t] for x in b])) for t in range(types)]
+        bounded = len(a) * len(b) > FEW
+        kinds = [(Kind([x[t] for x in a], bounded), Kind([x[t] for x in b], bounded)) for t in range(types)]
         self.kinds = kinds
         self.ratios: list[dict[tuple[int, int], float]] = [{} for _ in range(types)]
         present = np.zeros((len(a), len(b)), np.float32)
         total = np.zeros((len(a), len(b)), np.float32)
         for x, y in kinds:
             present += x.has[:, None] | y.has[None, :]
-            total += type_bounds(x, y, len(a), len(b))
+            if bounded:
+                total += type_bounds(x, y, len(a), len(b))
+        if not bounded:
+            total = 100 * present
         self.bound = np.where(present > 0, total / np.maximum(present, 1), np.float32(-1))
 
     def ratio(self, t: int, i: int, j: int) -> float:
@@ -187,9 +195,10 @@ def matches(sets: DataFrame, types: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for i in range(batch.num_rows):
-                found = list(paired(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), types, least))
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], arrow.field(k).type) for k in range(3)], schema=arrow)
+                found += paired(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), types, least)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], arrow.field(k).type) for k in range(3)], schema=arrow)
 
     return met.select("a", "b").mapInArrow(run, schema)
 
