@@ -79,18 +79,28 @@ def _packed(rows: DataFrame, block: int, at: str) -> DataFrame:
     return rows.mapInArrow(run, f"{at}w int, {at}i binary, {at}k binary, {at}v binary")
 
 
-def cosine_counts(queries: DataFrame, vectors: DataFrame, least: float, block: int = 1024, deals: int = 32) -> DataFrame:
+#: Vectors of a side of the grid that ``cosine_counts`` deals pairs of vectors to.
+SIDE = 1 << 18
+
+
+def cosine_counts(queries: DataFrame, vectors: DataFrame, least: float, block: int = 1024, deals: int | None = None, query_deals: int | None = None) -> DataFrame:
     """a, n for each id of ``queries``: how many rows of ``vectors`` with another id have a
     cosine of at least ``least``, 0 where none has. Both have id and vector columns, in this
-    order. All pairs are compared, a block of queries with a block of vectors at a time:
-    blocks of vectors are dealt to ``deals`` keys, blocks of queries go to each.
+    order. All pairs are compared, a block of queries with a block of vectors at a time, on a
+    grid: blocks of vectors are dealt to ``deals`` columns and blocks of queries to
+    ``query_deals`` rows, and a cell compares its own. Both follow the numbers of vectors, so
+    a cell's work is bounded whatever they are.
 
     Null vectors, vectors of other widths and vectors of length 0 match nothing; a null id
     differs from each id and is never a query; rows that repeat count each."""
     q, v = queries.toDF("a", "v").filter("a is not null"), vectors.toDF("b", "v")
-    qs = _packed(q, block, "q").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    vs = _packed(v, block, "v").withColumn("deal", F.pmod(F.xxhash64("vi", "vv"), F.lit(deals)).cast("int"))
-    met = qs.join(vs.hint("merge"), (qs["deal"] == vs["deal"]) & (qs["qw"] == vs["vw"])).select("qw", "qi", "qv", "vi", "vk", "vv")
+    deals = deals or max(32, -(-v.count() // SIDE))
+    query_deals = query_deals or max(1, -(-q.count() // SIDE))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qs = _packed(q, block, "q").withColumn("row", dealt(query_deals, "qi", "qv")).withColumn("deal", each(deals))
+    vs = _packed(v, block, "v").withColumn("deal", dealt(deals, "vi", "vv")).withColumn("row", each(query_deals))
+    met = qs.join(vs.hint("merge"), (qs["deal"] == vs["deal"]) & (qs["row"] == vs["row"]) & (qs["qw"] == vs["vw"])).select("qw", "qi", "qv", "vi", "vk", "vv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, sums_before
+
 #: Severity words and their numbers.
 SEVERITIES = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0, "informational": 0}
 
@@ -131,10 +133,11 @@ def parsed_kv(text: Column) -> Column:
     """map of key="value" and key=value pairs; the last of a key counts."""
     rx = r'(\w+)="([^"]*)"|(\w+)=(\S+)'
     whole = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-    pair = lambda m: F.struct(F.regexp_extract(m, r"^(\w+)=", 1).alias("k"), F.when(m.rlike(r'^\w+="[^"]*"$'), F.regexp_extract(m, r'="([^"]*)"$', 1)).otherwise(F.regexp_extract(m, r"^\w+=(.*)$", 1)).alias("v"))
-    pairs = F.transform(whole, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    value = lambda m: F.when(m.rlike(r'^\w+="[^"]*"$'), F.regexp_extract(m, r'="([^"]*)"$', 1)).otherwise(F.regexp_extract(m, r"^\w+=(.*)$", 1))
+    # sorted by key and place, the last of a key is the one before another key
+    pairs = F.array_sort(F.transform(whole, lambda m, i: F.struct(F.regexp_extract(m, r"^(\w+)=", 1).alias("k"), i.alias("i"), value(m).alias("v"))))
+    last = let(pairs, lambda ps: F.filter(ps, lambda p, i: F.coalesce(F.get(ps, i + 1)["k"] != p["k"], F.lit(True))))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
 
 
 def key_tokens(key: Column) -> Column:
@@ -226,14 +229,13 @@ def folded(value: Column, fixes: dict[str, str], empty: str, placeholders: Seque
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<first, end, found>> of the leftmost non-overlapping matches, each at its
     own place, in characters. The stretches between matches give the offsets."""
-    empty = F.array().cast("array<struct<first:int,end:int,found:string>>")
+    kind = "array<struct<first:int,end:int,found:string>>"
+    size = lambda s: F.coalesce(F.char_length(s), F.lit(0))
 
-    def place(acc: Column, z: Column) -> Column:
-        first = acc["at"] + F.char_length(z["gap"])
-        end = first + F.coalesce(F.char_length(z["found"]), F.lit(0))
-        item = F.struct(first.alias("first"), end.alias("end"), z["found"].alias("found"))
-        return F.struct(end.alias("at"), F.when(z["found"].isNotNull(), F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
+    def placed(z: Column) -> Column:
+        at = sums_before(F.transform(z, lambda x: size(x["gap"]) + size(x["found"])))
+        each = F.zip_with(z, at, lambda x, n: F.struct((n + size(x["gap"])).alias("first"), (n + size(x["gap"]) + size(x["found"])).alias("end"), x["found"].alias("found")))
+        return F.filter(each, lambda x: x["found"].isNotNull())
 
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    got = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), place)["out"]
-    return F.when(text.rlike(pattern), got).otherwise(empty)
+    return F.when(text.rlike(pattern), let(zipped, placed).cast(kind)).otherwise(F.array().cast(kind))

@@ -52,6 +52,31 @@ def l1_candidates(fp: DataFrame) -> DataFrame:
     return counted.select(*GROUP, "a", "b", "matched", F.struct("ts", "alert_id").alias("first"), F.round(F.col("matched") / F.col("union_"), 4).alias("confidence"))
 
 
+def l1_counts(fp: DataFrame, slots: Sequence[str] = SLOTS) -> DataFrame:
+    """matched, union_, confidence, n: how many pairs of ``l1_candidates`` agree in so many
+    slots of so many that either has. No pair is made. The sets that agree in a subset of slots
+    are counted, and the square of a count is the number of pairs that agree there at least;
+    those that agree nowhere else follow by inclusion and exclusion. So an address that all
+    sets of a window have is a count. A set has a row for each subset of its slots, which suits
+    a dozen of them; ``slots`` are all names."""
+    sets = fp.groupBy(*GROUP, "set_key").agg(F.min("hashes").alias("hashes")).filter(F.size("hashes") > 0)
+    power = F.create_map(*[F.lit(x) for i, name in enumerate(slots) for x in (name, 1 << i)])
+    has = F.aggregate("hashes", F.lit(0), lambda s, p: s + F.element_at(power, p["slot"])).alias("has")
+    subset = sets.select(*GROUP, has, "hashes", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(hashes)) - 1"))).alias("i"))
+    subset = subset.select(*GROUP, "has", F.expr("filter(hashes, (p, k) -> (shiftright(i, k) & 1) = 1)").alias("s"))
+    key = F.sha2(F.concat_ws(",", F.transform("s", lambda p: F.concat_ws(":", p["slot"], p["hash"]))), 256).alias("key")
+    alike = subset.groupBy(*GROUP, key, F.size("s").alias("j"), "has").agg(F.count("*").alias("c"))
+    # of at most 2 ** slots kinds of sets, by the slots that they have
+    kinds = alike.groupBy(*GROUP, "key", "j").agg(F.collect_list(F.struct("has", "c")).alias("x"))
+    pairs = kinds.select("j", F.explode("x").alias("a"), "x").select("j", "a", F.explode("x").alias("b"))
+    squares = F.col("a.c").cast("decimal(19,0)") * F.col("b.c").cast("decimal(19,0)")
+    least = pairs.groupBy("j", F.bit_count(F.col("a.has").bitwiseOR(F.col("b.has"))).alias("union_")).agg(F.sum(squares).alias("at_least"))
+    ways = F.expr("if((j - matched) % 2 = 0, 1, -1) * (factorial(j) div (factorial(matched) * factorial(j - matched)))").cast("decimal(10,0)")
+    each = least.select("j", "union_", "at_least", F.explode(F.sequence(F.lit(1), "j")).alias("matched"))
+    exact = each.groupBy("matched", "union_").agg(F.sum(ways * F.col("at_least")).cast("long").alias("n")).filter("n > 0")
+    return exact.select(F.col("matched").cast("long").alias("matched"), "union_", F.round(F.col("matched") / F.col("union_"), 4).alias("confidence"), "n")
+
+
 def l1_matches(fp: DataFrame, threshold: float) -> DataFrame:
     """GROUP, a, b, confidence, first (b's earliest alert) of the pairs of sets that reach the
     threshold. Such a pair agrees in at least that share of either set's slots, so it shares

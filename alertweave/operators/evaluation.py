@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stats import upper_bound
+from ..storage import written
 from .linear import averaged_sgd
 from .ordered import quantiles, running, split_at
 
@@ -25,7 +26,7 @@ def by_score(df: DataFrame, *keys: str) -> DataFrame:
 
 def curve(df: DataFrame, descending: bool = False) -> DataFrame:
     """by_score with lane and hits: rows and positives up to each score; lane_all, hits_all."""
-    return running(by_score(df), F.col("score"), {"lane": F.col("n"), "hits": F.col("p")}, descending)
+    return running(written(by_score(df), "scores"), F.col("score"), {"lane": F.col("n"), "hits": F.col("p")}, descending)
 
 
 def time_split(df: DataFrame, time: str, share: float = 0.7) -> DataFrame:
@@ -96,8 +97,11 @@ def miss_budget(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
 
 
 def certified_cut(df: DataFrame, tolerance: float, confidence: float = 0.95) -> DataFrame:
-    """The widest lane whose Clopper-Pearson bound on the miss rate is within tolerance."""
-    c = curve(df).withColumnRenamed("hits", "misses")
+    """The widest lane whose Clopper-Pearson bound on the miss rate is within tolerance. Of
+    lanes with equally many misses the widest has the least bound, and no bound is below the
+    rate itself, so only such lanes have theirs computed."""
+    c = curve(df).withColumnRenamed("hits", "misses").filter(F.col("misses") <= tolerance * F.col("lane"))
+    c = c.groupBy("misses").agg(F.max(F.struct("lane", "score")).alias("x")).select("x.lane", "x.score", "misses")
     c = c.withColumn("bound", upper_bound(confidence)("misses", "lane")).filter(F.col("bound") <= tolerance)
     return c.agg(F.max(F.struct("lane", "score", "misses", "bound")).alias("x")).select("x.*")
 
@@ -141,7 +145,8 @@ SCORE_RANGES = 64
 
 
 def ranged(c: DataFrame, ranges: int = SCORE_RANGES) -> DataFrame:
-    """``c`` (score, ...) with ``__range``: splitters from a sketch of the scores."""
+    """``c`` (score, ...), stored, with ``__range``: splitters from a sketch of the scores."""
+    c = written(c, "scores")
     x = F.col("score").cast("double")
     edges = c.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("__edges"))
     return c.join(F.broadcast(edges)).withColumn("__range", split_at(x, F.col("__edges"), ranges)).drop("__edges")
@@ -247,9 +252,10 @@ def metric_grid(df: DataFrame, grid: int = 600) -> DataFrame:
     """Metrics at the distinct ones of ``grid`` quantiles from 0.0005 to 0.9995, and which
     threshold has the best f1 and the best mcc, the lowest of equals."""
     at = [0.0005 + 0.999 * i / (grid - 1) for i in range(grid)]
-    edges = quantiles(df, "score", at).select(F.explode(F.array_distinct(F.transform("q", lambda v: F.round(v, 9)))).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
-    both = by_score(df).select(F.col("score").cast("double").alias("score"), "n", "p", F.lit(False).alias("edge")).unionByName(edges)
-    both = both.groupBy("score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("edge").alias("edge"))
+    counts = written(by_score(df), "scores")
+    edges = quantiles(counts, "score", at, F.col("n")).select(F.explode(F.array_distinct(F.transform("q", lambda v: F.round(v, 9)))).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("edge"))
+    both = counts.select(F.col("score").cast("double").alias("score"), "n", "p", F.lit(False).alias("edge")).unionByName(edges)
+    both = written(both.groupBy("score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("edge").alias("edge")), "grid")
     c = running(both, F.col("score"), {"k": F.col("n"), "tp": F.col("p")}, descending=True).filter("edge").withColumnsRenamed({"k_all": "total", "tp_all": "pos"})
     k, tp, total, pos = (F.col(x).cast("double") for x in ("k", "tp", "total", "pos"))
     div = lambda a, b, none: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(none))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import written
+
 RANGES = 1024
 
 
@@ -49,11 +51,13 @@ def running(df: DataFrame, order: Column, sums: dict[str, Column], descending: b
     return out.drop("__x", "__range", *[f"__{k}_{n}" for n in sums for k in "so"])
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], times: Column | None = None) -> DataFrame:
     """One row, q: the exact quantiles of a number at ``shares``, between neighbours by
-    position. Equal values are counted first; each value then picks the ranks that are its."""
-    c = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    c = running(c, F.col("v"), {"upto": F.col("c")})
+    position. Equal values are counted first and the counts stored; each value then picks the
+    ranks that are its. A row stands for ``times`` rows, one where that isn't given."""
+    each = F.count("*") if times is None else F.sum(times)
+    c = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(each.alias("c"))
+    c = running(written(c, "values"), F.col("v"), {"upto": F.col("c")})
     at = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s, i: F.struct(i.alias("i"), (s * (F.col("upto_all") - 1)).alias("at")))
     ranks = F.flatten(F.transform(at, lambda a: F.array(F.struct(a["i"].alias("i"), a["at"].alias("at"), F.floor(a["at"]).alias("rank"), F.lit(0).alias("up")), F.struct(a["i"].alias("i"), a["at"].alias("at"), F.ceil(a["at"]).alias("rank"), F.lit(1).alias("up")))))
     mine = F.filter(ranks, lambda r: (r["rank"] >= F.col("upto") - F.col("c")) & (r["rank"] < F.col("upto")))

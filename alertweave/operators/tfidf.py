@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import written
 
-COMMON = 1000
+COMMON, SALTS = 1000, 64
 
 
 def words(text: Column) -> Column:
@@ -15,25 +16,29 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
-def weights(docs: DataFrame, key: str, tokens: Column, grams: int = 2, min_df: int = 2) -> DataFrame:
+def weights(docs: DataFrame, key: str, tokens: Column, grams: int = 2, min_df: int = 2, few: int = 200_000) -> DataFrame:
     """(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length for each document; terms in
     fewer than ``min_df`` documents are left out. Terms of at least a ``COMMON``-th of all
-    documents are broadcast: there are at most COMMON times the mean number of a document's
-    distinct terms. The others join as an ordinary table, where no term is a hot key."""
+    documents are hot keys: up to ``few`` of them are broadcast, more are joined in ``SALTS``
+    parts each. The others join as an ordinary table. Terms are counted once and stored."""
     t = docs.select(key, tokens.alias("w"))
     terms = F.col("w")
     for n in range(2, grams + 1):
         pairs = F.when(F.size("w") >= n, _grams(n)).otherwise(F.array().cast("array<string>"))
         terms = F.concat(terms, pairs)
-    tf = t.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    n = docs.agg(F.count_distinct(key).alias("n"))
-    often = df.join(F.broadcast(n)).filter(F.col("df") * COMMON >= F.col("n"))
-    marked = tf.join(F.broadcast(often.select("term", F.col("df").alias("often"))), "term", "left")
+    tf = written(t.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df), "terms")
+    n = docs.select(F.count_distinct(key)).first()[0]
+    often = df.filter(F.col("df") * COMMON >= n)
+    if often.count() <= few:
+        marked = tf.join(F.broadcast(often.withColumnRenamed("df", "often")), "term", "left")
+    else:
+        parts = often.select("term", F.col("df").alias("often"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        marked = tf.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(parts, ["term", "salt"], "left")
     common = marked.filter("often is not null").select(key, "term", "tf", F.col("often").alias("df"))
-    rare = df.join(F.broadcast(n)).filter(F.col("df") * COMMON < F.col("n")).select("term", "df")
+    rare = df.filter(F.col("df") * COMMON < n)
     met = common.unionByName(marked.filter("often is null").select(key, "term", "tf").join(rare, "term"))
-    w = met.join(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    w = met.withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / length).alias("weight"))
 

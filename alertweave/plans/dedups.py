@@ -79,14 +79,14 @@ def dedup_verdicts(spark, d):
 q AS (SELECT (x.user_name = y.user_name)::INT + (x.ip = y.ip)::INT + (x.domain = y.domain)::INT AS matched FROM s x JOIN s y ON x.customer = y.customer AND x.alert_name = y.alert_name AND x.bucket = y.bucket)
 SELECT CAST(matched AS BIGINT) AS matched, count(*) AS n FROM q WHERE matched > 0 GROUP BY matched"""))
 def l1_candidate_counts(spark, d):
-    return A.count_by(D.l1_candidates(fingerprints(spark, d)), "matched")
+    return D.l1_counts(fingerprints(spark, d)).groupBy("matched").agg(F.sum("n").alias("n"))
 
 
 @query(on(""", s AS (SELECT DISTINCT customer, alert_name, bucket, user_name, ip, domain FROM a),
 q AS (SELECT (x.user_name = y.user_name)::INT + (x.ip = y.ip)::INT + (x.domain = y.domain)::INT AS matched FROM s x JOIN s y ON x.customer = y.customer AND x.alert_name = y.alert_name AND x.bucket = y.bucket)
 SELECT CASE matched WHEN 3 THEN 1.0 WHEN 2 THEN 0.6667 ELSE 0.3333 END::DOUBLE AS confidence, count(*) AS n FROM q WHERE matched > 0 GROUP BY matched"""))
 def l1_confidence(spark, d):
-    return A.count_by(D.l1_candidates(fingerprints(spark, d)), "confidence")
+    return D.l1_counts(fingerprints(spark, d)).groupBy("confidence").agg(F.sum("n").alias("n"))
 
 
 @query(recursive(on(L2 + " SELECT alert_id, verdict, score, matched_alert_id FROM l2")))
@@ -122,6 +122,16 @@ SELECT l.alert_id, CASE WHEN mid IS NULL THEN 'NEW' ELSE 'SIMILAR' END AS verdic
 )
 
 
+@query(with_views("alerts sightings", """, s AS (SELECT DISTINCT customer, alert_name, epoch_ms(ts) // 1800000 AS bucket, list_sort(list_distinct(list_filter(users, lambda x: x <> ''))) AS u, list_sort(list_distinct(ips)) AS i, list_sort(list_distinct(domains)) AS d FROM sightings),
+q AS (SELECT (x.u = y.u AND len(x.u) > 0)::INT + (x.i = y.i AND len(x.i) > 0)::INT + (x.d = y.d AND len(x.d) > 0)::INT AS matched,
+ (len(x.u) + len(y.u) > 0)::INT + (len(x.i) + len(y.i) > 0)::INT + (len(x.d) + len(y.d) > 0)::INT AS slots FROM s x JOIN s y USING (customer, alert_name, bucket))
+SELECT CAST(matched AS BIGINT) AS matched, slots, count(*) AS n FROM q WHERE matched > 0 GROUP BY ALL"""))
+def l1_counts_lists(spark, d):
+    """Pairs by slots that agree and slots that either has, over alerts that lack some."""
+    slots = {"user": F.col("users"), "ip": F.col("ips"), "domain": F.col("domains")}
+    return D.l1_counts(D.fingerprints(sightings(spark, d), slots)).select("matched", F.col("union_").cast("int").alias("slots"), "n")
+
+
 @query(recursive(with_views("alerts sightings", LISTS)))
 def dedup_l2_lists(spark, d):
     """Layer two over alerts with several values of a type, or none."""

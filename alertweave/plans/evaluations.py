@@ -34,9 +34,17 @@ def miss_budget(spark, d):
     return E.miss_budget(scores(spark, d), [0, 1, 2, 5, 10, 20, 50])
 
 
-@query()
+def tail_sql(m: str, n: str, p: str) -> str:
+    """The chance of at most m of n at rate p, summed up."""
+    return f"list_sum(list_transform(range(0, CAST({m} AS BIGINT) + 1), lambda k: exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) + k * ln({p}) + ({n} - k) * ln(1 - {p}))))"
+
+
+@query(on(LANE + f""", w AS (SELECT lane, score, misses FROM c WHERE misses < lane AND {tail_sql("misses", "lane", "0.08::DOUBLE")} <= 0.05 ORDER BY lane DESC LIMIT 1),
+h AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+ SELECT i + 1, CASE WHEN t > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN t > 0.05 THEN high ELSE (low + high) / 2 END FROM (SELECT h.*, {tail_sql("w.misses", "w.lane", "((low + high) / 2)")} AS t FROM h, w WHERE i < 60))
+SELECT lane, score, misses, round((low + high) / 2, 7) AS bound FROM w, h WHERE i = 60""").replace("WITH ", "WITH RECURSIVE ", 1))
 def clopper_pearson_cut(spark, d):
-    return E.certified_cut(scores(spark, d), 0.08)
+    return E.certified_cut(scores(spark, d), 0.08).withColumn("bound", F.round("bound", 7))
 
 
 @query(with_views("containers", ", l AS (SELECT max(t) AS last FROM containers) SELECT CASE WHEN date_diff('day', t, last) < 56 THEN 'validate' WHEN date_diff('day', t, last) < 112 THEN 'calibrate' ELSE 'train' END AS part, count(*) AS n FROM containers, l GROUP BY 1"))

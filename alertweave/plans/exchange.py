@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters
 from ..operators import joins
 from ..sources import files
-from ..sources.views import alerts, containers, table, with_views
+from ..sources.views import alerts, containers, scores, table, with_views
 from .registry import query
 from .streams import scratch
 
@@ -55,6 +55,35 @@ def jsonl_census(spark, d):
     return files.census(table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), status)).alias("j"), "o_orderstatus"), "j", "o_orderstatus")
 
 
+KEPT = ("True Positive", "Benign Positive")
+
+
+@query(with_views("containers", """, x AS (SELECT instance, verdict, container_id % 13 <> 0 AS closed, container_id % 5 AS parts, container_id % 17 = 0 AS bare FROM containers),
+f AS (SELECT instance, CASE WHEN NOT bare THEN verdict END AS verdict, closed, parts FROM x)
+SELECT 'records' AS key, count(*) AS n FROM f UNION ALL SELECT CASE WHEN verdict IN ('True Positive', 'Benign Positive') THEN 'labelled' ELSE 'unlabelled' END, count(*) FROM f GROUP BY 1
+UNION ALL SELECT 'no_close_time', count(*) FROM f WHERE verdict IN ('True Positive', 'Benign Positive') AND NOT closed HAVING count(*) > 0
+UNION ALL SELECT 'disposition:' || coalesce(verdict, '(none)'), count(*) FROM f GROUP BY 1 UNION ALL SELECT 'server:' || instance, count(*) FROM f GROUP BY 1
+UNION ALL SELECT 'artifacts:' || CAST(parts AS VARCHAR), count(*) FROM f GROUP BY 1 UNION ALL SELECT 'key:server', count(*) FROM f UNION ALL SELECT 'key:CEF', count(*) FROM f
+UNION ALL SELECT 'key:disposition', count(*) FROM f WHERE verdict IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'key:close_time', count(*) FROM f WHERE closed HAVING count(*) > 0"""))
+def jsonl_inventory(spark, d):
+    """A compressed export of containers with their artifacts, written and counted whole."""
+    i, path = F.col("container_id"), scratch(spark, "jsonl")
+    parts = F.transform(F.slice(F.array(*map(F.lit, range(4))), F.lit(1), (i % 5).cast("int")), lambda k: F.struct(F.concat(F.lit("10.0.0."), k.cast("string")).alias("sourceAddress")))
+    record = F.struct(F.when(i % 17 != 0, F.col("verdict")).alias("disposition"), F.col("instance").alias("server"), F.when(i % 13 != 0, F.col("t").cast("string")).alias("close_time"), parts.alias("CEF"))
+    containers(spark, d).select(F.to_json(record).alias("j")).write.option("compression", "gzip").text(path)
+    return files.inventory(spark.read.text(path), "value", KEPT)
+
+
+@query(with_views("scores", "SELECT doc_id, score / 10.0::DOUBLE AS decision, y FROM scores"))
+def csv_percents(spark, d):
+    """Scores written as 41.7% behind a byte-order mark and read as numbers."""
+    path = scratch(spark, "csv")
+    s = scores(spark, d).select(F.col("doc_id").alias("\ufeffdoc_id"), F.concat((F.col("score") / 10).cast("string"), F.lit("%")).alias("Decision Score"), "y")
+    files.write(s, path, "csv")
+    read = files.text_csv(spark, path, multi_line=False)
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), files.percent(F.col("Decision Score")).alias("decision"), F.col("y").cast("int").alias("y"))
+
+
 @query(with_views("containers", "SELECT instance AS server, container_id AS id, rule FROM containers WHERE container_id = (SELECT min(container_id) FROM containers)"))
 def jsonl_lookup(spark, d):
     """One record by server and id."""

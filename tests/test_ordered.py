@@ -195,6 +195,55 @@ def test_first_layer_joins_on_rare_slots_only(spark):
         assert pairs == every and every
 
 
+def test_first_layer_counts_without_pairs(spark):
+    """Slots with few values, some absent, and one address that all share."""
+    rng = random.Random(10)
+    names = [f"s{i}" for i in range(5)]
+    rows = [(i, "2024-01-01 00:00:00", f"c{i % 2}", "rule", ["same", *[rng.choice(["x", "y", None]) for _ in names[1:]]] if i % 9 else [None] * 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "alert_id long, ts string, customer string, alert_name string, v array<string>").withColumn("ts", F.to_timestamp("ts"))
+    fp = D.fingerprints(df, {n: F.array(F.get("v", F.lit(i))) for i, n in enumerate(names)})
+    want = {(r.matched, r.confidence): r.n for r in D.l1_candidates(fp).groupBy("matched", "confidence").agg(F.count("*").alias("n")).collect()}
+    got = {}
+    for r in D.l1_counts(fp, names).collect():
+        got[r.matched, r.confidence] = got.get((r.matched, r.confidence), 0) + r.n
+    assert got == want and len(want) > 8
+    assert D.l1_counts(fp.limit(0), names).count() == 0
+
+
+def test_joined_terms_equal_broadcast_terms(spark, sf_dir):
+    from alertweave.operators import tfidf
+    from alertweave.sources.views import table
+
+    docs = table(spark, sf_dir, "documents")
+    rows = [{(r.doc_id, r.term): round(r.weight, 9) for r in tfidf.weights(docs, "doc_id", tfidf.words(F.col("text")), 1, few=few).collect()} for few in (200_000, 0)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_offsets_of_many_matches(spark):
+    import re as plain_re
+
+    from alertweave.functions import arrays, text
+
+    texts = ["", "a", "ab " * 3000, "x" * 700 + " \U0001f600ab", None, "ab"]
+    got = {r.i: r.m for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.spans(F.col("t"), "ab").alias("m")).collect()}
+    for i, t in enumerate(texts):
+        assert [(m.first, m.end, m.found) for m in got[i] or []] == [(m.start(), m.end(), m[0]) for m in plain_re.finditer("ab", t or "")]
+    xs = [random.Random(3).randint(0, 9) for _ in range(1000)]
+    out = spark.createDataFrame([(xs,), ([],), ([4],)], "x array<int>").select(arrays.sums_before(F.col("x"), 7).alias("s")).collect()
+    assert [r.s for r in out] == [[sum(xs[:i]) for i in range(1000)], [], [0]]
+
+
+def test_inventory_of_awkward_records(spark):
+    from alertweave.sources import files
+
+    lines = ['{"disposition":"A","server":"s","close_time":"t","CEF":[{"a":1},{"b":2}]}', '{"disposition":"A","server":"s","CEF":[]}', '{"disposition":""}', "no json", None, '{"disposition":"B","CEF":null,"x":1}']
+    got = {r.key: r.n for r in files.inventory(spark.createDataFrame([(x,) for x in lines], "j string"), "j", ["A"]).collect()}
+    assert got == {
+        "records": 6, "labelled": 2, "unlabelled": 4, "no_close_time": 1, "disposition:A": 2, "disposition:(none)": 3, "disposition:B": 1, "server:s": 2, "server:": 4,
+        "artifacts:2": 1, "artifacts:0": 5, "key:disposition": 4, "key:server": 2, "key:close_time": 1, "key:CEF": 3, "key:x": 1,
+    }
+
+
 def test_forward_scores_see_earlier_folds_only(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array

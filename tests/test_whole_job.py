@@ -33,8 +33,8 @@ def test_cosine_counts_of_awkward_vectors(spark):
             if a in want and b != a and (c := cosine(x, y)) is not None and c >= 0.1:
                 want[a] += 1
     assert want[0] == 8 and want[20] == 0
-    for block in (2, 1024):
-        got = S.cosine_counts(df.filter("vec_id % 20 = 0"), df, 0.1, block=block, deals=3)
+    for block, deals, rows_ in ((2, 3, 2), (1024, 3, 1), (2, None, None)):
+        got = S.cosine_counts(df.filter("vec_id % 20 = 0"), df, 0.1, block=block, deals=deals, query_deals=rows_)
         assert {r.a: r.n for r in got.collect()} == want
 
 
