@@ -42,7 +42,7 @@ def tail_sql(m: str, n: str, p: str) -> str:
 @query(on(LANE + f""", w AS (SELECT lane, score, misses FROM c WHERE misses < lane AND {tail_sql("misses", "lane", "0.08::DOUBLE")} <= 0.05 ORDER BY lane DESC LIMIT 1),
 h AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
  SELECT i + 1, CASE WHEN t > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN t > 0.05 THEN high ELSE (low + high) / 2 END FROM (SELECT h.*, {tail_sql("w.misses", "w.lane", "((low + high) / 2)")} AS t FROM h, w WHERE i < 60))
-SELECT lane, score, misses, round((low + high) / 2, 7) AS bound FROM w, h WHERE i = 60""").replace("WITH ", "WITH RECURSIVE ", 1))
+SELECT lane, score, misses, round((low + high) / 2, 7) AS bound FROM (SELECT 1) LEFT JOIN w ON true LEFT JOIN h ON i = 60""").replace("WITH ", "WITH RECURSIVE ", 1))
 def clopper_pearson_cut(spark, d):
     return E.certified_cut(scores(spark, d), 0.08).withColumn("bound", F.round("bound", 7))
 
