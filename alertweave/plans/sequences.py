@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import windows as X
-from ..sources.views import alerts, containers, table, with_views
+from ..sources.views import HALF_HOUR, alerts, containers, table, with_views
 from .registry import query
 
 ORD = "ORDER BY t, container_id"
@@ -148,7 +148,7 @@ def transition_matrix(spark, d):
 # dates and bins
 
 
-@query("SELECT event_id, epoch_ms(ts) // 1800000 AS bucket, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS weekday FROM events")
+@query(f"SELECT event_id, {HALF_HOUR} AS bucket, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS weekday FROM events")
 def time_buckets(spark, d):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return table(spark, d, "events").select("event_id", F.floor(ms / 1_800_000).alias("bucket"), F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"))
