@@ -1,5 +1,5 @@
 """Queries against their SQL on rows that the given tables hardly have: times a fraction of a
-millisecond before a half hour's end and times before 1970."""
+millisecond before a half hour's end, times before 1970, users whose number looks like a year."""
 
 import duckdb
 import pytest
@@ -38,3 +38,7 @@ def same(spark, edges, name):
 @pytest.mark.parametrize("name", BY_HALF_HOUR)
 def test_half_hours(spark, edges, name):
     same(spark, edges, name)
+
+
+def test_users_like_years(spark, edges):
+    same(spark, edges, "scrub_time")
