@@ -3,7 +3,9 @@ millisecond before a half hour's end, times before 1970, users whose number look
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from alertweave.operators import aggregates
 from alertweave.plans import dedups, indicators, sequences  # noqa: F401
 from alertweave.plans.registry import QUERIES, SQL
 from tests.test_oracles import plain
@@ -42,3 +44,11 @@ def test_half_hours(spark, edges, name):
 
 def test_users_like_years(spark, edges):
     same(spark, edges, "scrub_time")
+
+
+def test_phi_beyond_64_bits(spark):
+    n = 2_000_000
+    df = spark.range(n).select((F.col("id") % 2 == 0).alias("a"), (F.col("id") % 4 == 0).alias("b"))
+    a, b = n // 2, n // 4
+    want = (n * b - a * b) / ((n * a - a * a) * (n * b - b * b)) ** 0.5
+    assert aggregates.phi_matrix(df, ["a", "b"]).first().phi == pytest.approx(want, rel=1e-12)
