@@ -42,7 +42,7 @@ def forward_folds(df: DataFrame, order: Sequence[str], folds: int = 5) -> DataFr
     first = order[0]
     kind = df.schema[first].dataType.typeName()
     at = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(first)
-    c = running(df.groupBy(first).agg(F.count("*").alias("c")), at, {"before": F.col("c")}, before=True).withColumnRenamed("before_all", "total")
+    c = running(written(df.groupBy(first).agg(F.count("*").alias("c")), "counts"), at, {"before": F.col("c")}, before=True).withColumnRenamed("before_all", "total")
     within = F.row_number().over(W.partitionBy(first).orderBy(*(order[1:] or order))) - 1
     out = df.join(c, first).withColumn("__r", F.col("before") + within)
     return out.withColumn("fold", F.floor(F.col("__r") * (folds + 1) / F.col("total")).cast("int")).drop("__r", "c", "before", "total")
@@ -73,8 +73,10 @@ def sgd(id_col: str, size: int, **options) -> Fit:
 def forward_scores(df: DataFrame, folds: int, fit: Fit | None = None, label: str = "label") -> DataFrame:
     """``df`` (fold, label, features) of the folds from 1 on, each with the score of a linear
     model that was fitted on all earlier folds; a fold whose predecessors have one class only
-    has null scores. Models are fitted one after another, their rows never leave the cluster."""
+    has null scores. Models are fitted one after another, their rows never leave the cluster.
+    ``df`` is stored once, as every fit and every fold reads it."""
     fit = fit or logistic(label=label)
+    df = written(df, "folds")
     classes = {r.fold: (r.a, r.b) for r in df.groupBy("fold").agg(F.min(label).alias("a"), F.max(label).alias("b")).collect()}
     out = None
     for k in range(1, folds + 1):

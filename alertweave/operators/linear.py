@@ -4,7 +4,8 @@ Rows are dealt to ``workers`` streams by a hash of their identifier and ordered
 so the same rows give the same model however they are stored. In a pass every stream starts
 from the common weights and takes a step a row (L2 penalty, step 1 / (alpha (t0 + t))); then
 the streams' weights are averaged by their rows, and so are all weights that any step has
-left behind, which are the model. With one stream this is the plain algorithm. Streams meet
+left behind, which are the model. Rows are dealt and sorted once and kept on the executors'
+disks for all passes. With one stream this is the plain algorithm. Streams meet
 in a grouped sum by feature, so the driver gets ``size`` rows a pass, whatever the input.
 
 Features are lists of indices (below ``size``) and values. Defined results: null lists have
@@ -22,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-
-from ..storage import written
+from pyspark.storagelevel import StorageLevel
 
 #: The most features: weights go to every task.
 MOST = 1 << 24
@@ -66,6 +66,14 @@ class Stream:
         return self.passed * self.v - self.owed
 
 
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's list, as a view of the batch's values; of a null list an empty one."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        yield values[ends[i] : ends[i + 1] if valid[i] else ends[i]]
+
+
 @dataclass
 class LinearModel:
     weights: np.ndarray
@@ -81,8 +89,8 @@ class LinearModel:
             w, b = sent.value
             for batch in batches:
                 out = []
-                for at, x in zip(*(batch.column(c).to_pylist() for c in where)):
-                    z = (float(w[np.array(at, np.int64)] @ np.array(x, np.float64)) if at else 0.0) + b
+                for at, x in zip(*(lists(batch.column(c)) for c in where)):
+                    z = (float(w[at] @ x) if len(at) else 0.0) + b
                     out.append(1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
@@ -96,7 +104,8 @@ def averaged_sgd(df: DataFrame, id_col: str, size: int, label: str = "label", in
     key = F.col(id_col).cast("string")
     hash_ = lambda k: F.xxhash64(F.lit(seed), F.lit(k), key)
     rows = df.filter(F.col(label).isNotNull()).select(F.pmod(hash_(0), F.lit(workers)).cast("int").alias("w"), hash_(1).alias("o"), key.alias("k"), F.col(label).cast("double").alias("y"), F.col(indices).alias("at"), F.col(values).alias("x"))
-    rows = written(rows, "sgd-rows")
+    rows = rows.repartition(workers, "w").sortWithinPartitions("w", "o", "k").select("w", "y", F.col("at").cast("array<int>").alias("at"), F.col("x").cast("array<double>").alias("x"))
+    dealt = rows.persist(StorageLevel.DISK_ONLY)
     weights, bias = np.zeros(size), 0.0
     total, bias_total, steps = np.zeros(size), 0.0, 0
     spark = df.sparkSession
@@ -116,16 +125,15 @@ def averaged_sgd(df: DataFrame, id_col: str, size: int, label: str = "label", in
                 })
 
             for batch in batches:
-                for worker, y, at, x in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                for worker, y, at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists(batch.column(2)), lists(batch.column(3))):
                     if worker != at_worker:
                         if stream is not None:
                             yield out()
                         stream, at_worker = Stream(w0, b0, alpha, t), worker
-                    stream.step(np.array(at or [], np.int64), np.array(x or [], np.float64), y)
+                    stream.step(at, x, y)
             if stream is not None:
                 yield out()
 
-        dealt = rows.repartition(workers, "w").sortWithinPartitions("w", "o", "k").select("w", "y", "at", "x")
         each = dealt.mapInArrow(run, "i int, n bigint, w double, s double")
         # in order of the stream, as sums of doubles depend on it
         found = each.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("w", "s", "n"))).alias("x"))
@@ -142,6 +150,7 @@ def averaged_sgd(df: DataFrame, id_col: str, size: int, label: str = "label", in
                 weights[r.i] = r.w / n
                 total[r.i] += r.s
         steps += n
+    dealt.unpersist()
     return LinearModel(total / max(1, steps), bias_total / max(1, steps))
 
 

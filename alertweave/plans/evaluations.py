@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..sources.views import containers, scores, with_views
+from ..storage import written
 from .registry import query
 
 
@@ -224,5 +225,5 @@ def sgd_model(spark, d):
 @query()
 def forward_scores_sgd(spark, d):
     """Out-of-fold scores by averaged stochastic gradient, each fold by a model of those before."""
-    x = E.forward_folds(word_features(spark, d), ["doc_id"])
+    x = E.forward_folds(written(word_features(spark, d), "features"), ["doc_id"])
     return E.forward_scores(x, 5, E.sgd("doc_id", 1 << 12, workers=4)).select("doc_id", "fold", "label", "score")

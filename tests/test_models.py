@@ -142,3 +142,18 @@ def test_forward_scores_by_sgd(spark):
     fold = folds.filter("fold = 3").select("id").collect()
     own = {r.id: r.score for r in linear.averaged_sgd(folds.filter("fold < 3"), "id", 64, workers=2).scored(folds.filter("fold = 3")).collect()}
     assert len(own) == len(fold) and all(got[i] == s for i, s in own.items())
+
+
+def test_forward_scores_read_their_input_once(spark):
+    """Twice the folds read the rows, so these are stored; the fit's passes read dealt rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    df = data(spark, 60)[1].withColumn("fold", (F.col("id") % 4).cast("int"))
+    counted = df.mapInPandas(count, df.schema)
+    assert evaluation.forward_scores(counted, 3, evaluation.sgd("id", 64, workers=2, passes=2)).count() == 45
+    assert seen.value == 60
