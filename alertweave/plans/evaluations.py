@@ -198,7 +198,7 @@ def logistic_model(spark, d):
 @query()
 def forward_scores(spark, d):
     """Out-of-fold scores: five folds in order of doc_id, each by a model of those before."""
-    x = E.forward_folds(hashed_words(spark, d), ["doc_id"])
+    x = E.forward_folds(written(hashed_words(spark, d), "features"), ["doc_id"])
     return E.forward_scores(x, 5).select("doc_id", "fold", "label", "score")
 
 
