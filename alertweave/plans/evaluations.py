@@ -217,7 +217,7 @@ def sgd_model(spark, d):
     """Averaged stochastic gradient on hashed words, fitted on two thirds; every row is scored."""
     from ..operators.linear import averaged_sgd
 
-    x = word_features(spark, d)
+    x = written(word_features(spark, d), "features")
     model = averaged_sgd(x.filter("doc_id % 3 <> 0"), "doc_id", 1 << 12)
     return model.scored(x).select("doc_id", (F.col("doc_id") % 3 == 0).alias("held_out"), "label", "score")
 
