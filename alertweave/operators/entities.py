@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def merged_spans(tokens: DataFrame, texts: DataFrame, key: str, least: float, trusted: Sequence[str]) -> DataFrame:
@@ -16,7 +19,7 @@ def merged_spans(tokens: DataFrame, texts: DataFrame, key: str, least: float, tr
     at a B, at another label, or after an O, and goes on through its I tokens; its score is
     the least of theirs. Tokens of no width are no tokens. Entities of untrusted labels, under
     the least score, or blank are left out. ``start`` and ``end`` are characters of the text
-    as tagged; the value is trimmed. The text is cut once, after merging."""
+    as tagged; the value is trimmed. A text meets the list of its spans, once, after merging."""
     t = tokens.filter("start <> end").withColumn("kind", F.nullif(F.regexp_extract("tag", r"^[^-]*-(.+)$", 1), F.lit("")))
     t = t.withColumn("kind", F.when(F.regexp_extract("tag", "^([^-]*)", 1) != "O", F.col("kind")))
     w = W.partitionBy(key).orderBy("pos")
@@ -24,8 +27,30 @@ def merged_spans(tokens: DataFrame, texts: DataFrame, key: str, least: float, tr
     t = t.withColumn("opens", opens.cast("int")).withColumn("no", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
     spans = t.filter("kind is not null").groupBy(key, "no", F.col("kind").alias("label")).agg(F.min("start").alias("start"), F.max_by("end", "pos").alias("end"), F.min("score").alias("score"))
     spans = spans.filter((F.col("score") >= least) & F.col("label").isin(*trusted))
-    cut = F.trim(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
-    return spans.join(texts.select(key, "text"), key).select(key, "label", "start", "end", "score", cut.alias("value")).filter("value <> ''")
+    return cut(spans.select(key, "label", "start", "end", "score"), texts.select(key, "text"), key)
+
+
+def cut(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """``spans`` with the trimmed stretch of the key's text, blank ones left out. A text is
+    decoded once and cut by place: to cut it in a column would walk from its beginning for
+    each span, which is quadratic in a text's length."""
+    own = [f for f in spans.schema.fields if f.name != key]
+    listed = spans.groupBy(key).agg(F.collect_list(F.struct(*[f.name for f in own])).alias("spans"))
+    met = listed.join(texts, key).select(key, "text", "spans")
+    schema = StructType([spans.schema[key], *own, StructField("value", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, every = batch.column(2), batch.column(2).flatten()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            columns = dict(zip([f.name for f in own], every.flatten()))
+            texts = batch.column(1).to_pylist()
+            values = [None if texts[i] is None else texts[i][s:e].strip(" ") for i, s, e in zip(row.tolist(), columns["start"].to_pylist(), columns["end"].to_pylist())]
+            kept = pa.array(np.flatnonzero([bool(v) for v in values]), pa.int64())
+            out = [batch.column(0).take(pa.array(row)), *columns.values(), pa.array(values, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.take(kept) for c in out], names=[f.name for f in schema.fields])
+
+    return met.mapInArrow(run, schema)
 
 
 def value_lists(spans: DataFrame, key: str) -> DataFrame:

@@ -258,3 +258,16 @@ def test_forward_scores_see_earlier_folds_only(spark):
         model = LogisticRegression(maxIter=20, regParam=0.01).fit(df.filter(F.col("fold") < k))
         for r in model.transform(df.filter(F.col("fold") == k)).select("id", F.get(vector_to_array("probability"), F.lit(1)).alias("s")).collect():
             assert got[r.id] == (k, pytest.approx(r.s, abs=1e-9))
+
+
+def test_a_text_meets_its_spans_once(spark):
+    """One long text with characters beyond 16 bits: cut by place, not by a walk for each span."""
+    words = ["\U0001f600a", "bc", "ä", "d"] * 500
+    text, tokens = " ".join(words), []
+    for i, w in enumerate(words):
+        at = sum(len(x) + 1 for x in words[:i])
+        tokens.append((1, i, at, at + len(w), "B-X", 0.9))
+    df = entities.merged_spans(spark.createDataFrame(tokens, "d int, pos int, start int, end int, tag string, score double"), spark.createDataFrame([(1, text), (2, None)], "d int, text string"), "d", 0.3, ["X"])
+    assert [r.value for r in sorted(df.collect(), key=lambda r: r.start)] == words
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "substring" not in plan
