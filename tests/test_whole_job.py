@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from alertweave.functions import similarity as S
 
 
@@ -81,3 +83,33 @@ def test_bootstrap_has_400_rounds(spark, sf_dir):
     from alertweave.sources.views import scores
 
     assert evaluations.bootstrap_ci(spark, sf_dir).collect() == E.bootstrap_auc(scores(spark, sf_dir), 400).collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_terms_are_all_broadcast(spark):
+    """Rare terms move to no other task while all terms together are few."""
+    from alertweave.operators import tfidf
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 50} both") for i in range(3000)], "doc_id long, text string")
+    words = tfidf.words(F.col("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [plan_of(tfidf.weights(docs, "doc_id", words, 1, few=few)) for few in (200_000, 10)]
+        got = [{(r.doc_id, r.term): round(r.weight, 9) for r in tfidf.weights(docs, "doc_id", words, 1, few=few).collect()} for few in (200_000, 10, 3, 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+    assert len(got[0]) == 9000 and all(g == got[0] for g in got)
+
+
+def test_words_of_a_window_are_taken_once(spark):
+    """However often the encoder names them."""
+    from alertweave.operators import pooling
+
+    docs = spark.createDataFrame([(1, "a b")], "id long, text string")
+    out = pooling.pooled(docs, "id", "text", lambda w: F.array(*[F.size(w).cast("double") * k for k in range(1, 7)]))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1 and len(out.first().vector) == 6
