@@ -64,10 +64,12 @@ def top_semi(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.join(F.broadcast(top), key, "left_semi")
 
 
-def fp_pairs(df: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
-    """(duplicate, canonical) pairs with both sides' columns prefixed."""
+def fp_pairs(df: DataFrame, key: str = "id", parent: str = "parent_id", among: DataFrame | None = None) -> DataFrame:
+    """(duplicate, canonical) pairs with both sides' columns prefixed. Canonical rows are
+    those of ``among``, if it is given, else of ``df``."""
     dup = df.filter(F.col(parent).isNotNull()).select(*[F.col(c).alias(f"dup_{c}") for c in df.columns])
-    can = df.select(*[F.col(c).alias(f"can_{c}") for c in df.columns])
+    among = df if among is None else among
+    can = among.select(*[F.col(c).alias(f"can_{c}") for c in among.columns])
     return dup.join(can, F.col(f"dup_{parent}") == F.col(f"can_{key}"))
 
 
