@@ -153,3 +153,35 @@ def test_few_exchanges(spark, sf_dir):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_sets_of_few_lists_are_looked_up():
+    """The table of distinct lists has the pairs' own scores; early records are left out."""
+    import json
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pools = [[[], ["bob"], ["admin bob", "bob"], ["root", "bob", "Bob"]], [["10.0.0.1"], ["10.0.0.14"], []], [["h1.example"], ["h2.example"], ["h2"], []]]
+    make = lambda n: [([rng.choice(p) for p in pools], f"r{rng.randrange(3)}", (rng.randrange(500), i)) for i in range(n)]
+    a, b = make(90), make(120)
+    when = lambda w: {"ts": datetime(1970, 1, 1) + timedelta(microseconds=w[0]), "alert_id": w[1]}
+    lists = lambda v: {f"t{t}": json.dumps(x) for t, x in enumerate(v)}
+    sa = pa.array([{"key": str(i), "name_hash": n, "early": when(w), "last": when((w[0] + 40, 0)), **lists(v)} for i, (v, n, w) in enumerate(a)])
+    sb = pa.array([{"name_hash": n, "first": when(w), **lists(v)} for v, n, w in b])
+    table = layer_two.score_table(layer_two.Side(sa, 3), layer_two.Side(sb, 3))
+    pairing = layer_two.Pairing([v for v, *_ in a], [v for v, *_ in b], 3)
+    for i in range(90):
+        for j in range(120):
+            assert table[i, j] / 100 == (pairing.score(i, j) if any(a[i][0]) or any(b[j][0]) else -0.01)
+    rows, cols, scores = layer_two.paired(sa, sb, 3, 80.0)
+    want = []
+    for i, (_, n, w) in enumerate(a):
+        best, mine = -1.0, []
+        for j in sorted(range(120), key=lambda j: b[j][2]):
+            if b[j][1] != n and b[j][2] < (w[0] + 40, 0) and table[i, j] >= 8000 and table[i, j] > best:
+                best = table[i, j]
+                mine.append((i, j, best / 100))
+        before = [m for m in mine if b[m[1]][2] < w]
+        want += before[-1:] + mine[len(before) :]
+    assert list(zip(rows.tolist(), cols.tolist(), scores.tolist())) == want and want
