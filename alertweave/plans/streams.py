@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..sources.views import MILLISECOND, of_events, table, with_views
 from ..storage import scratch
 from ..streaming import dedup as S
-from .dedups import KEYS, keyed, recursive
+from .dedups import KEYS, keyed, recursive, tenths
 from .registry import query
 
 
@@ -38,7 +38,7 @@ def stream_verdict_counts(spark, d):
 
 @query(recursive(with_views("alerts", KEYS + """, p AS (SELECT bucket, count(*) AS n, count(dup) AS d, CAST(sum(added) AS BIGINT) AS active_entries FROM st WHERE rn > 0 GROUP BY bucket),
 c AS (SELECT bucket, active_entries, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS total, CAST(sum(d) OVER (ORDER BY bucket) AS BIGINT) AS duplicates FROM p)
-SELECT bucket, total, total - duplicates AS new, duplicates, active_entries, round(duplicates / total * 100, 1) AS dedup_rate FROM c WHERE (bucket + 2) * 1800000 <= (SELECT max(""" + MILLISECOND + ") FROM alerts)")))
+SELECT bucket, total, total - duplicates AS new, duplicates, active_entries, """ + tenths("duplicates / total * 100") + " AS dedup_rate FROM c WHERE (bucket + 2) * 1800000 <= (SELECT max(" + MILLISECOND + ") FROM alerts)")))
 def stream_key_statistics(spark, d):
     """Running totals of the buckets that the watermark, a bucket behind, has closed."""
     return _ran(spark, S.key_statistics_stream(keyed(of_events(_events(spark, d))), 1_800_000, ["domain", "alert_name", "bucket"]), "statistics")

@@ -1,12 +1,13 @@
 """Queries against their SQL on rows that the given tables hardly have: times a fraction of a
-millisecond before a half hour's end, times before 1970, users whose number looks like a year."""
+millisecond before a half hour's end, times before 1970, users whose number looks like a year,
+rates a trifle below a half."""
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from alertweave.operators import aggregates
-from alertweave.plans import dedups, indicators, sequences  # noqa: F401
+from alertweave.plans import dedups, indicators, sequences, streams  # noqa: F401
 from alertweave.plans.registry import QUERIES, SQL
 from tests.test_oracles import plain
 
@@ -46,6 +47,19 @@ def test_users_like_years(spark, edges):
     same(spark, edges, "scrub_time")
 
 
+@pytest.mark.parametrize("name", ["key_statistics", "stream_key_statistics"])
+def test_rates_close_to_a_half(spark, tmp_path, name):
+    """9 duplicates of 2,000 alerts are 0.44999999999999996 percent, and 4.5 when taken times ten."""
+    con = duckdb.connect()
+    kind = "'t' || CASE WHEN i < 18 THEN i // 2 ELSE i END"
+    half_hour = "CASE WHEN i < 2000 THEN 0 ELSE 300 END"
+    con.sql(f"copy (select i as event_id, timestamp '2024-01-01' + to_minutes({half_hour}) + to_microseconds(i * 1000) as ts, 5::bigint as user_id, {kind} as event_type, 1.0::double as value, '{{\"k\": 1}}' as props from range(2001) t(i)) to '{tmp_path}/events.parquet'")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    rates = {r.total: (r.duplicates, r.dedup_rate) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert rates[2000] == (9, 0.4)
+    same(spark, (str(tmp_path), con), name)
+
+
 def test_phi_beyond_64_bits(spark):
     n = 2_000_000
     df = spark.range(n).select((F.col("id") % 2 == 0).alias("a"), (F.col("id") % 4 == 0).alias("b"))
