@@ -1,6 +1,6 @@
 """Queries against their SQL on rows that the given tables hardly have: times a fraction of a
 millisecond before a half hour's end, times before 1970, users whose number looks like a year,
-rates a trifle below a half."""
+rates a trifle below a half, alerts that lack a user, a time, their values or a name."""
 
 import duckdb
 import pytest
@@ -16,6 +16,10 @@ BY_HALF_HOUR = [
     "hash_dedup", "ioc_diff", "key_statistics", "l1_candidate_counts", "l1_confidence", "l1_counts_lists", "observable_similarity", "time_buckets", "weighted_similarity",
 ]
 
+LACKING = [
+    "dedup_l1",
+]
+
 
 @pytest.fixture(scope="module")
 def edges(sf_dir, tmp_path_factory):
@@ -28,6 +32,19 @@ def edges(sf_dir, tmp_path_factory):
     return path, con
 
 
+@pytest.fixture(scope="module")
+def gaps(sf_dir, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("gaps"))
+    con = duckdb.connect()
+    con.sql(f"""copy (select event_id,
+      case when event_id % 23 = 7 then null else timestamp '2024-01-01' + to_minutes(30 * (event_id % 4)) + to_microseconds(event_id // 3 * 1000) end as ts,
+      case when event_id % 29 = 3 then null else user_id end as user_id,
+      case when event_id % 17 = 5 then null when event_id % 19 = 2 then '' when event_id % 7 = 1 then ' ' || upper(event_type) else event_type end as event_type,
+      value, case when event_id % 5 = 2 then null else props end as props from '{sf_dir}/events.parquet') to '{path}/events.parquet'""")
+    con.sql(f"create view events as select * from '{path}/events.parquet'")
+    return path, con
+
+
 def same(spark, edges, name):
     path, con = edges
     df = QUERIES[name](spark, path)
@@ -43,6 +60,11 @@ def test_half_hours(spark, edges, name):
     same(spark, edges, name)
 
 
+@pytest.mark.parametrize("name", LACKING)
+def test_alerts_that_lack_something(spark, gaps, name):
+    same(spark, gaps, name)
+
+
 def test_users_like_years(spark, edges):
     same(spark, edges, "scrub_time")
 
