@@ -18,6 +18,7 @@ BY_HALF_HOUR = [
 
 LACKING = [
     "dedup_l1",
+    "fp_audit",
 ]
 
 
