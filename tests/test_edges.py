@@ -19,6 +19,7 @@ BY_HALF_HOUR = [
 LACKING = [
     "dedup_l1",
     "fp_audit",
+    "fp_pairs",
 ]
 
 
