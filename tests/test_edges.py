@@ -20,6 +20,7 @@ LACKING = [
     "dedup_l1",
     "fp_audit",
     "fp_pairs",
+    "fp_summary",
 ]
 
 
