@@ -21,6 +21,7 @@ LACKING = [
     "fp_audit",
     "fp_pairs",
     "fp_summary",
+    "fp_verdict",
 ]
 
 
