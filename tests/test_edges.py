@@ -22,6 +22,8 @@ LACKING = [
     "fp_pairs",
     "fp_summary",
     "fp_verdict",
+    "hash_dedup",
+    "key_statistics",
 ]
 
 
