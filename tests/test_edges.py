@@ -24,6 +24,7 @@ LACKING = [
     "fp_verdict",
     "hash_dedup",
     "key_statistics",
+    "ioc_diff",
 ]
 
 
