@@ -25,6 +25,7 @@ LACKING = [
     "hash_dedup",
     "key_statistics",
     "ioc_diff",
+    "dedup_l2",
 ]
 
 
