@@ -26,6 +26,7 @@ LACKING = [
     "key_statistics",
     "ioc_diff",
     "dedup_l2",
+    "dedup_dashboard_full",
 ]
 
 
