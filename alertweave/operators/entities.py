@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+
+SPAN = StructType().add("label", StringType()).add("start", LongType()).add("end", LongType()).add("score", DoubleType()).add("value", StringType())
+LISTED = 50_000  # spans of a batch from which on it is handed over
 
 
 def merged_spans(tokens: DataFrame, texts: DataFrame, key: str, least: float, trusted: Sequence[str]) -> DataFrame:
@@ -53,6 +56,53 @@ def cut(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
+def listed_spans(docs: DataFrame, key: str, tag: Callable[[str], tuple], labels: Sequence[str], least: float, trusted: Sequence[str]) -> DataFrame:
+    """key, spans: the entities of ``merged_spans`` by place, one row for each row of ``docs``
+    (key, text) that has any. A text is tagged, merged and cut where it is read, so neither
+    texts nor tokens move.
+
+    ``tag`` takes a text and returns arrays with an entry for each token, in order: start, end,
+    kind (the place of its label in ``labels``, -1: O), begins (B), score."""
+    wanted = np.array([x in trusted for x in labels], bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, found, values = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                if (text := text.as_py()) is not None:
+                    kind, start, end, score = _merged(*tag(text))
+                    kept = wanted[kind] & (score >= least)
+                    cuts = [text[s:e].strip(" ") for s, e in zip(start[kept].tolist(), end[kept].tolist())]
+                    filled = np.array([bool(v) for v in cuts], bool)
+                    if filled.any():
+                        rows.append(i)
+                        sizes.append(int(filled.sum()))
+                        found.append([x[kept][filled] for x in (kind, start, end, score)])
+                        values += filter(None, cuts)
+                if len(values) >= LISTED or rows and i + 1 == batch.num_rows:
+                    kind, start, end, score = map(np.concatenate, zip(*found))
+                    columns = [pa.array(labels, pa.string()).take(pa.array(kind)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(score, pa.float64()), pa.array(values, pa.string())]
+                    spans = pa.StructArray.from_arrays(columns, names=SPAN.names)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), spans)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists], names=[key, "spans"])
+                    rows, sizes, found, values = [], [], [], []
+
+    return docs.select(key, "text").mapInArrow(run, StructType([docs.schema[key], StructField("spans", ArrayType(SPAN))]))
+
+
+def _merged(start: np.ndarray, end: np.ndarray, kind: np.ndarray, begins: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """kind, start, end and score of each entity of a text's tokens."""
+    wide = start != end
+    start, end, kind, begins, score = (x[wide] for x in (start, end, kind, begins, score))
+    inside = kind >= 0
+    opens = (inside & (begins | (np.concatenate([[-1], kind[:-1]]) != kind)))[inside]
+    start, end, kind, score = (x[inside] for x in (start, end, kind, score))
+    first = np.flatnonzero(opens)
+    if not len(first):
+        return kind, start, end, score
+    return kind[first], np.minimum.reduceat(start, first), end[np.append(first[1:], len(end)) - 1], np.minimum.reduceat(score, first)
+
+
 def value_lists(spans: DataFrame, key: str) -> DataFrame:
     """The distinct values of each label, sorted."""
     return spans.groupBy(key, "label").agg(F.array_sort(F.collect_set("value")).alias("entries"))

@@ -271,3 +271,58 @@ def test_a_text_meets_its_spans_once(spark):
     assert [r.value for r in sorted(df.collect(), key=lambda r: r.start)] == words
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan and "substring" not in plan
+
+
+def odd_texts():
+    rng = random.Random(21)
+    words = ["", "a", "bc", "def", "hosts", "\U0001f600x", "user.x", "a\tb", "x\ny", "longer-word", " "]
+    return [None, "", " ", "   ", "a", "hosts", *[" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)]]
+
+
+def spans_both_ways(spark, texts):
+    """Of documents with keys of their own: in their rows, and from tokens."""
+    from alertweave.plans import entities as plans
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = entities.listed_spans(docs, "doc_id", plans.tags_of, plans.LABELS, 0.2, plans.LABELS)
+    return listed, entities.merged_spans(plans.tagged(docs), docs, "doc_id", 0.2, plans.LABELS)
+
+
+def test_listed_spans_equal_merged_spans(spark):
+    """Nothing is dealt out to make them, so no disk is needed."""
+    listed, merged = spans_both_ways(spark, odd_texts())
+    spans = listed.select("doc_id", F.inline("spans"))
+    assert spans.dtypes == merged.dtypes
+    assert sorted(spans.collect()) == sorted(merged.collect()) and spans.count() > 200
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listed_spans_leave_out_untrusted_labels(spark):
+    import numpy as np
+
+    def tag(text):
+        return np.array([0, 2, 2, 4, 6]), np.array([1, 3, 2, 5, 7]), np.array([0, 0, 1, 1, 0]), np.array([True, False, True, False, True]), np.array([0.9, 0.4, 0.1, 0.8, 0.2])
+
+    docs = spark.createDataFrame([(1, "a b c d")], "d int, text string")
+    pick = lambda least, trusted: [tuple(s) for r in entities.listed_spans(docs, "d", tag, ["X", "Y"], least, trusted).collect() for s in r.spans]
+    assert pick(0.3, ["X", "Y"]) == [("X", 0, 3, 0.4, "a b"), ("Y", 4, 5, 0.8, "c")]
+    assert pick(0.3, ["Y"]) == [("Y", 4, 5, 0.8, "c")] and pick(0.95, ["X", "Y"]) == []
+
+
+def test_many_spans_leave_a_batch_in_parts(spark, monkeypatch):
+    texts = odd_texts()
+    want = sorted(spans_both_ways(spark, texts)[0].collect())
+    monkeypatch.setattr(entities, "LISTED", 7)
+    assert sorted(spans_both_ways(spark, texts)[0].collect()) == want
+
+
+def test_spans_of_documents_that_share_a_key(spark, tmp_path):
+    """They are tagged as one document, as before."""
+    from alertweave.plans import entities as plans
+
+    rows = [(1, "host abc defghi"), (1, "host abc defghi"), (2, "abc hosts x"), (None, "abc defghi")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    merged = entities.merged_spans(plans.tagged(docs), docs, "doc_id", 0.2, plans.LABELS)
+    assert sorted(plans.ner_spans(spark, str(tmp_path)).collect()) == sorted(merged.collect()) != []
+    assert {r.doc_id for r in plans.ner_values(spark, str(tmp_path)).collect()} == {1, 2}
