@@ -103,6 +103,14 @@ def _merged(start: np.ndarray, end: np.ndarray, kind: np.ndarray, begins: np.nda
     return kind[first], np.minimum.reduceat(start, first), end[np.append(first[1:], len(end)) - 1], np.minimum.reduceat(score, first)
 
 
+def listed_values(listed: DataFrame, key: str, labels: Sequence[str]) -> DataFrame:
+    """``value_lists`` of the lists of ``listed_spans``, each from its own row."""
+    each = listed.select(key, "spans", F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    of_label = lambda s: s["label"] == F.col("label")
+    own = F.transform(F.filter("spans", of_label), lambda s: s["value"])
+    return each.filter(F.exists("spans", of_label)).select(key, "label", F.array_sort(F.array_distinct(own)).alias("entries"))
+
+
 def value_lists(spans: DataFrame, key: str) -> DataFrame:
     """The distinct values of each label, sorted."""
     return spans.groupBy(key, "label").agg(F.array_sort(F.collect_set("value")).alias("entries"))

@@ -297,6 +297,16 @@ def test_listed_spans_equal_merged_spans(spark):
     assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
 
 
+def test_listed_values_equal_value_lists(spark):
+    """The values of a label are put together in their document's row."""
+    from alertweave.plans import entities as plans
+
+    listed, merged = spans_both_ways(spark, odd_texts())
+    values = entities.listed_values(listed, "doc_id", plans.LABELS)
+    assert sorted(values.collect()) == sorted(entities.value_lists(merged, "doc_id").collect()) and values.count() > 60
+    assert "Exchange" not in values._jdf.queryExecution().executedPlan().toString()
+
+
 def test_listed_spans_leave_out_untrusted_labels(spark):
     import numpy as np
 
