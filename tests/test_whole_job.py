@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertweave.functions import similarity as S
@@ -113,3 +114,52 @@ def test_words_of_a_window_are_taken_once(spark):
     docs = spark.createDataFrame([(1, "a b")], "id long, text string")
     out = pooling.pooled(docs, "id", "text", lambda w: F.array(*[F.size(w).cast("double") * k for k in range(1, 7)]))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1 and len(out.first().vector) == 6
+
+
+def term_docs(spark):
+    rows = [(i, f"w{i % 7} v{i % 50} both both x{i // 3} once{i}") for i in range(400)]
+    return spark.createDataFrame([*rows, (400, None), (401, ""), (402, "once only")], "doc_id long, text string")
+
+
+def test_known_terms_move_nothing(spark):
+    """Documents and their terms stay where they are read while all terms are known."""
+    from alertweave.operators import tfidf
+
+    docs = term_docs(spark)
+    plan = plan_of(tfidf.weights(docs, "doc_id", tfidf.words(F.col("text")), 2))
+    assert "Exchange" not in plan and "Window" not in plan
+    m = tfidf.matched(docs, "doc_id", tfidf.words(F.col("text")), 1, 2, 60)
+    assert sum(len(r.ids) for r in m.known.collect()) == 1200
+    assert sorted({r.term[0] for r in m.rest.collect()}) == ["x"]  # w, v and both are known; once has no second document
+
+
+def test_listed_terms_equal_joined_terms(spark, monkeypatch):
+    """The best terms of documents in their rows, and from a table of all weights."""
+    from alertweave.operators import tfidf
+
+    docs, words = term_docs(spark), tfidf.words(F.col("text"))
+    monkeypatch.setattr(tfidf, "PART", 20)
+    want, shown = None, lambda df: sorted((r.doc_id, r.rank, r.term, round(r.contribution, 8)) for r in df.collect())
+    for few in (200_000, 40, 3, 0):
+        m = tfidf.matched(docs, "doc_id", words, 1, 2, few)
+        lists = tfidf.listed(m, "doc_id")
+        weights = tfidf.flat(lists, m, "doc_id")
+        coef = weights.groupBy("term").agg((F.avg("weight") - 0.3).alias("coef")).filter("term <> 'v3'")
+        got = shown(tfidf.top_listed(lists, m, coef, "doc_id", 2))
+        want = want or shown(tfidf.top_terms(weights, coef, "doc_id", 2))
+        assert got == want and len(want) == 800
+        numbers = {r.doc_id: r.terms for r in tfidf.term_numbers(docs, "doc_id", words, 1, 2, few).collect()}
+        assert numbers == {r.doc_id: r.n for r in weights.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} and len(numbers) == 400
+
+
+def test_terms_of_rows_that_share_a_key(spark):
+    """They are one document, and no pair of words crosses them."""
+    from alertweave.operators import tfidf
+
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "bb cc"), (2, "aa bb cc"), (3, "dd"), (None, "dd")], "k long, text string")
+    for few in (200_000, 2, 0):
+        got = {(r.k, r.term): r.weight for r in tfidf.weights(docs, "k", tfidf.words(F.col("text")), 2, few=few).collect()}
+        assert set(got) == {(k, t) for k in (1, 2) for t in ("aa", "bb", "cc", "aa bb", "bb cc")} | {(3, "dd"), (None, "dd")}
+        idf = math.log(4 / 3) + 1
+        length = math.sqrt(4 * idf**2 + ((1 + math.log(2)) * idf) ** 2)
+        assert got[1, "bb"] == pytest.approx((1 + math.log(2)) * idf / length) and got[1, "aa bb"] == pytest.approx(idf / length) and got[None, "dd"] == 1
