@@ -148,7 +148,7 @@ def test_listed_terms_equal_joined_terms(spark, monkeypatch):
         got = shown(tfidf.top_listed(lists, m, coef, "doc_id", 2))
         want = want or shown(tfidf.top_terms(weights, coef, "doc_id", 2))
         assert got == want and len(want) == 800
-        numbers = {r.doc_id: r.terms for r in tfidf.term_numbers(docs, "doc_id", words, 1, 2, few).collect()}
+        numbers = {r.doc_id: r.terms for r in tfidf.term_numbers(docs, "doc_id", words, 1).collect()}
         assert numbers == {r.doc_id: r.n for r in weights.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} and len(numbers) == 400
 
 
@@ -163,3 +163,4 @@ def test_terms_of_rows_that_share_a_key(spark):
         idf = math.log(4 / 3) + 1
         length = math.sqrt(4 * idf**2 + ((1 + math.log(2)) * idf) ** 2)
         assert got[1, "bb"] == pytest.approx((1 + math.log(2)) * idf / length) and got[1, "aa bb"] == pytest.approx(idf / length) and got[None, "dd"] == 1
+    assert {r.k: r.terms for r in tfidf.term_numbers(docs, "k", tfidf.words(F.col("text"))).collect()} == {1: 5, 2: 5, 3: 1, None: 1}
